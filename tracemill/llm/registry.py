@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, packing
 
 
 def queries() -> dict:
-    return {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op7_bpe": bpe.op7_bpe}
+    return {"op1_packing": packing.op1_packing, "op3_exact_dedup": exact_dedup.op3_exact_dedup, "op7_bpe": bpe.op7_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
