@@ -127,6 +127,12 @@ def _key(digest):
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def possibly_repeated(digests: DataFrame, column: str, spark):
+    """A column function over SHA-256 digests: false only for a digest that `digests` holds once at most."""
+    maybe = _tester(spark, repeated_filter(stored(digests.select(_key(F.col(column)).alias("_key")), "keys")))
+    return lambda digest: maybe(_key(digest))
+
+
 def group_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, packing, warc
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing, "op3_exact_dedup": exact_dedup.op3_exact_dedup, "op7_bpe": bpe.op7_bpe}
+    return {"op1_packing": packing.op1_packing, "op3_exact_dedup": exact_dedup.op3_exact_dedup, "op5_warc": warc.op5_warc, "op7_bpe": bpe.op7_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op5_warc": warc.OP5_SQL}
