@@ -70,51 +70,60 @@ def _partial_filter(bits: int):
     return run
 
 
-def _merge_sorted(rows):
+def _merge_sorted(least: int):
     """Merge partial segments; the rows of a segment come one after another, so one segment is held at a time."""
-    segment, once, twice = None, None, None
-
-    def out():
-        body = zlib.compress(twice.tobytes(), 1)
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([body], pa.binary())], ["segment", "body"])
-
-    for b in rows:
-        for k, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            one, two = np.split(np.frombuffer(zlib.decompress(body), dtype=np.uint8), 2)
-            if k != segment:
-                if segment is not None and twice.any():
-                    yield out()
-                segment, once, twice = k, one.copy(), two.copy()
-            else:
-                twice |= two | (once & one)
-                once |= one
-    if segment is not None and twice.any():
-        yield out()
-
-
-def repeated_filter(keys: DataFrame) -> bytes:
-    """Over a stored one-column table of 64-bit keys: the packed bitmap of bits hit at least twice."""
+
+    def run(rows):
+        segment, once, twice = None, None, None
+
+        def out():
+            body = zlib.compress((once if least == 1 else twice).tobytes(), 1)
+            return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([body], pa.binary())], ["segment", "body"])
+
+        for b in rows:
+            for k, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                one, two = np.split(np.frombuffer(zlib.decompress(body), dtype=np.uint8), 2)
+                if k != segment:
+                    if segment is not None:
+                        yield out()
+                    segment, once, twice = k, one.copy(), two.copy()
+                else:
+                    twice |= two | (once & one)
+                    once |= one
+        if segment is not None:
+            yield out()
+
+    return run
+
+
+def bloom_filter(keys: DataFrame, least: int) -> bytes:
+    """Over a stored one-column table of 64-bit keys: the packed bitmap of bits hit at least `least` (1 or 2) times."""
     bits = 1 << max(10, min(MAX_FILTER_BITS.bit_length() - 1, (BITS_PER_ROW * max(1, keys.count()) - 1).bit_length()))
     size = min(bits, SEGMENT_BITS)
     parts = keys.mapInArrow(_partial_filter(bits), "segment int, body binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge_sorted, "segment int, body binary")
+    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge_sorted(least), "segment int, body binary")
     out = bytearray(bits // 8)
     for row in merged.collect():  # at most MAX_FILTER_BITS / 8 bytes in all
         out[row.segment * size // 8 : (row.segment + 1) * size // 8] = zlib.decompress(row.body)
     return bytes(out)
 
 
+def holds(bitmap: bytes, key: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold each 64-bit key."""
+    filled = np.frombuffer(bitmap, dtype=np.uint8)
+    out = np.ones(len(key), dtype=bool)
+    for at in _positions(key, len(filled) * 8):
+        out &= (filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
 def _tester(spark, bitmap: bytes):
     """A column function: may the row with this key be repeated? The bitmap's size is bounded by MAX_FILTER_BITS."""
     spread = spark.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
     def maybe(key: pd.Series) -> pd.Series:
-        filled, k = np.frombuffer(spread.value, dtype=np.uint8), key.to_numpy().view(np.uint64)
-        out = np.ones(len(k), dtype=bool)
-        for at in _positions(k, len(filled) * 8):
-            out &= (filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-        return pd.Series(out)
+        return pd.Series(holds(spread.value, key.to_numpy().view(np.uint64)))
 
     return maybe
 
@@ -129,7 +138,7 @@ def _key(digest):
 
 def possibly_repeated(digests: DataFrame, column: str, spark):
     """A column function over SHA-256 digests: false only for a digest that `digests` holds once at most."""
-    maybe = _tester(spark, repeated_filter(stored(digests.select(_key(F.col(column)).alias("_key")), "keys")))
+    maybe = _tester(spark, bloom_filter(stored(digests.select(_key(F.col(column)).alias("_key")), "keys"), 2))
     return lambda digest: maybe(_key(digest))
 
 
@@ -142,7 +151,7 @@ def group_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     docs = docs_of(df, id_col, text_col).select("doc_id", _digest(F.col("text")).alias("text_sha256"))
     hashed = stored(docs.withColumn("_key", _key(F.col("text_sha256"))), "digests")
-    maybe = _tester(df.sparkSession, repeated_filter(hashed.select("_key")))
+    maybe = _tester(df.sparkSession, bloom_filter(hashed.select("_key"), 2))
     flagged = hashed.withColumn("_maybe", maybe("_key"))
     alone = flagged.filter(~F.col("_maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
@@ -165,7 +174,7 @@ def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     key = _key(_digest(F.col(f"`{text_col}`")))
     keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), key.alias("_key"))
-    maybe = _tester(df.sparkSession, repeated_filter(stored(keyed.select("_key"), "keys")))
+    maybe = _tester(df.sparkSession, bloom_filter(stored(keyed.select("_key"), "keys"), 2))
     tested = keyed.withColumn("_maybe", maybe("_key"))
     alone = tested.filter(~F.col("_maybe")).select("_row.*")
     text, order = F.col(f"_row.`{text_col}`"), F.struct(F.col(f"_row.`{id_col}`"), F.xxhash64("_row"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, warc
+from . import bpe, exact_dedup, packing, substring_dedup, warc
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing, "op3_exact_dedup": exact_dedup.op3_exact_dedup, "op5_warc": warc.op5_warc, "op7_bpe": bpe.op7_bpe}
+    return {
+        "op1_packing": packing.op1_packing,
+        "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op5_warc": warc.op5_warc,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+        "op7_bpe": bpe.op7_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
