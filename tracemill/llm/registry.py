@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard, packing, substring_dedup, warc
+from . import ann, bpe, exact_dedup, jaccard, packing, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_warc": warc.op5_warc,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_bpe": bpe.op7_bpe,
+        "op8_nearest": ann.op8_nearest,
         "op9_jaccard_join": jaccard.op9_jaccard_join,
     }
 
