@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, jaccard, packing, substring_dedup, warc
+from . import ann, bpe, exact_dedup, html_text, jaccard, packing, quality, substring_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_quality": quality.op2_quality,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_html_text": html_text.op4_html_text,
         "op5_warc": warc.op5_warc,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_bpe": bpe.op7_bpe,
