@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cells, chunks, run_hashes, stored
+from .common import Words, cells, chunks, mix, run_hashes, stored
 from .exact_dedup import bloom_filter, holds
 
 WINDOW = 20
@@ -204,13 +204,15 @@ def _later(doc: np.ndarray, start: np.ndarray, key: np.ndarray, check: np.ndarra
     return order, same & ((doc != doc[head]) | (start != start[head])), same
 
 
-def _places(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch | None:
-    """Rows (doc_id, starts) of repeated windows."""
+def _by_document(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Rows (doc_id, starts) from the blocks of a bucket of documents."""
+    parts = [unpack(x) for x in rows["body"].to_pylist()]
+    doc, start = np.concatenate([d[of] for d, of, _ in parts]), np.concatenate([s for *_, s in parts])
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pa.array(start, pa.int32()))
-    return doc[at], lists
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pa.array(start.astype(np.int32)))
+    return pa.table({"doc_id": pa.array(doc[at], pa.int64()), "starts": lists})
 
 
 def _window_blocks(spread, buckets: int, window: int):
@@ -256,7 +258,16 @@ def _window_blocks(spread, buckets: int, window: int):
     return run
 
 
-def _repeats(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+def _repeats(buckets: int):
+    """Of a bucket of windows: the places that are later than another, as one block per bucket of documents."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        return _repeats_of(rows, buckets)
+
+    return run
+
+
+def _repeats_of(rows: pa.Table, buckets: int) -> pa.Table:
     docs, starts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
     for known in rows["known"].to_pylist():
         if known:
@@ -270,8 +281,17 @@ def _repeats(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         order, later, _ = _later(doc, start, keys, check)
         docs.append(doc[order][later])
         starts.append(start[order][later])
-    doc, lists = _places(np.concatenate(docs), np.concatenate(starts))
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "starts": lists})
+    doc, start = np.concatenate(docs), np.concatenate(starts)
+    to = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((start, doc, to))
+    doc, start, to = doc[order], start[order], to[order]
+    at = np.searchsorted(to, np.arange(buckets + 1))
+    out, bodies = [], []
+    for k in np.flatnonzero(np.diff(at)).tolist():
+        some, of = np.unique(doc[at[k] : at[k + 1]], return_inverse=True)
+        out.append(k)
+        bodies.append(pack(some, of.astype(np.uint32), start[at[k] : at[k + 1]]))
+    return pa.table({"to": pa.array(out, pa.int32()), "body": pa.array(bodies, pa.binary())})
 
 
 def _cut(window: int):
@@ -323,8 +343,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
         hits = found if hits is None else hits.unionByName(found)
     spread = spark.sparkContext.broadcast(bloom_filter(hits, 1))  # MAX_FILTER_BITS bounds it
     blocks = docs.mapInArrow(_window_blocks(spread, buckets, window), "bucket int, known binary, body binary")
-    found = blocks.groupBy("bucket").applyInArrow(_repeats, "doc_id long, starts array<int>")
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    found = blocks.groupBy("bucket").applyInArrow(_repeats(buckets), "to int, body binary")
+    return found.groupBy("to").applyInArrow(_by_document, "doc_id long, starts array<int>")
 
 
 def remove_repeats(df: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
