@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, html_text, jaccard, packing, quality, substring_dedup, warc
+from . import ann, bpe, exact_dedup, html_text, jaccard, packing, quality, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_bpe": bpe.op7_bpe,
         "op8_nearest": ann.op8_nearest,
         "op9_jaccard_join": jaccard.op9_jaccard_join,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
