@@ -35,3 +35,8 @@ def tiny():
 @pytest.fixture(scope="session")
 def small():
     return f"{TESTDATA}/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def medium():
+    return f"{TESTDATA}/sf0.1"
