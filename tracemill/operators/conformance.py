@@ -66,7 +66,7 @@ def etc_precision(log: DataFrame, model: DataFrame) -> DataFrame:
     seen = visits.groupBy("state", "src").agg(F.count(F.lit(1)).alias("w"), F.collect_set("tgt").alias("seen"))  # a set of tasks
     enabled = model.filter(F.col("src") != START).filter(F.col("tgt") != END).groupBy("src").agg(F.collect_set("tgt").alias("enabled"))
     both = seen.join(enabled, "src")
-    return both.agg((1 - F.sum(F.col("w") * F.size(F.array_except("enabled", "seen"))) / F.sum(F.col("w") * F.size("enabled"))).alias("precision"))
+    return both.agg((1 - F.try_divide(F.sum(F.col("w") * F.size(F.array_except("enabled", "seen"))), F.sum(F.col("w") * F.size("enabled")))).alias("precision"))
 
 
 def f_score(fitness, precision):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -103,9 +103,9 @@ def bootstrap_ci(pred: DataFrame, replicates: int = 500, confidence: float = 0.9
     normal = F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * 3.141592653589793 * unit(1))
     w = F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt("c") * normal))
     per = reps.withColumn("w", w).groupBy("b").agg(
-        (F.sum(F.when(F.col("rank") == 1, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("accuracy"),
-        (F.sum(F.when(F.col("rank").between(1, 3), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("top_3"),
-        (F.sum(F.when(F.col("rank") > 0, F.col("w") / F.col("rank")).otherwise(0.0)) / F.sum("w")).alias("mrr"),
+        F.try_divide(F.sum(F.when(F.col("rank") == 1, F.col("w")).otherwise(0.0)), F.sum("w")).alias("accuracy"),
+        F.try_divide(F.sum(F.when(F.col("rank").between(1, 3), F.col("w")).otherwise(0.0)), F.sum("w")).alias("top_3"),
+        F.try_divide(F.sum(F.when(F.col("rank") > 0, F.col("w") / F.col("rank")).otherwise(0.0)), F.sum("w")).alias("mrr"),
     )
     long = per.selectExpr("stack(3, 'accuracy', accuracy, 'top_3', top_3, 'mrr', mrr) as (metric, value)")
     tail = (1 - confidence) / 2
@@ -128,6 +128,3 @@ def lift(accuracies: DataFrame) -> DataFrame:
     """(lift_over_markov, lift_over_most_common) from a row of accuracies."""
     return accuracies.select((F.col("accuracy") - F.col("markov_accuracy")).alias("lift_over_markov"), (F.col("accuracy") - F.col("most_common_accuracy")).alias("lift_over_most_common"))
 
-
-def rank_window():
-    return Window.partitionBy("case_id", "event_seq").orderBy(F.desc("prob"), "label")

@@ -81,7 +81,7 @@ def read_event_log(spark: SparkSession, path: str, format: str = "csv") -> DataF
 
 
 def _attribute(lists: list[str], key: str):
-    found = [F.filter(F.col(x), lambda a: a["_key"] == key)[0]["_value"] for x in lists]
+    found = [F.get(F.filter(F.col(x), lambda a: a["_key"] == key), F.lit(0))["_value"] for x in lists]
     return F.coalesce(*found)
 
 
