@@ -369,3 +369,14 @@ def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     words = F.trim(F.regexp_replace(F.coalesce(F.col("row.text"), F.lit("")), r"[ \t-\r]+", " "))
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+     p as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') as win from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from w where len(ws) >= 20)),
+     d as (select doc_id, i from p qualify (doc_id, i) <> min((doc_id, i)) over (partition by win)),
+     g as (select distinct doc_id, unnest(range(i, i + 20)) as k from d),
+     x as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as k from w),
+     t as (select doc_id, string_agg(word, ' ' order by k) as kept, count(*) as n from x anti join g using (doc_id, k) group by 1)
+select w.doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join t using (doc_id)
+"""
