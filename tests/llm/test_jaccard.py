@@ -76,6 +76,7 @@ def rows_of(seed=9):
 @pytest.mark.parametrize("unit", [1024, 3])
 def test_planted_families(spark, monkeypatch, unit):
     monkeypatch.setattr(jaccard, "UNIT", unit)
+    monkeypatch.setattr(jaccard, "GROUP_UNIT", unit)
     monkeypatch.setattr(jaccard, "BLOCK_ENTRIES", 500)
     monkeypatch.setattr(jaccard, "BUCKET_ENTRIES", 2000)
     rows = rows_of()

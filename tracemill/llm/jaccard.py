@@ -7,11 +7,13 @@ band. The shingle domain is hashed into n1 parts of three sub-parts, with n1 at
 then some part differs in at most one shingle, so two of its three sub-parts agree. Every pair of
 sub-parts gives one signature, and similar sets share at least one.
 
-Nodes that share signatures are linked into candidate clusters: within a task first, so that a
-task sends each signature once, then per signature bucket. Clusters are verified exactly with an
-inverted index over their sets. A large cluster is dealt into blocks: components within blocks,
-then among one representative per component, and only where a cluster is still apart, between
-all pairs of its blocks. No link between different texts is lost and no list of pairs is made.
+Nodes that share a signature form groups; the many signatures of similar sets give the same few
+groups, so each distinct group is looked at once. A parity sketch (1024 bits; a bit is the parity of
+the shingles hashed to it) bounds the difference of two sets from below, so a group falls apart
+into clusters without reading sets, and no similar pair is lost. Clusters are then verified exactly
+with an inverted index over their sets. Large groups and clusters are dealt into blocks: components
+within blocks, then among one representative per component, and only where a cluster is still apart,
+between all pairs of its blocks. No link between different texts is lost and no list of pairs is made.
 
 Nodes and shingles are 64-bit hashes: two of n different ones collide with odds of n * n / 2**65.
 """
@@ -31,10 +33,14 @@ from .substring_dedup import pack, unpack
 WORDS = 4
 THRESHOLD = 85  # per cent
 #: Members of a cluster that one verification unit holds at most, about.
-UNIT = 1024
+UNIT = 512
+#: Members of a group whose sketches one unit holds at most, about.
+GROUP_UNIT = 8192
 #: Signatures of a bucket, and those a task gathers before it sends its blocks.
-BUCKET_ENTRIES = 1 << 20
-BLOCK_ENTRIES = 1 << 20
+BUCKET_ENTRIES = 1 << 19
+BLOCK_ENTRIES = 1 << 19
+#: Bits of a parity sketch.
+SKETCH_BITS = 1024
 _U = np.uint64
 
 
@@ -45,26 +51,27 @@ def shingle_sets(texts: list[bytes], words: int = WORDS):
     grams = run_hashes(hashes, words)
     for a, b in zip(table.bounds[:-1], table.bounds[1:], strict=True):
         if b - a >= words:
-            yield np.unique(grams[a : b - words + 1])
+            own = np.sort(grams[a : b - words + 1])
+            yield own[np.concatenate([[True], own[1:] != own[:-1]])]
         else:
             yield run_hashes(hashes[a:b], b - a, 1000 + int(b - a)) if b > a else np.zeros(0, dtype=_U)
 
 
 def node_of(shingles: np.ndarray) -> int:
     """A 64-bit name of a set."""
-    total = mix(shingles ^ _U(0x5E7)).sum(dtype=_U) + _U(len(shingles)) * _U(0x9E3779B97F4A7C15)
+    total = np.append(mix(shingles ^ _U(0x5E7)), mix(np.array([len(shingles)], dtype=_U))).sum(dtype=_U)
     return int(mix(np.array([total], dtype=_U)).view(np.int64)[0])
 
 
-def band_of(size: int, threshold: int) -> int:
-    """Bands of sizes: band b begins where b - 1 begins, divided by the threshold, rounded up, one at least further."""
-    return _bounds(threshold, size)[1]
+_BOUNDS: dict[int, list[int]] = {}
 
 
-_BOUNDS: dict[int, list[int]] = {}
+def names_of(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([node_of(x) for x in sets], dtype=np.int64)
 
 
 def _bounds(threshold: int, size: int) -> tuple[list[int], int]:
+    """Where bands of sizes begin, past `size`, and the band of `size`."""
     starts = _BOUNDS.setdefault(threshold, [1])
     while starts[-1] <= size or len(starts) < 3:
         # the first size that can't be similar to the band's first
@@ -72,26 +79,45 @@ def _bounds(threshold: int, size: int) -> tuple[list[int], int]:
     return starts, int(np.searchsorted(starts, size, side="right")) - 1
 
 
-def signatures(shingles: np.ndarray, threshold: int) -> np.ndarray:
-    size = len(shingles)
-    band = band_of(size, threshold)
-    out = []
-    for tag in (band, band + 1):
-        starts, _ = _bounds(threshold, size * 200 // threshold + 10)
-        most = starts[tag + 1] - 1
-        k = (100 - threshold) * 2 * most // (100 + threshold)
-        if k == 0:
-            continue  # only equal sets can be similar, and those are one node
-        n1 = (k + 2) // 2
-        spread = mix(shingles + _U(tag * 2654435761 + 1))
-        part = ((spread >> _U(33)) % _U(n1)).astype(np.int64) * 3 + (spread % _U(3)).astype(np.int64)
-        sums = np.zeros(3 * n1, dtype=_U)
-        np.add.at(sums, part, mix(spread ^ _U(0xA5A5)))
-        sums = sums.reshape(n1, 3)
-        place = np.arange(n1, dtype=_U) * _U(3)
+def _parts(sizes: np.ndarray, threshold: int, up: int) -> np.ndarray:
+    """(tag, n1) of sets of these sizes for their own band (up = 0) or the next; n1 = 0 where only equal sets can be similar."""
+    starts, _ = _bounds(threshold, int(sizes.max(initial=1)) * 300 // threshold + 10)
+    tag = np.searchsorted(starts, sizes, side="right") - 1 + up
+    most = np.array(starts)[tag + 1] - 1
+    k = (100 - threshold) * 2 * most // (100 + threshold)
+    return tag, np.where(k > 0, (k + 2) // 2, 0)
+
+
+def signatures_of(sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, number of the set that each belongs to) of sets of shingles."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, dtype=_U)
+    out, owner = [], []
+    for up in (0, 1):
+        tag, n1 = _parts(sizes, threshold, up)
+        n1 = np.where(sizes > 0, n1, 0)
+        signs = n1 > 0
+        first = np.cumsum(n1) - n1
+        keep = np.repeat(signs, sizes)
+        of = np.repeat(np.arange(len(sizes)), sizes)[keep]
+        spread = mix(flat[keep] + tag.astype(_U)[of] * _U(2654435761) + _U(1))
+        # the high half of the hash chooses the part, the low half one of its three sub-parts
+        part = ((spread >> _U(32)) * n1.astype(_U)[of] >> _U(32)).astype(np.int64) + first[of]
+        sub = ((spread & _U(0xFFFFFFFF)) * _U(3) >> _U(32)).astype(np.int64)
+        sums = np.zeros(3 * int(n1.sum()), dtype=_U)
+        np.add.at(sums, part * 3 + sub, mix(spread ^ _U(0xA5A5)))
+        sums = sums.reshape(-1, 3)
+        whose = np.repeat(np.arange(len(sizes)), n1)
+        place = ((np.arange(len(whose)) - first[whose]) * 3).astype(_U)
+        salt = tag.astype(_U)[whose] * _U(40503)
         for j, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-            out.append(mix(sums[:, a] * _U(0xD6E8FEB86659FD93) + mix(sums[:, b]) + (place + _U(j)) * _U(0x9E3779B97F4A7C15) + _U(tag * 40503)))
-    return np.concatenate(out) if out else np.zeros(0, dtype=_U)
+            out.append(mix(sums[:, a] * _U(0xD6E8FEB86659FD93) + mix(sums[:, b]) + (place + _U(j)) * _U(0x9E3779B97F4A7C15) + salt))
+            owner.append(whose)
+    return np.concatenate(out), np.concatenate(owner)
+
+
+def signatures(shingles: np.ndarray, threshold: int) -> np.ndarray:
+    return signatures_of([shingles], threshold)[0]
 
 
 # ------------------------------------------------------------ candidate clusters
@@ -121,20 +147,19 @@ class Union:
         return np.fromiter(map(self.find, range(len(self.up))), dtype=np.int64, count=len(self.up))
 
 
-def _link(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes that share a signature linked: (distinct signatures, a root for each, linked nodes, their roots)."""
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles per slot: two sets differ in at least as many shingles as their sketches in bits."""
+    slot = (mix(shingles ^ _U(77)) % _U(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def _pairs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (signature, node), by signature and node."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
-    names, at = np.unique(node, return_inverse=True)
-    first = np.concatenate([[True], sig[1:] != sig[:-1]])
-    head = at[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-    pairs = np.unique((head[~first] * len(names) + at[~first])[head[~first] != at[~first]])
-    union = Union(len(names))
-    for a, b in zip((pairs // len(names)).tolist(), (pairs % len(names)).tolist(), strict=True):
-        union.join(a, b)
-    roots = union.roots()
-    linked = np.flatnonzero(roots != np.arange(len(names)))
-    return sig[first], names[roots[at[first]]], names[linked], names[roots[linked]]
+    keep = np.ones(len(sig), dtype=bool)
+    keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    return sig[keep], node[keep]
 
 
 def _bucket_ranges(sig: np.ndarray, buckets: int):
@@ -142,38 +167,29 @@ def _bucket_ranges(sig: np.ndarray, buckets: int):
     return [(k, at[k], at[k + 1]) for k in range(buckets) if at[k] < at[k + 1]]
 
 
-def _rows(bucket: int, body: bytes | None, links: bytes | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([body], pa.binary()), pa.array([links], pa.binary())], ["bucket", "body", "links"])
-
-
 def _signature_blocks(buckets: int, words: int, threshold: int):
     def run(batches):
         sigs: list[np.ndarray] = []
-        nodes: list[int] = []
-        turn = 0
+        nodes: list[np.ndarray] = []
 
         def send():
-            nonlocal turn
-            sig, root, linked, to = _link(np.concatenate(sigs), np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in sigs]))
+            sig, node = _pairs(np.concatenate(sigs), np.concatenate(nodes))
             sigs.clear()
             nodes.clear()
-            if len(linked):
-                turn += 1
-                yield _rows(int((turn * 7919 + int(linked[0])) % buckets), None, pack(linked, to))
             for k, a, b in _bucket_ranges(sig, buckets):
-                names, of = np.unique(root[a:b], return_inverse=True)
-                yield _rows(k, pack(sig[a:b], names, of.astype(np.uint32)), None)
+                names, of = np.unique(node[a:b], return_inverse=True)
+                body = pack(sig[a:b], names, of.astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([body], pa.binary())], ["bucket", "body"])
 
         held = 0
         for b in batches:
             texts = cells(b.column(0))
             for lo, hi in chunks(texts):
-                for shingles in shingle_sets(texts[lo:hi], words):
-                    if len(shingles):
-                        own = signatures(shingles, threshold)
-                        sigs.append(own)
-                        nodes.append(node_of(shingles))
-                        held += len(own)
+                own = list(shingle_sets(texts[lo:hi], words))
+                sig, of = signatures_of(own, threshold)
+                sigs.append(sig)
+                nodes.append(names_of(own)[of])
+                held += len(sig)
                 if held > BLOCK_ENTRIES:
                     yield from send()
                     held = 0
@@ -183,20 +199,56 @@ def _signature_blocks(buckets: int, words: int, threshold: int):
     return run
 
 
-def _bucket_links(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """The links (a, b) of a bucket of signatures."""
-    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for links in rows["links"].to_pylist():
-        if links:
-            x, y = unpack(links)
-            a.append(x)
-            b.append(y)
-    parts = [unpack(x) for x in rows["body"].to_pylist() if x]
-    if parts:
-        _, _, x, y = _link(np.concatenate([p[0] for p in parts]), np.concatenate([p[1][p[2]] for p in parts]))
-        a.append(x)
-        b.append(y)
-    return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+def _bucket_groups(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """The distinct groups (gid, node) of nodes that share a signature of the bucket; a large one as pairs of its blocks."""
+    parts = [unpack(x) for x in rows["body"].to_pylist()]
+    sig, node = _pairs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1][p[2]] for p in parts]))
+    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.append(begin, len(sig)))
+    gid = mix(np.add.reduceat(mix(node.view(_U)), begin) + size.astype(_U)).view(np.int64)
+    some = np.flatnonzero(size > 1)
+    some = some[np.unique(gid[some], return_index=True)[1]]
+    few = some[size[some] <= GROUP_UNIT]
+    members = np.repeat(begin[few], size[few]) + np.arange(size[few].sum()) - np.repeat(np.cumsum(size[few]) - size[few], size[few])
+    gids, nodes = [np.repeat(gid[few], size[few])], [node[members]]
+    for g in some[size[some] > GROUP_UNIT].tolist():
+        own = node[begin[g] : begin[g] + size[g]]
+        blocks = -(-len(own) // GROUP_UNIT)
+        block = (mix(own.view(_U) + _U(5)) % _U(blocks)).astype(np.int64)
+        for i in range(blocks):
+            for j in range(i + 1, blocks):
+                both = own[(block == i) | (block == j)]
+                gids.append(np.full(len(both), int(mix(np.array([int(gid[g]) & (2**64 - 1) ^ (i << 20 | j)], dtype=_U)).view(np.int64)[0])))
+                nodes.append(both)
+    return pa.table({"gid": pa.array(np.concatenate(gids), pa.int64()), "node": pa.array(np.concatenate(nodes), pa.int64())})
+
+
+def _plausible(threshold: int):
+    """Of some groups (gid, node, size, sketch): links (a, b) that join what the sketches can't tell apart."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        names, at = np.unique(rows["node"].to_numpy(), return_inverse=True)
+        first = np.zeros(len(names), dtype=np.int64)
+        first[at] = np.arange(len(at))
+        size = rows["size"].to_numpy()[first]
+        sketch = np.frombuffer(b"".join(rows["sketch"].take(pa.array(first)).to_pylist()), dtype=np.uint64).reshape(len(names), -1)
+        gid = rows["gid"].to_numpy()
+        order = np.argsort(gid, kind="stable")
+        union = Union(len(names))
+        for part in np.split(at[order], np.flatnonzero(np.diff(gid[order])) + 1):
+            for k in range(len(part) - 1):
+                i, rest = int(part[k]), part[k + 1 :]
+                apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+                near = rest[apart * (100 + threshold) <= (100 - threshold) * (size[rest] + size[i])]
+                for j in near.tolist():
+                    union.join(i, j)
+                if k % 16 == 0 and len({union.find(x) for x in part.tolist()}) == 1:
+                    break
+        roots = union.roots()
+        linked = np.flatnonzero(roots != np.arange(len(names)))
+        return pa.table({"a": pa.array(names[linked]), "b": pa.array(names[roots[linked]])})
+
+    return run
 
 
 # ------------------------------------------------------------------ verification
@@ -216,14 +268,15 @@ def similar_components(sets: list[np.ndarray], threshold: int, joined: list[int]
             union.join(i, seen.setdefault(label, i))
     size = np.array([len(s) for s in sets], dtype=np.int64)
     flat = np.concatenate(sets)
-    of = np.repeat(np.arange(n), size)
     order = np.argsort(flat, kind="stable")
-    ordered = flat[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    flat = flat[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
     begin = np.flatnonzero(new)
-    posting, count = of[order], np.diff(np.append(begin, len(flat)))
-    term = np.empty(len(flat), dtype=np.int64)
-    term[order] = np.cumsum(new) - 1
+    posting = np.repeat(np.arange(n, dtype=np.int32), size)[order]
+    count = np.diff(np.append(begin, len(flat)))
+    term = np.empty(len(flat), dtype=np.int32)
+    term[order] = (np.cumsum(new) - 1).astype(np.int32)
+    del flat, order, new
     at = np.concatenate([[0], np.cumsum(size)])
     done = np.zeros(n, dtype=bool)
     while True:
@@ -244,6 +297,11 @@ def similar_components(sets: list[np.ndarray], threshold: int, joined: list[int]
                 union.join(i, j)
 
 
+def pack_set(shingles: np.ndarray) -> bytes:
+    """A set for verification: the upper 48 bits of its hashes, which tell the shingles of a few sets apart as well."""
+    return pack(shingles >> _U(16))
+
+
 def _candidate_sets(spread, words: int):
     """Of Arrow batches (doc_id, text): (node, set) of documents that stand for a clustered node."""
 
@@ -255,7 +313,7 @@ def _candidate_sets(spread, words: int):
                 names = np.array([node_of(s) for s in own], dtype=np.int64)
                 some = np.flatnonzero(holds(spread.value, stand_in(names, ids[lo:hi])))
                 if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array([own[i].tobytes() for i in some], pa.binary())], ["node", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array([pack_set(own[i]) for i in some], pa.binary())], ["node", "shingles"])
 
     return run
 
@@ -276,12 +334,11 @@ def _verify(threshold: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         unit, node, label = (np.asarray(rows[c].to_numpy()) for c in ("unit", "node", "label"))
-        shingles = rows["shingles"].to_pylist()
         order = np.lexsort((node, unit))
         cut = np.flatnonzero(np.diff(unit[order])) + 1
         a, b = [], []
         for part in np.split(order, cut):
-            sets = [np.frombuffer(shingles[i], dtype=_U) for i in part]
+            sets = [unpack(x)[0] for x in rows["shingles"].take(pa.array(part)).to_pylist()]  # one unit at a time
             roots = similar_components(sets, threshold, label[part].tolist())
             a.append(node[part])
             b.append(node[part][roots])
@@ -291,42 +348,41 @@ def _verify(threshold: int):
 
 
 def _verified(rows: DataFrame, threshold: int, n_rows: int) -> DataFrame:
-    """`rows` (unit, node, label, shingles), whole units dealt into groups of about UNIT rows."""
-    groups = max(1, -(-n_rows // UNIT))
+    """`rows` (unit, node, label, shingles), whole units dealt into groups of about UNIT rows or fewer."""
+    groups = max(1, -(-2 * n_rows // UNIT))
     return rows.groupBy(F.pmod(F.xxhash64("unit"), F.lit(groups)).alias("g")).applyInArrow(_verify(threshold), "a long, b long")
 
 
-def _similar(members: DataFrame, threshold: int) -> DataFrame:
-    """(node, root) of the similarity components within clusters. members: a stored table (cluster, node, shingles)."""
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / UNIT))
-    sizes = stored(sizes, "sizes")
-    small = stored(sizes.filter("blocks = 1"), "small")
-    one = members.join(small, "cluster").select(F.col("cluster").alias("unit"), "node", F.col("node").alias("label"), "shingles")
-    n_small = small.agg(F.sum("n")).first()[0] or 0
-    found = _verified(one, threshold, n_small).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    large = stored(sizes.filter("blocks > 1"), "large")
+def _similar(clusters: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(node, root) of the similarity components within clusters. clusters: a stored table (node, cluster); sets: (node, shingles)."""
+    sizes = stored(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / UNIT)), "sizes")
+    placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = stored(placed.withColumn("unit", F.xxhash64("cluster", "block")).withColumn("label", F.col("node")), "placed")
+    within = stored(_verified(sets.join(placed, "node").select("unit", "node", "label", "shingles"), threshold, placed.count()), "within")
+    found = within.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    large = placed.filter("blocks > 1")
     if large.isEmpty():
         return found
-    rows = members.join(large, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rows = stored(rows, "blocks")
+    # clusters of several blocks: their sets are needed again, so they are kept
+    rows = stored(sets.join(stored(large, "large"), "node"), "blocks")
     n_large = rows.count()
-    within = stored(_verified(rows.select(F.xxhash64("cluster", "block").alias("unit"), "node", F.col("node").alias("label"), "shingles"), threshold, n_large), "within")
-    heads = rows.join(within.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
+    within = stored(within.join(rows.select(F.col("node").alias("a")), "a", "left_semi"), "within")
+    heads = rows.join(stored(within.select(F.col("b").alias("node")).distinct(), "head"), "node", "left_semi")
     count = heads.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / UNIT).alias("k"))
     heads = heads.join(stored(count, "heads"), "cluster").withColumn("unit", F.xxhash64("cluster", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k"))))
-    among = stored(_verified(heads.select("unit", "node", F.col("node").alias("label"), "shingles"), threshold, n_large), "among")
-    known = stored(components(within.unionByName(among).unionByName(rows.select(F.col("node").alias("a"), F.col("node").alias("b")))), "known")
-    labelled = rows.join(known, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    among = stored(_verified(heads.select("unit", "node", "label", "shingles"), threshold, n_large), "among")
+    known = stored(components(within.unionByName(among)), "known")
+    labelled = rows.drop("label").join(known, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     labelled = stored(labelled, "labelled")
     # clusters that are still apart: every two of their blocks meet
     apart = labelled.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("cluster")
     rest = labelled.join(stored(apart, "apart"), "cluster", "left_semi")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    meet = rest.withColumn("other", other).filter(F.col("other") != F.col("block"))
+    meet = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter(F.col("other") != F.col("block"))
     meet = meet.withColumn("unit", F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")))
     across = stored(_verified(meet.select("unit", "node", "label", "shingles"), threshold, n_large), "across")
     final = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))
-    return found.unionByName(final)
+    small = found.join(stored(large.select("node"), "in_large"), "node", "left_anti")
+    return small.unionByName(final)
 
 
 def similar_documents(df: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,24 +399,27 @@ def similar_documents(df: DataFrame, words: int = WORDS, threshold: int = THRESH
             texts = cells(b.column(1))
             for lo, hi in chunks(texts):
                 own = list(shingle_sets(texts[lo:hi], words))
-                n, node = pa.array([len(s) for s in own], pa.int64()), pa.array([node_of(s) for s in own], pa.int64())
-                size = pa.array([len(t) for t in texts[lo:hi]], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), n, node, size], ["doc_id", "n_shingles", "node", "size"])
+                n, node = pa.array([len(s) for s in own], pa.int64()), pa.array(names_of(own))
+                sketch = pa.array([sketch_of(s) for s in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), n, node, sketch], ["doc_id", "n_shingles", "node", "sketch"])
 
-    base = stored(docs.mapInArrow(name, "doc_id long, n_shingles long, node long, size long"), "nodes")
-    classes = stored(base.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first")), "classes")
+    base = stored(docs.mapInArrow(name, "doc_id long, n_shingles long, node long, sketch binary"), "nodes")
+    named = base.filter("n_shingles > 0").groupBy("node")
+    classes = stored(named.agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "classes")
     total = base.agg(F.sum("n_shingles").alias("n")).first().n or 0
     buckets = max(1, total // 2 // BUCKET_ENTRIES)
-    blocks = docs.select("text").mapInArrow(_signature_blocks(buckets, words, threshold), "bucket int, body binary, links binary")
-    links = stored(blocks.groupBy("bucket").applyInArrow(_bucket_links, "a long, b long"), "links")
+    blocks = docs.select("text").mapInArrow(_signature_blocks(buckets, words, threshold), "bucket int, body binary")
+    groups = stored(blocks.groupBy("bucket").applyInArrow(_bucket_groups, "gid long, node long").distinct(), "groups")
+    dealt = F.pmod(F.xxhash64("gid"), F.lit(max(1, groups.count() // (8 * UNIT))))
+    sketched = groups.join(classes.select("node", "size", "sketch"), "node")
+    links = stored(sketched.groupBy(dealt.alias("g")).applyInArrow(_plausible(threshold), "a long, b long"), "links")
     clusters = stored(components(links).withColumnRenamed("root", "cluster"), "clusters")
-    chosen = stored(clusters.join(classes, "node"), "chosen")
+    chosen = stored(clusters.join(classes.select("node", "first"), "node"), "chosen")
     keys = stored(chosen.select("node", "first").mapInArrow(_stand_ins, "key long"), "keys")
     spread = df.sparkSession.sparkContext.broadcast(bloom_filter(keys, 1))  # MAX_FILTER_BITS bounds it
     sets = docs.mapInArrow(_candidate_sets(spread, words), "node long, shingles binary")
-    sets = sets.join(clusters, "node").groupBy("node").agg(F.first("cluster").alias("cluster"), F.first("shingles").alias("shingles"))
-    roots = stored(_similar(stored(sets, "sets"), threshold), "roots")
-    named = roots.join(classes, "node")
+    roots = stored(_similar(clusters, sets, threshold).distinct(), "roots")
+    named = roots.join(classes.select("node", "first"), "node")
     smallest = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     of_node = stored(named.join(smallest, "root").select("node", "component_id"), "components")
     told = classes.join(of_node, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
@@ -371,3 +430,14 @@ def similar_documents(df: DataFrame, words: int = WORDS, threshold: int = THRESH
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
+
+
+OP9_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+     s as (select distinct doc_id, unnest(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+     n as (select doc_id, count(*) as n from s group by 1),
+     c as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+     l as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * shared >= 85 * (p.n + q.n - shared)),
+     r(doc_id, root) as (select doc_id, doc_id from w union select l.y, r.root from r join l on l.x = r.doc_id)
+select w.doc_id, coalesce(n, 0) as n_shingles, m as component_id from w left join n using (doc_id) join (select doc_id, min(root) as m from r group by 1) using (doc_id)
+"""

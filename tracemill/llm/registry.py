@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op5_warc": warc.OP5_SQL}
+    return {
+        "op3_exact_dedup": exact_dedup.OP3_SQL,
+        "op5_warc": warc.OP5_SQL,
+        "op6_substring_dedup": substring_dedup.OP6_SQL,
+        "op9_jaccard_join": jaccard.OP9_SQL,
+    }
