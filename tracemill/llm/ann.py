@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_sample, stored
 
 NEAREST = 20
 CURVES = 4
 DIMENSIONS = 6
 BITS = 10
-#: Rows that the projection is fitted on, and queries that the width is fitted on, at most.
+#: Rows that the projection is fitted on, about, and queries that the width is fitted on, at most.
 FIT_ROWS = 4096
 FIT_QUERIES = 96
 TARGET = 0.97
@@ -245,9 +245,9 @@ def nearest(df: DataFrame, is_query, k: int = NEAREST, target: float = TARGET, i
     width = usual.n if usual and usual.n else 1
     vectors = stored(table.mapInArrow(_clean(width), "vec_id long, vector binary"), "vectors")
     by_hash = F.xxhash64("vec_id")
-    fit = vectors.orderBy(by_hash, "vec_id").limit(FIT_ROWS).collect()
     queries = vectors.filter(is_query)
     n_rows, n_queries = vectors.count(), queries.count()
+    fit = bounded_sample(vectors, n_rows, FIT_ROWS).collect()
     if not fit or not n_queries:
         return spark.createDataFrame([], OUT)
     curves = fit_curves(np.array([np.frombuffer(r.vector, dtype="<f8") for r in fit]), CURVES)

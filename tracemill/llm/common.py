@@ -66,8 +66,9 @@ def only(df: DataFrame, **columns) -> DataFrame:
     return df.select(*(c.alias(name) for name, c in columns.items()))
 
 
-def tasks_for(n_rows: int, per_task: int, least: int = 1) -> int:
-    return max(least, -(-n_rows // per_task))
+def bounded_sample(df: DataFrame, n_rows: int, most: int, seed: int = 17) -> DataFrame:
+    """All rows, or about `most` of `n_rows`, drawn row by row where they are read (no row is gathered or ranked for it)."""
+    return df if n_rows <= most else df.sample(False, most / n_rows, seed)
 
 
 # --------------------------------------------------------------------- hashing

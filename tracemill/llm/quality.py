@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cells, chunks, docs_of, mix, range_hashes
+from .common import Words, bounded_sample, cells, chunks, docs_of, mix, range_hashes
 
-#: Documents that the linear model is fitted on, at most, chosen by a hash of doc_id.
+#: Documents that the linear model is fitted on, about, drawn at random.
 FIT_ROWS = 4000
 DIMENSIONS = 2048
 LABELLERS = ("symbols", "capitals", "lone marks", "exclaiming", "stuttering", "few words", "no sentences", "repeated lines")
@@ -195,7 +195,7 @@ class Model:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model | None:
-    """Labeller accuracies over all documents, and the linear model over `fit_rows` of them; None for an empty table."""
+    """Labeller accuracies over all documents, and the linear model over about `fit_rows` of them; None for an empty table."""
     docs = docs_of(df, id_col, text_col)
     table = docs.mapInArrow(_patterns, "doc_id long, pattern int").groupBy("pattern").count().orderBy("pattern").collect()  # 3**8 rows at most
     if not table:
@@ -203,7 +203,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows:
     patterns, counts = np.array([r["pattern"] for r in table]), np.array([r["count"] for r in table])
     share, rates, post = fit_labellers(patterns, counts)
     model = Model(patterns, post, share, rates, None)
-    some = docs.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(fit_rows)
+    some = bounded_sample(docs, int(counts.sum()), fit_rows)
     rows = some.mapInArrow(_sampled, "doc_id long, pattern int, features binary").collect()
     x = np.array([np.frombuffer(r.features, dtype=np.float32) for r in rows])
     model.weights = fit_linear(x, model.posterior_of(np.array([r.pattern for r in rows])))
