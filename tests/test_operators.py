@@ -136,6 +136,8 @@ def test_suffixes(spark):
     assert greedy[0].tasks == ["B", "C", "D"] and greedy[0].prob == 1.0
     wide = pr.predict_suffix(cases, model, times, beam=3, max_steps=2).collect()
     assert sum(r.prob for r in wide) == pytest.approx(1.0)
+    long = pr.predict_suffix(cases, model, times, beam=1, max_steps=7, stop_on_self_loop=False).collect()
+    assert long[0].tasks[:3] == ["B", "C", "D"] and len(long[0].tasks) == 7
     for beam, steps in ((0, 1), (1, -1)):
         with pytest.raises(ValueError):
             pr.predict_suffix(cases, model, times, beam, steps)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.features import with_next
 from tracemill.sources.eventlog import in_case
+from tracemill.sources.scratch import cut
 
 
 def labelled(log: DataFrame) -> DataFrame:
@@ -109,20 +110,22 @@ def predict_suffix(cases: DataFrame, model: DataFrame, times: DataFrame, beam: i
     """
     if beam < 1 or max_steps < 0:
         raise ValueError("beam must be 1 at least and max_steps 0 at least")
-    top = model.filter("depth = 1").select(F.col("context").alias("last"), F.slice(F.arrays_zip("labels", "probs"), 1, beam).alias("next"))
+    best = F.slice(F.arrays_zip("labels", "probs"), 1, beam)
+    top = model.filter("depth = 1").select(F.col("context").alias("last"), best.alias("own"))
+    any_ = F.broadcast(model.filter("depth = 0").select(best.alias("any")))  # one row, for tasks that nothing was seen to follow
     dt = times.select(F.col("task_name").alias("last"), F.coalesce("seconds", "overall_s").alias("dt"))
-    top = top.join(dt, "last", "left").withColumn("dt", F.coalesce("dt", F.lit(0.0)))
     now = cases.select("case_id", F.col("last"), F.array("last").alias("seq"), F.lit(0.0).alias("log_prob"), F.lit(0.0).alias("total_dt"), F.lit(False).alias("done"))
     order = Window.partitionBy("case_id").orderBy(F.desc(F.round("log_prob", 9)), F.array_join("seq", ">"))
     for step in range(max_steps):
-        moving = now.filter(~F.col("done")).join(top, "last").withColumn("x", F.explode("next"))
+        moving = now.filter(~F.col("done")).join(top, "last", "left").join(dt, "last", "left").crossJoin(any_)
+        moving = moving.withColumn("x", F.explode(F.coalesce("own", "any"))).withColumn("dt", F.coalesce("dt", F.lit(0.0)))
         moving = moving.select("case_id", F.col("x.labels").alias("last"), F.concat("seq", F.array("x.labels")).alias("seq"), (F.col("log_prob") + F.log("x.probs")).alias("log_prob"), (F.col("total_dt") + F.col("dt")).alias("total_dt"))
         ranked = moving.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= beam)
         repeats = (F.element_at("seq", -1) == F.element_at("seq", -2)) & (F.col("r") == 1)
         stop = F.max(repeats).over(Window.partitionBy("case_id")) if stop_on_self_loop else F.lit(False)
         now = now.filter("done").unionByName(ranked.withColumn("done", stop).drop("r"))
         if step % 5 == 4:
-            now = now.checkpoint()
+            now = cut(now)
     share = F.exp("log_prob") / F.sum(F.exp("log_prob")).over(Window.partitionBy("case_id"))
     return now.select("case_id", F.slice("seq", 2, F.greatest(F.size("seq") - 1, F.lit(1))).alias("tasks"), "log_prob", share.alias("prob"), F.col("total_dt").alias("total_dt_s"))
 
