@@ -12,8 +12,8 @@ groups, so each distinct group is looked at once. A parity sketch (1024 bits; a
 the shingles hashed to it) bounds the difference of two sets from below, so a group falls apart
 into clusters without reading sets, and no similar pair is lost. Clusters are then verified exactly
 with an inverted index over their sets. Large groups and clusters are dealt into blocks: components
-within blocks, then among one representative per component, and only where a cluster is still apart,
-between all pairs of its blocks. No link between different texts is lost and no list of pairs is made.
+within blocks, then among one representative per component, and where a cluster is still apart,
+between what lies outside of its largest component and every block. No link between different texts is lost and no list of pairs is made.
 
 Nodes and shingles are 64-bit hashes: two of n different ones collide with odds of n * n / 2**65.
 """
@@ -374,11 +374,15 @@ def _similar(clusters: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     known = stored(components(within.unionByName(among)), "known")
     labelled = rows.drop("label").join(known, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     labelled = stored(labelled, "labelled")
-    # clusters that are still apart: every two of their blocks meet
-    apart = labelled.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("cluster")
-    rest = labelled.join(stored(apart, "apart"), "cluster", "left_semi")
-    meet = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter(F.col("other") != F.col("block"))
-    meet = meet.withColumn("unit", F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")))
+    # a link between two components has an end outside of the cluster's largest: what is outside meets every block
+    counts = labelled.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
+    per = counts.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), (F.sum("c") - F.max("c")).alias("outside")).filter("outside > 0")
+    rest = labelled.join(stored(per.withColumn("shares", F.ceil(F.col("outside") / UNIT)), "apart"), "cluster")
+    share = F.pmod(F.xxhash64("node", F.lit(2)), F.col("shares"))
+    inside = rest.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    outside = rest.filter(F.col("label") != F.col("largest")).withColumn("share", share).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meet = inside.select("cluster", "share", "block", "node", "label", "shingles").unionByName(outside.select("cluster", "share", "block", "node", "label", "shingles"))
+    meet = meet.withColumn("unit", F.xxhash64("cluster", "share", "block"))
     across = stored(_verified(meet.select("unit", "node", "label", "shingles"), threshold, n_large), "across")
     final = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))
     small = found.join(stored(large.select("node"), "in_large"), "node", "left_anti")
