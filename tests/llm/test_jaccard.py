@@ -54,6 +54,15 @@ def test_similar_sets_share_a_signature(threshold):
             assert np.intersect1d(jaccard.signatures(a, threshold), jaccard.signatures(b, threshold)).size, (len(a), len(b))
 
 
+def test_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 3000))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, len(a))) :], rng.integers(0, 2**63, int(rng.integers(0, 900))).astype(np.uint64)]))
+        x, y = jaccard.folded([np.frombuffer(jaccard.sketch_of(s), dtype=np.uint64) for s in (a, b)])
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def family(rng, vocab, n_words, copies, most):
     base = [rng.choice(vocab) for _ in range(n_words)]
     for _ in range(copies):

@@ -8,8 +8,8 @@ then some part differs in at most one shingle, so two of its three sub-parts agr
 sub-parts gives one signature, and similar sets share at least one.
 
 Nodes that share a signature form groups; the many signatures of similar sets give the same few
-groups, so each distinct group is looked at once. A parity sketch (1024 bits; a bit is the parity of
-the shingles hashed to it) bounds the difference of two sets from below, so a group falls apart
+groups, so each distinct group is looked at once. A parity sketch (a bit is the parity of the shingles
+hashed to it; about two bits a shingle) bounds the difference of two sets from below, so a group falls apart
 into clusters without reading sets, and no similar pair is lost. Clusters are then verified exactly
 with an inverted index over their sets. Large groups and clusters are dealt into blocks: components
 within blocks, then among one representative per component, and where a cluster is still apart,
@@ -39,8 +39,8 @@ GROUP_UNIT = 8192
 #: Signatures of a bucket, and those a task gathers before it sends its blocks.
 BUCKET_ENTRIES = 1 << 19
 BLOCK_ENTRIES = 1 << 19
-#: Bits of a parity sketch.
-SKETCH_BITS = 1024
+#: Bits of a parity sketch, by the size of the set.
+LEAST_BITS, MOST_BITS = 512, 1 << 15
 _U = np.uint64
 
 
@@ -148,9 +148,19 @@ class Union:
 
 
 def sketch_of(shingles: np.ndarray) -> bytes:
-    """Parities of the shingles per slot: two sets differ in at least as many shingles as their sketches in bits."""
-    slot = (mix(shingles ^ _U(77)) % _U(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(slot, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    """Parities of the shingles per slot: two sets differ in at least as many shingles as their sketches in bits.
+
+    A larger set has more slots (two a shingle, about), so that its bound doesn't saturate.
+    """
+    bits = int(min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length())))
+    slot = (mix(shingles ^ _U(77)) % _U(bits)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches at the width of the narrowest: halves of a sketch add up to that of half the slots."""
+    width = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in sketches])
 
 
 def _pairs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,14 +241,15 @@ def _plausible(threshold: int):
         first = np.zeros(len(names), dtype=np.int64)
         first[at] = np.arange(len(at))
         size = rows["size"].to_numpy()[first]
-        sketch = np.frombuffer(b"".join(rows["sketch"].take(pa.array(first)).to_pylist()), dtype=np.uint64).reshape(len(names), -1)
+        sketches = [np.frombuffer(x, dtype=np.uint64) for x in rows["sketch"].take(pa.array(first)).to_pylist()]
         gid = rows["gid"].to_numpy()
         order = np.argsort(gid, kind="stable")
         union = Union(len(names))
         for part in np.split(at[order], np.flatnonzero(np.diff(gid[order])) + 1):
+            own = folded([sketches[i] for i in part])
             for k in range(len(part) - 1):
                 i, rest = int(part[k]), part[k + 1 :]
-                apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+                apart = np.bitwise_count(own[k + 1 :] ^ own[k]).sum(axis=1, dtype=np.int64)
                 near = rest[apart * (100 + threshold) <= (100 - threshold) * (size[rest] + size[i])]
                 for j in near.tolist():
                     union.join(i, j)
