@@ -63,6 +63,30 @@ def test_planted(spark, monkeypatch):
     assert got.filter("row.doc_id = 7").first().row.text is None
 
 
+def test_null_and_repeated_ids(spark):
+    word = lambda name, n: [f"{name}{k}" for k in range(n)]
+    p = word("p", 20)
+    rows = [
+        (None, word("a", 40) + p),  # its repeat starts past the end of the next row
+        (None, word("b", 25)),
+        (None, word("q", 21)),
+        (None, word("q", 21)),  # the same passage at the same start
+        (4, p + ["tail"]),
+        (5, word("r", 22) + word("c", 30)),  # one id, two texts
+        (5, word("r", 22) + word("d", 3)),
+        (6, word("e", 2) + p),  # a row given twice
+        (6, word("e", 2) + p),
+    ]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").coalesce(1)
+    for some in (df, df.repartition(7)):
+        got = sorted(((r.row.doc_id or 0, r.row.text.split(), r.n_words, r.n_removed) for r in sub.remove_repeats(some).collect()), key=str)
+        first, second = (30, 3) if some is df or (5, word("d", 3), 25, 22) in got else (3, 30)
+        names = {30: "c", 3: "d"}
+        want = [(0, word("a", 40), 60, 20), (0, word("b", 25), 25, 0), (0, word("q", 21), 21, 0), (0, [], 21, 21), (4, p + ["tail"], 21, 0), (6, word("e", 2), 22, 20), (6, word("e", 2), 22, 20)]
+        want += [(5, word("r", 22) + word(names[first], first), 22 + first, 0), (5, word(names[second], second), 22 + second, 22)]
+        assert got == sorted(want, key=str)
+
+
 def test_empty(spark):
     assert sub.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

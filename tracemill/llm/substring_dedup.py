@@ -12,8 +12,9 @@ Verification. Texts are read again, and every window whose fingerprint may be a
 filter of bounded size tells; false alarms only cost work) sends its 96-bit window hash with its
 place. Within a task only the earliest place of a window goes to the bucket where all tasks' first
 places meet; later places are known repeats at once. So a passage that a third of all documents
-share costs its bucket one entry a task. Places are ordered by (doc_id, start word); a null
-doc_id comes last, and rows of one doc_id count as the same document.
+share costs its bucket one entry a task. Places are ordered by (doc_id, row, start word); a null
+doc_id comes last. Where doc_ids are null or repeat, rows get a key of their own, in a stored table;
+only rows with equal doc_id and equal text count as the same document.
 
 Blocks of sorted arrays (not rows) travel, delta-coded and compressed.
 """
@@ -40,6 +41,8 @@ BUCKET_ENTRIES = 1 << 20
 #: Windows that a task gathers before it sends its blocks.
 BLOCK_WINDOWS = 1 << 20
 _LAST = np.iinfo(np.int64).max
+#: Added to the row keys of documents without doc_id, so that they come after all others.
+_UNNAMED = 1 << 62
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -192,27 +195,31 @@ class FingerprintIndex:
 # ---------------------------------------------------------------- verification
 
 
-def _later(doc: np.ndarray, start: np.ndarray, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """Order by (window, place), and which entries in that order are not the first place of their window.
-
-    A place that equals the first (rows of one doc_id) isn't later.
-    """
-    order = np.lexsort((start, doc, check, key))
-    key, check, doc, start = key[order], check[order], doc[order], start[order]
+def _later(text: np.ndarray, start: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (window, place), and which entries in that order are not the first place of their window. `text` holds ranks of texts."""
+    order = np.lexsort((start, text, check, key))
+    key, check = key[order], check[order]
     same = np.concatenate([[False], (key[1:] == key[:-1]) & (check[1:] == check[:-1])]) if len(key) else np.zeros(0, dtype=bool)
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
-    return order, same & ((doc != doc[head]) | (start != start[head])), same
+    return order, same
+
+
+def _ranked(doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts by (doc_id, row), those without doc_id (shown as _LAST, their rows past all others) last; and the rank of each."""
+    order = np.lexsort((row, doc))
+    rank = np.empty(len(order), dtype=np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    return doc[order], row[order], rank
 
 
 def _by_document(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Rows (doc_id, starts) from the blocks of a bucket of documents."""
+    """Rows (row, starts) from the blocks of a bucket of documents."""
     parts = [unpack(x) for x in rows["body"].to_pylist()]
     doc, start = np.concatenate([d[of] for d, of, _ in parts]), np.concatenate([s for *_, s in parts])
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pa.array(start.astype(np.int32)))
-    return pa.table({"doc_id": pa.array(doc[at], pa.int64()), "starts": lists})
+    return pa.table({"row": pa.array(doc[at], pa.int64()), "starts": lists})
 
 
 def _window_blocks(spread, buckets: int, window: int):
@@ -220,26 +227,32 @@ def _window_blocks(spread, buckets: int, window: int):
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
-        turn = 0
+        texts_held: list[tuple[np.ndarray, np.ndarray]] = []
+        turn = n_held = 0
 
         def send():
-            nonlocal turn
-            doc, start, key, check = (np.concatenate(x) for x in zip(*held, strict=True))
+            nonlocal turn, n_held
+            of, start, key, check = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, row, rank = _ranked(*(np.concatenate(x) for x in zip(*texts_held, strict=True)))
             held.clear()
-            order, later, same = _later(doc, start, key, check)
-            doc, start, key, check = doc[order], start[order], key[order], check[order]
+            texts_held.clear()
+            n_held = 0
+            of = rank[of]
+            order, later = _later(of, start, key, check)
+            of, start, key, check = of[order], start[order], key[order], check[order]
             if later.any():
                 turn += 1  # these need no bucket: deal them out
-                yield _batch(bucket=pa.array([(turn * 7919 + int(key[0] % np.uint64(buckets))) % buckets], pa.int32()), known=pa.array([pack(doc[later], start[later])], pa.binary()), body=pa.array([None], pa.binary()))
-            doc, start, key, check = doc[~same], start[~same], key[~same], check[~same]
+                yield _batch(bucket=pa.array([(turn * 7919 + int(key[0] % np.uint64(buckets))) % buckets], pa.int32()), known=pa.array([pack(row[of[later]], start[later])], pa.binary()), body=pa.array([None], pa.binary()))
+            of, start, key, check = of[~later], start[~later], key[~later], check[~later]
             for k, a, b in _blocks(buckets, key):
-                docs, of = np.unique(doc[a:b], return_inverse=True)
-                body = pack(key[a:b], check[a:b], docs, of.astype(np.uint32), start[a:b])
+                some, at = np.unique(of[a:b], return_inverse=True)
+                own = row[some] if (row[some] != doc[some]).any() else row[:0]  # unique doc_ids are sent once
+                body = pack(key[a:b], check[a:b], doc[some], own, at.astype(np.uint32), start[a:b])
                 yield _batch(bucket=pa.array([k], pa.int32()), known=pa.array([None], pa.binary()), body=pa.array([body], pa.binary()))
 
         for b in batches:
-            ids = b.column(0).fill_null(_LAST).to_numpy()
-            texts = cells(b.column(1))
+            rows, ids = b.column(0).to_numpy(), b.column(1).fill_null(_LAST).to_numpy()
+            texts = cells(b.column(2))
             for lo, hi in chunks(texts):
                 words = Words(texts[lo:hi])
                 hashes = words.hashes()
@@ -249,7 +262,9 @@ def _window_blocks(spread, buckets: int, window: int):
                     continue
                 of = words.text_of_word()[at]
                 key, check = run_hashes(hashes, window, 1)[at], run_hashes(hashes, window, 2)[at] >> np.uint64(32)
-                held.append((ids[lo:hi][of], (at - words.bounds[of]).astype(np.uint32), key, check.astype(np.uint32)))
+                held.append((of + n_held, (at - words.bounds[of]).astype(np.uint32), key, check.astype(np.uint32)))
+                texts_held.append((ids[lo:hi], rows[lo:hi]))
+                n_held += hi - lo
                 if sum(len(x[0]) for x in held) > BLOCK_WINDOWS:
                     yield from send()
         if held:
@@ -276,10 +291,12 @@ def _repeats_of(rows: pa.Table, buckets: int) -> pa.Table:
             starts.append(s)
     parts = [unpack(x) for x in rows["body"].to_pylist() if x]
     if parts:
-        doc = np.concatenate([d[of] for _, _, d, of, _ in parts])
-        start, keys, check = (np.concatenate([p[i] for p in parts]) for i in (4, 0, 1))
-        order, later, _ = _later(doc, start, keys, check)
-        docs.append(doc[order][later])
+        first = np.cumsum([0, *(len(p[2]) for p in parts)])
+        _, row, rank = _ranked(np.concatenate([p[2] for p in parts]), np.concatenate([p[3] if len(p[3]) else p[2] for p in parts]))
+        of = rank[np.concatenate([p[4] + np.int64(n) for p, n in zip(parts, first[:-1], strict=True)])]
+        start, keys, check = (np.concatenate([p[i] for p in parts]) for i in (5, 0, 1))
+        order, later = _later(of, start, keys, check)
+        docs.append(row[of[order][later]])
         starts.append(start[order][later])
     doc, start = np.concatenate(docs), np.concatenate(starts)
     to = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -327,9 +344,9 @@ def _cut(window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, starts): the start words of each document's windows that started earlier; documents without any are left out.
+    """(row, starts): the start words of each row's windows that started earlier; rows without any are left out.
 
-    A null doc_id shows as the largest long. `docs` holds exactly (doc_id long, text string).
+    `docs` holds exactly (row long, doc_id long, text string). `row` tells all rows apart; rows of equal doc_id come in its order.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("cuts")).first()
@@ -344,7 +361,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
     spread = spark.sparkContext.broadcast(bloom_filter(hits, 1))  # MAX_FILTER_BITS bounds it
     blocks = docs.mapInArrow(_window_blocks(spread, buckets, window), "bucket int, known binary, body binary")
     found = blocks.groupBy("bucket").applyInArrow(_repeats(buckets), "to int, body binary")
-    return found.groupBy("to").applyInArrow(_by_document, "doc_id long, starts array<int>")
+    return found.groupBy("to").applyInArrow(_by_document, "row long, starts array<int>")
+
+
+def _same_documents(keyed: DataFrame) -> DataFrame:
+    """(row, first): rows whose doc_id and text an earlier row has, and the first such row."""
+    marks = keyed.filter("doc_id is not null and text is not null").select("row", "doc_id", F.md5(F.col("text").cast("binary")).alias("mark"))
+    firsts = marks.groupBy("doc_id", "mark").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return stored(marks.join(firsts, ["doc_id", "mark"]).filter("row <> first").select("row", "first"), "again")
 
 
 def remove_repeats(df: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,11 +377,22 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, batches: int = BATCHES,
     White space around kept words stays as it was, but for what stood behind removed words. Null texts stay null and have
     no words; texts shorter than a window lose nothing; an empty table gives an empty one.
     """
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    repeats = repeated_windows(docs, window, batches).withColumnRenamed("doc_id", "_key")
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     rest = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col), F.col(f"`{text_col}`").isNull().alias("_null"))
-    keyed = df.select(rest.alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("_key"))
-    joined = keyed.join(repeats, "_key", "left").select("rest", "text", "starts")
+    again = None
+    if df.select(doc_id.alias("doc_id")).groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        keyed = df.select(rest.alias("rest"), text.alias("text"), doc_id.alias("doc_id"), doc_id.alias("row"))
+    else:
+        number = F.monotonically_increasing_id() + F.when(doc_id.isNull(), F.lit(_UNNAMED)).otherwise(F.lit(0))
+        keyed = stored(df.select(rest.alias("rest"), text.alias("text"), doc_id.alias("doc_id"), number.alias("row")), "rows")
+        again = _same_documents(keyed)
+    docs = keyed.select("row", "doc_id", "text")
+    if again is None:
+        repeats = repeated_windows(docs, window, batches)
+    else:
+        repeats = stored(repeated_windows(docs.join(again, "row", "left_anti"), window, batches), "repeats")
+        repeats = repeats.unionByName(again.join(repeats.withColumnRenamed("row", "first"), "first").select("row", "starts"))
+    joined = keyed.join(repeats, "row", "left").select("rest", "text", "starts")
     schema = joined.select("rest").schema.add("kept", "string").add("n_words", "long").add("n_removed", "long")
     out = joined.mapInArrow(_cut(window), schema)
     text = F.when(~F.col("rest._null"), F.col("kept"))
