@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracemill.llm import jaccard
@@ -93,6 +94,34 @@ def test_planted_families(spark, monkeypatch, unit):
     assert result(jaccard.similar_documents(df)) == brute(rows)
 
 
+def test_large_group_holds_each_node_once(spark):
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(4):  # chains: only neighbours are plausible
+        s = rng.integers(0, 2**63, 200).astype(np.uint64)
+        for _ in range(30):
+            s = np.concatenate([s[12:], rng.integers(0, 2**63, 12).astype(np.uint64)])
+            sets.append(np.unique(s))
+    names = jaccard.names_of(sets)
+    own = np.sort(names)
+    body = jaccard.pack(np.full(len(own), 77, dtype=np.uint64), own, np.arange(len(own), dtype=np.uint32))
+    groups = jaccard._bucket_groups(10)((None,), pa.table({"body": pa.array([body], pa.binary())}))
+    assert sorted(groups["node"].to_pylist()) == own.tolist() and set(groups["blocks"].to_pylist()) == {12}
+    rows = [(int(n), len(s), bytearray(jaccard.sketch_of(s))) for n, s in zip(names, sets, strict=True)]
+    classes = spark.createDataFrame(rows, "node long, size long, sketch binary")
+    table = spark.createDataFrame([tuple(r.values()) for r in groups.to_pylist()], "gid long, block int, blocks int, node long")
+    links = jaccard._candidate_links(table, classes, 85, 10)
+    got = {r.node: r.root for r in jaccard.components(links).collect()}
+    union = jaccard.Union(len(sets))
+    wide = jaccard.folded([np.frombuffer(jaccard.sketch_of(s), dtype=np.uint64) for s in sets])
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if np.bitwise_count(wide[i] ^ wide[j]).sum() * 185 <= 15 * (len(sets[i]) + len(sets[j])):
+            union.join(i, j)
+    roots = union.roots()
+    assert len(set(roots.tolist())) == 4
+    assert got == {int(names[i]): int(min(names[roots == roots[i]])) for i in range(len(sets))}
+
+
 def test_other_size_and_threshold(spark):
     rows = rows_of(4)
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -209,32 +209,31 @@ def _signature_blocks(buckets: int, words: int, threshold: int):
     return run
 
 
-def _bucket_groups(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """The distinct groups (gid, node) of nodes that share a signature of the bucket; a large one as pairs of its blocks."""
-    parts = [unpack(x) for x in rows["body"].to_pylist()]
-    sig, node = _pairs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1][p[2]] for p in parts]))
-    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    size = np.diff(np.append(begin, len(sig)))
-    gid = mix(np.add.reduceat(mix(node.view(_U)), begin) + size.astype(_U)).view(np.int64)
-    some = np.flatnonzero(size > 1)
-    some = some[np.unique(gid[some], return_index=True)[1]]
-    few = some[size[some] <= GROUP_UNIT]
-    members = np.repeat(begin[few], size[few]) + np.arange(size[few].sum()) - np.repeat(np.cumsum(size[few]) - size[few], size[few])
-    gids, nodes = [np.repeat(gid[few], size[few])], [node[members]]
-    for g in some[size[some] > GROUP_UNIT].tolist():
-        own = node[begin[g] : begin[g] + size[g]]
-        blocks = -(-len(own) // GROUP_UNIT)
-        block = (mix(own.view(_U) + _U(5)) % _U(blocks)).astype(np.int64)
-        for i in range(blocks):
-            for j in range(i + 1, blocks):
-                both = own[(block == i) | (block == j)]
-                gids.append(np.full(len(both), int(mix(np.array([int(gid[g]) & (2**64 - 1) ^ (i << 20 | j)], dtype=_U)).view(np.int64)[0])))
-                nodes.append(both)
-    return pa.table({"gid": pa.array(np.concatenate(gids), pa.int64()), "node": pa.array(np.concatenate(nodes), pa.int64())})
+def _bucket_groups(most: int):
+    """Of a bucket of signatures: the distinct groups (gid, block, blocks, node) of nodes that share one, each node once; blocks hold about `most`."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        parts = [unpack(x) for x in rows["body"].to_pylist()]
+        sig, node = _pairs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1][p[2]] for p in parts]))
+        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(begin, len(sig)))
+        gid = mix(np.add.reduceat(mix(node.view(_U)), begin) + size.astype(_U)).view(np.int64)
+        some = np.flatnonzero(size > 1)
+        some = some[np.unique(gid[some], return_index=True)[1]]
+        own = size[some]
+        members = node[np.repeat(begin[some], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)]
+        blocks = np.repeat(-(-own // most), own)
+        block = (mix(members.view(_U) + _U(5)) % blocks.astype(_U)).astype(np.int32)
+        return pa.table({"gid": pa.array(np.repeat(gid[some], own), pa.int64()), "block": pa.array(block), "blocks": pa.array(blocks.astype(np.int32)), "node": pa.array(members, pa.int64())})
+
+    return run
 
 
 def _plausible(threshold: int):
-    """Of some groups (gid, node, size, sketch): links (a, b) that join what the sketches can't tell apart."""
+    """Of some units (unit, node, label, size, sketch): links (a, b) that join what the sketches can't tell apart.
+
+    Nodes of one label are known to be together; those of a unit's largest label are compared only with what lies outside of it.
+    """
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         names, at = np.unique(rows["node"].to_numpy(), return_inverse=True)
@@ -242,19 +241,26 @@ def _plausible(threshold: int):
         first[at] = np.arange(len(at))
         size = rows["size"].to_numpy()[first]
         sketches = [np.frombuffer(x, dtype=np.uint64) for x in rows["sketch"].take(pa.array(first)).to_pylist()]
-        gid = rows["gid"].to_numpy()
-        order = np.argsort(gid, kind="stable")
+        unit, label = rows["unit"].to_numpy(), rows["label"].to_numpy()
+        order = np.argsort(unit, kind="stable")
         union = Union(len(names))
-        for part in np.split(at[order], np.flatnonzero(np.diff(gid[order])) + 1):
+        for rows_of in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+            _, kind, count = np.unique(label[rows_of], return_inverse=True, return_counts=True)
+            outside = kind != count.argmax()
+            to = np.argsort(~outside, kind="stable")
+            part, kind = at[rows_of][to], kind[to]
+            head: dict[int, int] = {}
+            for i, c in zip(part.tolist(), kind.tolist(), strict=True):
+                union.join(i, head.setdefault(c, i))
             own = folded([sketches[i] for i in part])
-            for k in range(len(part) - 1):
+            for k in range(min(int(outside.sum()), len(part) - 1)):
+                if k % 16 == 0 and len({union.find(x) for x in part.tolist()}) == 1:
+                    break
                 i, rest = int(part[k]), part[k + 1 :]
                 apart = np.bitwise_count(own[k + 1 :] ^ own[k]).sum(axis=1, dtype=np.int64)
                 near = rest[apart * (100 + threshold) <= (100 - threshold) * (size[rest] + size[i])]
                 for j in near.tolist():
                     union.join(i, j)
-                if k % 16 == 0 and len({union.find(x) for x in part.tolist()}) == 1:
-                    break
         roots = union.roots()
         linked = np.flatnonzero(roots != np.arange(len(names)))
         return pa.table({"a": pa.array(names[linked]), "b": pa.array(names[roots[linked]])})
@@ -262,6 +268,51 @@ def _plausible(threshold: int):
     return run
 
 
+def _meetings(labelled: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """(unit, node, label) in which what lies outside of a group's largest label meets every block of the group, and about how many.
+
+    labelled: a stored table (gid, block, blocks, node, label). Groups that are one component have none.
+    """
+    counts = labelled.groupBy("gid", "label").agg(F.count(F.lit(1)).alias("c"), F.max("blocks").alias("blocks"))
+    per = counts.groupBy("gid").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), (F.sum("c") - F.max("c")).alias("outside"), F.sum("c").alias("n"), F.max("blocks").alias("k"))
+    per = stored(per.filter("outside > 0").withColumn("shares", F.ceil(F.col("outside") / most)), "apart")
+    n = per.agg(F.sum(F.col("n") * F.col("shares") + F.col("outside") * F.col("k")).alias("n")).first().n or 0
+    rest = labelled.join(per.select("gid", "largest", "shares"), "gid")
+    inside = rest.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    outside = rest.filter(F.col("label") != F.col("largest")).withColumn("share", F.pmod(F.xxhash64("node", F.lit(2)), F.col("shares")))
+    outside = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = [x.select(F.xxhash64("gid", "share", "block").alias("unit"), "node", "label") for x in (inside, outside)]
+    return both[0].unionByName(both[1]).distinct(), n
+
+
+def _candidate_links(groups: DataFrame, classes: DataFrame, threshold: int, most: int) -> DataFrame:
+    """(a, b): links whose components are the candidate clusters. groups: a stored table (gid, block, blocks, node).
+
+    A group of several blocks: components within blocks, then among one node of each, then of what is still
+    outside of the largest with every block. No plausible pair of a group is lost.
+    """
+    sketches = classes.select("node", "size", "sketch")
+
+    def near(units: DataFrame, n: int) -> DataFrame:
+        dealt = F.pmod(F.xxhash64("unit"), F.lit(max(1, n // (8 * UNIT))))
+        return stored(units.join(sketches, "node").groupBy(dealt.alias("g")).applyInArrow(_plausible(threshold), "a long, b long"), "links")
+
+    within = near(groups.select(F.xxhash64("gid", "block").alias("unit"), "node", F.col("node").alias("label")), groups.count())
+    large = stored(groups.filter("blocks > 1"), "large")
+    if large.isEmpty():
+        return within
+
+    def labelled(links: DataFrame) -> DataFrame:
+        known = stored(components(links), "known")
+        return stored(large.join(known, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "labelled")
+
+    heads = stored(labelled(within).groupBy("gid", "label").agg(F.min("node").alias("node")), "heads")
+    count = stored(heads.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / most).alias("k")), "counts")
+    unit = F.xxhash64("gid", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")))
+    links = within.unionByName(near(heads.join(count, "gid").select(unit.alias("unit"), "node", "label"), heads.count()))
+    return links.unionByName(near(*_meetings(labelled(links), most)))
+
+
 # ------------------------------------------------------------------ verification
 
 
@@ -424,10 +475,8 @@ def similar_documents(df: DataFrame, words: int = WORDS, threshold: int = THRESH
     total = base.agg(F.sum("n_shingles").alias("n")).first().n or 0
     buckets = max(1, total // 2 // BUCKET_ENTRIES)
     blocks = docs.select("text").mapInArrow(_signature_blocks(buckets, words, threshold), "bucket int, body binary")
-    groups = stored(blocks.groupBy("bucket").applyInArrow(_bucket_groups, "gid long, node long").distinct(), "groups")
-    dealt = F.pmod(F.xxhash64("gid"), F.lit(max(1, groups.count() // (8 * UNIT))))
-    sketched = groups.join(classes.select("node", "size", "sketch"), "node")
-    links = stored(sketched.groupBy(dealt.alias("g")).applyInArrow(_plausible(threshold), "a long, b long"), "links")
+    groups = blocks.groupBy("bucket").applyInArrow(_bucket_groups(GROUP_UNIT), "gid long, block int, blocks int, node long")
+    links = _candidate_links(stored(groups.distinct(), "groups"), classes, threshold, GROUP_UNIT)
     clusters = stored(components(links).withColumnRenamed("root", "cluster"), "clusters")
     chosen = stored(clusters.join(classes.select("node", "first"), "node"), "chosen")
     keys = stored(chosen.select("node", "first").mapInArrow(_stand_ins, "key long"), "keys")
