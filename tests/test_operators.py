@@ -194,3 +194,15 @@ def test_features_on_edges(spark):
 def test_classifier(spark):
     log = ft.drop_terminal(ft.with_next(log_of(spark, {f"c{k}": "ABAB" for k in range(10)})))
     assert pr.next_event_classifier(log, ["amount"]).transform(log).filter("label <> prediction").count() == 0
+
+
+def test_registered_suffixes_are_whole(spark, tiny, monkeypatch):
+    from tracemill.plans import catalog
+
+    asked = []
+    whole, boot = pr.predict_suffix, mt.bootstrap_ci
+    monkeypatch.setattr(pr, "predict_suffix", lambda *a, **k: asked.append((a[3:], k)) or whole(*a[:3], beam=1, max_steps=1))
+    monkeypatch.setattr(mt, "bootstrap_ci", lambda *a, **k: asked.append((a[1:], k)) or boot(*a[:1], 2))
+    for name in ("suffix_report", "bootstrap_intervals", "predicted_suffixes_full"):
+        catalog.QUERIES[name](spark, tiny)
+    assert asked == [((), {})] * 3  # the operators' defaults

@@ -473,6 +473,19 @@ def predicted_suffixes(spark, d):
     return out.select("case_id", F.array_join("tasks", ">").alias("tasks"), r6("log_prob").alias("log_prob"), r6("prob").alias("prob"), F.round("total_dt_s", 3).alias("total_dt_s"))
 
 
+def _suffixes(log):
+    """Five beams of up to twenty steps, the operator's defaults."""
+    train, _ = halves(log)
+    return pr.predict_suffix(pr.last_tasks(log), pr.next_event_distribution(train), pr.time_to_next(train))
+
+
+@query()
+def predicted_suffixes_full(spark, d):
+    """The whole continuations; `predicted_suffixes` holds the two steps that SQL unrolls."""
+    out = _suffixes(L1(spark, d))
+    return out.select("case_id", F.array_join("tasks", ">").alias("tasks"), r6("log_prob").alias("log_prob"), r6("prob").alias("prob"), F.round("total_dt_s", 3).alias("total_dt_s"))
+
+
 @query(f"with {EV}, {NX} select case_id, event_seq from nx where k <= 3")
 def truncated_prefixes(spark, d):
     return pr.truncate_prefix(L1(spark, d), 3).select("case_id", "event_seq")
@@ -536,7 +549,7 @@ def temperature_grid(spark, d):
 
 @query()
 def bootstrap_intervals(spark, d):
-    return mt.bootstrap_ci(predictions(L1(spark, d)), 200)
+    return mt.bootstrap_ci(predictions(L1(spark, d)))
 
 
 TQ = "tq as (select task_name, avg(dt_log) as m, quantile_cont(dt_log, [0.1, 0.5, 0.9]) as q from tn group by 1)"
@@ -608,6 +621,12 @@ def offline_q(spark, d):
     return cs.offline_q(tr.transitions(L1(spark, d)), iterations=2).withColumn("q", r6("q"))
 
 
+@query()
+def offline_q_full(spark, d):
+    """With the operator's default of iterations; `offline_q` holds the two that SQL unrolls."""
+    return cs.offline_q(tr.transitions(L1(spark, d))).withColumn("q", r6("q"))
+
+
 # ------------------------------------------------------------------------ runs
 
 
@@ -671,4 +690,4 @@ def windowed_bottlenecks(spark, d):
 
 query(None, "driver_report")(lambda s, d: an.driver_report(an.drivers(tr.transitions(L1(s, d)))))
 query(None, "whatif_report")(lambda s, d: cs.whatif_report(cs.whatif_events(tr.transitions(L1(s, d)), "r2", "r3")))
-query(None, "suffix_report")(lambda s, d: cs.suffix_report((lambda t: pr.predict_suffix(pr.last_tasks(L1(s, d)), pr.next_event_distribution(t), pr.time_to_next(t), 2, 2))(halves(L1(s, d))[0])))
+query(None, "suffix_report")(lambda s, d: cs.suffix_report(_suffixes(L1(s, d))))
