@@ -206,3 +206,18 @@ def test_registered_suffixes_are_whole(spark, tiny, monkeypatch):
     for name in ("suffix_report", "bootstrap_intervals", "predicted_suffixes_full"):
         catalog.QUERIES[name](spark, tiny)
     assert asked == [((), {})] * 3  # the operators' defaults
+
+
+def test_classifier_weighs_classes_and_sees_earlier_tasks(spark):
+    case = lambda i, *tasks: [(f"c{i}", t, k, "r", 0.0, k) for k, t in enumerate(tasks)]
+    skewed = [e for i in range(40) for e in case(i, "a", "x" if i % 8 else "y")]
+    log = spark.createDataFrame(skewed, "case_id string, task_name string, timestamp int, resource string, amount double, event_seq long")
+    log = pr.labelled(log.withColumn("timestamp", log.timestamp.cast("timestamp")))
+    model = pr.next_event_classifier(log, ["amount"])
+    p = model.transform(log).first().probability
+    assert abs(p[0] - p[1]) < 0.05  # 35 against 5 rows, equal by weight
+    history = [e for i in range(20) for e in case(i, *(("p", "m", "x") if i % 2 else ("q", "m", "y")))]
+    log = spark.createDataFrame(history, "case_id string, task_name string, timestamp int, resource string, amount double, event_seq long")
+    log = pr.labelled(pr.earlier_tasks(log.withColumn("timestamp", log.timestamp.cast("timestamp")), 1)).filter("task_name = 'm'")
+    out = pr.next_event_classifier(log, ["amount"], ("task_1",)).transform(log)
+    assert out.filter("label <> prediction").count() == 0

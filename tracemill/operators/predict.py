@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.features import with_next
+from tracemill.functions.features import class_weights, with_next
 from tracemill.sources.eventlog import in_case
 from tracemill.sources.scratch import cut
 
@@ -141,14 +141,24 @@ def truncate_prefix(log: DataFrame, n: int) -> DataFrame:
     return log.withColumn("_k", F.row_number().over(in_case())).filter(F.col("_k") <= n).drop("_k")
 
 
-def next_event_classifier(train: DataFrame, features: list[str]):
-    """A fitted pipeline: multinomial logistic regression on the current task, resource and numeric features, classes weighted."""
+def earlier_tasks(log: DataFrame, k: int = 3) -> DataFrame:
+    """`log` with task_1 … task_k: the tasks before each event, null where a case is younger."""
+    for j in range(1, k + 1):
+        log = log.withColumn(f"task_{j}", F.lag("task_name", j).over(in_case()))
+    return log
+
+
+def next_event_classifier(train: DataFrame, features: list[str], earlier: tuple[str, ...] = ()):
+    """A fitted pipeline: multinomial logistic regression on the current and `earlier` tasks, resource and numeric features, classes weighted."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
-    names = {"task_name": "task_ix", "resource": "resource_ix", "next_task": "label"}
-    index = StringIndexer(inputCols=list(names), outputCols=list(names.values()), handleInvalid="keep", stringOrderType="alphabetAsc")
-    hot = OneHotEncoder(inputCols=["task_ix", "resource_ix"], outputCols=["task_1h", "resource_1h"])
-    all_ = VectorAssembler(inputCols=["task_1h", "resource_1h", *features], outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[index, hot, all_, LogisticRegression(family="multinomial", maxIter=20, regParam=0.01)]).fit(train)
+    shown = ["task_name", "resource", *earlier]
+    index = StringIndexer(inputCols=[*shown, "next_task"], outputCols=[*(f"{c}_ix" for c in shown), "label"], handleInvalid="keep", stringOrderType="alphabetAsc")
+    hot = OneHotEncoder(inputCols=[f"{c}_ix" for c in shown], outputCols=[f"{c}_1h" for c in shown])
+    all_ = VectorAssembler(inputCols=[*(f"{c}_1h" for c in shown), *features], outputCol="features", handleInvalid="keep")
+    names = train.select(F.col("next_task").alias("id"), F.col("next_task").alias("name")).distinct()
+    weights = class_weights(train, "next_task", names).select(F.col("id").alias("next_task"), F.col("weight").alias("class_weight"))
+    weighted = train.join(F.broadcast(weights), "next_task", "left").fillna(1.0, ["class_weight"])  # as many rows as tasks
+    return Pipeline(stages=[index, hot, all_, LogisticRegression(family="multinomial", maxIter=20, regParam=0.01, weightCol="class_weight")]).fit(weighted)

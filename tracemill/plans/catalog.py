@@ -493,9 +493,9 @@ def truncated_prefixes(spark, d):
 
 @query()
 def classifier_predictions(spark, d):
-    """Multinomial regression on task, resource and calendar features."""
-    log = ft.drop_terminal(ft.with_next(ft.cyclic(ft.calendar(ft.split_cases(L1(spark, d))))))
-    model = pr.next_event_classifier(log.filter("split = 'train'"), ["dow_sin", "dow_cos", "hod_sin", "hod_cos"])
+    """Multinomial regression on the last four tasks, resource, calendar features and amount."""
+    log = ft.drop_terminal(ft.with_next(pr.earlier_tasks(ft.cyclic(ft.calendar(ft.split_cases(L1(spark, d)))))))
+    model = pr.next_event_classifier(log.filter("split = 'train'"), ["dow_sin", "dow_cos", "hod_sin", "hod_cos", "amount"], ("task_1", "task_2", "task_3"))
     return model.transform(log.filter("split = 'val'")).select("case_id", "event_seq", "next_task", "label", "prediction")
 
 
