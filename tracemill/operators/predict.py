@@ -106,7 +106,7 @@ def predict_suffix(cases: DataFrame, model: DataFrame, times: DataFrame, beam: i
     """(case_id, tasks, log_prob, prob, total_dt_s): the likeliest continuations of each open case (case_id, last).
 
     `model` is `next_event_distribution` of order 1, `times` is `time_to_next`. All cases advance together, one join and one
-    ranking per step; a case is finished when its best beam repeats a task. Every few steps the lineage is cut.
+    ranking per step; a case is finished when its best beam repeats a task. Between steps the lineage is cut.
     """
     if beam < 1 or max_steps < 0:
         raise ValueError("beam must be 1 at least and max_steps 0 at least")
@@ -117,6 +117,8 @@ def predict_suffix(cases: DataFrame, model: DataFrame, times: DataFrame, beam: i
     now = cases.select("case_id", F.col("last"), F.array("last").alias("seq"), F.lit(0.0).alias("log_prob"), F.lit(0.0).alias("total_dt"), F.lit(False).alias("done"))
     order = Window.partitionBy("case_id").orderBy(F.desc(F.round("log_prob", 9)), F.array_join("seq", ">"))
     for step in range(max_steps):
+        if step and now.filter(~F.col("done")).isEmpty():
+            break
         moving = now.filter(~F.col("done")).join(top, "last", "left").join(dt, "last", "left").crossJoin(any_)
         moving = moving.withColumn("x", F.explode(F.coalesce("own", "any"))).withColumn("dt", F.coalesce("dt", F.lit(0.0)))
         moving = moving.select("case_id", F.col("x.labels").alias("last"), F.concat("seq", F.array("x.labels")).alias("seq"), (F.col("log_prob") + F.log("x.probs")).alias("log_prob"), (F.col("total_dt") + F.col("dt")).alias("total_dt"))
@@ -124,8 +126,8 @@ def predict_suffix(cases: DataFrame, model: DataFrame, times: DataFrame, beam: i
         repeats = (F.element_at("seq", -1) == F.element_at("seq", -2)) & (F.col("r") == 1)
         stop = F.max(repeats).over(Window.partitionBy("case_id")) if stop_on_self_loop else F.lit(False)
         now = now.filter("done").unionByName(ranked.withColumn("done", stop).drop("r"))
-        if step % 5 == 4:
-            now = cut(now)
+        if step < max_steps - 1:
+            now = cut(now)  # the plan names `now` twice, so it would double with each step
     share = F.exp("log_prob") / F.sum(F.exp("log_prob")).over(Window.partitionBy("case_id"))
     return now.select("case_id", F.slice("seq", 2, F.greatest(F.size("seq") - 1, F.lit(1))).alias("tasks"), "log_prob", share.alias("prob"), F.col("total_dt").alias("total_dt_s"))
 
