@@ -79,3 +79,59 @@ def test_nulls_repeats_empty(spark):
     rows = bpe.decode(bpe.encode(df, RANKS), RANKS).collect()
     assert sorted(bytes(r.decoded) for r in rows) == [b"", b"a b", b"a b", b"x" * 200_000]
     assert bpe.decode(bpe.encode(df.limit(0), RANKS), RANKS).collect() == []
+
+
+def thue_morse(n, letters="ab"):
+    word = letters[0]
+    while len(word) < n:
+        word += "".join(letters[1 - letters.index(c)] for c in word)
+    return word[:n]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_pieces_that_a_polynomial_hash_confuses(own, n):
+    texts = [thue_morse(n), thue_morse(n, "ba"), thue_morse(n) + " " + thue_morse(n, "ba")]
+    tool = bpe.codec(RANKS)
+    ids, at = tool.encode([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == own.encode_ordinary(t)
+        assert tool.decode(ids[at[i] : at[i + 1]])[0].tobytes() == t.encode()
+
+
+def test_equal_hashes_change_nothing(monkeypatch, own, tiny):
+    texts = real_texts(tiny)[:40] + odd_texts()[:300]
+    monkeypatch.setattr(bpe, "range_hashes", lambda data, starts, ends, seed=0: ((ends - starts) % 7).astype(np.uint64))
+    bpe.codec.cache_clear()
+    ids, at = _unhashed(bpe.codec(MERGES), texts)
+    monkeypatch.undo()
+    bpe.codec.cache_clear()
+    want, want_at = bpe.codec(MERGES).encode([t.encode() for t in texts])
+    assert np.array_equal(ids, want) and np.array_equal(at, want_at)
+
+
+def _unhashed(tool, texts):
+    half = len(texts) // 2
+    a, at = tool.encode([t.encode() for t in texts[:half]])
+    b, bt = tool.encode([t.encode() for t in texts[half:]])
+    return np.concatenate([a, b]), np.concatenate([at, at[-1] + bt[1:]])
+
+
+def long_pieces():
+    rng = random.Random(8)
+    some = lambda parts, n: "".join(rng.choice(parts) for _ in range(n))
+    return ["a" * 5001, "ab" * 4000, "中文字符" * 1000, some("abcdeingthes", 9000), some("aab", 6000), some(["ing", "tion", "the", "a", "er", "é"], 3000), "!?" * 2500, "12345" * 900]
+
+
+def test_long_pieces(own):
+    hf = Tokenizer.from_file(MERGES)
+    for t in long_pieces():
+        assert bpe.codec(RANKS).encode([t.encode()])[0].tolist() == own.encode_ordinary(t)
+        assert bpe.codec(MERGES).encode([t.encode()])[0].tolist() == hf.encode(t, add_special_tokens=False).ids
+
+
+def test_added_tokens_as_the_library_finds_them():
+    hf = Tokenizer.from_file(MERGES)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "", "none", "<|endoftext|", " <|endoftext|>\n\n <|endoftext|>  x", "  <|endoftext|>"]
+    ids, at = bpe.codec(MERGES).encode([t.encode() for t in texts], added=True)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == hf.encode(t, add_special_tokens=False).ids, t

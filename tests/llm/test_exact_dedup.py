@@ -44,3 +44,10 @@ def test_drop_keeps_one_row_a_text_with_all_columns(spark):
 def test_real_table(spark, tiny):
     docs = [tuple(r) for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in op3_exact_dedup(spark, tiny).collect()), key=str) == brute(docs)
+
+
+def test_ranges_of_digests_give_the_same_groups(spark):
+    rows = [(i, f"text {i % 90 if i % 3 else i}", None, None) for i in range(500)] + ROWS
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((tuple(r) for r in group_exact(df, most_bits=1 << 11).collect()), key=str) == brute(rows)
+    assert group_exact(df.limit(0), most_bits=1 << 11).collect() == []

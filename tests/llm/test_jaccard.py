@@ -148,3 +148,44 @@ def test_components(spark):
     want = {x: find(x) for x in itertools.chain(*((a, b) for a, b in edges if a != b))}
     got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    from test_bpe import thue_morse
+
+    rows = [(k, thue_morse(n, letters)) for k, (n, letters) in enumerate((n, x) for n in (1024, 2048, 4096) for x in ("ab", "ba"))]
+    rows += [(10 + i, " ".join(f"{t}{k}" for k in range(30))) for i, t in enumerate((thue_morse(1024), thue_morse(1024, "ba")))]
+    assert result(jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_sets_with_one_name_are_told_apart(spark):
+    rows = rows_of(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(jaccard.similar_documents(df, name_bits=5)) == brute(rows)
+
+
+def test_unrelated_sets_share_no_signature():
+    rng = np.random.default_rng(4)
+    for size in (7, 13, 20, 40):
+        sets = [np.unique(rng.integers(0, 2**63, size).astype(np.uint64)) for _ in range(20_000)]
+        sig, of = jaccard.signatures_of(sets, 85)
+        sig, of = jaccard._pairs(sig, of)
+        assert np.unique(sig, return_counts=True)[1].max() <= 6, size
+
+
+def test_drop_similar_decides_by_row(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a), (5, a + " x"), (5, b), (7, b + " y"), (7, b + " z"), (None, a + " w"), (None, "nobody has this"), (9, "twice the same row"), (9, "twice the same row"), (2, None), (2, None), (3, "")]
+    df = spark.createDataFrame([(i, t, k, "m") for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int, _mark string")
+    got = jaccard.drop_similar(df)
+    assert got.columns == df.columns
+    kept = sorted(r.row for r in got.collect())
+    assert kept in ([0, 2, 6, 7, 9, 10, 11], [0, 2, 6, 8, 9, 10, 11])
+    assert jaccard.drop_similar(df.limit(0)).collect() == []
+
+
+def test_very_long_text(spark):
+    rng = random.Random(3)
+    long = " ".join(f"v{rng.randrange(5000)}" for _ in range(300_000))
+    rows = [(1, long), (2, long + " more"), (3, "word " * 200_000), (4, "short text of five words")]
+    assert result(jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)

@@ -79,3 +79,12 @@ def test_edges(spark):
     twice = packing.pack(spark.createDataFrame([(1, "x", 1), (1, "x", 1), (None, "y", 1)], "doc_id long, text string, row int"), PATH).collect()
     assert sorted((r.doc_id is None, r.start, r.length) for r in twice) == [(False, 0, 2), (False, 0, 2), (True, 0, 2)]
     assert packing.pack(df.limit(0), PATH).collect() == []
+
+
+def test_added_tokens_as_the_library_gives_them(spark):
+    hf = Tokenizer.from_file(PATH)
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "plain")]
+    got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    for doc_id, text in rows:
+        ids = np.array(hf.encode(text, add_special_tokens=False).ids + [0], dtype="<u4")
+        assert got[doc_id].length == got[doc_id].doc_tokens == len(ids) and got[doc_id].ids_crc32 == zlib.crc32(ids.tobytes())

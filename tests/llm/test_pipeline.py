@@ -68,3 +68,21 @@ def test_null_texts_and_empty_tables(spark, tiny):
             out = stage(spark, some, tiny)
             assert out.columns == docs.columns
             assert out.count() <= some.count()
+
+
+def test_repeated_ids_lose_no_unrelated_row(spark, tiny):
+    a, b = " ".join(f"a{k}" for k in range(80)), " ".join(f"b{k}" for k in range(80))
+    rows = [(1, a), (5, a + " x"), (5, b), (7, "c " + b + " y"), (7, "d " + b + " z"), (None, a + " w"), (8, "long " * 150_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id, r.text[:2]) for r in pipe.near_stage(spark, docs, tiny).collect())
+    assert kept == [(1, "a0"), (5, "b0"), (8, "lo")]
+
+
+def test_stages_leave_the_tables_of_other_work_alone(spark, tiny):
+    from tracemill.llm import exact_dedup
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    mine = exact_dedup.group_exact(docs)
+    pipe.exact_stage(spark, docs, tiny).count()
+    pipe.near_stage(spark, docs.limit(5), tiny).count()
+    assert mine.count() == docs.count()

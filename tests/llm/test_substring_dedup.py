@@ -104,3 +104,13 @@ def test_blocks_round_trip():
     c = np.arange(7, dtype=np.uint32)
     for x, y in zip(sub.unpack(sub.pack(a, b, c, a[:0])), (a, b, c, a[:0]), strict=True):
         assert np.array_equal(x, y) and x.dtype == y.dtype
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    from test_bpe import thue_morse
+
+    tail = [f"t{k}" for k in range(30)]
+    for n in (1024, 2048, 4096):
+        rows = [(1, " ".join([thue_morse(n), *tail])), (2, " ".join([thue_morse(n, "ba"), *tail]))]
+        got = {r.row.doc_id: (r.n_words, r.n_removed) for r in sub.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {1: (31, 0), 2: (31, 30)}

@@ -247,7 +247,7 @@ def nearest(df: DataFrame, is_query, k: int = NEAREST, target: float = TARGET, i
     by_hash = F.xxhash64("vec_id")
     queries = vectors.filter(is_query)
     n_rows, n_queries = vectors.count(), queries.count()
-    fit = bounded_sample(vectors, n_rows, FIT_ROWS).collect()
+    fit = bounded_sample(vectors, n_rows, FIT_ROWS, ["vec_id", "vector"]).collect()
     if not fit or not n_queries:
         return spark.createDataFrame([], OUT)
     curves = fit_curves(np.array([np.frombuffer(r.vector, dtype="<f8") for r in fit]), CURVES)

@@ -8,16 +8,20 @@ Merging: every distinct piece that is not cached gets a segment tree whose leave
 positions; a leaf holds the rank of the pair that starts there, and a node the smallest
 (rank, position) below it, so the root names the leftmost pair of least rank. A merge updates
 three leaves (the merged pair, the token that vanished, the pair before) along log2(width)
-levels. The trees of all pieces of a width are advanced together, one merge a round.
+levels. The trees of all pieces of a width are advanced together, one merge a round. A piece longer
+than `LONG_PIECE` has a tree of its own: all pairs of the least rank are found by one walk down from
+the root and merged in one round, up to the first whose new neighbours would come before the rest.
 
 A worker keeps the ids of up to `CACHE_PIECES` pieces between chunks; the cache is rebuilt when
-it is full, so memory stays bounded and results do not depend on it.
+it is full, so memory stays bounded and results do not depend on it. Pieces are looked up by hash,
+and what is found is compared byte by byte.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -30,7 +34,9 @@ from .common import chunks, docs_of, range_hashes
 
 CACHE_PIECES = 1_000_000
 TEXT_BYTES = 1 << 21
+LONG_PIECE = 1 << 11
 _NONE = np.int64(1) << np.int64(62)
+_NO_RANK = np.iinfo(np.int32).max
 _EDGE, _SPACE, _LETTER, _NUMBER, _OTHER = range(5)
 #: The White_Space characters of Unicode.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -93,14 +99,26 @@ def split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, starts, ends, np.searchsorted(starts, edges)
 
 
+def _same(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether x[x_at : x_at + size] and y[y_at : y_at + size] are the same bytes, for each pair."""
+    where = _ramp(size)
+    differ = x[np.repeat(x_at, size) + where] != y[np.repeat(y_at, size) + where]
+    wrong = np.zeros(len(size), dtype=bool)
+    wrong[np.repeat(np.arange(len(size)), size)[differ]] = True
+    return ~wrong
+
+
 class Codec:
     """Ids of pieces by a table of mergeable pairs.
 
     `whole`: a piece that is itself a token gets its id at once (as rank files ask for).
+    `added`: tokens outside of the merges, by their bytes, which `encode` can find in texts.
     """
 
-    def __init__(self, tokens: list[bytes], pairs: dict[tuple[int, int], tuple[int, int]], whole: bool):
+    def __init__(self, tokens: list[bytes], pairs: dict[tuple[int, int], tuple[int, int]], whole: bool, added: dict[bytes, int] | None = None):
         """tokens: bytes by id. pairs: (left id, right id) to (rank, merged id)."""
+        self.added = added or {}
+        self.added_pattern = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         single = {t: i for i, t in enumerate(tokens) if len(t) == 1}
         self.byte_id = np.array([single[bytes([b])] for b in range(256)], dtype=np.int64)
         order = sorted(pairs)
@@ -111,14 +129,22 @@ class Codec:
         self.size = np.array([len(t) for t in tokens], dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)])
         self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.rows = np.zeros(0, dtype=np.int64)
-        self.at, self.flat = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
         self.token_keys = np.zeros(0, dtype=np.uint64)
+        self.seed = 0
         if whole:
-            key = range_hashes(self.bytes, self.first[:-1], self.first[1:])
+            key = range_hashes(self.bytes, self.first[:-1], self.first[1:], self.seed)
+            while len(np.unique(key)) < len(set(tokens)):  # two tokens with one hash: take another hash
+                self.seed += 1
+                key = range_hashes(self.bytes, self.first[:-1], self.first[1:], self.seed)
             self.token_ids = np.argsort(key)
             self.token_keys = key[self.token_ids]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the cache: sorted hashes of pieces, the row of each, and per row its ids and its bytes."""
+        self.keys, self.rows = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.at, self.flat = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.body_at, self.body = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << np.int64(32) | right
@@ -175,6 +201,58 @@ class Codec:
             rows = rows[tree[rows * (2 * width) + 1] < _NONE]
         return ids[alive].astype(np.int32), alive.reshape(n, width).sum(axis=1)
 
+    def _merge_long(self, piece: np.ndarray) -> np.ndarray:
+        """Ids of one long piece. A round merges all pairs of the least rank, from the left, up to one that makes a pair of no larger rank."""
+        n = len(piece)
+        leaves = 1 << (n - 1).bit_length()
+        ids = self.byte_id[piece]
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        alive = np.ones(n, dtype=bool)
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            found = self._rank(left, right)
+            return np.where(found < 0, _NO_RANK, found).astype(np.int32)
+
+        tree = np.full(2 * leaves, _NO_RANK, dtype=np.int32)
+        tree[leaves : leaves + n - 1] = ranks(ids[:-1], ids[1:])
+        half = leaves
+        while half > 1:
+            np.minimum(tree[half : 2 * half : 2], tree[half + 1 : 2 * half : 2], out=tree[half // 2 : half])
+            half //= 2
+        while (rank := tree[1]) < _NO_RANK:
+            at = np.ones(1, dtype=np.int64)
+            while at[0] < leaves:
+                at = (2 * at[:, None] + np.arange(2)).reshape(-1)
+                at = at[tree[at] == rank]
+            at -= leaves
+            # pairs that overlap stand in chains: every other one is merged
+            begin = np.concatenate([[True], after[at[:-1]] != at[1:]])
+            index = np.arange(len(at))
+            at = at[(index - np.maximum.accumulate(np.where(begin, index, 0))) % 2 == 0]
+            right = after[at]
+            follow, lead = after[right], before[at]
+            token = self.merged[rank]
+            left_id = np.where(np.concatenate([[False], follow[:-1] == at[1:]]), token, ids[np.maximum(lead, 0)])
+            behind = np.where(lead >= 0, ranks(left_id, np.full(len(at), token)), _NO_RANK)
+            ahead = np.where(follow < n, ranks(np.full(len(at), token), ids[np.minimum(follow, n - 1)]), _NO_RANK)
+            early = np.flatnonzero(np.minimum(behind, ahead) <= rank)
+            if len(early):  # a new pair comes next: it may change what is merged behind it
+                at, right, follow, lead = (x[: early[0] + 1] for x in (at, right, follow, lead))
+            ids[at] = token
+            alive[right] = False
+            after[at] = follow
+            before[follow[follow < n]] = at[follow < n]
+            tree[leaves + right] = _NO_RANK
+            touched = np.union1d(at, lead[(lead >= 0) & alive[np.maximum(lead, 0)]])
+            next_ = after[touched]
+            tree[leaves + touched] = np.where(next_ < n, ranks(ids[touched], ids[np.minimum(next_, n - 1)]), _NO_RANK)
+            node = np.union1d(touched, right) + leaves
+            while node[0] > 1:
+                node >>= 1
+                node = node[np.concatenate([[True], node[1:] != node[:-1]])]
+                tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+        return ids[alive].astype(np.int32)
+
     def _encode_new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and counts of pieces, in order."""
         size = ends - starts
@@ -183,10 +261,15 @@ class Codec:
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         todo = np.ones(len(starts), dtype=bool)
         if len(self.token_keys):
-            at = np.minimum(np.searchsorted(self.token_keys, keys), len(self.token_keys) - 1)
-            hit = np.flatnonzero(self.token_keys[at] == keys)
-            parts.append((hit, self.token_ids[at[hit]].astype(np.int32), np.ones(len(hit), dtype=np.int64)))
+            at = self.token_ids[np.minimum(np.searchsorted(self.token_keys, keys), len(self.token_keys) - 1)]
+            hit = np.flatnonzero(self.size[at] == size)
+            hit = hit[_same(self.bytes, self.first[at[hit]], data, starts[hit], size[hit])]
+            parts.append((hit, at[hit].astype(np.int32), np.ones(len(hit), dtype=np.int64)))
             todo[hit] = False
+        for i in np.flatnonzero(todo & (size > LONG_PIECE)).tolist():
+            ids = self._merge_long(data[starts[i] : ends[i]])
+            parts.append((np.array([i]), ids, np.array([len(ids)])))
+            todo[i] = False
         for w in np.unique(width[todo]):
             some = np.flatnonzero(todo & (width == w))
             step = max(1, (1 << 19) // int(w))
@@ -201,33 +284,66 @@ class Codec:
             flat[np.repeat(at[part], n) + _ramp(n)] = ids
         return flat, counts
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of texts, and where each text's ids begin (one more entry than texts)."""
+    def _grow(self, flat: np.ndarray, counts: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Add rows with their ids and bytes; their numbers."""
+        first = len(self.at) - 1
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
+        self.flat = np.concatenate([self.flat, flat])
+        self.body_at = np.concatenate([self.body_at, self.body_at[-1] + np.cumsum(size)])
+        self.body = np.concatenate([self.body, data[np.repeat(starts, size) + _ramp(size)]])
+        return first + np.arange(len(counts))
+
+    def encode(self, texts: list[bytes], added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of texts, and where each text's ids begin (one more entry than texts).
+
+        `added`: text that spells an added token becomes its id, and the text on either side is split for itself.
+        """
+        if added and self.added_pattern and any(self.added_pattern.search(t) for t in texts):
+            return self._encode_around(texts)
         data, starts, ends, bounds = split(texts)
-        keys, piece_of = np.unique(range_hashes(data, starts, ends), return_inverse=True)
+        size = ends - starts
+        hashes = range_hashes(data, starts, ends, self.seed)
+        keys, piece_of = np.unique(hashes, return_inverse=True)
         sample = np.zeros(len(keys), dtype=np.int64)
         sample[piece_of] = np.arange(len(starts))
-        if len(self.keys) > CACHE_PIECES:
-            self.keys, self.rows = self.keys[:0], self.rows[:0]
-            self.at, self.flat = self.at[:1], self.flat[:0]
+        if len(self.keys) > CACHE_PIECES or len(self.body) > 16 * CACHE_PIECES:
+            self._forget()
         known = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), dtype=bool)
         if len(self.keys):
             new = self.keys[np.minimum(known, len(self.keys) - 1)] != keys
         if new.any():
             some = sample[new]
-            flat, counts = self._encode_new(data, starts[some], ends[some], keys[new])
-            n_old = len(self.at) - 1
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
-            self.flat = np.concatenate([self.flat, flat])
-            self.rows = np.insert(self.rows, known[new], n_old + np.arange(len(some)))
+            rows = self._grow(*self._encode_new(data, starts[some], ends[some], keys[new]), data, starts[some], size[some])
+            self.rows = np.insert(self.rows, known[new], rows)
             self.keys = np.insert(self.keys, known[new], keys[new])
         row = self.rows[np.searchsorted(self.keys, keys)][piece_of]
+        right = self.body_at[row + 1] - self.body_at[row] == size
+        right[right] = _same(self.body, self.body_at[row[right]], data, starts[right], size[right])
+        if not right.all():  # another piece has the same hash: these get rows that no hash leads to
+            some = np.flatnonzero(~right)
+            row[some] = self._grow(*self._encode_new(data, starts[some], ends[some], hashes[some]), data, starts[some], size[some])
         n = self.at[row + 1] - self.at[row]
         ids = self.flat[np.repeat(self.at[row], n) + _ramp(n)]
         total = np.concatenate([[0], np.cumsum(n)])
         return ids, total[bounds]
 
+    def _encode_around(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts: list[bytes] = []
+        of_text: list[list[int]] = []  # numbers of parts, or ids of added tokens as -1 - id
+        for t in texts:
+            own, at = [], 0
+            for m in self.added_pattern.finditer(t):
+                own += [len(parts), -1 - self.added[m[0]]]
+                parts.append(t[at : m.start()])
+                at = m.end()
+            own.append(len(parts))
+            parts.append(t[at:])
+            of_text.append(own)
+        ids, at = self.encode(parts)
+        out = [np.concatenate([ids[at[k] : at[k + 1]] if k >= 0 else np.array([-1 - k], dtype=np.int32) for k in own]) for own in of_text]
+        return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of ids, end to end, and where the bytes of each id begin (one more entry than ids)."""
         n = self.size[ids]
@@ -245,7 +361,8 @@ def codec(path: str) -> Codec:
     """Of a rank file (`.tiktoken`) or a byte-level vocabulary with merges (`.json`); once per Python worker."""
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
         shown = _shown_bytes()
         raw = lambda token: bytes(shown[c] for c in token)
         vocab = model["vocab"]
@@ -256,7 +373,7 @@ def codec(path: str) -> Codec:
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        return Codec(tokens, pairs, whole=False)
+        return Codec(tokens, pairs, whole=False, added={x["content"].encode("utf-8"): x["id"] for x in whole.get("added_tokens", [])})
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     tokens = [b""] * (max(ranks.values()) + 1)
@@ -278,13 +395,13 @@ def _shown_bytes() -> dict[str, int]:
     return shown
 
 
-def encoded_batches(batches, path: str):
-    """Of Arrow batches whose last column is the text: (the other columns, texts, flat ids, where each text's ids begin)."""
+def encoded_batches(batches, path: str, added: bool = False):
+    """Of Arrow batches whose last column is the text: (the other columns, flat ids, where each text's ids begin)."""
     tool = codec(path)
     for b in batches:
         texts = [x or b"" for x in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
         for lo, hi in chunks(texts, TEXT_BYTES):
-            ids, at = tool.encode(texts[lo:hi])
+            ids, at = tool.encode(texts[lo:hi], added)
             yield [c.slice(lo, hi - lo) for c in b.columns[:-1]], ids, at
 
 

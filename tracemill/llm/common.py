@@ -1,14 +1,19 @@
 """Helpers that the training-data operators share: stored tables, word tables and hashes.
 
-Hashing here is done on whole Arrow batches with numpy: the bytes of all texts
-of a chunk are laid end to end and every word (or byte range) gets a 64-bit
-hash from prefix sums, so no Python loop runs over words.
+Hashing here is done on whole Arrow batches with numpy: the bytes of all texts of a chunk are laid
+end to end, and every word (or byte range) is hashed eight bytes at a time, all words at once, with
+a non-linear step after each; long ones go through BLAKE2b. Hashes of different seeds are
+independent, so two of them together are a hash of 128 bits.
 """
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +21,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _U = np.uint64
-#: Scratch tables of this session, by path; `drop_scratch` deletes them.
-_scratch: list[str] = []
 _local_dir: str | None = None
 #: Bytes of text that one numpy chunk holds; longer texts get a chunk of their own.
 CHUNK_BYTES = 1 << 20
 
 
+class Scratch:
+    """The scratch tables of one piece of work; `drop` deletes them once its results are written."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def drop(self) -> None:
+        while self.paths:
+            spark, path = self.paths.pop()
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Scratch tables made outside of any `scratch()` block: their results may be read at any time, so they stay until the driver ends.
+_rest = Scratch()
+_open: list[Scratch] = [_rest]
+
+
+@contextmanager
+def scratch(own: Scratch | None = None) -> Iterator[Scratch]:
+    """Scratch tables that are made inside the block belong to it (and to no other work); whoever opened it drops them."""
+    own = own or Scratch()
+    _open.append(own)
+    try:
+        yield own
+    finally:
+        _open.remove(own)
+
+
+@atexit.register
+def _drop_rest() -> None:
+    try:
+        _rest.drop()
+    except Exception:  # the session is gone, and its JVM with it
+        _rest.paths.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (`spark.checkpoint.dir`).
 
@@ -41,7 +81,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/tracemill/{uuid.uuid4().hex}-{label}"
-    _scratch.append(path)
+    _open[-1].paths.append((spark, path))
     return path
 
 
@@ -53,22 +93,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables written so far; results that still read them must be written first."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def only(df: DataFrame, **columns) -> DataFrame:
     """`df` as exactly these columns, each an expression over its own columns (clashing names cannot leak)."""
     return df.select(*(c.alias(name) for name, c in columns.items()))
 
 
-def bounded_sample(df: DataFrame, n_rows: int, most: int, seed: int = 17) -> DataFrame:
-    """All rows, or about `most` of `n_rows`, drawn row by row where they are read (no row is gathered or ranked for it)."""
-    return df if n_rows <= most else df.sample(False, most / n_rows, seed)
+def bounded_sample(df: DataFrame, n_rows: int, most: int, by: list[str], seed: int = 17) -> DataFrame:
+    """All rows, or about `most` of `n_rows`, chosen by a hash of the columns `by` where they are read: the same rows however the table is laid out."""
+    if n_rows <= most:
+        return df
+    place = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 30))
+    return df.filter(place < int(most / n_rows * (1 << 30)))
 
 
 # --------------------------------------------------------------------- hashing
@@ -88,41 +123,54 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(n, dtype=np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(seed))
 
 
-_BYTE = seeded(256, 0xB17E)
-_BASE = 0x5851F42D4C957F2D | 1
-_powers: dict[str, np.ndarray] = {}
+#: Ranges of more bytes are hashed one by one.
+LONG_RANGE = 64
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE to the powers 0 … n-1 modulo 2**64, and their inverses."""
-    have = len(_powers.get("up", ()))
-    if have < n:
-        n_new = max(n, CHUNK_BYTES + 4096)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.full(n_new, _U(base), dtype=np.uint64)
-            out[0] = 1
-            _powers[name] = np.multiply.accumulate(out)
-    return _powers["up"][:n], _powers["down"][:n]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (data must be followed by seven more bytes, see `padded`)."""
+    return np.ndarray((len(data) - 7,), dtype="<u8", buffer=data.data, strides=(1,))
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each pair; equal bytes have equal hashes wherever they stand."""
-    up, down = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0x2545F4914F6CDD1D))
+def padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each pair; equal bytes have equal hashes wherever they stand.
+
+    No two ranges of the same length, eight bytes at most, share one.
+    """
+    first = seeded(1, 0xB17E + 0x10001 * seed)[0]
+    size = ends - starts
+    out = mix(size.astype(_U) * _U(0x2545F4914F6CDD1D) + first)
+    read = eights(padded(data))
+    short = size <= LONG_RANGE
+    some, k = np.flatnonzero(short & (size > 0)), 0
+    while len(some):
+        left = size[some] - k
+        part = read[starts[some] + k] << ((np.maximum(8 - left, 0) * 8).astype(_U))
+        out[some] = mix((out[some] ^ part) * _U(0xD1342543DE82EF95) + first)
+        some, k = some[left > 8], k + 8
+    salt = int(first).to_bytes(8, "little")
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=salt).digest(), "little")
+    return out
 
 
 def run_hashes(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """A hash of each k consecutive hashes (len - k + 1 of them, none if fewer)."""
-    n = len(hashes) - k + 1
-    if n <= 0:
+    """A hash of each k consecutive hashes (len - k + 1 of them, none if fewer), from those of runs of 1, 2, 4 … hashes."""
+    if len(hashes) < k or k < 1:
         return np.zeros(0, dtype=np.uint64)
-    acc = np.full(n, _U(0x9E3779B97F4A7C15 ^ seed), dtype=np.uint64)
-    step = _U(0xD1342543DE82EF95 + 2 * seed)
-    for j in range(k):
-        acc = acc * step + hashes[j : j + n]
-    return mix(acc)
+    both = lambda a, b: mix((a + _U(0x9E3779B97F4A7C15)) * _U(0xD1342543DE82EF95) + b)
+    run, width, out = hashes, 1, None
+    while True:
+        if k & width:
+            out = run if out is None else both(run[: len(out) - width], out[width:])
+        width *= 2
+        if width > k:
+            return mix(out[: len(hashes) - k + 1] + _U(0x632BE59BD9B4E019) * _U(2 * seed + 1))
+        run = both(run[: len(run) - width // 2], run[width // 2 :])
 
 
 # ----------------------------------------------------------------- text chunks
@@ -163,8 +211,8 @@ class Words:
         self.text_starts = 1 + np.concatenate([[0], np.cumsum(lengths + 1)])
         self.bounds = np.searchsorted(self.starts, self.text_starts)
 
-    def hashes(self) -> np.ndarray:
-        return range_hashes(self.data, self.starts, self.ends)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return range_hashes(self.data, self.starts, self.ends, seed)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))

@@ -15,11 +15,19 @@ with an inverted index over their sets. Large groups and clusters are dealt into
 within blocks, then among one representative per component, and where a cluster is still apart,
 between what lies outside of its largest component and every block. No link between different texts is lost and no list of pairs is made.
 
-Nodes and shingles are 64-bit hashes: two of n different ones collide with odds of n * n / 2**65.
+A node is a set's 64-bit hash, unless another set has the same one: a second hash tells them apart, and
+then both are named by it, so identity rests on 128 bits. A shingle is a 64-bit hash of its words; a
+collision can only matter between two sets of one cluster.
+
+Where a part has two empty sub-parts their signature says nothing, and unrelated sets would share it.
+Such a set signs, instead of that, for a second and independent division of the domain (similar sets do so
+together), and so on for LEVELS divisions; a group of unrelated sets thins out by hundreds with each.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, cells, chunks, docs_of, mix, run_hashes, stored
 from .components import components
-from .exact_dedup import bloom_filter, holds
+from .exact_dedup import bloom_filter, holds, key_of, may_hold
 from .substring_dedup import pack, unpack
 
 WORDS = 4
@@ -39,6 +47,8 @@ GROUP_UNIT = 8192
 #: Signatures of a bucket, and those a task gathers before it sends its blocks.
 BUCKET_ENTRIES = 1 << 19
 BLOCK_ENTRIES = 1 << 19
+#: Divisions of the domain for sets with empty sub-parts.
+LEVELS = 4
 #: Bits of a parity sketch, by the size of the set.
 LEAST_BITS, MOST_BITS = 512, 1 << 15
 _U = np.uint64
@@ -57,17 +67,25 @@ def shingle_sets(texts: list[bytes], words: int = WORDS):
             yield run_hashes(hashes[a:b], b - a, 1000 + int(b - a)) if b > a else np.zeros(0, dtype=_U)
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    total = np.append(mix(shingles ^ _U(0x5E7)), mix(np.array([len(shingles)], dtype=_U))).sum(dtype=_U)
-    return int(mix(np.array([total], dtype=_U)).view(np.int64)[0])
+def set_hashes(sets: list[np.ndarray], seed: int) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    flat = np.concatenate([*sets, np.zeros(0, dtype=_U)])
+    sums = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(mix(flat ^ _U(0x5E7 + 0x9E3779B97F4A7C15 * seed % (1 << 64))), dtype=_U)])
+    at = np.concatenate([[0], np.cumsum(size)])
+    return mix(sums[at[1:]] - sums[at[:-1]] + mix(size.astype(_U) + _U(seed)))
 
 
-_BOUNDS: dict[int, list[int]] = {}
+def names_of(sets: list[np.ndarray], shared: np.ndarray | None = None, bits: int = 64) -> np.ndarray:
+    """Names of sets: a hash of `bits` bits, or a second hash where the first is one of `shared` (sorted hashes that different sets have)."""
+    name = set_hashes(sets, 0) & _U((1 << bits) - 1)
+    if shared is not None and len(shared):
+        at = np.minimum(np.searchsorted(shared, name.view(np.int64)), len(shared) - 1)
+        name = np.where(shared[at] == name.view(np.int64), set_hashes(sets, 2), name)
+    return name.view(np.int64)
 
 
-def names_of(sets: list[np.ndarray]) -> np.ndarray:
-    return np.array([node_of(x) for x in sets], dtype=np.int64)
+_BOUNDS: dict[int, list[int]] = {}
 
 
 def _bounds(threshold: int, size: int) -> tuple[list[int], int]:
@@ -95,25 +113,39 @@ def signatures_of(sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, n
     out, owner = [], []
     for up in (0, 1):
         tag, n1 = _parts(sizes, threshold, up)
-        n1 = np.where(sizes > 0, n1, 0)
-        signs = n1 > 0
-        first = np.cumsum(n1) - n1
-        keep = np.repeat(signs, sizes)
-        of = np.repeat(np.arange(len(sizes)), sizes)[keep]
-        spread = mix(flat[keep] + tag.astype(_U)[of] * _U(2654435761) + _U(1))
-        # the high half of the hash chooses the part, the low half one of its three sub-parts
-        part = ((spread >> _U(32)) * n1.astype(_U)[of] >> _U(32)).astype(np.int64) + first[of]
-        sub = ((spread & _U(0xFFFFFFFF)) * _U(3) >> _U(32)).astype(np.int64)
-        sums = np.zeros(3 * int(n1.sum()), dtype=_U)
-        np.add.at(sums, part * 3 + sub, mix(spread ^ _U(0xA5A5)))
-        sums = sums.reshape(-1, 3)
-        whose = np.repeat(np.arange(len(sizes)), n1)
-        place = ((np.arange(len(whose)) - first[whose]) * 3).astype(_U)
-        salt = tag.astype(_U)[whose] * _U(40503)
-        for j, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-            out.append(mix(sums[:, a] * _U(0xD6E8FEB86659FD93) + mix(sums[:, b]) + (place + _U(j)) * _U(0x9E3779B97F4A7C15) + salt))
-            owner.append(whose)
-    return np.concatenate(out), np.concatenate(owner)
+        some = np.flatnonzero((sizes > 0) & (n1 > 0))
+        for level in range(LEVELS):
+            if not len(some):
+                break
+            sig, own, bare = _signed(flat, sizes, some, tag, n1, level)
+            if level == LEVELS - 1:
+                bare[:] = False
+            out.append(sig[~bare])
+            owner.append(own[~bare])
+            some = np.unique(own[bare])
+    return np.concatenate([*out, np.zeros(0, dtype=_U)]), np.concatenate([*owner, np.zeros(0, dtype=np.int64)])
+
+
+def _signed(flat: np.ndarray, sizes: np.ndarray, some: np.ndarray, tag: np.ndarray, n1: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sets `some`, under one division of the domain: (signatures, their sets, whether both sub-parts are empty)."""
+    n1 = np.where(np.isin(np.arange(len(sizes)), some), n1, 0)
+    first = np.cumsum(n1) - n1
+    keep = np.repeat(n1 > 0, sizes)
+    of = np.repeat(np.arange(len(sizes)), sizes)[keep]
+    spread = mix(flat[keep] + tag.astype(_U)[of] * _U(2654435761) + _U(1 + 0x51ED270B * level))
+    # the high half of the hash chooses the part, the low half one of its three sub-parts
+    part = ((spread >> _U(32)) * n1.astype(_U)[of] >> _U(32)).astype(np.int64) + first[of]
+    sub = ((spread & _U(0xFFFFFFFF)) * _U(3) >> _U(32)).astype(np.int64)
+    sums = np.zeros(3 * int(n1.sum()), dtype=_U)
+    np.add.at(sums, part * 3 + sub, mix(spread ^ _U(0xA5A5)))
+    filled = np.bincount(part * 3 + sub, minlength=len(sums)).reshape(-1, 3) > 0
+    sums = sums.reshape(-1, 3)
+    whose = np.repeat(np.arange(len(sizes)), n1)
+    place = ((np.arange(len(whose)) - first[whose]) * 3).astype(_U)
+    salt = tag.astype(_U)[whose] * _U(40503) + _U(0xC2B2AE3D27D4EB4F * level % (1 << 64))
+    pairs = ((0, 1), (0, 2), (1, 2))
+    sig = [mix(sums[:, a] * _U(0xD6E8FEB86659FD93) + mix(sums[:, b]) + (place + _U(j)) * _U(0x9E3779B97F4A7C15) + salt) for j, (a, b) in enumerate(pairs)]
+    return np.concatenate(sig), np.tile(whose, 3), np.concatenate([~filled[:, a] & ~filled[:, b] for a, b in pairs])
 
 
 def signatures(shingles: np.ndarray, threshold: int) -> np.ndarray:
@@ -177,7 +209,7 @@ def _bucket_ranges(sig: np.ndarray, buckets: int):
     return [(k, at[k], at[k + 1]) for k in range(buckets) if at[k] < at[k + 1]]
 
 
-def _signature_blocks(buckets: int, words: int, threshold: int):
+def _signature_blocks(buckets: int, words: int, threshold: int, name):
     def run(batches):
         sigs: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
@@ -198,7 +230,7 @@ def _signature_blocks(buckets: int, words: int, threshold: int):
                 own = list(shingle_sets(texts[lo:hi], words))
                 sig, of = signatures_of(own, threshold)
                 sigs.append(sig)
-                nodes.append(names_of(own)[of])
+                nodes.append(name(own)[of])
                 held += len(sig)
                 if held > BLOCK_ENTRIES:
                     yield from send()
@@ -359,23 +391,21 @@ def similar_components(sets: list[np.ndarray], threshold: int, joined: list[int]
                 union.join(i, j)
 
 
-def pack_set(shingles: np.ndarray) -> bytes:
-    """A set for verification: the upper 48 bits of its hashes, which tell the shingles of a few sets apart as well."""
-    return pack(shingles >> _U(16))
-
-
-def _candidate_sets(spread, words: int):
-    """Of Arrow batches (doc_id, text): (node, set) of documents that stand for a clustered node."""
+def _candidate_sets(spread, words: int, name):
+    """Of Arrow batches (doc_id, text): (node, set) of documents that stand for a clustered node; a task sends a node once."""
 
     def run(batches):
+        sent: set[int] = set()
         for b in batches:
             ids, texts = b.column(0).fill_null(0).to_numpy(), cells(b.column(1))
             for lo, hi in chunks(texts):
                 own = list(shingle_sets(texts[lo:hi], words))
-                names = np.array([node_of(s) for s in own], dtype=np.int64)
-                some = np.flatnonzero(holds(spread.value, stand_in(names, ids[lo:hi])))
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array([pack_set(own[i]) for i in some], pa.binary())], ["node", "shingles"])
+                names = name(own)
+                some = [i for i in np.flatnonzero(holds(spread.value, stand_in(names, ids[lo:hi]))).tolist() if names[i] not in sent]
+                some = list({names[i]: i for i in some}.values())
+                sent.update(names[some].tolist())
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array([pack(own[i]) for i in some], pa.binary())], ["node", "shingles"])
 
     return run
 
@@ -451,39 +481,61 @@ def _similar(clusters: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return small.unionByName(final)
 
 
-def similar_documents(df: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included).
+def _named(words: int, name):
+    """Of Arrow batches (doc_id, mark, text): doc_id, mark, n_shingles, node, a second hash of the set, and its sketch."""
 
-    Documents link when 100 * intersection >= threshold * union of their sets of word n-grams (lower-cased A-Z; fewer words:
-    the whole sequence). A document without words links with nothing. A null doc_id counts as larger than any other.
-    Repeated rows are linked like any equal texts. Empty table: empty result.
-    """
-    docs = docs_of(df, id_col, text_col)
-
-    def name(batches):
+    def run(batches):
         for b in batches:
-            texts = cells(b.column(1))
+            texts = cells(b.column(2))
             for lo, hi in chunks(texts):
                 own = list(shingle_sets(texts[lo:hi], words))
-                n, node = pa.array([len(s) for s in own], pa.int64()), pa.array(names_of(own))
+                n, node = pa.array([len(s) for s in own], pa.int64()), pa.array(name(own))
                 sketch = pa.array([sketch_of(s) for s in own], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), n, node, sketch], ["doc_id", "n_shingles", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), n, node, pa.array(set_hashes(own, 1).view(np.int64)), sketch],
+                    ["doc_id", "mark", "n_shingles", "node", "check", "sketch"],
+                )
 
-    base = stored(docs.mapInArrow(name, "doc_id long, n_shingles long, node long, sketch binary"), "nodes")
-    named = base.filter("n_shingles > 0").groupBy("node")
-    classes = stored(named.agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "classes")
+    return run
+
+
+def _linked(docs: DataFrame, words: int, threshold: int, name_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (doc_id, mark, text), as stored tables: rows (doc_id, mark, n_shingles, node); nodes (node, first doc_id); and (node, root) of those linked."""
+    shared = np.zeros(0, dtype=np.int64)
+    while True:  # again only if two sets have one name, which among n sets happens with odds of n * n / 2**65
+        name = partial(names_of, shared=shared, bits=name_bits)
+        base = stored(docs.mapInArrow(_named(words, name), "doc_id long, mark string, n_shingles long, node long, check long, sketch binary"), "nodes")
+        named = base.filter("n_shingles > 0").groupBy("node")
+        told = [F.min("doc_id").alias("first"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), (F.min("check") != F.max("check")).alias("several")]
+        classes = stored(named.agg(*told), "classes")
+        several = [r.node for r in classes.filter("several").select("node").collect()]
+        if not several:
+            break
+        shared = np.unique(np.concatenate([shared, np.array(several, dtype=np.int64)]))
     total = base.agg(F.sum("n_shingles").alias("n")).first().n or 0
     buckets = max(1, total // 2 // BUCKET_ENTRIES)
-    blocks = docs.select("text").mapInArrow(_signature_blocks(buckets, words, threshold), "bucket int, body binary")
+    blocks = docs.select("text").mapInArrow(_signature_blocks(buckets, words, threshold, name), "bucket int, body binary")
     groups = blocks.groupBy("bucket").applyInArrow(_bucket_groups(GROUP_UNIT), "gid long, block int, blocks int, node long")
     links = _candidate_links(stored(groups.distinct(), "groups"), classes, threshold, GROUP_UNIT)
     clusters = stored(components(links).withColumnRenamed("root", "cluster"), "clusters")
     chosen = stored(clusters.join(classes.select("node", "first"), "node"), "chosen")
     keys = stored(chosen.select("node", "first").mapInArrow(_stand_ins, "key long"), "keys")
-    spread = df.sparkSession.sparkContext.broadcast(bloom_filter(keys, 1))  # MAX_FILTER_BITS bounds it
-    sets = docs.mapInArrow(_candidate_sets(spread, words), "node long, shingles binary")
+    spread = docs.sparkSession.sparkContext.broadcast(bloom_filter(keys, 1))  # MAX_FILTER_BITS bounds it
+    sets = docs.select("doc_id", "text").mapInArrow(_candidate_sets(spread, words, name), "node long, shingles binary")
     roots = stored(_similar(clusters, sets, threshold).distinct(), "roots")
-    named = roots.join(classes.select("node", "first"), "node")
+    return base.select("doc_id", "mark", "n_shingles", "node"), classes.select("node", "first"), roots
+
+
+def similar_documents(df: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", name_bits: int = 64) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included).
+
+    Documents link when 100 * intersection >= threshold * union of their sets of word n-grams (lower-cased A-Z; fewer words:
+    the whole sequence). A document without words links with nothing. A null doc_id counts as larger than any other.
+    Repeated rows are linked like any equal texts. Empty table: empty result.
+    """
+    docs = docs_of(df, id_col, text_col).select("doc_id", F.lit(None).cast("string").alias("mark"), "text")
+    base, classes, roots = _linked(docs, words, threshold, name_bits)
+    named = roots.join(classes, "node")
     smallest = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     of_node = stored(named.join(smallest, "root").select("node", "component_id"), "components")
     told = classes.join(of_node, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
@@ -491,6 +543,33 @@ def similar_documents(df: DataFrame, words: int = WORDS, threshold: int = THRESH
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def drop_similar(df: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`df` with all its columns and one row of each group of linked documents: that with the smallest doc_id (null last), of several the first by a hash.
+
+    Rows are told apart by doc_id and text together, so a row never goes because another one bears its doc_id; of rows that
+    repeat both, one stays. Documents without words stay. Only texts that a Bloom filter of the dropped rows may hold are shuffled.
+    """
+    spark = df.sparkSession
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    mark = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(" "), F.coalesce(text, F.lit(""))).cast("binary"))
+    base, _, roots = _linked(df.select(doc_id.alias("doc_id"), mark.alias("mark"), text.alias("text")), words, threshold, 64)
+    rows = base.filter("n_shingles > 0").groupBy("node", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(roots, "node", "left").select("doc_id", "mark", "n", F.coalesce("root", "node").alias("group"))
+    rows = stored(rows, "rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    kept = rows.groupBy("group").agg(F.min(order).alias("least"), F.sum("n").alias("of"))
+    kept = stored(kept.filter("of > 1").select("group", F.col("least.mark").alias("kept")), "kept")
+    # a mark that goes has no rows left over; one that stays but repeats has one
+    gone = rows.join(kept, "group").filter((F.col("mark") != F.col("kept")) | (F.col("n") > 1))
+    gone = stored(gone.select(F.col("mark").alias("_mark"), (F.col("mark") == F.col("kept")).alias("_once")), "gone")
+    tested = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), mark.alias("_mark"))
+    tested = tested.withColumn("_maybe", may_hold(spark, gone.select(key_of(F.col("_mark")).alias("_key")))(key_of(F.col("_mark"))))
+    straight = tested.filter(~F.col("_maybe")).select("_row.*")
+    met = tested.filter("_maybe").join(gone, "_mark", "left")
+    once = met.filter("_once").groupBy("_mark").agg(F.first("_row").alias("_row")).select("_row.*")
+    return straight.unionByName(met.filter(F.col("_once").isNull()).select("_row.*")).unionByName(once)
+
+
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -90,7 +90,7 @@ def _cut(path: str, end_id: int, sequence: int):
 
     def run(batches):
         wide = np.dtype("<u2") if max(len(bpe.codec(path).size) - 1, end_id) < 1 << 16 else np.dtype("<u4")
-        for (doc_id,), ids, at in bpe.encoded_batches(batches, path):
+        for (doc_id,), ids, at in bpe.encoded_batches(batches, path, added=True):
             tokens, full, tails = [], [], []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 own = np.append(ids[a:b], end_id).astype("<u4")
@@ -139,8 +139,8 @@ def pack(
     """Pack every document into sequences of at most `sequence` ids; one row per piece.
 
     doc_id, start (ids of the document before the piece), length, ids_crc32 (of little-endian unsigned 32-bit ids),
-    doc_tokens (with the end id), sequence_id, offset (place in the sequence, without gaps from 0). Null and empty texts
-    hold the end id only. Every row counts as a document of its own, also if it repeats another's doc_id or has none.
+    doc_tokens (with the end id), sequence_id, offset (place in the sequence, without gaps from 0). Text that spells an added
+    token of the file gets that token's id, as the `tokenizers` library gives it. Null and empty texts hold the end id only. Every row counts as a document of its own, also if it repeats another's doc_id or has none.
     Empty table: empty result.
     """
     docs = docs_of(df, id_col, text_col)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, bounded_sample, cells, chunks, docs_of, mix, range_hashes
 
-#: Documents that the linear model is fitted on, about, drawn at random.
+#: Documents that the linear model is fitted on, about, drawn by a hash of doc_id and text.
 FIT_ROWS = 4000
 DIMENSIONS = 2048
 LABELLERS = ("symbols", "capitals", "lone marks", "exclaiming", "stuttering", "few words", "no sentences", "repeated lines")
@@ -146,17 +146,45 @@ def hashed_features(words: Words, hashes: np.ndarray) -> np.ndarray:
     return out * (n / (n + 4.0)).astype(np.float32)[:, None]  # few words are little evidence
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, rounds: int = 400) -> np.ndarray:
-    """Weights (the last one the bias) of a logistic model for soft labels, by accelerated gradient steps."""
+def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Mean logistic loss of soft labels with its ridge (the bias has none), and the gradient."""
+    z = np.clip(x @ w, -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    flat = np.append(w[:-1], 0)
+    return float(np.mean(np.logaddexp(0, z) - y * z) + l2 / 2 * flat @ flat), x.T @ (p - y) / len(y) + l2 * flat
+
+
+def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, rounds: int = 120, memory: int = 12) -> np.ndarray:
+    """Weights (the last one the bias) of a logistic model for soft labels, by limited-memory BFGS steps."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)]).astype(np.float32)
-    w = np.zeros(x.shape[1])
-    ahead, pace = w.copy(), 4.0 / float((x**2).sum(axis=1).mean())
-    for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        step = x.T @ (p - y) / len(y) + l2 * np.append(ahead[:-1], 0)
-        new = ahead - pace * step
-        ahead, w = new + k / (k + 3) * (new - w), new
-    return w
+    w = np.zeros(x.shape[1], dtype=np.float32)
+    loss, slope = _loss(x, y, w, l2)
+    moves: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        way, shares = slope.astype(np.float64), []
+        for s, d, r in reversed(moves):
+            shares.append(r * (s @ way))
+            way = way - shares[-1] * d
+        if moves:
+            s, d, r = moves[-1]
+            way = way / (r * (d @ d))
+        for s, d, r in moves:
+            way = way + (shares.pop() - r * (d @ way)) * s
+        pace, fall = 1.0, float(slope @ way)
+        while True:
+            new = (w - pace * way).astype(np.float32)
+            new_loss, new_slope = _loss(x, y, new, l2)
+            if new_loss <= loss - 1e-4 * pace * fall or pace < 1e-4:
+                break
+            pace /= 2
+        step, change = (new - w).astype(np.float64), (new_slope - slope).astype(np.float64)
+        if step @ change > 1e-12:
+            moves = [*moves, (step, change, 1 / float(step @ change))][-memory:]
+        done = loss - new_loss < 1e-7
+        w, loss, slope = new, new_loss, new_slope
+        if done:
+            break
+    return w.astype(np.float64)
 
 
 def _chunked(batches):
@@ -203,7 +231,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows:
     patterns, counts = np.array([r["pattern"] for r in table]), np.array([r["count"] for r in table])
     share, rates, post = fit_labellers(patterns, counts)
     model = Model(patterns, post, share, rates, None)
-    some = bounded_sample(docs, int(counts.sum()), fit_rows)
+    some = bounded_sample(docs, int(counts.sum()), fit_rows, ["doc_id", "text"])
     rows = some.mapInArrow(_sampled, "doc_id long, pattern int, features binary").collect()
     x = np.array([np.frombuffer(r.features, dtype=np.float32) for r in rows])
     model.weights = fit_linear(x, model.posterior_of(np.array([r.pattern for r in rows])))

@@ -9,12 +9,13 @@ merge-joined with the runs of all earlier batches; a fingerprint that an earlier
 that the batch holds twice, is a hit. Runs are compacted into one when there are MAX_RUNS.
 
 Verification. Texts are read again, and every window whose fingerprint may be a hit (a Bloom
-filter of bounded size tells; false alarms only cost work) sends its 96-bit window hash with its
-place. Within a task only the earliest place of a window goes to the bucket where all tasks' first
+filter of bounded size tells; false alarms only cost work) sends its window hash with its place: 96
+bits from two hashes of the words that are independent of each other. Within a task only the earliest place of a window goes to the bucket where all tasks' first
 places meet; later places are known repeats at once. So a passage that a third of all documents
 share costs its bucket one entry a task. Places are ordered by (doc_id, row, start word); a null
 doc_id comes last. Where doc_ids are null or repeat, rows get a key of their own, in a stored table;
-only rows with equal doc_id and equal text count as the same document.
+only rows with equal doc_id and equal text count as the same document. Rows whose key a Bloom filter
+of the keys with repeats doesn't hold are never shuffled: only the texts that may lose words are joined.
 
 Blocks of sorted arrays (not rows) travel, delta-coded and compressed.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, cells, chunks, mix, run_hashes, stored
-from .exact_dedup import bloom_filter, holds
+from .exact_dedup import bloom_filter, holds, may_hold
 
 WINDOW = 20
 GRAM = 10
@@ -261,7 +262,7 @@ def _window_blocks(spread, buckets: int, window: int):
                 if not len(at):
                     continue
                 of = words.text_of_word()[at]
-                key, check = run_hashes(hashes, window, 1)[at], run_hashes(hashes, window, 2)[at] >> np.uint64(32)
+                key, check = run_hashes(hashes, window, 1)[at], run_hashes(words.hashes(1), window, 2)[at] >> np.uint64(32)
                 held.append((of + n_held, (at - words.bounds[of]).astype(np.uint32), key, check.astype(np.uint32)))
                 texts_held.append((ids[lo:hi], rows[lo:hi]))
                 n_held += hi - lo
@@ -392,9 +393,13 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, batches: int = BATCHES,
     else:
         repeats = stored(repeated_windows(docs.join(again, "row", "left_anti"), window, batches), "repeats")
         repeats = repeats.unionByName(again.join(repeats.withColumnRenamed("row", "first"), "first").select("row", "starts"))
-    joined = keyed.join(repeats, "row", "left").select("rest", "text", "starts")
+    repeats = stored(repeats, "places")
+    # a text without repeats passes straight through; only the others meet their places
+    tested = keyed.withColumn("_maybe", may_hold(df.sparkSession, repeats.select("row"))("row"))
+    joined = tested.filter("_maybe").join(repeats, "row", "left").select("rest", "text", "starts")
+    whole = tested.filter(~F.col("_maybe")).select("rest", "text", F.lit(None).cast("array<int>").alias("starts"))
     schema = joined.select("rest").schema.add("kept", "string").add("n_words", "long").add("n_removed", "long")
-    out = joined.mapInArrow(_cut(window), schema)
+    out = whole.mapInArrow(_cut(window), schema).unionByName(joined.mapInArrow(_cut(window), schema))
     text = F.when(~F.col("rest._null"), F.col("kept"))
     row = F.struct(*((text if c == text_col else F.col(f"rest.`{c}`")).alias(c) for c in df.columns))
     return out.select(row.alias("row"), "n_words", "n_removed")

@@ -296,7 +296,7 @@ def fit(labelled: DataFrame, max_terms: int = MAX_TERMS, fit_rows: int = FIT_ROW
     """Lexicon, weights of its hits, and the model, from about `fit_rows` rows of (doc_id, text, toxic), toxic 0 or 1."""
     spark = labelled.sparkSession
     sample = labelled.filter("toxic is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    sample = bounded_sample(sample, sample.count(), fit_rows).repartition(16).persist()
+    sample = bounded_sample(sample, sample.count(), fit_rows, ["doc_id", "text"]).repartition(16).persist()
     model = Model(learn_lexicon(sample, max_terms))
     if model.terms:
         totals = sample.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
@@ -332,7 +332,7 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter("toxic is not null").filter(~held_out)
-    some = bounded_sample(labels, labels.count(), FIT_ROWS)  # bounded, so its broadcast is
+    some = bounded_sample(labels, labels.count(), FIT_ROWS, ["doc_id"])  # bounded, so its broadcast is
     model = fit(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
     scored = score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
