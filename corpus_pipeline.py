@@ -17,30 +17,38 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 WORDS, THRESHOLD = 5, 80
 
 
+#: Scratch tables of the stage that ran last in this driver.
+_last = common.Scratch()
+
+
+def _stage():
+    """Scratch tables made inside belong to a stage. A stage begins when the one before is written, so that one's go; no other work's are touched."""
+    _last.drop()
+    return common.scratch(_last)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    common.drop_scratch(spark)  # of stages whose results are written
-    return quality.drop_bad(docs, quality.fit(docs)).select(COLUMNS)
+    with _stage():
+        return quality.drop_bad(docs, quality.fit(docs)).select(COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of equal texts, that with the largest doc_id."""
-    common.drop_scratch(spark)
-    return exact_dedup.drop_exact(docs).select(COLUMNS)
+    with _stage():
+        return exact_dedup.drop_exact(docs).select(COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that with the smallest doc_id; documents without doc_id or words stay."""
-    common.drop_scratch(spark)
-    found = jaccard.similar_documents(docs, words=WORDS, threshold=THRESHOLD)
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(common.stored(dropped, "near"), "doc_id", "left_anti").select(COLUMNS)
+    """Keeps one document of each group of near copies, that with the smallest doc_id; documents without words stay."""
+    with _stage():
+        return jaccard.drop_similar(docs.select(COLUMNS), words=WORDS, threshold=THRESHOLD)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 20 words and more that an earlier document, or an earlier place, has; documents left without words go."""
-    common.drop_scratch(spark)
-    cut = substring_dedup.remove_repeats(docs.select(COLUMNS))
+    with _stage():
+        cut = substring_dedup.remove_repeats(docs.select(COLUMNS))
     emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_words"))
     kept = cut.filter(~emptied).select("row.*", "n_removed")
     size = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -51,8 +59,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Packs the documents into sequences of 1024 ids."""
     import public_tokenizers
 
-    common.drop_scratch(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    with _stage():
+        return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
@@ -68,13 +76,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each result written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        path = f"{common.shared_dir(spark)}/tracemill/pipeline/{common.uuid.uuid4().hex}"
-        out.write.parquet(path)
+    """All stages over `documents`, each result written to the shared folder; what a stage read goes once it is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        with common.scratch() as written:
+            path = common.scratch_path(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+        if before:
+            before.drop()
+        before = written
+    return STAGES[-1][1](spark, docs, sf_dir)
