@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from tracemill.llm.html_text import extract, main_text, op4_html_text
+from tracemill.llm.html_text import NOISY, NOTHING, OTHERS, SOME, extract, main_text, named, op4_html_text
 
 LONG = "Some words of a paragraph, long enough to count as prose; it goes on, and on, and then it ends."
 
@@ -56,3 +56,56 @@ def test_columns_and_empty(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, None, "x")], "page_id long, html string, text string")
     assert [(r.row.page_id, r.row.text, r.text) for r in extract(df).collect()] == [(1, "x", "")] * 2
     assert extract(df.limit(0)).collect() == []
+
+
+PROSE = [LONG, f"{LONG} 2", f"{LONG} 3"]
+P = "".join(f"<p>{x}</p>" for x in PROSE)
+WANT = "\n".join(["Head", *PROSE])
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<nav><a href='/'>Home</a></nav><div class='content with-sidebar'><h1>Head</h1>{P}</div><div class='sidebar'><p>{LONG} side</p></div>",
+        f"<div class='sidebar'><h1>Head</h1>{P}</div><footer>x</footer>",  # most of the page, whatever it is called
+        f"<div class='legal-news'><h1>Head</h1>{P}</div>",
+        f"<article><h1>Head</h1><p>{PROSE[0]}</p><div class='social'><p>{PROSE[1]}</p></div><p>{PROSE[2]}</p></article>",
+        f"<header>Site</header><div class='post'><header><h1>Head</h1></header>{P}</div>",
+        f"<div id='page-header'><h1>Head</h1></div><div class='body'>{P}</div>",
+        f"<form id='aspnet'><h1>Head</h1>{P}<select><option>a<option>b</select></form>",
+        f"<div id='content'><h1>Head</h1>{P}</div><div class='comments'>" + f"<div class='comment'><p>{LONG} I disagree.</p></div>" * 8 + "</div>",
+        f"<article><h1>Head</h1>{P}<section id='comments'><h2>2 comments</h2><p>{LONG} I disagree.</p></section></article>",
+        f"<div class='main'><h1>Head</h1><p>{PROSE[0]}</p><div class='ad-box'>{LONG} Buy</div><p>{PROSE[1]}</p><p>{PROSE[2]}</p></div>",
+        f"<div class='main'><h1>Head</h1>{P}</div><div id='newsletter-signup'><p>{LONG} Subscribe.</p></div>",
+    ],
+)
+def test_names_only_weigh(body):
+    assert main_text(page(body)) == WANT
+
+
+def test_what_stands_inside_of_a_sentence_does_not_end_it():
+    body = f"<article><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>tex</annotation></math> is <svg><text>x</text></svg>large<script>f()</script>, so it goes on.</p><p>{LONG}</p></article>"
+    assert main_text(page(body)) == f"The sum a+b is large, so it goes on.\n{LONG}"
+
+
+def test_one_paragraph_keeps_its_heading():
+    assert main_text(page(f"<nav><a href='/'>Home</a></nav><div><h1>Head</h1><p>{LONG}</p></div><footer>x</footer>")) == f"Head\n{LONG}"
+
+
+def test_names():
+    kinds = {NOISY: "ad-box main-nav articleFooter top-bar cookie-notice", OTHERS: "comment-list post_comments", SOME: "social", NOTHING: "with-sidebar legal-news cookie-recipes content social-studies"}
+    for kind, names in kinds.items():
+        assert {named(x) for x in names.split()} == {kind}, names
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div>a b c. ", "<span><p>x", "<b></i>", "<li><ul>", "</p>"])
+def test_time_grows_with_the_page(unit):
+    import time
+
+    def spent(n):
+        began = time.process_time()
+        main_text(unit * n)
+        return time.process_time() - began
+
+    spent(100)
+    assert spent(16_000) < max(0.2, 12 * min(spent(4_000), spent(4_000)))

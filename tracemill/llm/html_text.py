@@ -1,14 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
-A page is scanned once into blocks of text, each with its tag path from the root. Blocks under
-elements that never hold an article (menus, forms, scripts, notices, comments …, by tag, role,
-or class) are set aside. For each tag path the text length and the punctuation of its blocks are
-added up; both ratios are smoothed over neighbouring blocks, fused by multiplying, and paths above
-a multiple of the standard deviation are content. The article is the smallest element that
-holds nearly all content text; every remaining block inside it is returned, so short headings and
-list items stay, and blocks that are mostly links go.
-
-Pages are independent, so this runs where the table is read and shuffles nothing.
+A page is scanned once into elements and blocks of text; scripts, styles and other elements whose
+text isn't shown are no text. For each tag path from the root the text length and the punctuation
+of its blocks are added up; both ratios are smoothed over neighbouring blocks and fused by
+multiplying, each block by the weight of the elements that it lies in. Paths above a multiple of
+the standard deviation are content. The article is the smallest element that holds nearly all
+content text; every remaining block inside it is returned, so short headings and list items stay,
+and blocks that are mostly links go.
+
+Weights. Elements that are menus, footers, forms, adverts, comments … by tag, role or class weigh
+nothing, those with a vaguer class (`social`, `legal`, `search`) half. A name only counts if it says
+what the element is: `article-footer` and `ad-box` do, `with-sidebar` and `legal-news` don't. An
+element that holds most of the page's text is the page, whatever it is called, and weighs all.
+
+Pages are independent, so this runs where the table is read and shuffles nothing; the scan is
+linear in the page, however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -25,199 +31,308 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext q rp rt ruby s samp semantics small span strike strong sub sup time tt u "
+    "var wbr br img input".split()
 )
-NEVER = frozenset("head nav footer aside form button select option optgroup script style noscript template iframe textarea title svg math canvas object audio video dialog menu datalist fieldset legend".split())
+#: Elements whose text isn't shown, or is no text of the page; they stand inside of a block without ending it.
+UNSEEN = frozenset("head template svg canvas object audio video select option optgroup button datalist annotation annotation-xml".split())
+#: Elements that never are an article unless they hold most of the page.
+ASIDE = frozenset("nav footer aside form dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist".split())
 HOLDERS = frozenset("html body article main".split())
+#: Elements that are a block of an article, never a whole one.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption summary address".split())
 #: Start tags that end an open element of these kinds.
 ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
-    "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody"), "thead": (), "body": ("head",),
+    "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody"), "body": ("head",),
 }
 #: A new one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SCOPE = frozenset("html body table td th article aside section main div ul ol dl button object template blockquote".split())
-_NOISE = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|breadcrumbs?|masthead|site-?header|page-?header|top-?bar|footer|foot|side-?bar|aside|ads?|advert\w*|ad-?box|banner|sponsor\w*|promo\w*|"
-    r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|sign-?up|log-?in|share|sharing|social|related|recommend\w*|comments?|comment-?\w+|disqus|"
-    r"repl(?:y|ies)|respond|widget|toolbar|pagination|pager|skip\w*|copyright|legal|disclaimer|alert|paywall|search)(?:$|[-_\s])",
-    re.I,
+_LISTS = frozenset("ul ol dl table select html".split())
+#: Words of class names and ids for what is no article; readers' comments; vaguer ones; and words that add nothing to those.
+NOISE = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs masthead topbar footer sidebar ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr popup modal notice notices alert "
+    "newsletter subscribe signup login pagination pager skip skiplink skipnav toolbar widget share sharing related recommended recommendations copyright disclaimer paywall".split()
 )
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+VAGUE = frozenset("social legal search aside foot overlay subscription promotion".split())
+PLAIN = frozenset("box bar block list wrap wrapper container section area inner outer content item items link links text title form unit slot top bottom left right main page site global header body group panel row col column".split())
+#: First words of names that say what else is on the page.
+WITH = frozenset("with has no without hide is".split())
+HEADERS = frozenset("header siteheader pageheader globalheader topheader mainheader".split())
+_NAME = re.compile(r"[A-Z]{2,}(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _TAG = re.compile(r"<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 #: A path is content above so many standard deviations of the fused ratios; the article holds this share of content.
 THRESHOLD = 0.4
 SHARE = 0.95
 #: A block with more of its text in links than this is not content, unless its path is.
 LINKS = 0.5
+#: What marks an element as, and how much a block in it weighs.
+NOTHING, HEADER, SOME, NOISY, OTHERS = range(5)
+WEIGHT = (1.0, 0.0, 0.5, 0.0, 0.0)
 
 
-class Block:
-    __slots__ = ("text", "path", "holders", "links")
-
-    def __init__(self, text: str, path: tuple, holders: tuple, links: int):
-        self.text, self.path, self.holders, self.links = text, path, holders, links
+def named(names: str) -> int:
+    """What class names or an id say of an element: NOTHING, HEADER, SOME (vague), NOISY, or OTHERS (comments of readers)."""
+    found = NOTHING
+    for name in names.split():
+        words = [w.lower() for w in _NAME.findall(name) if len(w) > 1]
+        if not words or words[0] in WITH:
+            continue
+        known = [OTHERS if w in COMMENTS else NOISY if w in NOISE else SOME if w in VAGUE else NOTHING for w in words]
+        if "".join(words) in NOISE:
+            found = max(found, NOISY)
+        elif "".join(words) in HEADERS:
+            found = max(found, HEADER)
+        else:  # a name ends in what the thing is, but for words that any thing may have
+            clear = all(k or w in PLAIN for w, k in zip(words, known, strict=True))
+            found = max(found, max(known) if clear else known[-1])
+    return found
 
 
-def _noise(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
-    if tag in NEVER or (tag == "header" and not inside_article):
-        return True
+def _kind(tag: str, attrs: dict[str, str]) -> int:
+    if tag in ASIDE:
+        return NOISY
+    if tag == "header":
+        return HEADER
     if tag in HOLDERS:
-        return False
+        return NOTHING
     if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attrs.get("style", "")):
-        return True
-    return bool(_NOISE.search(attrs.get("class", "")) or _NOISE.search(attrs.get("id", "")))
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page outside of elements that never hold an article, in page order."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool, str]] = []  # tag, number of the element, whether it or one above is noise, name for paths
-    parts: list[str] = []
-    linked, number, at, n = 0, 0, 0, len(page)
-    lower = None
-
-    def flush():
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
+        return NOISY
+    return max(named(attrs.get("class", "")), named(attrs.get("id", "")))
+
+
+class Page:
+    """Elements (number 0 is the page itself; an element has a larger number than those around it) and blocks of text, in page order."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.kind, self.path_of = [0], [""], [NOTHING], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.text: list[str] = []
+        self.node: list[int] = []
+        self.links: list[int] = []
+
+    def add(self, parent: int, tag: str, attrs: dict[str, str]) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.kind.append(_kind(tag, attrs))
+        first = attrs.get("class", "").lower().split()[:1]
+        key = (self.path_of[parent], ".".join([tag, *first]))
+        self.path_of.append(self.paths.setdefault(key, len(self.paths) + 1))
+        return len(self.parent) - 1
+
+
+class _Scan:
+    """The open elements while a page is read: each as (tag, number of its block element, whether its text is unseen)."""
+
+    def __init__(self) -> None:
+        self.page = Page()
+        self.open: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.at: dict[str, list[int]] = {}  # places of open elements by tag
+        self.scopes: list[int] = [0]
+        self.lists: list[int] = [0]
+        self.parts: list[str] = []
+        self.linked = 0
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
             if text:
-                path = tuple(x[3] for x in stack if x[0] not in INLINE)
-                out.append(Block(text, path, tuple(x[1] for x in stack if x[0] not in INLINE), linked))
-            parts.clear()
-        linked = 0
-
-    def text(raw: str):
-        nonlocal linked
-        if raw and not (stack and stack[-1][2]):
+                self.page.text.append(text)
+                self.page.node.append(self.open[-1][1])
+                self.page.links.append(self.linked)
+            self.parts.clear()
+        self.linked = 0
+
+    def write(self, raw: str) -> None:
+        if raw and not self.open[-1][2]:
             plain = html.unescape(raw)
-            parts.append(plain)
-            if any(x[0] == "a" for x in stack):
-                linked += len(plain.strip())
-
-    def close(kinds, until=_SCOPE):
-        """Close the nearest open element of these kinds, and all inside it, if it is in scope."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in kinds:
-                flush()
-                del stack[k:]
-                return
-            if stack[k][0] in until:
-                return
+            self.parts.append(plain)
+            if self.at.get("a"):
+                self.linked += len(plain.strip())
+
+    def push(self, tag: str, attrs: dict[str, str]) -> None:
+        _, block, unseen = self.open[-1]
+        k = len(self.open)
+        if tag not in INLINE and tag not in UNSEEN and not unseen:
+            block = self.page.add(block, tag, attrs)
+        self.open.append((tag, block, unseen or tag in UNSEEN))
+        self.at.setdefault(tag, []).append(k)
+        if tag in _SCOPE:
+            self.scopes.append(k)
+        if tag in _LISTS:
+            self.lists.append(k)
+
+    def pop_to(self, k: int) -> None:
+        """Close the element at place k and all inside of it."""
+        while len(self.open) > k:
+            tag, last = self.open.pop()[0], len(self.open)
+            for places in (self.at.get(tag, ()), self.scopes, self.lists):
+                if places and places[-1] == last:
+                    places.pop()
 
+    def close(self, kinds: tuple[str, ...], within: list[int]) -> None:
+        """Close the innermost open element of these kinds, if nothing in `within` stands between (an element of both counts as itself)."""
+        k = max((self.at[t][-1] for t in kinds if self.at.get(t)), default=0)
+        if k and k >= within[-1]:
+            self.flush()
+            self.pop_to(k)
+
+
+def scan(page: str) -> Page:
+    """The elements and text blocks of a page."""
+    s = _Scan()
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
         open_ = page.find("<", at)
         if open_ < 0:
-            text(page[at:])
+            s.write(page[at:])
             break
         if open_ > at:
-            text(page[at:open_])
+            s.write(page[at:open_])
         follow = page[open_ + 1 : open_ + 2]
-        if follow == "!" or follow == "?":
-            if page.startswith("<!--", open_):
-                end = page.find("-->", open_ + 4)
-                at = n if end < 0 else end + 3
-            else:
-                end = page.find(">", open_)
-                at = n if end < 0 else end + 1
+        if follow in ("!", "?"):
+            comment = page.startswith("<!--", open_)
+            end = page.find("-->" if comment else ">", open_ + 4 * comment)
+            at = n if end < 0 else end + (3 if comment else 1)
             continue
         if follow == "/":
             end = page.find(">", open_)
             end = n if end < 0 else end
-            tag = page[open_ + 2 : end].split(None, 1)[0].lower() if page[open_ + 2 : end].split(None, 1) else ""
+            words = page[open_ + 2 : min(end, open_ + 66)].split(None, 1)
+            tag = words[0].lower() if words else ""
             at = end + 1
-            if tag in INLINE:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            elif any(x[0] == tag for x in stack):
-                flush()
-                while stack.pop()[0] != tag:
-                    pass
+            places = s.at.get(tag)
+            if tag in UNSEEN:
+                if places:
+                    s.pop_to(places[-1])
+            elif tag in INLINE:
+                # the block elements inside of an inline one end where they end
+                if places and s.open[places[-1]][1] == s.open[-1][1]:
+                    k = places.pop()
+                    if k == len(s.open) - 1:
+                        s.open.pop()
+                    else:
+                        s.open[k] = ("#closed", *s.open[k][1:])
+            elif places:
+                if not s.open[places[-1]][2]:
+                    s.flush()
+                s.pop_to(places[-1])
             continue
-        found = _TAG.match(page, open_) if follow.isalpha() and follow.isascii() else None
+        letter = follow.isalpha() and follow.isascii()
+        found = _TAG.match(page, open_) if letter and open_ < last else None
         if not found:
-            if follow.isalpha() and follow.isascii() and (end := page.find(">", open_)) >= 0:
+            if letter and (end := page.find(">", open_)) >= 0:
                 at = end + 1  # a broken tag
             else:
-                text("<")
+                s.write("<")
                 at = open_ + 1
             continue
         tag, at = found[1].lower(), found.end()
         if tag == "br":
-            text(" ")
+            s.write(" ")
             continue
         attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(found[2])} if found[2].strip(" /") else {}
         if tag in RAW:
-            lower = lower if lower is not None else page.lower()
-            end = lower.find(f"</{tag}", at)
-            at = n if end < 0 else page.find(">", end) + 1 or n
-            if tag not in INLINE:
-                flush()
+            end = _CLOSE[tag].search(page, at)
+            at = n if not end else page.find(">", end.start()) + 1 or n
             continue
         if tag in VOID:
             if tag not in INLINE:
-                flush()
+                s.flush()
             continue
-        if tag not in INLINE:
-            flush()
+        if s.at.get("head") and tag not in UNSEEN:
+            s.pop_to(s.at["head"][-1])  # what isn't of the head ends it
+        if tag not in INLINE and tag not in UNSEEN and not s.open[-1][2]:
+            s.flush()
             if tag in ENDS_P:
-                close(("p",))
+                s.close(("p",), s.scopes)
             if tag in ENDS:
-                close(ENDS[tag], frozenset(("ul", "ol", "dl", "table", "select", "html")))
-            if tag in ("html", "body") and any(x[0] == tag for x in stack):
+                s.close(ENDS[tag], s.lists)
+            if tag in ("html", "body") and s.at.get(tag):
                 continue
-        number += 1
-        above = stack[-1][2] if stack else False
-        name = tag + "".join("." + c for c in attrs.get("class", "").lower().split()[:1])
-        stack.append((tag, number, above or _noise(tag, attrs, any(x[0] in ("article", "main") for x in stack)), name))
-        if found[2].endswith("/") and tag not in INLINE and tag not in HOLDERS and tag != "p" and tag != "div":
-            stack.pop()
-    flush()
-    return out
+        if found[2].endswith("/") and (tag == "svg" or "-" in tag or tag in UNSEEN):
+            continue  # such elements may close themselves
+        s.push(tag, attrs)
+    s.flush()
+    return s.page
+
+
+def _weights(page: Page, size: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Of each element, how much its blocks weigh."""
+    n = len(page.parent)
+    held = np.bincount(node, weights=size, minlength=n)
+    prose = np.bincount(node, weights=np.where(size >= 80, size, 0), minlength=n)
+    for k in range(n - 1, 0, -1):
+        held[page.parent[k]] += held[k]
+        prose[page.parent[k]] += prose[k]
+    weight = np.ones(n)
+    headings = np.zeros(n, dtype=bool)  # inside of these, a header is that of an article
+    for k in range(1, n):
+        kind, up = page.kind[k], page.parent[k]
+        if kind == HEADER and (headings[up] or page.tag[up] not in ("", "html", "body")):
+            kind = NOTHING
+        # readers may write more than the author: their comments are the page only if there is nothing else
+        most = held[k] > 0.5 * held[0] if kind != OTHERS else prose[0] - prose[k] < 80
+        weight[k] = weight[up] * (1.0 if most else WEIGHT[kind])
+        headings[k] = headings[up] or page.tag[k] in ("article", "main")
+    return weight
 
 
-def content_of(blocks: list[Block]) -> list[str]:
+def content_of(page: Page) -> list[str]:
     """The blocks of the article."""
-    if not blocks:
+    if not page.text:
         return []
-    paths = {p: k for k, p in enumerate(dict.fromkeys(b.path for b in blocks))}
-    of = np.array([paths[b.path] for b in blocks])
-    size = np.array([len(b.text) for b in blocks], dtype=float)
-    marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in blocks], dtype=float)
+    node = np.array(page.node)
+    size = np.array([len(t) for t in page.text], dtype=float)
+    links = np.array(page.links, dtype=float)
+    marks = np.array([len(_PUNCTUATION.findall(t)) for t in page.text], dtype=float)
+    of = np.unique(np.array(page.path_of)[node], return_inverse=True)[1]
+    weight = _weights(page, size, node)[node]
     n = np.bincount(of)
     length, points = (np.bincount(of, weights=x) / n for x in (size, marks))
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), [0.25, 0.5, 0.25], mode="valid")
-    fused = smooth(length[of]) * (1 + smooth(points[of]))
+    fused = smooth(length[of]) * (1 + smooth(points[of])) * weight
     per_path = np.bincount(of, weights=fused) / n
-    is_content = per_path[of] >= THRESHOLD * fused.std()
-    weight = np.where(is_content, size, 0.0)
-    if not weight.any():
-        return [b.text for b in blocks]
-    held: dict[int, float] = {}
-    for b, w in zip(blocks, weight, strict=True):
-        for h in b.holders:
-            held[h] = held.get(h, 0.0) + w
-    enough = SHARE * weight.sum()
-    article = max((h for h, w in held.items() if w >= enough), default=0)  # the innermost has the largest number
-    # a lone long paragraph is not the article: take what stands beside it as well
-    kept = [b for b, c in zip(blocks, is_content, strict=True) if (article in b.holders or not article) and (c or b.links <= LINKS * len(b.text))]
-    if len(kept) == 1 and len(blocks) > 1 and article:
-        around = next(b for b in blocks if article in b.holders).holders
-        outer = around[around.index(article) - 1] if around.index(article) else 0
-        kept = [b for b in blocks if outer in b.holders and b.links <= LINKS * len(b.text)] or kept
-    return [b.text for b in kept]
+    is_content = (per_path[of] >= THRESHOLD * fused.std()) & (fused > 0)
+    held = np.bincount(node, weights=np.where(is_content, size, 0), minlength=len(page.parent))
+    if not held.any():
+        return [t for t, w in zip(page.text, weight, strict=True) if w == 1]
+    for k in range(len(held) - 1, 0, -1):
+        held[page.parent[k]] += held[k]
+    whole = np.flatnonzero(held >= SHARE * held[0])
+    article = next((int(k) for k in whole[::-1] if page.tag[k] not in PARTS), 0)  # the innermost has the largest number
+    inside = np.zeros(len(held), dtype=bool)
+    inside[article] = True
+    for k in range(article + 1, len(held)):
+        inside[k] = inside[page.parent[k]]
+    kept = inside[node] & (weight > 0) & (is_content | ((weight == 1) & (links <= LINKS * size)))
+    # a header outside of the article may hold its title: it does where the article has none
+    heads = np.array([page.tag[k] in ("h1", "h2") for k in page.node])
+    if not (kept & heads).any():
+        title = np.flatnonzero([page.tag[k] == "h1" and _in_header(page, k) for k in page.node])[:1]
+        kept[title] = True
+    return [page.text[i] for i in np.flatnonzero(kept)]
+
+
+def _in_header(page: Page, k: int) -> bool:
+    """Whether a heading stands in a header, next to no menu or other part that weighs nothing."""
+    while k and page.kind[k] != HEADER:
+        if page.kind[k]:
+            return False
+        k = page.parent[k]
+    return bool(k)
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, a block a line; empty if it has none."""
-    return "\n".join(content_of(blocks_of(page or "")))
+    return "\n".join(content_of(scan(page or "")))
 
 
 def _run(batches):
@@ -229,7 +344,8 @@ def _run(batches):
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
     """(row, text): `row` holds df's columns but the html, text the article of each page.
 
-    Null or empty html: empty text. Every row gives one row, repeats too. Empty table: empty result.
+    Null or empty html: empty text. Every row gives one row, repeats too. Empty table: empty result. Pages of any length
+    and depth are read whole, in time that grows with their length.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != html_col))
     keyed = df.select(row.alias("row"), F.col(f"`{html_col}`").cast("string").alias("html"))
