@@ -70,3 +70,19 @@ def test_broken_packages_are_errors():
         z.writestr("a", b"y" * 1000)
     with pytest.raises(ValueError, match="compressed"):
         warc.members(io.BytesIO(out.getvalue()), len(out.getvalue()))
+
+
+def test_reading_is_dealt_out_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 20_000)
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, f"u{i}", "".join(rng.choice("abcdefghijklmnop") for _ in range(3000))) for i in range(2000)]
+    records = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch_path(spark, "t")))
+    assert records.rdd.getNumPartitions() >= 8 and records.count() == 2000
+
+
+def test_ranges_are_bounded():
+    lines = [{"length": n} for n in [10] * 600 + [warc.RANGE_BYTES * 2, 5, warc.RANGE_BYTES - 5, 1]]
+    parts = list(warc._runs(lines))
+    assert [x for p in parts for x in p] == lines and [len(p) for p in parts] == [256, 256, 88, 1, 2, 1]

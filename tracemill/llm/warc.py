@@ -35,8 +35,9 @@ from .exact_dedup import possibly_repeated
 LEAST_REVISIT = 100
 #: A package is closed when its WARC member has so many bytes, so index and directory stay small.
 PACKAGE_BYTES = 256 << 20
-#: Records of one range read.
-RANGE_RECORDS = 256
+#: Records and bytes of one range read, at most (but for a single larger record), and bytes that a reading task takes, about.
+RANGE_RECORDS, RANGE_BYTES = 256, 4 << 20
+TASK_BYTES = 16 << 20
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -218,6 +219,19 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     return stored(rows.mapInArrow(_write(folder), "path string, records long, bytes long"), "packages")
 
 
+def _runs(lines: list[dict]) -> Iterator[list[dict]]:
+    """Index lines cut into ranges."""
+    part, size = [], 0
+    for x in lines:
+        if part and (len(part) == RANGE_RECORDS or size + x["length"] > RANGE_BYTES):
+            yield part
+            part, size = [], 0
+        part.append(x)
+        size += x["length"]
+    if part:
+        yield part
+
+
 def _ranges(batches):
     """Of Arrow batches of package paths: runs of records as (path, offset, length, lengths of the records)."""
     for b in batches:
@@ -230,8 +244,7 @@ def _ranges(batches):
                 lines = [json.loads(x[x.index(b"{") :]) for x in f.read(n).splitlines()]
             base = found[WARC_MEMBER][0]
             lines.sort(key=lambda x: x["offset"])
-            for k in range(0, len(lines), RANGE_RECORDS):
-                part = lines[k : k + RANGE_RECORDS]
+            for part in _runs(lines):
                 begin, end = part[0]["offset"], part[-1]["offset"] + part[-1]["length"]
                 yield pa.RecordBatch.from_pylist([{"path": path, "offset": base + begin, "length": end - begin, "lengths": [x["length"] for x in part]}])
 
@@ -264,11 +277,14 @@ def _read(batches):
 def read_archives(packages: DataFrame) -> DataFrame:
     """Every record of the packages: page_id, url, record_type, record_id, refers_to_id, digest, payload (empty for revisits).
 
-    A package's index is cut into ranges of RANGE_RECORDS records, and the ranges are dealt out, so a large package
-    is read by many tasks.
+    A package's index is cut into ranges, and the ranges are dealt out to as many tasks as their bytes ask for
+    (the ranges themselves are tiny rows, so their own size says nothing), so a large package is read by many tasks.
     """
-    ranges = packages.select("path").mapInArrow(_ranges, "path string, offset long, length long, lengths array<long>")
-    return stored(ranges, "ranges").repartition(F.col("path"), F.col("offset")).mapInArrow(_read, RECORD_SCHEMA)
+    ranges = stored(packages.select("path").mapInArrow(_ranges, "path string, offset long, length long, lengths array<long>"), "ranges")
+    size = ranges.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    cores = packages.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(size.n, max(cores, -(-(size.bytes or 0) // TASK_BYTES))))
+    return ranges.repartition(tasks, "path", "offset").mapInArrow(_read, RECORD_SCHEMA)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
