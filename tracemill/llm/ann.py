@@ -5,14 +5,15 @@ and shifted anew for each curve, and every row gets one Hilbert key per curve. S
 (curve, key, vec_id) and numbers the rows in order, so equal vectors spread over neighbouring
 places instead of meeting in one bucket.
 
-Search. A query looks at the rows within `width` places of its own on each curve; the windows are
-cut into blocks of rows, and a block meets a bounded part of its queries in one matrix product.
-Every hit is scored again with the original vectors in double precision, and the curves' lists merge.
-
-Width. A sample of queries is answered exactly, and the number of curves and the width are the
-cheapest that would have found `target` of those answers. On data with structure that is a narrow
-window; on vectors without any (directions drawn at random, say) no ordering helps, and the window
-grows towards the whole table, which keeps the recall and costs as much as a scan in blocks.
+Search. A query looks at the rows within `reach` places of its own on every curve. Neighbouring queries
+of a curve form blocks, and a block of rows is sent to those blocks of queries alone whose windows
+touch it; there, runs of queries meet the rows of their windows in matrix products. Every hit is scored
+again with the original vectors in double precision, and the curves' lists merge.
+
+Reach. A sample of queries is answered exactly, and the reach is the least that finds `target` of those
+answers on the curves together. On data with structure that is a narrow window, and what is shuffled and
+scored grows with the table; on vectors without any (directions drawn at random, say) no ordering helps,
+and the windows grow with the table, which keeps the recall and costs several scans in blocks.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ BITS = 10
 FIT_ROWS = 4096
 FIT_QUERIES = 96
 TARGET = 0.97
-BLOCK_ROWS = 2048
-BLOCK_QUERIES = 2048
+#: Rows and queries of a block at most, bytes of its vectors, and queries that meet their rows in one product.
+BLOCK_ROWS = 32_768
+BLOCK_QUERIES = 8192
+BLOCK_BYTES = 16 << 20
+RUN = 256
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -117,24 +121,25 @@ def _keyed(curves, width: int):
     def run(batches):
         for b in batches:
             if b.num_rows:
-                m = _matrix(b.column(1), width)
+                m = _matrix(b.column(1), width)  # vec_id, vector, row, vec_id, asks
                 for c, curve in enumerate(curves):
-                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(m), pa.int32()), pa.array(curve_keys(m, curve)), b.column(0)], ["curve", "key", "vec_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(m), pa.int32()), pa.array(curve_keys(m, curve)), *b.columns[2:]], ["curve", "key", "row", "vec_id", "asks"])
 
     return run
 
 
 def _numbered(batches):
-    """Place of each row within its partition, counted per curve."""
-    part, seen = TaskContext.get().partitionId(), {}
+    """Place of each row, and of each query among the queries, within its partition, counted per curve."""
+    part, seen, asked = TaskContext.get().partitionId(), {}, {}
     for b in batches:
-        curve = b.column(0).to_numpy()
-        place = np.empty(len(curve), dtype=np.int64)
-        for c in np.unique(curve):
+        curve, asks = b.column(0).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)
+        place, query = np.empty(len(curve), dtype=np.int64), np.empty(len(curve), dtype=np.int64)
+        for c in np.unique(curve).tolist():
             at = np.flatnonzero(curve == c)
-            place[at] = seen.get(int(c), 0) + np.arange(len(at))
-            seen[int(c)] = seen.get(int(c), 0) + len(at)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * len(curve), pa.int32()), pa.array(place), b.column(2)], ["curve", "part", "place", "vec_id"])
+            place[at] = seen.get(c, 0) + np.arange(len(at))
+            query[at] = asked.get(c, 0) + np.cumsum(asks[at]) - asks[at]
+            seen[c], asked[c] = seen.get(c, 0) + len(at), asked.get(c, 0) + int(asks[at].sum())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * len(curve), pa.int32()), pa.array(place), pa.array(query), *b.columns[2:]], ["curve", "part", "place", "query", "row", "vec_id", "asks"])
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -187,26 +192,37 @@ def _scan(queries: np.ndarray, q_ids: np.ndarray, k: int):
     return run
 
 
-def _meet(width: int, k: int):
+def _meet(width: int, k: int, reach: int):
+    """Of a block of queries and one of rows (vec_id, place, vector): hits, runs of queries against the rows of their windows."""
+
+    def found(queries: pa.Table, rows: pa.Table):
+        queries, rows = queries.sort_by("place").combine_chunks(), rows.sort_by("place").combine_chunks()
+        q_at, at = queries["place"].to_numpy(), rows["place"].to_numpy()
+        q_ids, ids = queries["vec_id"].to_numpy(), rows["vec_id"].to_numpy()
+        q, m = _matrix(queries["vector"], width), _matrix(rows["vector"], width)
+        lo, hi = np.searchsorted(at, q_at - reach), np.searchsorted(at, q_at + reach, side="right")
+        i = 0
+        while i < len(q):
+            # a run ends where its rows would be over twice those of its first query
+            j = min(i + RUN, i + 1 + int(np.searchsorted(hi[i + 1 :] - lo[i], 2 * (hi[i] - lo[i]) + RUN, side="right")))
+            if hi[j - 1] > lo[i]:
+                yield from _top(q[i:j], q_ids[i:j], m[lo[i] : hi[j - 1]], ids[lo[i] : hi[j - 1]], k)
+            i = j
+
     def run(key: tuple[pa.Scalar, ...], queries: pa.Table, rows: pa.Table) -> pa.Table:
-        if not (queries.num_rows and rows.num_rows):
-            return _hits([])
-        return _hits(_top(_matrix(queries["vector"], width), queries["vec_id"].to_numpy(), _matrix(rows["vector"], width), rows["vec_id"].to_numpy(), k))
+        return _hits(found(queries, rows) if queries.num_rows and rows.num_rows else [])
 
     return run
 
 
-def _merge(k: int):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        ids = rows["ids"].combine_chunks().flatten().to_numpy()
-        scores = rows["scores"].combine_chunks().flatten().to_numpy()
-        order = np.lexsort((-scores, ids))
-        order = order[np.concatenate([[True], np.diff(ids[order]) != 0])] if len(order) else order
-        top = order[best(scores[order], ids[order], k)]
-        n = len(top)
-        return pa.table({"query_id": pa.array([key[0].as_py()] * n, pa.int64()), "rank": pa.array(np.arange(1, n + 1), pa.int32()), "vec_id": pa.array(ids[top]), "score": pa.array(scores[top])})
-
-    return run
+def _merged(hits: DataFrame, k: int) -> DataFrame:
+    """Of lists of hits: each query's k best, ties to smaller vec_id, a row that came by several curves once."""
+    each = hits.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("h")).select("query_id", F.col("h.ids").alias("vec_id"), F.col("h.scores").alias("score"))
+    once = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = F.struct((F.lit(0.0) - F.col("score")).alias("far"), "vec_id")  # k hits a curve and block at most
+    lists = once.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("hits"))
+    out = lists.select("query_id", F.posexplode("hits").alias("rank", "h"))
+    return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("h.vec_id").alias("vec_id"), (F.lit(0.0) - F.col("h.far")).alias("score"))
 
 
 OUT = "query_id long, rank int, vec_id long, score double"
@@ -217,19 +233,68 @@ def exact_nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     some = queries.collect()
     m = np.array([np.frombuffer(r.vector, dtype="<f8") for r in some])
     ids = np.array([r.vec_id for r in some], dtype=np.int64)
-    return vectors.mapInArrow(_scan(m, ids, k), HITS).groupBy("query_id").applyInArrow(_merge(k), OUT)
+    return _merged(vectors.select("vec_id", "vector").mapInArrow(_scan(m, ids, k), HITS), k)
 
 
-def _plan(truth: list, places: dict, target: float, n_rows: int) -> tuple[list[int], int]:
-    """Curves and width of least cost that find `target` of the sampled answers."""
-    gaps = np.array([[abs(places[c, r.query_id] - places[c, r.vec_id]) for c in range(CURVES)] for r in truth], dtype=np.int64)
-    plans = []
-    for c in range(1, CURVES + 1):
-        near = np.sort(gaps[:, :c].min(axis=1))
-        width = int(near[max(0, int(np.ceil(target * len(near))) - 1)]) + 1
-        plans.append((c * min(n_rows, 2 * width), c, width))
-    _, c, width = min(plans)
-    return list(range(c)), width
+class Index:
+    """Vectors that take part (vec_id, vector, asks, row), and every one's place on each curve (curve, place, query, row, vec_id, asks).
+
+    `row` tells rows apart that repeat a vec_id. `query` numbers the queries of a curve by their places.
+    """
+
+    def __init__(self, df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding"):
+        spark = df.sparkSession
+        table = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("v"))
+        usual = table.filter("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        self.width = usual.n if usual and usual.n else 1
+        self.vectors = stored(table.mapInArrow(_clean(self.width), "vec_id long, vector binary").withColumn("asks", F.coalesce(is_query, F.lit(False))).withColumn("row", F.monotonically_increasing_id()), "vectors")
+        self.queries = self.vectors.filter("asks")
+        self.n_rows, self.n_queries = self.vectors.count(), self.queries.count()
+        self.places = None
+        fit = bounded_sample(self.vectors, self.n_rows, FIT_ROWS, ["vec_id", "vector"]).collect() if self.n_queries else []
+        if not fit:
+            return
+        curves = fit_curves(np.array([np.frombuffer(r.vector, dtype="<f8") for r in fit]), CURVES)
+        keyed = self.vectors.select("vec_id", "vector", "row", F.col("vec_id").alias("id"), "asks").mapInArrow(_keyed(curves, self.width), "curve int, key long, row long, vec_id long, asks boolean")
+        ordered = keyed.repartitionByRange(max(1, self.n_rows * CURVES // 100_000), "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
+        numbered = stored(ordered.mapInArrow(_numbered, "curve int, part int, place long, query long, row long, vec_id long, asks boolean"), "numbered")
+        counts = numbered.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).orderBy("curve", "part")
+        before, total = [], {}
+        for r in counts.collect():  # a row per curve and 100,000 places
+            n, q = total.get(r.curve, (0, 0))
+            before.append((r.curve, r.part, n, q))
+            total[r.curve] = (n + r.n, q + r.q)
+        offsets = spark.createDataFrame(before, "curve int, part int, rows_before long, queries_before long")
+        joined = numbered.join(offsets, ["curve", "part"])
+        self.places = stored(joined.select("curve", (F.col("place") + F.col("rows_before")).alias("place"), (F.col("query") + F.col("queries_before")).alias("query"), "row", "vec_id", "asks"), "places")
+
+    def fit_reach(self, k: int, target: float) -> int | None:
+        """The least reach that finds `target` of the exact answers to a bounded sample of queries; None if there are none."""
+        truth = exact_nearest(self.vectors, self.queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_QUERIES), k).collect()
+        asked = {r.query_id for r in truth} | {r.vec_id for r in truth}
+        if not asked:
+            return None
+        some = self.vectors.sparkSession.createDataFrame([(x,) for x in asked], "vec_id long")
+        places: dict[tuple[int, int], int] = {(r.curve, r.vec_id): r.place for r in self.places.join(F.broadcast(some), "vec_id").collect()}  # FIT_QUERIES * k ids at most
+        gaps = np.array([[abs(places[c, r.query_id] - places[c, r.vec_id]) for c in range(CURVES)] for r in truth], dtype=np.int64)
+        near = np.sort(gaps.min(axis=1))
+        return int(near[max(0, int(np.ceil(target * len(near))) - 1)]) + 1
+
+    def search(self, k: int, reach: int) -> DataFrame:
+        """(query_id, rank, vec_id, score) of every query's k nearest among the rows within its windows."""
+        fits = BLOCK_BYTES // (8 * self.width)
+        rows, queries = max(1, min(BLOCK_ROWS, fits)), max(1, min(BLOCK_QUERIES, fits // 4))
+        block = lambda place: F.floor(place / F.lit(rows)).cast("long")
+        asking = self.places.filter("asks").withColumn("group", F.floor(F.col("query") / F.lit(queries)).cast("long"))
+        spans = asking.groupBy("curve", "group").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+        first, last = block(F.greatest(F.lit(0), F.col("first") - reach)), block(F.least(F.lit(self.n_rows - 1), F.col("last") + reach))
+        units = stored(spans.select("curve", "group", F.explode(F.sequence(first, last)).alias("block")), "units")
+        unit = ["curve", "group", "block"]
+        sent = asking.join(units, ["curve", "group"]).join(self.queries.select("row", "vector"), "row")
+        held = self.places.withColumn("block", block(F.col("place"))).join(units, ["curve", "block"]).join(self.vectors.select("row", "vector"), "row")
+        # columns of their own, as both sides come from one table
+        sent, held = (x.select(*(F.col(c).alias(c) for c in (*unit, "vec_id", "place", "vector"))) for x in (sent, held))
+        return _merged(sent.groupBy(*unit).cogroup(held.groupBy(*unit)).applyInArrow(_meet(self.width, k, reach), HITS), k)
 
 
 def nearest(df: DataFrame, is_query, k: int = NEAREST, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -239,48 +304,9 @@ def nearest(df: DataFrame, is_query, k: int = NEAREST, target: float = TARGET, i
     length than most. Rows that repeat an id count as one candidate (the best of them) and one query. Fewer candidates than k:
     all. Equal scores: smaller vec_id first. Empty table: empty result.
     """
-    spark = df.sparkSession
-    table = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("v"))
-    usual = table.filter("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    width = usual.n if usual and usual.n else 1
-    vectors = stored(table.mapInArrow(_clean(width), "vec_id long, vector binary"), "vectors")
-    by_hash = F.xxhash64("vec_id")
-    queries = vectors.filter(is_query)
-    n_rows, n_queries = vectors.count(), queries.count()
-    fit = bounded_sample(vectors, n_rows, FIT_ROWS, ["vec_id", "vector"]).collect()
-    if not fit or not n_queries:
-        return spark.createDataFrame([], OUT)
-    curves = fit_curves(np.array([np.frombuffer(r.vector, dtype="<f8") for r in fit]), CURVES)
-    parts = max(1, n_rows * CURVES // 100_000)
-    keyed = vectors.mapInArrow(_keyed(curves, width), "curve int, key long, vec_id long")
-    ordered = keyed.repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
-    numbered = stored(ordered.mapInArrow(_numbered, "curve int, part int, place long, vec_id long"), "numbered")
-    counts = {(r.curve, r.part): r["count"] for r in numbered.groupBy("curve", "part").count().collect()}  # a row per curve and partition
-    before, total = [], {}
-    for c, p in sorted(counts):
-        before.append((c, p, total.get(c, 0)))
-        total[c] = total.get(c, 0) + counts[c, p]
-    offsets = spark.createDataFrame(before, "curve int, part int, before long")
-    places = numbered.join(F.broadcast(offsets), ["curve", "part"]).select("curve", (F.col("place") + F.col("before")).alias("place"), "vec_id")
-
-    truth = exact_nearest(vectors, queries.orderBy(by_hash, "vec_id").limit(FIT_QUERIES), k).collect()
-    asked = {r.query_id for r in truth} | {r.vec_id for r in truth}
-    if not asked:
-        return spark.createDataFrame([], OUT)
-    sampled = places.join(F.broadcast(spark.createDataFrame([(x,) for x in asked], "vec_id long")), "vec_id").collect()
-    chosen, reach = _plan(truth, {(r.curve, r.vec_id): r.place for r in sampled}, target, n_rows)
-
-    placed = stored(places.filter(F.col("curve").isin(chosen)), "places")
-    shares = max(1, -(-n_queries // BLOCK_QUERIES))
-    share = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(shares))
-    block = lambda place: F.floor(place / F.lit(BLOCK_ROWS))
-    first, last = block(F.greatest(F.lit(0), F.col("place") - reach)), block(F.least(F.lit(n_rows - 1), F.col("place") + reach))
-    sent = placed.filter(is_query).withColumn("share", share).withColumn("block", F.explode(F.sequence(first, last))).join(queries, "vec_id")
-    held = placed.withColumn("block", block(F.col("place"))).join(vectors, "vec_id").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    sent, held = (x.select(*(F.col(c).alias(c) for c in ("curve", "block", "share", "vec_id", "vector"))) for x in (sent, held))
-    unit = ["curve", "block", "share"]
-    hits = sent.groupBy(*unit).cogroup(held.groupBy(*unit)).applyInArrow(_meet(width, k), HITS)
-    return hits.groupBy("query_id").applyInArrow(_merge(k), OUT)
+    index = Index(df, is_query, id_col, vector_col)
+    reach = index.fit_reach(k, target) if index.places is not None else None
+    return df.sparkSession.createDataFrame([], OUT) if reach is None else index.search(k, reach)
 
 
 def op8_nearest(spark, sf_dir: str) -> DataFrame:
