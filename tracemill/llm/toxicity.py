@@ -1,10 +1,11 @@
 """Toxicity: Levenshtein automata over a lexicon trie, with scores from the words around each hit.
 
 Lexicon. From a bounded sample of labelled documents: words and word stems (prefixes) that occur
-mostly in toxic ones, at most MAX_TERMS. The terms form a trie; the automaton that accepts every
-word within one edit of a term is intersected with it and made deterministic once, on the driver.
-Its table (bounded by MAX_STATES) is sent to the tasks, where all words of a batch walk through
-it together, a byte a step, so the cost is a few table look-ups per letter.
+mostly in toxic ones, the strongest first, as many as the loss on a part of the sample that they were
+not learned from goes on falling. The terms form a trie; the automaton that accepts every word within
+one edit of a term is intersected with it and made deterministic state by state, as words of the
+texts lead there, so neither the number nor the length of terms is limited. All words of a batch walk
+through it together, a byte a step, so the cost is a few table look-ups per letter.
 
 Score. Each hit counts by its term, by whether it is exact or misspelled, and by its context: a
 window of words on both sides, with quotation marks around the hit (quotation) or further hits
@@ -21,11 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, cells, chunks, docs_of
 
-#: Labelled documents that lexicon and model are learned from, about, drawn at random.
+#: Labelled documents that lexicon and model are learned from, about, drawn by a hash.
 FIT_ROWS = 12_000
-MAX_TERMS = 160
-MAX_STATES = 60_000
-STEM_LENGTHS = (4, 5, 6, 7, 8)
+#: Terms that the search for their number begins with; it doubles them while the loss falls by this share at least.
+FIRST_TERMS, LEAST_FALL = 20, 0.002
+#: One in so many rows of the sample judges the number of terms.
+JUDGES = 4
+#: States that a worker holds before it forgets them and begins anew; results don't depend on it.
+KEPT_STATES = 100_000
+STEM_LENGTHS = range(4, 13)
 #: A shorter term must match exactly.
 LEAST_FUZZY = 5
 #: Words on each side of a hit that make its context.
@@ -63,69 +68,83 @@ class Automaton:
         alphabet = sorted({b for t, _ in terms for b in t})
         self.classes = np.zeros(256, dtype=np.int64)
         self.classes[alphabet] = 1 + np.arange(len(alphabet))
-
-        def closed(live: set[tuple[int, int]]) -> frozenset:
-            """With letters of the term left out."""
-            return frozenset(live | {(c, 1) for node, e in live if e == 0 for c in children[node].values() if long_below[c]})
-
-        def rank(i: int, e: int) -> tuple[int, int]:
-            return e, i
-
-        def stems(live, best):
-            for node, e in live:
-                i = ends[node].get(True)
-                if i is not None and (e == 0 or fuzzy[i]) and (best is None or rank(i, e) < best):
-                    best = rank(i, e)
-            return best
-
-        def step(live, byte):
-            out = set()
-            for node, e in live:
-                child = children[node].get(byte)
-                if child is not None:
-                    out.add((child, e))
-                if e == 0:
-                    if long_below[node]:
-                        out.add((node, 1))  # a letter too many
-                    out.update((c, 1) for c in children[node].values() if long_below[c])  # another letter
-            return closed({(n, e) for n, e in out if e == 0 or (n, 0) not in out})
-
-        start = closed({(0, 0)})
-        first = (start, stems(start, None))
-        number, queue, rows = {first: 0}, [first], []
-        for live, best in queue:
-            row = []
-            for byte in (None, *alphabet):
-                after = step(live, byte)
-                state = (after, stems(after, best))
-                if state not in number:
-                    if len(number) >= MAX_STATES:
-                        raise ValueError(f"the automaton of {len(terms)} terms has over {MAX_STATES} states")
-                    number[state] = len(number)
-                    queue.append(state)
-                row.append(number[state])
-            rows.append(row)
-        self.table = np.array(rows, dtype=np.int32)
-        self.hit = np.full(len(queue), -1, dtype=np.int32)
-        for s, (live, best) in enumerate(queue):
-            for node, e in live:
-                i = ends[node].get(False)
-                if i is not None and (e == 0 or fuzzy[i]) and (best is None or rank(i, e) < best):
-                    best = rank(i, e)
-            if best is not None:
-                self.hit[s] = 2 * best[1] + best[0]
-        # states that every byte leads back to need no further walk
-        self.final = (self.table == np.arange(len(queue))[:, None]).all(axis=1)
+        self.children, self.ends, self.long_below, self.fuzzy, self.alphabet = children, ends, long_below, fuzzy, alphabet
+        self._begin()
+
+    def __getstate__(self) -> dict:
+        """Without the states, which every worker makes for itself."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "hit", "final", "states", "number")}
+
+    def __setstate__(self, held: dict) -> None:
+        self.__dict__.update(held)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.table = np.full((64, len(self.alphabet) + 1), -1, dtype=np.int32)
+        self.hit, self.final = np.full(64, -1, dtype=np.int32), np.zeros(64, dtype=bool)
+        self.states: list[tuple[frozenset, tuple[int, int] | None]] = []
+        self.number: dict[tuple[frozenset, tuple[int, int] | None], int] = {}
+        start = self._closed({(0, 0)})
+        self._state(start, self._best(start, True, None))
+
+    def _closed(self, live: set[tuple[int, int]]) -> frozenset:
+        """With letters of the term left out."""
+        return frozenset(live | {(c, 1) for node, e in live if e == 0 for c in self.children[node].values() if self.long_below[c]})
+
+    def _best(self, live, stem: bool, best):
+        """The least of (errors, term) of the terms that end here."""
+        for node, e in live:
+            i = self.ends[node].get(stem)
+            if i is not None and (e == 0 or self.fuzzy[i]) and (best is None or (e, i) < best):
+                best = (e, i)
+        return best
+
+    def _state(self, live: frozenset, best) -> int:
+        found = self.number.setdefault((live, best), len(self.states))
+        if found == len(self.states):
+            if found == len(self.hit):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+                self.hit, self.final = np.concatenate([self.hit, self.hit]), np.concatenate([self.final, self.final])
+            self.states.append((live, best))
+            end = self._best(live, False, best)
+            self.hit[found] = -1 if end is None else 2 * end[1] + end[0]
+            self.final[found] = not live  # whatever follows changes nothing
+        return found
+
+    def _step(self, state: int, letter: int) -> int:
+        """The state after a letter (a number of the alphabet from 1, or 0 for any other)."""
+        live, best = self.states[state]
+        byte = self.alphabet[letter - 1] if letter else None
+        out = set()
+        for node, e in live:
+            child = self.children[node].get(byte)
+            if child is not None:
+                out.add((child, e))
+            if e == 0:
+                if self.long_below[node]:
+                    out.add((node, 1))  # a letter too many
+                out.update((c, 1) for c in self.children[node].values() if self.long_below[c])  # another letter
+        after = self._closed({(n, e) for n, e in out if e == 0 or (n, 0) not in out})
+        return self._state(after, self._best(after, True, best))
 
     def walk(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The hit of each word data[start:end], -1 for none."""
+        if len(self.states) > KEPT_STATES:
+            self._begin()
         state = np.zeros(len(starts), dtype=np.int32)
         some = np.flatnonzero(ends > starts)
-        k = 0
+        k, letters = 0, self.table.shape[1]
         while len(some):
-            state[some] = self.table[state[some], self.classes[data[starts[some] + k]]]
+            letter = self.classes[data[starts[some] + k]]
+            after = self.table[state[some], letter]
+            if (new := after < 0).any():
+                for way in np.unique(state[some][new].astype(np.int64) * letters + letter[new]).tolist():
+                    to = self._step(way // letters, way % letters)
+                    self.table[way // letters, way % letters] = to
+                after = self.table[state[some], letter]
+            state[some] = after
             k += 1
-            some = some[(starts[some] + k < ends[some]) & ~self.final[state[some]]]
+            some = some[(starts[some] + k < ends[some]) & ~self.final[after]]
         return self.hit[state]
 
 
@@ -193,30 +212,32 @@ def features(texts: list[bytes], automaton: Automaton, weights: np.ndarray) -> n
 # ---------------------------------------------------------------------- learning
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str, bool]]:
+def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     """Words and stems of a labelled sample (text, toxic) that mark toxic documents, strongest first.
 
-    Counts are made in Spark; only terms of at least LEAST toxic documents, mostly toxic, come to the driver.
+    Counts are made in Spark; only terms of several toxic documents, mostly toxic, come to the driver.
     """
     totals = sample.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = int(totals.t or 0), int((totals.n or 0) - (totals.t or 0))
     if not toxic or not clean:
         return []
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    words = F.filter(words, lambda w: F.char_length(w).between(3, 24))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     stems = [F.transform(F.filter(words, lambda w, k=k: F.char_length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEM_LENGTHS]
     terms = sample.select("toxic", F.explode(F.array_distinct(F.concat(words, *stems))).alias("term"))
     least = max(3, toxic // 400)
     counted = terms.groupBy("term").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     ratio = (F.col("t") + 0.1) / F.lit(toxic) / ((F.col("n") - F.col("t") + 0.5) / F.lit(clean))
     gain = F.col("t") / F.lit(toxic) - (F.col("n") - F.col("t")) * 3 / F.lit(clean)
-    found = counted.filter(F.col("t") >= least).filter(ratio >= 12).orderBy(F.desc(gain), "term").limit(20 * max_terms).collect()
+    found = counted.filter(F.col("t") >= least).filter(ratio >= 12).orderBy(F.desc(gain), "term").collect()  # of a bounded sample
     chosen: list[tuple[str, bool]] = []
+    stems_chosen: set[str] = set()
     for r in found:
         term, stem = r.term.rstrip("*"), r.term.endswith("*")
         # a term that a chosen stem covers adds nothing
-        if len(chosen) < max_terms and not any(s and term.startswith(t) for t, s in chosen):
+        if not any(term[:k] in stems_chosen for k in range(1, len(term) + 1)):
             chosen.append((term, stem))
+            if stem:
+                stems_chosen.add(term)
     return chosen
 
 
@@ -287,31 +308,51 @@ def _featured(spread):
             texts = cells(b.column(0))
             for lo, hi in chunks(texts):
                 rows = spread.value.raw(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array(rows.tolist(), pa.list_(pa.float64())), b.column(1).slice(lo, hi - lo)], ["x", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows.tolist(), pa.list_(pa.float64())), *(c.slice(lo, hi - lo) for c in b.columns[1:])], ["x", "toxic", "judge"])
 
     return run
 
 
-def fit(labelled: DataFrame, max_terms: int = MAX_TERMS, fit_rows: int = FIT_ROWS) -> Model:
-    """Lexicon, weights of its hits, and the model, from about `fit_rows` rows of (doc_id, text, toxic), toxic 0 or 1."""
-    spark = labelled.sparkSession
-    sample = labelled.filter("toxic is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    sample = bounded_sample(sample, sample.count(), fit_rows, ["doc_id", "text"]).repartition(16).persist()
-    model = Model(learn_lexicon(sample, max_terms))
-    if model.terms:
-        totals = sample.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
-        counted = sample.select("text", "toxic").mapInArrow(_codes(spark.sparkContext.broadcast(model)), "code int, toxic int")
-        seen = {r.code: (r.t, r.n) for r in counted.groupBy("code").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
-        toxic, clean = totals.t, totals.n - totals.t
-        log_odds = lambda t, n: np.log((t + 0.5) / (toxic + 1)) - np.log((n - t + 0.5) / (clean + 1))
-        for i in range(len(model.terms)):
-            exact, wrong = seen.get(2 * i, (0, 0)), seen.get(2 * i + 1, (0, 0))
-            model.weights[2 * i] = log_odds(*exact) if exact[1] else 0.0
-            # a misspelling that the sample lacks counts like the term, less the doubt
-            model.weights[2 * i + 1] = max(0.0, log_odds(*wrong)) if wrong[1] >= 3 else 0.6 * max(0.0, model.weights[2 * i])
-        rows = sample.select("text", "toxic").mapInArrow(_featured(spark.sparkContext.broadcast(model)), "x array<double>, toxic int").collect()
-        model.linear = _fit_rising(np.array([r.x for r in rows]), np.array([r.toxic for r in rows], dtype=float))
-    sample.unpersist()
+def _fit_terms(terms: list[tuple[str, bool]], learn: DataFrame, judge: DataFrame | None = None) -> tuple[Model, float]:
+    """Weights of the hits of these terms and the model over (text, toxic) rows; and its mean log loss on `judge`."""
+    spark, model = learn.sparkSession, Model(terms)
+    totals = learn.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    counted = learn.mapInArrow(_codes(spark.sparkContext.broadcast(model)), "code int, toxic int")
+    seen = {r.code: (r.t, r.n) for r in counted.groupBy("code").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect()}  # two codes a term
+    toxic, clean = totals.t, totals.n - totals.t
+    log_odds = lambda t, n: np.log((t + 0.5) / (toxic + 1)) - np.log((n - t + 0.5) / (clean + 1))
+    for i in range(len(terms)):
+        exact, wrong = seen.get(2 * i, (0, 0)), seen.get(2 * i + 1, (0, 0))
+        model.weights[2 * i] = log_odds(*exact) if exact[1] else 0.0
+        # a misspelling that the sample lacks counts like the term, less the doubt
+        model.weights[2 * i + 1] = max(0.0, log_odds(*wrong)) if wrong[1] >= 3 else 0.6 * max(0.0, model.weights[2 * i])
+    both = learn.withColumn("judge", F.lit(0)) if judge is None else learn.withColumn("judge", F.lit(0)).unionByName(judge.withColumn("judge", F.lit(1)))
+    rows = both.mapInArrow(_featured(spark.sparkContext.broadcast(model)), "x array<double>, toxic int, judge int").collect()  # eight numbers a row of the sample
+    x, y, judges = np.array([r.x for r in rows]), np.array([r.toxic for r in rows], dtype=float), np.array([r.judge == 1 for r in rows])
+    model.linear = _fit_rising(x[~judges], y[~judges])
+    z = np.clip(x[judges] @ model.linear[:-1] + model.linear[-1], -30, 30)
+    return model, float(np.mean(np.logaddexp(0, z) - y[judges] * z)) if judges.any() else 0.0
+
+
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Lexicon, weights of its hits, and the model, from about `fit_rows` rows of (doc_id, text, toxic), toxic 0 or 1.
+
+    The number of terms is doubled while a part of the sample that they weren't learned from is predicted better.
+    """
+    some = labelled.filter("toxic is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    some = bounded_sample(some, some.count(), fit_rows, ["doc_id", "text"]).withColumn("judge", F.pmod(F.xxhash64("text", "doc_id"), F.lit(JUDGES)) == 0)
+    kept = some.repartition(16, "doc_id").persist()
+    sample, learn, judge = (x.select("text", "toxic") for x in (kept, kept.filter("not judge"), kept.filter("judge")))
+    terms = learn_lexicon(learn)
+    n, best, least = min(FIRST_TERMS, len(terms)), 0, np.inf
+    while terms and n > best:
+        loss = _fit_terms(terms[:n], learn, judge)[1]
+        if loss >= (1 - LEAST_FALL) * least:
+            break
+        best, least, n = n, loss, min(2 * n, len(terms))
+    terms = learn_lexicon(sample)[: best or FIRST_TERMS]
+    model = _fit_terms(terms, sample)[0] if terms else Model([])
+    kept.unpersist()
     return model
 
 
@@ -330,7 +371,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter("toxic is not null").filter(~held_out)
     some = bounded_sample(labels, labels.count(), FIT_ROWS, ["doc_id"])  # bounded, so its broadcast is
     model = fit(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
