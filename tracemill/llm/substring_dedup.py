@@ -31,16 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, cells, chunks, mix, run_hashes, stored
-from .exact_dedup import bloom_filter, holds, may_hold
+from .exact_dedup import bloom_filter, holds
 
 WINDOW = 20
 GRAM = 10
 BATCHES = 3
 MAX_RUNS = 2
 #: Fingerprints of an index bucket and windows of a verification bucket, about.
-BUCKET_ENTRIES = 1 << 20
+BUCKET_ENTRIES = 1 << 19
 #: Windows that a task gathers before it sends its blocks.
-BLOCK_WINDOWS = 1 << 20
+BLOCK_WINDOWS = 1 << 19
 _LAST = np.iinfo(np.int64).max
 #: Added to the row keys of documents without doc_id, so that they come after all others.
 _UNNAMED = 1 << 62
@@ -312,6 +312,21 @@ def _repeats_of(rows: pa.Table, buckets: int) -> pa.Table:
     return pa.table({"to": pa.array(out, pa.int32()), "body": pa.array(bodies, pa.binary())})
 
 
+def _tested(spread, wanted: bool):
+    """Of Arrow batches whose last column is the row: the rows that the filter may hold, or those that it doesn't."""
+
+    def run(batches):
+        for b in batches:
+            found = holds(spread.value, b.column(b.num_columns - 1).to_numpy().view(np.uint64))
+            some = np.flatnonzero(found == wanted)
+            if len(some) == b.num_rows:
+                yield b
+            elif len(some):
+                yield b.take(pa.array(some))
+
+    return run
+
+
 def _cut(window: int):
     """Of Arrow batches (rest, text, starts): text without the covered words (and the white space behind each), and counts."""
 
@@ -395,11 +410,12 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, batches: int = BATCHES,
         repeats = repeats.unionByName(again.join(repeats.withColumnRenamed("row", "first"), "first").select("row", "starts"))
     repeats = stored(repeats, "places")
     # a text without repeats passes straight through; only the others meet their places
-    tested = keyed.withColumn("_maybe", may_hold(df.sparkSession, repeats.select("row"))("row"))
-    joined = tested.filter("_maybe").join(repeats, "row", "left").select("rest", "text", "starts")
-    whole = tested.filter(~F.col("_maybe")).select("rest", "text", F.lit(None).cast("array<int>").alias("starts"))
+    spread = df.sparkSession.sparkContext.broadcast(bloom_filter(repeats.select("row"), 1))  # MAX_FILTER_BITS bounds it
+    rows = keyed.select("rest", "text", F.lit(None).cast("array<int>").alias("starts"), "row")
+    joined = rows.mapInArrow(_tested(spread, True), rows.schema).drop("starts").join(repeats, "row", "left").select("rest", "text", "starts")
     schema = joined.select("rest").schema.add("kept", "string").add("n_words", "long").add("n_removed", "long")
-    out = whole.mapInArrow(_cut(window), schema).unionByName(joined.mapInArrow(_cut(window), schema))
+    cut, alone = _cut(window), _tested(spread, False)
+    out = rows.mapInArrow(lambda batches: cut(alone(batches)), schema).unionByName(joined.mapInArrow(cut, schema))
     text = F.when(~F.col("rest._null"), F.col("kept"))
     row = F.struct(*((text if c == text_col else F.col(f"rest.`{c}`")).alias(c) for c in df.columns))
     return out.select(row.alias("row"), "n_words", "n_removed")
