@@ -2,6 +2,7 @@
 
 import gzip
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tracemill.operators import predict as pr
 from tracemill.operators import runs as rn
 from tracemill.operators import transitions as tr
 from tracemill.sources import eventlog as ev
+from tracemill.sources import scratch
 
 SCHEMA = "case_id string, task_name string, timestamp string, resource string, amount double, event_seq long"
 
@@ -221,3 +223,117 @@ def test_classifier_weighs_classes_and_sees_earlier_tasks(spark):
     log = pr.labelled(pr.earlier_tasks(log.withColumn("timestamp", log.timestamp.cast("timestamp")), 1)).filter("task_name = 'm'")
     out = pr.next_event_classifier(log, ["amount"], ("task_1",)).transform(log)
     assert out.filter("label <> prediction").count() == 0
+
+
+def plans_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_no_window_sees_all_rows(spark, tiny):
+    log = ev.events_log(spark, tiny)
+    asked = [ft.split_cases(log), ft.split_cases(log, "temporal"), ft.encode_log(log), ft.amount_quartile(log), an.long_cases(an.cycle_times(log)), pr.time_quantiles(pr.labelled(log))]
+    for df in asked:
+        for line in plans_of(df).splitlines():  # Window [functions], [partition keys], [order]
+            assert not re.search(r"Window \[.*\], \[[^\[\]]*(ASC|DESC)[^\[\]]*\]$", line) or re.search(r"\], \[[^\[\]]+\], \[", line), line
+
+
+def test_numbers_and_quantiles_by_ranges(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    values = [rng.choice([0.0, 1.5, -2.25, rng.uniform(-9, 9)]) for _ in range(700)]
+    df = spark.createDataFrame([(v, f"k{i % 3}") for i, v in enumerate(values)] + [(None, "k0"), (None, "none")], "v double, k string").repartition(7)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.95, 1.0]
+    assert scratch.exact_quantiles(df, "v", qs).first().quantiles == pytest.approx(np.quantile(values, qs).tolist())
+    got = {r.k: r.quantiles for r in scratch.exact_quantiles(df, "v", qs, ("k",)).collect()}
+    assert set(got) == {"k0", "k1", "k2"}
+    for k in range(3):
+        assert got[f"k{k}"] == pytest.approx(np.quantile(values[k::3], qs).tolist())
+    assert scratch.exact_quantiles(df.limit(0), "v", [0.5]).first().quantiles == [None]
+    ids = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(5)
+    assert sorted((r.x, r.n) for r in scratch.numbered(ids, F.col("x")).collect()) == [(i, i) for i in range(1000)]
+    assert sorted((r.x, r.n) for r in scratch.numbered(ids, F.col("x").desc()).collect()) == [(i, 999 - i) for i in range(1000)]
+    assert scratch.numbered(ids.limit(0), F.col("x")).collect() == []
+
+
+def test_split_takes_the_first_hashes(spark):
+    import hashlib
+
+    for n in (1, 2, 7, 300):
+        log = log_of(spark, {f"c{k}": "A" for k in range(n)})
+        order = sorted((hashlib.md5(f"c{k}:42".encode()).hexdigest(), f"c{k}") for k in range(n))
+        want = {c for _, c in order[: max(1, round(n * 0.2))]}
+        assert {r.case_id for r in ft.split_cases(log).filter("split = 'val'").collect()} == want
+
+
+def test_unknown_activities_and_empty_prefixes(spark):
+    names = spark.createDataFrame([(0, "A"), (1, "B")], "id int, name string")
+    asked = lambda *x: spark.createDataFrame([(t,) for t in x], "tasks array<string>")
+    assert pr.require_known(asked(["A"], ["A", "B"]), names).count() == 2
+    with pytest.raises(ValueError, match="Unknown activities: X"):
+        pr.require_known(asked(["A"], ["A", "X"]), names)
+    for empty in ([], None):
+        with pytest.raises(ValueError, match="empty prefix"):
+            pr.require_known(asked(["A"], empty), names)
+
+
+def test_padding(spark):
+    log = log_of(spark, {"a": "ABCD"})
+    names = ft.label_dictionary(log, "task_name")
+    full = {r.k: (r.padded, r.length, r.padded_vectors) for r in tr.pad_prefixes(tr.prefixes(log, continuous=["amount"]), names).collect()}
+    assert full == {1: ([1, 0, 0], 1, [[0.0], [0.0], [0.0]]), 2: ([1, 2, 0], 2, [[0.0], [1.0], [0.0]]), 3: ([1, 2, 3], 3, [[0.0], [1.0], [2.0]])}
+    short = {r.k: (r.padded, r.length, r.padded_resources) for r in tr.pad_prefixes(tr.prefixes(log), names, 2, ft.label_dictionary(log, "resource")).collect()}
+    assert short == {1: ([1, 0], 1, [1, 0]), 2: ([1, 2], 2, [1, 1]), 3: ([2, 3], 2, [1, 1])}
+    assert tr.pad_prefixes(tr.prefixes(log.limit(0)), names).collect() == []
+
+
+def test_differences_of_text_lists_and_booleans(spark):
+    schema = "run_id string, stage string, m struct<name: string, l: array<int>, ok: boolean, x: double>, only string"
+    a = spark.createDataFrame([("r", "s", ("p", [1, 2], True, 1.0), "here")], schema)
+    b = spark.createDataFrame([("q", "s", ("p", [3, 4, 5], False, 2.0), None)], schema)
+    got = {r.metric_path: (r.status, r.a, r.b) for r in rn.diff_values(rn.flatten_values(a), rn.flatten_values(b)).collect()}
+    assert got == {"m.l": ("changed", "2", "3"), "m.ok": ("changed", "true", "false"), "only": ("removed", "here", None)}
+    other = b.withColumn("stage", F.lit("t"))
+    assert {(r.stage, r.status) for r in rn.stages_of_one(a, other).collect()} == {("s", "removed"), ("t", "added")}
+
+
+def test_metrics_are_written_by_run_and_stage(spark, tmp_path):
+    import os
+
+    rows_ = spark.createDataFrame([("r", "s", "x", 1.0), ("r", "t", "x", 2.0)], "run_id string, stage string, metric_path string, value double")
+    ev.write_metrics(rows_, str(tmp_path / "m"))
+    ev.write_metrics(rows_.filter("stage = 's'").withColumn("run_id", F.lit("q")), str(tmp_path / "m"))
+    assert sorted(x for x in os.listdir(tmp_path / "m") if x.startswith("run_id")) == ["run_id=q", "run_id=r"]
+    assert rows(spark.read.json(str(tmp_path / "m")).select("run_id", "stage", "value")) == [("q", "s", 1.0), ("r", "s", 1.0), ("r", "t", 2.0)]
+
+
+def test_bootstrap_of_small_cells(spark):
+    df = spark.createDataFrame([("a", ["a", "b"], [0.9, 0.1])] * 27 + [("b", ["a", "b"], [0.6, 0.4])] * 3, "y_true string, labels array<string>, probs array<double>")
+    got = {r.metric: (r.low, r.high) for r in mt.bootstrap_ci(df, 400).collect()}
+    assert set(got) == {"accuracy", "macro_f1", "top_3", "top_5", "mrr"}
+    assert 0.72 < got["accuracy"][0] < 0.9 < got["accuracy"][1] <= 1.0 and got["top_3"] == got["top_5"] == (1.0, 1.0)
+    assert got["macro_f1"][0] < 0.48 < got["macro_f1"][1] + 0.05 and got["mrr"][0] < 0.95 < got["mrr"][1]
+    assert {(r.low, r.high) for r in mt.bootstrap_ci(df.limit(0), 20).collect()} == {(0.0, 0.0)}
+    draws = spark.range(4000).select(mt._poisson(F.lit(3.0), (F.col("id") + 0.5) / 4000).alias("k")).agg(F.avg("k"), F.var_samp("k"), F.max("k")).first()
+    assert draws[0] == pytest.approx(3.0, abs=0.02) and draws[1] == pytest.approx(3.0, abs=0.1) and draws[2] < 15
+
+
+def test_combined_loss(spark):
+    import math
+
+    df = spark.createDataFrame([("a", ["a", "b"], [0.8, 0.2], 1.0, 1.5), ("b", ["a", "b"], [0.6, 0.4], 2.0, 2.0), ("z", ["a", "b"], [0.6, 0.4], 0.0, 0.0)], "y_true string, labels array<string>, probs array<double>, dt_log double, dt_pred double")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "name string, weight double")
+    r = mt.combined_loss(df, weights, 0.5).first()
+    assert r.cross_entropy == pytest.approx(-(math.log(0.8) + 3 * math.log(0.4)) / 4) and r.dt_mse == pytest.approx(0.25 / 3)
+    assert r.loss == pytest.approx(r.cross_entropy + 0.5 * r.dt_mse)
+    assert mt.combined_loss(df).first().loss == pytest.approx(-(math.log(0.8) + math.log(0.4)) / 2)
+
+
+def test_many_tasks_cluster_in_spark(spark, monkeypatch):
+    monkeypatch.setattr(an, "MAX_TASKS", 3)
+    clique = lambda names: [(a, b, 5) for a, b in itertools.permutations(names, 2)]
+    edges = clique("abc") + clique("xyz") + [("c", "x", 1)]
+    got = {r.task: r.cluster for r in an.spectral_clusters(spark.createDataFrame(edges, "src string, tgt string, weight int")).collect()}
+    assert set(got) == set("abcxyz") and set(got.values()) <= {0, 1}  # power iteration starts at random

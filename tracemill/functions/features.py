@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.sources.eventlog import in_case
+from tracemill.sources.scratch import exact_quantiles, numbered
 
 CYCLIC = ["dow_sin", "dow_cos", "hod_sin", "hod_cos"]
 FEATURES = ["amount", *CYCLIC]
@@ -26,9 +27,9 @@ def cyclic(log: DataFrame) -> DataFrame:
 
 
 def label_dictionary(log: DataFrame, column: str) -> DataFrame:
-    """(id, name): rank of each distinct name, from 0. Names are few, so one sort of them is small."""
+    """(id, name): rank of each distinct name, from 0, by ranges of names."""
     names = log.select(F.coalesce(F.col(column), F.lit("nan")).alias("name")).distinct()
-    return names.select((F.row_number().over(Window.orderBy("name")) - 1).alias("id"), "name")
+    return numbered(names, F.col("name"), name="id").select(F.col("id").cast("int").alias("id"), "name")
 
 
 def label_encode(log: DataFrame, column: str, to: str, names: DataFrame | None = None) -> DataFrame:
@@ -96,7 +97,7 @@ def split_cases(log: DataFrame, mode: str = "case", val_frac: float = 0.2, seed:
     """`log` with split "train" or "val"; whole cases go together.
 
     "case": cases in order of md5(case_id:seed); "temporal": the cases that start last are validation. At least one case is.
-    Only the cases' keys are ranked; their number is counted once.
+    Only the cases' keys are ranked: hashes by their first digits, of which one table counts the cases, and times by ranges.
     """
     if not 0 < val_frac < 1:
         raise ValueError("val_frac must lie between 0 and 1")
@@ -104,18 +105,34 @@ def split_cases(log: DataFrame, mode: str = "case", val_frac: float = 0.2, seed:
         raise ValueError(f"Unknown split mode {mode}")
     if mode == "case":
         cases = log.select("case_id").distinct().withColumn("k", F.md5(F.concat("case_id", F.lit(f":{seed}"))))
-        order = [F.col("k"), F.col("case_id")]
+        val = _first_hashes(cases, val_frac)
     else:
-        cases = log.groupBy("case_id").agg(F.min("timestamp").alias("k"))
-        order = [F.col("k").desc(), F.col("case_id").desc()]
-    n = cases.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(val_frac)).cast("long")).alias("n_val"))
-    val = cases.withColumn("r", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(n)).filter(F.col("r") <= F.col("n_val")).select("case_id", F.lit("val").alias("split"))
-    return log.join(val, "case_id", "left").withColumn("split", F.coalesce("split", F.lit("train")))
+        cases = numbered(log.groupBy("case_id").agg(F.min("timestamp").alias("k")), F.col("k").desc(), F.col("case_id").desc())
+        n = cases.agg(_share_of(F.count(F.lit(1)), val_frac).alias("n_val"))
+        val = cases.crossJoin(F.broadcast(n)).filter(F.col("n") < F.col("n_val"))  # one row
+    return log.join(val.select("case_id", F.lit("val").alias("split")), "case_id", "left").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def _share_of(n, val_frac: float):
+    return F.greatest(F.lit(1), F.bround(n * F.lit(val_frac)).cast("long"))
+
+
+def _first_hashes(cases: DataFrame, val_frac: float) -> DataFrame:
+    """The share of `cases` (case_id, k) that comes first by (k, case_id), k an md5: whole groups of equal first digits, and part of one group."""
+    grouped = cases.withColumn("g", F.conv(F.substring("k", 1, 3), 16, 10).cast("int"))
+    table = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("c")).agg(F.sort_array(F.collect_list(F.struct("g", "c"))).alias("t"))  # 4096 entries at most
+    table = table.withColumn("n_val", _share_of(F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x["c"]), val_frac))
+    begin = F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("int").alias("cut"))
+    step = lambda a, x: F.when(a["cut"].isNotNull(), a).when(a["before"] + x["c"] >= F.col("n_val"), F.struct(a["before"].alias("before"), x["g"].alias("cut"))).otherwise(F.struct((a["before"] + x["c"]).alias("before"), a["cut"].alias("cut")))
+    cut = table.withColumn("a", F.aggregate("t", begin, step)).select("n_val", "a.before", "a.cut")
+    some = grouped.crossJoin(F.broadcast(cut)).filter(F.col("g") <= F.col("cut"))  # one row
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("k", "case_id"))
+    return some.withColumn("r", rank).filter((F.col("g") < F.col("cut")) | (F.col("r") <= F.col("n_val") - F.col("before")))
 
 
 def amount_quartile(df: DataFrame) -> DataFrame:
     """amount_bucket: Q1 … Q4 by quartile edges over all rows (upper edges included), "all" if edges coincide, "nan" for null."""
-    edges = df.agg(F.percentile("amount", [0.0, 0.25, 0.5, 0.75, 1.0]).alias("q"))
+    edges = exact_quantiles(df, "amount", [0.0, 0.25, 0.5, 0.75, 1.0]).withColumnRenamed("quantiles", "q")
     q = lambda k: F.col("q")[k]
     same = (q(0) == q(1)) | (q(1) == q(2)) | (q(2) == q(3)) | (q(3) == q(4))
     bucket = F.when(F.col("amount").isNull(), "nan").when(same, "all").when(F.col("amount") <= q(1), "Q1").when(F.col("amount") <= q(2), "Q2").when(F.col("amount") <= q(3), "Q3").otherwise("Q4")

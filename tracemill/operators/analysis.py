@@ -7,16 +7,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.features import amount_quartile
-from tracemill.operators.transitions import end_activities, start_activities, task_adjacency
+from tracemill.operators.conformance import conformance_summary, discover_dfg
+from tracemill.operators.transitions import end_activities, mean_wait, start_activities, task_adjacency
+from tracemill.sources.scratch import exact_quantiles
 
-#: Above so many tasks the eigenvectors aren't computed on the driver.
+#: Above so many tasks the eigenvectors aren't computed on the driver: the adjacency is clustered by power iteration in Spark.
 MAX_TASKS = 2000
 
 
 def bottlenecks(trans: DataFrame) -> DataFrame:
-    """Per (src, tgt): mean wait and count, longest mean first."""
-    out = trans.groupBy("src", "tgt").agg(F.avg("wait_s").alias("mean_s"), F.count(F.lit(1)).alias("n")).withColumn("mean_hours", F.col("mean_s") / 3600)
-    return out.orderBy(F.desc("mean_hours"), "src", "tgt")
+    """Per (src, tgt): mean wait and count. In no order; `slowest_first` sorts what is shown."""
+    return trans.groupBy("src", "tgt").agg(mean_wait().alias("mean_s"), F.count(F.lit(1)).alias("n")).withColumn("mean_hours", F.col("mean_s") / 3600)
+
+
+def slowest_first(stats: DataFrame) -> DataFrame:
+    return stats.orderBy(F.desc("mean_hours"), "src", "tgt")
 
 
 def significant_bottlenecks(stats: DataFrame, least: int = 5) -> DataFrame:
@@ -34,24 +39,26 @@ def cycle_times(log: DataFrame) -> DataFrame:
 
 def cycle_time_percentile(cycles: DataFrame, q: float = 0.95, exact: bool = True) -> DataFrame:
     """One row; interpolates linearly, or estimates from a bounded sketch if not exact."""
-    f = F.percentile("cycle_time_hours", q) if exact else F.percentile_approx("cycle_time_hours", q, 10_000)
-    return cycles.agg(f.alias("cut"))
+    if exact:
+        return exact_quantiles(cycles, "cycle_time_hours", [q]).select(F.col("quantiles")[0].alias("cut"))
+    return cycles.agg(F.percentile_approx("cycle_time_hours", q, 10_000).alias("cut"))
 
 
-def long_cases(cycles: DataFrame, q: float = 0.95) -> DataFrame:
-    return cycles.crossJoin(F.broadcast(cycle_time_percentile(cycles, q))).filter(F.col("cycle_time_hours") > F.col("cut"))  # one row
+def long_cases(cycles: DataFrame, q: float = 0.95, exact: bool = True) -> DataFrame:
+    """The cases that take longer than the percentile, or than its estimate."""
+    return cycles.crossJoin(F.broadcast(cycle_time_percentile(cycles, q, exact))).filter(F.col("cycle_time_hours") > F.col("cut"))  # one row
 
 
 def top_transitions(trans: DataFrame, top: int = 5, least: int = 10) -> DataFrame:
-    return bottlenecks(trans).filter(F.col("n") >= least).limit(top)
+    return slowest_first(bottlenecks(trans).filter(F.col("n") >= least)).limit(top)
 
 
 def driver_groups(trans: DataFrame, top: int = 5, least: int = 10, group_least: int = 3) -> DataFrame:
     """For the slowest transitions: mean wait and count per value of resource, weekday, hour and amount quartile, in one pass."""
     slow = F.broadcast(top_transitions(trans, top, least).select("src", "tgt"))  # `top` rows
     some = amount_quartile(trans).join(slow, ["src", "tgt"], "left_semi")
-    long = some.select("src", "tgt", "wait_h", F.expr("stack(4, 'resource', resource, 'day_of_week', cast(dow as string), 'hour_of_day', cast(hod as string), 'amount_bucket', amount_bucket) as (feature, value)"))
-    groups = long.filter("value is not null").groupBy("src", "tgt", "feature", "value").agg(F.avg("wait_h").alias("mean_h"), F.count(F.lit(1)).alias("n"))
+    long = some.select("src", "tgt", "wait_s", F.expr("stack(4, 'resource', resource, 'day_of_week', cast(dow as string), 'hour_of_day', cast(hod as string), 'amount_bucket', amount_bucket) as (feature, value)"))
+    groups = long.filter("value is not null").groupBy("src", "tgt", "feature", "value").agg((mean_wait() / 3600).alias("mean_h"), F.count(F.lit(1)).alias("n"))
     return groups.filter(F.col("n") >= group_least)
 
 
@@ -81,21 +88,18 @@ def transition_probabilities(trans: DataFrame) -> DataFrame:
     return task_adjacency(trans).select("src", "tgt", share.alias("p"))
 
 
-def transition_matrix(trans: DataFrame) -> DataFrame:
-    return transition_counts(trans).groupBy("src").pivot("tgt").agg(F.first("n")).orderBy("src")
-
-
 def spectral_clusters(adjacency: DataFrame, k: int = 2, normalized: bool = True, seed: int = 0) -> DataFrame:
     """(task, cluster) by the Laplacian's eigenvectors of the symmetrised adjacency.
 
     The log is reduced to one row per pair of tasks in Spark; only that table comes to the driver, and only if it has
-    MAX_TASKS tasks at most. k = 2: sign of the Fiedler vector; more: k-means on the next eigenvectors.
+    MAX_TASKS tasks at most. k = 2: sign of the Fiedler vector; more: k-means on the next eigenvectors. Larger ones are
+    clustered by power iteration on the same normalised affinities.
     """
     spark = adjacency.sparkSession
     tasks = adjacency.select(F.col("src").alias("t")).union(adjacency.select("tgt")).distinct().orderBy("t").limit(MAX_TASKS + 1)
     names = [r.t for r in tasks.collect()]
     if len(names) > MAX_TASKS:
-        raise ValueError(f"over {MAX_TASKS} tasks: cluster with ml.clustering.PowerIterationClustering")
+        return _by_power_iteration(adjacency, k)
     at = {t: i for i, t in enumerate(names)}
     a = np.zeros((len(names), len(names)))
     for r in adjacency.collect():  # MAX_TASKS squared at most
@@ -119,40 +123,58 @@ def spectral_clusters(adjacency: DataFrame, k: int = 2, normalized: bool = True,
     return spark.createDataFrame([(n, int(c)) for n, c in zip(names, label, strict=True)], "task string, cluster int")
 
 
-def preprocessing_summary(log: DataFrame) -> DataFrame:
-    """One row over a log with split."""
+def _by_power_iteration(adjacency: DataFrame, k: int) -> DataFrame:
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    from tracemill.sources.scratch import cut, numbered
+
+    both = adjacency.select("src", "tgt", "weight").unionByName(adjacency.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), "weight"))
+    edges = both.filter("src < tgt").groupBy("src", "tgt").agg((F.sum("weight") / 2).alias("weight"))
+    names = cut(numbered(both.select(F.col("src").alias("task")).distinct(), F.col("task"), name="id"))
+    ids = edges.join(names.withColumnsRenamed({"task": "src", "id": "a"}), "src").join(names.withColumnsRenamed({"task": "tgt", "id": "b"}), "tgt")
+    found = PowerIterationClustering(k=k, maxIter=30, srcCol="a", dstCol="b", weightCol="weight").assignClusters(ids.select("a", "b", "weight"))
+    return names.join(found, "id", "left").select("task", F.coalesce("cluster", F.lit(0)).cast("int").alias("cluster"))  # a task without neighbours: 0
+
+
+def preprocessing_summary(log: DataFrame, scaler: str = "l2", seed: int = 42) -> DataFrame:
+    """One row over a log with split, with the scaler's name and the seed that it was prepared with."""
     return log.agg(
         F.count_distinct("task_name").alias("num_tasks"), F.count_distinct("resource").alias("num_resources"), F.count_distinct("case_id").alias("num_cases_total"),
         F.count_distinct(F.when(F.col("split") == "train", F.col("case_id"))).alias("num_cases_train"), F.count_distinct(F.when(F.col("split") == "val", F.col("case_id"))).alias("num_cases_val"),
         F.unix_micros(F.min("timestamp")).alias("first_us"), F.unix_micros(F.max("timestamp")).alias("last_us"),
+        F.lit(scaler).alias("scaler_mode"), F.lit(seed).alias("seed"),
     )
 
 
-def analysis_summary(log: DataFrame, trans: DataFrame) -> DataFrame:
-    """One row: cases, 95th percentile of the cycle time, long cases, rare transitions."""
+def analysis_summary(log: DataFrame, trans: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """One row: cases, 95th percentile of the cycle time, long cases, rare transitions; deviant cases, fitness, precision and
+    F of `model` (default: the log's own directly-follows model); and the bottleneck drivers, strongest first, as one array."""
     cycles = cycle_times(log)
     cut = cycle_time_percentile(cycles)
     long = cycles.crossJoin(F.broadcast(cut)).agg(F.count(F.lit(1)).alias("total_traces"), F.count_if(F.col("cycle_time_hours") > F.col("cut")).alias("num_long_cases"), F.max("cut").alias("p95_hours"))
     rare = rare_transitions(bottlenecks(trans)).agg(F.count(F.lit(1)).alias("num_rare_transitions"))
-    return long.crossJoin(F.broadcast(rare))  # one row each
+    fits = conformance_summary(log, discover_dfg(log) if model is None else model).select("num_deviant", "fitness", "precision", "f_score")
+    why = F.struct("src", "tgt", "rank", "feature", "spread_h", "worst", "best")
+    told = drivers(trans).agg(F.sort_array(F.collect_list(why)).alias("drivers"))  # four features of five transitions
+    return long.crossJoin(F.broadcast(rare)).crossJoin(F.broadcast(fits)).crossJoin(F.broadcast(told))  # one row each
 
 
 # ----------------------------------------------------------------------- charts
 
 
 def cycle_time_histogram(cycles: DataFrame, bins: int = 30) -> DataFrame:
-    """(bin, low, high, n) of equal widths between the extremes, the last bin closed; empty bins are left out."""
-    ends = cycles.agg(F.min("cycle_time_hours").alias("lo"), F.max("cycle_time_hours").alias("hi"))
+    """(bin, low, high, n, mean) of equal widths between the extremes, the last bin closed; empty bins are left out. `mean` is that of all cases."""
+    ends = cycles.agg(F.min("cycle_time_hours").alias("lo"), F.max("cycle_time_hours").alias("hi"), F.avg("cycle_time_hours").alias("mean"))
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("cycle_time_hours") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
     out = cycles.crossJoin(F.broadcast(ends)).withColumn("bin", place)
-    return out.groupBy("bin").agg(F.first(F.col("lo") + width * F.col("bin")).alias("low"), F.first(F.col("lo") + width * (F.col("bin") + 1)).alias("high"), F.count(F.lit(1)).alias("n"))
+    return out.groupBy("bin").agg(F.first(F.col("lo") + width * F.col("bin")).alias("low"), F.first(F.col("lo") + width * (F.col("bin") + 1)).alias("high"), F.count(F.lit(1)).alias("n"), F.first("mean").alias("mean"))
 
 
 def process_flow_edges(trans: DataFrame, top: int = 5, least: int = 5) -> DataFrame:
     """All edges with frequency, mean wait, and whether they are among the slowest significant ones."""
     stats = bottlenecks(trans)
-    slow = F.broadcast(significant_bottlenecks(stats, least).limit(top).select("src", "tgt", F.lit(True).alias("slow")))
+    slow = F.broadcast(slowest_first(significant_bottlenecks(stats, least)).limit(top).select("src", "tgt", F.lit(True).alias("slow")))
     return stats.join(slow, ["src", "tgt"], "left").select("src", "tgt", "n", "mean_hours", F.coalesce("slow", F.lit(False)).alias("is_bottleneck"))
 
 

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.transitions import transitions
+from tracemill.operators.transitions import mean_wait
 from tracemill.sources.eventlog import in_case
 
 
 def resource_wait_table(trans: DataFrame) -> DataFrame:
-    return trans.groupBy("src", "tgt", "resource").agg(F.avg("wait_h").alias("mean_h"), F.count(F.lit(1)).alias("n"))
+    return trans.groupBy("src", "tgt", "resource").agg((mean_wait() / 3600).alias("mean_h"), F.count(F.lit(1)).alias("n"))
 
 
 def transition_wait_table(trans: DataFrame) -> DataFrame:
-    return trans.groupBy("src", "tgt").agg(F.avg("wait_h").alias("mean_h"), F.count(F.lit(1)).alias("n"))
+    return trans.groupBy("src", "tgt").agg((mean_wait() / 3600).alias("mean_h"), F.count(F.lit(1)).alias("n"))
 
 
 def whatif_events(trans: DataFrame, swap_from: str, swap_to: str, cases: DataFrame | None = None) -> DataFrame:
@@ -51,7 +49,8 @@ def swap_candidates(trans: DataFrame, least: int = 2) -> DataFrame:
 
 
 def explain_case(log: DataFrame, predicted: DataFrame, look_back: int = 5, top: int = 5) -> DataFrame:
-    """Per event of `predicted` (case_id, event_seq, y_pred): the earlier-or-same events that speak most for the prediction.
+    """Per event of `predicted` (case_id, event_seq, y_pred, and prob if it has one): the earlier-or-same events that speak most for the
+    prediction, beside the task that did follow (y_true, null if none did) and the prediction's probability.
 
     The weight of a task at distance d is its positive pointwise mutual information with the next task over the whole log;
     weights of an event sum to 1. Nothing looks ahead.
@@ -66,11 +65,12 @@ def explain_case(log: DataFrame, predicted: DataFrame, look_back: int = 5, top:
     of_d = Window.partitionBy("d")
     pmi = F.log(F.col("c") * F.sum("c").over(of_d) / (F.sum("c").over(Window.partitionBy("d", "task")) * F.sum("c").over(Window.partitionBy("d", "next_task"))))
     weights = joint.select("d", "task", F.col("next_task").alias("y_pred"), F.greatest(pmi, F.lit(0.0)).alias("pmi"))
-    out = seen.drop("next_task").join(predicted.select("case_id", "event_seq", "y_pred"), ["case_id", "event_seq"]).join(weights, ["d", "task", "y_pred"]).filter("pmi > 0")
+    said = predicted.select("case_id", "event_seq", "y_pred", F.col("prob") if "prob" in predicted.columns else F.lit(None).cast("double").alias("prob"))
+    out = seen.withColumnRenamed("next_task", "y_true").join(said, ["case_id", "event_seq"]).join(weights, ["d", "task", "y_pred"]).filter("pmi > 0")
     of_event = Window.partitionBy("case_id", "event_seq")
     out = out.withColumn("weight", F.col("pmi") / F.sum("pmi").over(of_event))
     rank = F.row_number().over(of_event.orderBy(F.desc(F.round("weight", 9)), "d"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= top).select("case_id", "event_seq", "y_pred", "rank", "d", "task", "weight")
+    return out.withColumn("rank", rank).filter(F.col("rank") <= top).select("case_id", "event_seq", "y_true", "y_pred", "prob", "rank", "d", "task", "weight")
 
 
 def resource_policy(trans: DataFrame) -> DataFrame:
@@ -102,7 +102,3 @@ def offline_q(trans: DataFrame, gamma: float = 0.9, iterations: int = 3) -> Data
 
 def suffix_report(suffixes: DataFrame) -> DataFrame:
     return suffixes.select("case_id", F.format_string("| %s | %.4f | %.2f h |", F.array_join("tasks", " → "), "prob", F.col("total_dt_s") / 3600).alias("line"))
-
-
-def all_transitions(*logs: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, (transitions(x) for x in logs))

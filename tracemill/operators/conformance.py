@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.transitions import end_activities, prefixes, start_activities, task_adjacency, transitions
+from tracemill.functions.features import with_next
+from tracemill.operators.transitions import end_activities, start_activities, task_adjacency, transitions
+from tracemill.sources.eventlog import in_case
 
 START, END = "__start__", "__end__"
 
@@ -61,9 +63,13 @@ def etc_precision(log: DataFrame, model: DataFrame) -> DataFrame:
     """One row: 1 - escaping / enabled edges over the states that prefixes lead to, weighted by their visits.
 
     A state is the whole prefix; enabled are the model's successors of its last task, escaping those never seen after it.
+    Prefixes are told apart by their length and two hashes that grow with the window, so a case of n events costs n rows.
     """
-    visits = prefixes(log).select(F.md5(F.array_join("tasks", ">")).alias("state"), F.element_at("tasks", -1).alias("src"), F.col("label").alias("tgt"))
-    seen = visits.groupBy("state", "src").agg(F.count(F.lit(1)).alias("w"), F.collect_set("tgt").alias("seen"))  # a set of tasks
+    w = in_case()
+    at = with_next(log).withColumn("_k", F.row_number().over(w))
+    grown = [F.bit_xor(F.xxhash64(F.lit(seed), "_k", "task_name")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"state_{seed}") for seed in (1, 2)]
+    visits = at.select("_k", *grown, F.col("task_name").alias("src"), F.col("next_task").alias("tgt")).filter("tgt is not null")
+    seen = visits.groupBy("_k", "state_1", "state_2", "src").agg(F.count(F.lit(1)).alias("w"), F.collect_set("tgt").alias("seen"))  # a set of tasks
     enabled = model.filter(F.col("src") != START).filter(F.col("tgt") != END).groupBy("src").agg(F.collect_set("tgt").alias("enabled"))
     both = seen.join(enabled, "src")
     return both.agg((1 - F.try_divide(F.sum(F.col("w") * F.size(F.array_except("enabled", "seen"))), F.sum(F.col("w") * F.size("enabled")))).alias("precision"))

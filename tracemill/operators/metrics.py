@@ -91,27 +91,69 @@ def fit_temperature(pred: DataFrame, rounds: int = 3) -> float:
     return best
 
 
+#: Cells of more rows than this get a rounded normal weight instead of a Poisson one, which is then the same but for its far tails.
+EXACT_POISSON = 200
+
+
+def _poisson(mean, unit):
+    """The least k whose Poisson distribution function reaches `unit`, for means of EXACT_POISSON at most (by its recurrence)."""
+    start = F.struct(F.lit(0).cast("long").alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("upto"))
+    steps = F.sequence(F.lit(1), F.ceil(mean + 12 * F.sqrt(mean) + 12).cast("int"))
+
+    def step(a, i):
+        p = a["p"] * mean / i
+        return F.when(a["upto"] >= unit, a).otherwise(F.struct(i.cast("long").alias("k"), p.alias("p"), (a["upto"] + p).alias("upto")))
+
+    return F.aggregate(steps, start, step, lambda a: a["k"].cast("double"))
+
+
 def bootstrap_ci(pred: DataFrame, replicates: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """(metric, low, high) of accuracy, top-3 and MRR by a Poisson bootstrap.
+    """(metric, low, high) of accuracy, macro F1, top-3, top-5 and MRR by a Poisson bootstrap; (0, 0) for an empty table.
 
-    Rows are first summed into cells of equal outcome, so the replicates weigh a few dozen cells, not the table: a cell of c
-    rows gets a Poisson(c) weight, here by its normal form with a seeded draw.
+    Rows are first summed into cells of equal outcome (true label, predicted label, rank of the true one), so the replicates weigh
+    as many cells as the confusion matrix has, not the table: a cell of c rows gets a seeded Poisson(c) weight. Macro F1 is
+    over the labels that the table holds, true or predicted, in every replicate.
     """
-    cells = ranked(pred).groupBy("rank").agg(F.count(F.lit(1)).alias("c"))
+    cells = ranked(pred).groupBy("y_true", "y_pred", "rank").agg(F.count(F.lit(1)).alias("c"))
     reps = cells.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    unit = lambda s: (F.pmod(F.xxhash64("rank", "b", F.lit(seed + s)), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+    unit = lambda s: (F.pmod(F.xxhash64("y_true", "y_pred", "rank", "b", F.lit(seed + s)), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 2))
     normal = F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * 3.141592653589793 * unit(1))
-    w = F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt("c") * normal))
-    per = reps.withColumn("w", w).groupBy("b").agg(
-        F.try_divide(F.sum(F.when(F.col("rank") == 1, F.col("w")).otherwise(0.0)), F.sum("w")).alias("accuracy"),
-        F.try_divide(F.sum(F.when(F.col("rank").between(1, 3), F.col("w")).otherwise(0.0)), F.sum("w")).alias("top_3"),
+    c = F.col("c").cast("double")
+    w = F.when(c <= EXACT_POISSON, _poisson(F.least(c, F.lit(float(EXACT_POISSON))), unit(0))).otherwise(F.greatest(F.lit(0.0), F.round(c + F.sqrt(c) * normal)))
+    weighed = reps.withColumn("w", w)
+    part = lambda when: F.try_divide(F.sum(F.when(when, F.col("w")).otherwise(0.0)), F.sum("w"))
+    per = weighed.groupBy("b").agg(
+        part(F.col("y_pred") == F.col("y_true")).alias("accuracy"),
+        part(F.col("rank").between(1, 3)).alias("top_3"),
+        part(F.col("rank").between(1, 5)).alias("top_5"),
         F.try_divide(F.sum(F.when(F.col("rank") > 0, F.col("w") / F.col("rank")).otherwise(0.0)), F.sum("w")).alias("mrr"),
     )
-    long = per.selectExpr("stack(3, 'accuracy', accuracy, 'top_3', top_3, 'mrr', mrr) as (metric, value)")
+    sides = weighed.select("b", "w", F.explode(F.array(F.struct(F.col("y_true").alias("name"), F.lit(1).alias("true"), F.lit(0).alias("said")), F.struct(F.col("y_pred").alias("name"), F.lit(0).alias("true"), F.lit(1).alias("said")))).alias("s"), (F.col("y_true") == F.col("y_pred")).alias("hit"))
+    of_class = sides.groupBy("b", F.col("s.name").alias("name")).agg(F.sum(F.when(F.col("hit"), F.col("w") * F.col("s.true")).otherwise(0.0)).alias("hits"), F.sum("w").alias("both"))
+    macro = of_class.groupBy("b").agg(F.avg(F.coalesce(F.try_divide(2 * F.col("hits"), F.col("both")), F.lit(0.0))).alias("macro_f1"))  # 2 hits / (true + said)
+    long = per.join(macro, "b").selectExpr("stack(5, 'accuracy', accuracy, 'macro_f1', macro_f1, 'top_3', top_3, 'top_5', top_5, 'mrr', mrr) as (metric, value)")
+    names = pred.sparkSession.createDataFrame([(x,) for x in ("accuracy", "macro_f1", "top_3", "top_5", "mrr")], "metric string")
+    long = names.join(long, "metric", "left")  # as many rows as replicates
     tail = (1 - confidence) / 2
     return long.groupBy("metric").agg(F.coalesce(F.percentile("value", tail), F.lit(0.0)).alias("low"), F.coalesce(F.percentile("value", 1 - tail), F.lit(0.0)).alias("high"))
 
 
+def combined_loss(pred: DataFrame, weights: DataFrame | None = None, dt_weight: float = 0.0, true: str = "dt_log", predicted: str = "dt_pred") -> DataFrame:
+    """One row: weighted mean negative log-likelihood of the true label, mean squared error of dt_log, and their sum by `dt_weight`.
+
+    `weights` (name, weight) weighs true labels, as `class_weights` gives them; the mean divides by the weights' sum. Labels that the
+    model doesn't know have no likelihood and are left out of the first term. Empty table: nulls.
+    """
+    r = ranked(pred)
+    if weights is not None:
+        r = r.join(F.broadcast(weights.select(F.col("name").alias("y_true"), "weight")), "y_true", "left")  # as many rows as tasks
+    w = F.coalesce("weight", F.lit(1.0)) if weights is not None else F.lit(1.0)
+    known = F.col("p_true").isNotNull()
+    nll = F.try_divide(F.sum(F.when(known, -F.log("p_true") * w)), F.sum(F.when(known, w)))
+    square = F.avg((F.col(predicted) - F.col(true)) ** 2) if dt_weight else F.lit(0.0)
+    return r.agg(nll.alias("cross_entropy"), square.alias("dt_mse")).withColumn("loss", F.col("cross_entropy") + dt_weight * F.col("dt_mse"))
+
+
 def dt_mae_hours(df: DataFrame, true: str = "dt_log", predicted: str = "dt_pred") -> DataFrame:
     return df.agg((F.avg(F.abs(F.expm1(predicted) - F.expm1(true))) / 3600).alias("mae_hours"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.features import class_weights, with_next
 from tracemill.sources.eventlog import in_case
-from tracemill.sources.scratch import cut
+from tracemill.sources.scratch import exact_quantiles
 
 
 def labelled(log: DataFrame) -> DataFrame:
@@ -83,11 +83,28 @@ def predict_distribution(val: DataFrame, model: DataFrame, order: int = 1) -> Da
     return out.drop("_m", *(f"_m{k}" for k in range(order + 1)))
 
 
-def predict_topk(predicted: DataFrame, k: int = 3) -> DataFrame:
-    """(case_id, event_seq, rank, label, prob): the k likeliest next tasks."""
+def predict_topk(predicted: DataFrame, k: int = 3, times: DataFrame | None = None) -> DataFrame:
+    """(case_id, event_seq, rank, label, prob): the k likeliest next tasks; with next_dt_hours, the expected wait, if `times` (see `time_to_next`) is given."""
+    if k < 1:
+        raise ValueError("k must be 1 at least")
+    more = []
+    if times is not None:
+        predicted = predicted.join(times.select("task_name", (F.coalesce("seconds", "overall_s") / 3600).alias("next_dt_hours")), "task_name", "left")
+        more = ["next_dt_hours"]
     best = F.slice(F.arrays_zip("labels", "probs"), 1, k)
-    out = predicted.select("case_id", "event_seq", F.posexplode(best).alias("rank", "x"))
-    return out.select("case_id", "event_seq", (F.col("rank") + 1).alias("rank"), F.col("x.labels").alias("label"), F.col("x.probs").alias("prob"))
+    out = predicted.select("case_id", "event_seq", *more, F.posexplode(best).alias("rank", "x"))
+    return out.select("case_id", "event_seq", (F.col("rank") + 1).alias("rank"), F.col("x.labels").alias("label"), F.col("x.probs").alias("prob"), *more)
+
+
+def require_known(prefixes: DataFrame, names: DataFrame, column: str = "tasks") -> DataFrame:
+    """`prefixes` (arrays of tasks), or an error: an empty prefix predicts nothing, and an activity that the dictionary lacks is unknown."""
+    odd = prefixes.filter(F.coalesce(F.size(column), F.lit(0)) <= 0)
+    if not odd.isEmpty():
+        raise ValueError("an empty prefix predicts nothing")
+    strange = prefixes.select(F.explode(column).alias("name")).distinct().join(names.select("name"), "name", "left_anti").orderBy("name").limit(10).collect()
+    if strange:
+        raise ValueError(f"Unknown activities: {', '.join(str(r.name) for r in strange)}")
+    return prefixes
 
 
 def time_to_next(train: DataFrame, by: tuple[str, ...] = ("task_name",)) -> DataFrame:
@@ -99,37 +116,52 @@ def time_to_next(train: DataFrame, by: tuple[str, ...] = ("task_name",)) -> Data
 def time_quantiles(train: DataFrame, qs: tuple[float, ...] = (0.1, 0.5, 0.9), by: tuple[str, ...] = ("task_name",)) -> DataFrame:
     if list(qs) != sorted(set(qs)) or not all(0 < q < 1 for q in qs):
         raise ValueError("quantiles must be unique, sorted, and lie between 0 and 1")
-    return train.groupBy(*by).agg(F.percentile("dt_log", list(qs)).alias("quantiles"))
+    return exact_quantiles(train, "dt_log", list(qs), by)
 
 
 def predict_suffix(cases: DataFrame, model: DataFrame, times: DataFrame, beam: int = 5, max_steps: int = 20, stop_on_self_loop: bool = True) -> DataFrame:
     """(case_id, tasks, log_prob, prob, total_dt_s): the likeliest continuations of each open case (case_id, last).
 
-    `model` is `next_event_distribution` of order 1, `times` is `time_to_next`. All cases advance together, one join and one
-    ranking per step; a case is finished when its best beam repeats a task. Between steps the lineage is cut.
+    `model` is `next_event_distribution` of order 1, `times` is `time_to_next`; both have a row per task and travel as one map. A case
+    is one row that holds its beams, and all its steps are one expression over that row, so nothing is shuffled between
+    steps. A case is finished when its best beam repeats a task.
     """
     if beam < 1 or max_steps < 0:
         raise ValueError("beam must be 1 at least and max_steps 0 at least")
     best = F.slice(F.arrays_zip("labels", "probs"), 1, beam)
-    top = model.filter("depth = 1").select(F.col("context").alias("last"), best.alias("own"))
-    any_ = F.broadcast(model.filter("depth = 0").select(best.alias("any")))  # one row, for tasks that nothing was seen to follow
-    dt = times.select(F.col("task_name").alias("last"), F.coalesce("seconds", "overall_s").alias("dt"))
-    now = cases.select("case_id", F.col("last"), F.array("last").alias("seq"), F.lit(0.0).alias("log_prob"), F.lit(0.0).alias("total_dt"), F.lit(False).alias("done"))
-    order = Window.partitionBy("case_id").orderBy(F.desc(F.round("log_prob", 9)), F.array_join("seq", ">"))
-    for step in range(max_steps):
-        if step and now.filter(~F.col("done")).isEmpty():
-            break
-        moving = now.filter(~F.col("done")).join(top, "last", "left").join(dt, "last", "left").crossJoin(any_)
-        moving = moving.withColumn("x", F.explode(F.coalesce("own", "any"))).withColumn("dt", F.coalesce("dt", F.lit(0.0)))
-        moving = moving.select("case_id", F.col("x.labels").alias("last"), F.concat("seq", F.array("x.labels")).alias("seq"), (F.col("log_prob") + F.log("x.probs")).alias("log_prob"), (F.col("total_dt") + F.col("dt")).alias("total_dt"))
-        ranked = moving.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= beam)
-        repeats = (F.element_at("seq", -1) == F.element_at("seq", -2)) & (F.col("r") == 1)
-        stop = F.max(repeats).over(Window.partitionBy("case_id")) if stop_on_self_loop else F.lit(False)
-        now = now.filter("done").unionByName(ranked.withColumn("done", stop).drop("r"))
-        if step < max_steps - 1:
-            now = cut(now)  # the plan names `now` twice, so it would double with each step
-    share = F.exp("log_prob") / F.sum(F.exp("log_prob")).over(Window.partitionBy("case_id"))
-    return now.select("case_id", F.slice("seq", 2, F.greatest(F.size("seq") - 1, F.lit(1))).alias("tasks"), "log_prob", share.alias("prob"), F.col("total_dt").alias("total_dt_s"))
+    top = model.filter("depth = 1").agg(F.map_from_entries(F.collect_list(F.struct(F.col("context").alias("last"), best.alias("own")))).alias("_top"))
+    any_ = model.filter("depth = 0").select(best.alias("_any"))  # for tasks that nothing was seen to follow
+    dt = times.agg(F.map_from_entries(F.collect_list(F.struct(F.col("task_name"), F.coalesce("seconds", "overall_s")))).alias("_dt"))
+    now = cases.select("case_id", F.col("last").alias("_last"))
+    for row in (top, any_, dt):
+        now = now.crossJoin(F.broadcast(row))  # one row each, as many entries as tasks
+
+    def longer(b):
+        last = F.element_at(b["seq"], -1)
+        wait = b["dt"] + F.coalesce(F.try_element_at("_dt", last), F.lit(0.0))
+
+        def one(x):
+            seq, lp = F.concat(b["seq"], F.array(x["labels"])), b["lp"] + F.log(x["probs"])
+            return F.struct((F.lit(0.0) - F.round(lp, 9)).alias("order"), F.array_join(seq, ">").alias("name"), seq.alias("seq"), lp.alias("lp"), wait.alias("dt"))
+
+        return F.transform(F.coalesce(F.try_element_at("_top", last), F.col("_any")), one)
+
+    def stopped(beams):
+        seq = F.element_at(beams, 1)["seq"]
+        repeats = F.element_at(seq, -1) == F.element_at(seq, -2)
+        return F.struct(beams.alias("beams"), (repeats if stop_on_self_loop else F.lit(False)).alias("done"))
+
+    def step(a, _):
+        ranked = F.slice(F.array_sort(F.flatten(F.transform(a["beams"], longer))), 1, beam)
+        return F.when(a["done"], a).otherwise(F.transform(F.array(ranked), stopped)[0].cast(kind))
+
+    kind = "struct<beams: array<struct<order: double, name: string, seq: array<string>, lp: double, dt: double>>, done: boolean>"
+    first = F.struct(F.lit(0.0).alias("order"), F.col("_last").alias("name"), F.array("_last").alias("seq"), F.lit(0.0).alias("lp"), F.lit(0.0).alias("dt"))
+    begin = F.struct(F.array(first).alias("beams"), F.lit(False).alias("done")).cast(kind)
+    beams = F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), begin, step)["beams"] if max_steps else begin["beams"]
+    held = now.select("case_id", beams.alias("beams")).withColumn("sum", F.aggregate("beams", F.lit(0.0), lambda a, b: a + F.exp(b["lp"])))
+    out = held.select("case_id", "sum", F.explode("beams").alias("b"))
+    return out.select("case_id", F.slice("b.seq", 2, F.greatest(F.size("b.seq") - 1, F.lit(1))).alias("tasks"), F.col("b.lp").alias("log_prob"), (F.exp("b.lp") / F.col("sum")).alias("prob"), F.col("b.dt").alias("total_dt_s"))
 
 
 def last_tasks(log: DataFrame) -> DataFrame:

@@ -25,8 +25,47 @@ def flatten_metrics(df: DataFrame, keys: tuple[str, ...] = ("run_id", "stage"))
     return df.select(*keys, F.explode(F.array(*found)).alias("m")).select(*keys, "m.metric_path", "m.value").filter("value is not null")
 
 
+def flatten_values(df: DataFrame, keys: tuple[str, ...] = ("run_id", "stage")) -> DataFrame:
+    """What `flatten_metrics` skips, as rows (keys, metric_path, kind, text): lists by their length, booleans and text by what they say."""
+
+    def leaves(schema: T.StructType, path: tuple[str, ...] = ()):
+        for f in schema.fields:
+            if not path and f.name in keys:
+                continue
+            if isinstance(f.dataType, T.StructType):
+                yield from leaves(f.dataType, (*path, f.name))
+            elif isinstance(f.dataType, T.ArrayType):
+                yield (*path, f.name), "list", lambda c: F.size(c).cast("string")
+            elif isinstance(f.dataType, T.BooleanType | T.StringType):
+                yield (*path, f.name), "boolean" if isinstance(f.dataType, T.BooleanType) else "text", lambda c: c.cast("string")
+
+    found = []
+    for p, kind, show in leaves(df.schema):
+        value = F.col(".".join(f"`{x}`" for x in p))
+        found.append(F.struct(F.lit(".".join(p)).alias("metric_path"), F.lit(kind).alias("kind"), F.when(value.isNotNull(), show(value)).alias("text")))
+    if not found:
+        return df.select(*keys, *(F.lit("").alias(c) for c in ("metric_path", "kind", "text"))).limit(0)
+    return df.select(*keys, F.explode(F.array(*found)).alias("m")).select(*keys, "m.metric_path", "m.kind", "m.text").filter("text is not null")
+
+
+def diff_values(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(stage, metric_path, status, a, b) of what differs between two tables that `flatten_values` made: list lengths, booleans, text."""
+    left = a.select("stage", "metric_path", F.col("text").alias("a"), F.col("kind").alias("_a"))
+    right = b.select("stage", "metric_path", F.col("text").alias("b"), F.col("kind").alias("_b"))
+    out = left.join(right, ["stage", "metric_path"], "full")
+    status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when((F.col("a") != F.col("b")) | (F.col("_a") != F.col("_b")), "changed")
+    return out.withColumn("status", status).filter("status is not null").select("stage", "metric_path", "status", "a", "b")
+
+
+def stages_of_one(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(stage, status) of the stages that one run alone has a document of."""
+    left = a.select("stage").distinct().withColumn("a", F.lit(True))
+    right = b.select("stage").distinct().withColumn("b", F.lit(True))
+    return left.join(right, "stage", "full").filter("a is null or b is null").select("stage", F.when(F.col("a").isNull(), "added").otherwise("removed").alias("status"))
+
+
 def diff_runs(a: DataFrame, b: DataFrame, threshold: float = 1e-9) -> DataFrame:
-    """(stage, metric_path, status, a, b, delta, percent) of what differs: added, removed, changed."""
+    """(stage, metric_path, status, a, b, delta, percent) of the numbers that differ: added, removed, changed. `diff_values` tells of other leaves."""
     left = a.select("stage", "metric_path", F.col("value").alias("a"))
     right = b.select("stage", "metric_path", F.col("value").alias("b"))
     out = left.join(right, ["stage", "metric_path"], "full")
@@ -42,9 +81,9 @@ def diff_clusters(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def seed_variance(runs: DataFrame) -> DataFrame:
-    """Of metrics that every run has: mean, sample deviation (0 for one run), extremes, number of runs."""
+    """Of metrics that every run has: mean, sample deviation (0 for one run), extremes, number of runs, and the runs' values in their order."""
     count = runs.agg(F.count_distinct("run_id").alias("runs"))
-    out = runs.groupBy("stage", "metric_path").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.count_distinct("run_id").alias("n"))
+    out = runs.groupBy("stage", "metric_path").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.count_distinct("run_id").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("run_id", "value"))), lambda x: x["value"]).alias("values"))  # a value a run
     return out.crossJoin(F.broadcast(count)).filter(F.col("n") == F.col("runs")).drop("runs")  # one row
 
 

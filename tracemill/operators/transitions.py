@@ -21,6 +21,11 @@ def transitions(log: DataFrame) -> DataFrame:
     )
 
 
+def mean_wait(seconds: str = "wait_s"):
+    """Mean of waits in seconds, added up in whole microseconds: the same number in whatever order the rows come."""
+    return F.sum(F.round(F.col(seconds) * 1e6).cast("long")) / F.count(seconds) / 1e6
+
+
 def indexed(log: DataFrame) -> DataFrame:
     return log.withColumn("idx", F.row_number().over(in_case()) - 1)
 
@@ -55,13 +60,28 @@ def prefixes(log: DataFrame, max_len: int | None = None, continuous: list[str] =
     return out.filter("next_task is not null").select("case_id", "k", "tasks", "resources", *(["vectors"] if continuous else []), F.col("next_task").alias("label"), F.col("dt_log").alias("dt"))
 
 
-def pad_prefixes(df: DataFrame, names: DataFrame, max_len: int | None = None) -> DataFrame:
-    """Tasks as ids from 1, padded with 0 on the right to the longest prefix (or to max_len)."""
-    ids = names.agg(F.map_from_entries(F.collect_list(F.struct("name", "id"))).alias("ids"))  # as many entries as there are tasks
-    width = df.agg(F.coalesce(F.max(F.size("tasks")), F.lit(0)).alias("width")) if max_len is None else df.sparkSession.range(1).select(F.lit(max_len).alias("width"))
-    out = df.crossJoin(F.broadcast(ids)).crossJoin(F.broadcast(width))
-    known = F.transform("tasks", lambda t: F.element_at("ids", t) + 1)
-    return out.withColumn("padded", F.concat(known, F.array_repeat(F.lit(0), F.col("width") - F.size("tasks")))).withColumn("length", F.size("tasks")).drop("ids", "width")
+def pad_prefixes(df: DataFrame, names: DataFrame, max_len: int | None = None, resources: DataFrame | None = None) -> DataFrame:
+    """Prefixes as ids from 1 (`padded`, and `padded_resources` if that dictionary is given), padded with 0 on the right.
+
+    They are as long as the longest prefix, or as max_len, which keeps a longer prefix's last events. Vectors, if there
+    are any, are padded with vectors of 0.0 (`padded_vectors`). `length` counts the events that are there.
+    """
+    if max_len is None:
+        width = df.agg(F.coalesce(F.max(F.size("tasks")), F.lit(0)).alias("width"))
+        out = df.crossJoin(F.broadcast(width))  # one row
+    else:
+        out = df.withColumn("width", F.lit(max_len))
+    held = F.least(F.size("tasks"), F.col("width"))
+    last = lambda c: F.slice(c, F.greatest(F.size("tasks") - F.col("width") + 1, F.lit(1)), held)
+    fill = lambda c, x: F.concat(c, F.array_repeat(x, F.col("width") - held))
+    for column, to, table in (("tasks", "padded", names), ("resources", "padded_resources", resources)):
+        if table is not None:
+            ids = table.agg(F.map_from_entries(F.collect_list(F.struct("name", "id"))).alias("ids"))  # as many entries as there are names
+            out = out.crossJoin(F.broadcast(ids)).withColumn(to, fill(F.transform(last(column), lambda t: F.element_at("ids", t) + 1), F.lit(0))).drop("ids")
+    if "vectors" in df.columns:
+        zero = F.transform(F.element_at("vectors", 1), lambda x: F.lit(0.0))
+        out = out.withColumn("padded_vectors", fill(last("vectors"), zero))
+    return out.withColumn("length", held).drop("width")
 
 
 def shuffle_samples(df: DataFrame, seed: int = 42) -> DataFrame:

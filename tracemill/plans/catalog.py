@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from tracemill.operators import predict as pr
 from tracemill.operators import runs as rn
 from tracemill.operators import transitions as tr
 from tracemill.sources import eventlog as ev
+from tracemill.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,7 +64,9 @@ tr as (select case_id, task_name as src, next_task as tgt, dt as wait_s, dt / 36
 CUT = """
 ev as (select * exclude (z) from (select *, lead(event_seq) over (partition by case_id order by ts, event_seq) as z from ev0) where z is not null)"""
 EV_CUT = EV.replace("ev as", "ev0 as", 1) + "," + CUT
-ST = "st as (select src, tgt, avg(wait_s) as mean_s, count(*) as n, avg(wait_s) / 3600 as mean_hours from tr group by all)"
+#: Means of waits are taken over whole microseconds, so they don't depend on the order of addition.
+MEAN = "sum(cast(round(wait_s * 1e6) as bigint)) / count(*) / 1e6"
+ST = f"st as (select src, tgt, {MEAN} as mean_s, count(*) as n, {MEAN} / 3600 as mean_hours from tr group by all)"
 CY = """
 cy as (select case_id, min(ts) as a, max(ts) as b, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 as h, avg(amount) as m, count(*) as n from ev group by 1)"""
 SP = """
@@ -133,7 +137,7 @@ def ordered_events(spark, d):
 
 @query(f"""with {EV}, {NX}, {SP} select count(distinct task_name) as num_tasks, count(distinct resource) as num_resources, count(distinct case_id) as num_cases_total,
     count(distinct case_id) filter (where split = 'train') as num_cases_train, count(distinct case_id) filter (where split = 'val') as num_cases_val,
-    min(epoch_us(ts)) as first_us, max(epoch_us(ts)) as last_us from ev join sp using (case_id)""")
+    min(epoch_us(ts)) as first_us, max(epoch_us(ts)) as last_us, 'l2' as scaler_mode, 42 as seed from ev join sp using (case_id)""")
 def preprocessing_summary(spark, d):
     return an.preprocessing_summary(ft.split_cases(L1(spark, d)))
 
@@ -144,6 +148,62 @@ def filtered_cases(spark, d):
     return ev.filter_cases(log, log.groupBy("case_id").count().filter("count >= 20")).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+_LOG_SQL = f"with {EV} select case_id, task_name, epoch_us(ts) as ts_us, resource, amount, event_seq from ev"
+
+
+def _log_columns(log):
+    return log.select("case_id", "task_name", F.unix_micros("timestamp").alias("ts_us"), "resource", "amount", "event_seq")
+
+
+def _aliased(log):
+    """Under the standard's names, with times as text."""
+    text = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return log.withColumn("timestamp", text).withColumnsRenamed({"case_id": "case:concept:name", "task_name": "concept:name", "timestamp": "time:timestamp", "resource": "org:resource", "amount": "case:Amount"})
+
+
+@query(_LOG_SQL)
+def csv_log(spark, d):
+    """The events written as CSV and read as a log."""
+    path = scratch.place(spark, "csv")
+    _aliased(L1(spark, d)).write.option("header", True).csv(path)
+    return _log_columns(ev.read_event_log(spark, path))
+
+
+@query(_LOG_SQL)
+def parquet_log(spark, d):
+    """The events written as Parquet, times without a zone, and read as a log."""
+    path = scratch.place(spark, "parquet")
+    L1(spark, d).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).write.parquet(path)
+    return _log_columns(ev.read_event_log(spark, path, "parquet"))
+
+
+@query(f"""with {EV} select case_id, task_name, epoch_us(ts) as ts_us, resource, min(amount) over (partition by case_id) as amount,
+    row_number() over (partition by case_id order by ts, event_seq) - 1 as event_seq from ev""")
+def xes_log(spark, d):
+    """The cases written as traces of XES and read as a log; a trace has one amount, here its least."""
+    attribute = lambda kind, key, value: F.concat(F.lit(f'<{kind} key="{key}" value="'), value, F.lit('"/>'))
+    time = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    event = F.concat(F.lit("<event>"), attribute("string", "concept:name", F.col("task_name")), attribute("string", "org:resource", F.col("resource")), attribute("date", "time:timestamp", time), F.lit("</event>"))
+    cases = L1(spark, d).withColumn("e", event).groupBy("case_id").agg(F.min("amount").cast("string").alias("a"), F.sort_array(F.collect_list(F.struct("timestamp", "event_seq", "e"))).alias("es"))
+    events = F.array_join(F.transform("es", lambda x: x["e"]), "")
+    path = scratch.place(spark, "traces") + ".xes"
+    traces = cases.select(F.concat(F.lit("<trace>"), attribute("string", "concept:name", F.col("case_id")), attribute("float", "Amount", F.col("a")), events, F.lit("</trace>")).alias("value"))
+
+    def documents(batches):  # a file is a whole log
+        yield pa.RecordBatch.from_arrays([pa.array(["<log>"])], ["value"])
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array(["</log>"])], ["value"])
+
+    traces.mapInArrow(documents, "value string").write.text(path)
+    return _log_columns(ev.read_event_log(spark, path))
+
+
+@query(f"with {EV} select case_id, task_name, epoch_us(ts) as ts_us, 'unknown' as resource, 0.0::double as amount, event_seq from ev")
+def xes_defaults(spark, d):
+    """A log without resources and amounts."""
+    return _log_columns(ev.canonical(ev.fill_xes_defaults(L1(spark, d).drop("resource", "amount"))))
+
+
 # -------------------------------------------------------------------- features
 
 
@@ -245,8 +305,20 @@ def case_modal_labels(spark, d):
 @query(f"""with {EV}, {NX} select case_id, k, string_agg(task_name, '>') over w as tasks, string_agg(resource, '>') over w as resources, next_task as label, round(ln(1 + greatest(dt, 0)), 6) as dt
     from nx window w as (partition by case_id order by ts, event_seq) qualify next_task is not null""")
 def prefixes(spark, d):
-    out = tr.prefixes(L1(spark, d), continuous=["amount"])
-    return out.select("case_id", "k", F.array_join("tasks", ">").alias("tasks"), F.array_join("resources", ">").alias("resources"), "label", r6("dt").alias("dt"))
+    return tr.prefixes(L1(spark, d)).select("case_id", "k", F.array_join("tasks", ">").alias("tasks"), F.array_join("resources", ">").alias("resources"), "label", r6("dt").alias("dt"))
+
+
+def _cents(column):
+    """Numbers of an array as text, in whole hundredths."""
+    return F.array_join(F.transform(column, lambda x: F.round(x * 100).cast("long").cast("string")), ",")
+
+
+@query(f"""with {EV}, {NX} select case_id, k, string_agg(cast(cast(round(amount * 100) as bigint) as varchar), ',') over w as amounts, string_agg(cast(dow * 100 as varchar), ',') over w as days
+    from nx window w as (partition by case_id order by ts, event_seq) qualify next_task is not null""")
+def prefix_vectors(spark, d):
+    """The vectors of continuous features that a prefix holds."""
+    out = tr.prefixes(ft.calendar(L1(spark, d)), continuous=["amount", "day_of_week"])
+    return out.select("case_id", "k", _cents(F.transform("vectors", lambda v: v[0])).alias("amounts"), _cents(F.transform("vectors", lambda v: v[1])).alias("days"))
 
 
 @query(f"""with {CO}, {NX}, d as (select name, row_number() over (order by name) as id from (select distinct task_name as name from ev)),
@@ -259,6 +331,26 @@ def padded_prefixes(spark, d):
     return out.select("case_id", "k", "length", F.array_join(F.transform("padded", lambda x: x.cast("string")), ",").alias("padded"))
 
 
+@query(f"""with {EV}, {NX}, d as (select name, row_number() over (order by name) as id from (select distinct task_name as name from ev)), q as (select name, row_number() over (order by name) as id from (select distinct resource as name from ev)),
+    p as (select case_id, k, next_task, list(d.id) over w as t, list(q.id) over w as r, list(cast(round(amount * 100) as bigint)) over w as v from nx join d on d.name = task_name join q on q.name = resource window w as (partition by case_id order by ts, event_seq)),
+    l as (select case_id, k, least(len(t), 5) as length, t[greatest(len(t) - 4, 1):] as t, r[greatest(len(t) - 4, 1):] as r, v[greatest(len(t) - 4, 1):] as v, list_transform(range(5 - least(len(t), 5)), lambda x: 0) as z from p where next_task is not null)
+    select case_id, k, length, array_to_string(list_concat(t, z), ',') as padded, array_to_string(list_concat(r, z), ',') as padded_resources, array_to_string(list_concat(v, z), ',') as padded_amounts from l""")
+def padded_prefixes_last5(spark, d):
+    """Tasks, resources and amounts of the last five events of each prefix."""
+    log = L1(spark, d)
+    out = tr.pad_prefixes(tr.prefixes(log, continuous=["amount"]), ft.label_dictionary(log, "task_name"), 5, ft.label_dictionary(log, "resource"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select("case_id", "k", "length", text("padded").alias("padded"), text("padded_resources").alias("padded_resources"), _cents(F.transform("padded_vectors", lambda v: v[0])).alias("padded_amounts"))
+
+
+@query(f"""with {EV}, {NX}, x as (select case_id, k - 1 as idx, amount as a, sin(2*pi()*dow/7) as b, cos(2*pi()*dow/7) as c, sin(2*pi()*hod/24) as d, cos(2*pi()*hod/24) as e from nx where next_task is not null), y as (select *, sqrt(a*a+b*b+c*c+d*d+e*e) as l from x)
+    select case_id, idx, round(a / l, 6) as amount, round(b / l, 6) as dow_sin, round(c / l, 6) as dow_cos, round(d / l, 6) as hod_sin, round(e / l, 6) as hod_cos from y""")
+def event_graph_features(spark, d):
+    """The values of the feature vectors that `event_graph_nodes` counts."""
+    out = tr.event_graph_nodes(ft.create_features(L1(spark, d)))
+    return out.select("case_id", "idx", *(r6(F.col("features")[k]).alias(c) for k, c in enumerate(ft.FEATURES)))
+
+
 @query(f"with {CO}, {NX} select case_id, k from nx where next_task is not null")
 def shuffled_samples(spark, d):
     return tr.shuffle_samples(tr.prefixes(L3(spark, d))).select("case_id", "k")
@@ -305,12 +397,12 @@ query(f"with {EV_CUT}, {CY} {_CYCLES}", "cycle_times_cut")(lambda s, d: _cycles(
 query(f"with {EV}, {CY} select round(quantile_cont(h, 0.95), 6) as cut from cy", "cycle_time_percentile")(lambda s, d: an.cycle_time_percentile(an.cycle_times(L1(s, d))).select(r6("cut").alias("cut")))
 query(f"with {EV}, {CY} {_CYCLES} where h > (select quantile_cont(h, 0.95) from cy)", "long_cases")(lambda s, d: _cycles(an.long_cases(an.cycle_times(L1(s, d)))))
 query(f"with {EV}, {TR}, {ST} {_STATS} where n >= 10 order by st.mean_hours desc, src, tgt limit 5", "top_transitions")(lambda s, d: _stats(an.top_transitions(tr.transitions(L1(s, d)))))
-DG = """
+DG = f"""
 qs as (select quantile_cont(amount, [0.0, 0.25, 0.5, 0.75, 1.0]) as q from tr),
 tops as (select src, tgt from st where n >= 10 order by mean_hours desc, src, tgt limit 5),
-rs as (select src, tgt, wait_h, resource, cast(dow as varchar) as day_of_week, cast(hod as varchar) as hour_of_day,
+rs as (select src, tgt, wait_s, resource, cast(dow as varchar) as day_of_week, cast(hod as varchar) as hour_of_day,
     case when amount <= q[2] then 'Q1' when amount <= q[3] then 'Q2' when amount <= q[4] then 'Q3' else 'Q4' end as amount_bucket from tr semi join tops using (src, tgt) cross join qs),
-dg as (select src, tgt, feature, value, avg(wait_h) as mean_h, count(*) as n from (unpivot rs on resource, day_of_week, hour_of_day, amount_bucket into name feature value value) group by all having count(*) >= 3)"""
+dg as (select src, tgt, feature, value, {MEAN} / 3600 as mean_h, count(*) as n from (unpivot rs on resource, day_of_week, hour_of_day, amount_bucket into name feature value value) group by all having count(*) >= 3)"""
 query(f"with {EV}, {TR}, {ST}, {DG} select src, tgt, feature, value, round(mean_h, 6) as mean_h, n from dg", "driver_groups")(lambda s, d: an.driver_groups(tr.transitions(L1(s, d))).select("src", "tgt", "feature", "value", r6("mean_h").alias("mean_h"), "n"))
 
 
@@ -328,7 +420,7 @@ query(f"with {EV}, {TR}, {ST} select src, tgt, round(n / sum(n) over (partition
     from cy cross join (select quantile_cont(h, 0.95) as q from cy)""")
 def analysis_summary(spark, d):
     log = L2(spark, d)
-    return an.analysis_summary(log, tr.transitions(log)).withColumn("p95_hours", r6("p95_hours"))
+    return an.analysis_summary(log, tr.transitions(log)).select("total_traces", "num_long_cases", r6("p95_hours").alias("p95_hours"), "num_rare_transitions")
 
 
 @query()
@@ -342,6 +434,9 @@ def cycle_time_histogram(spark, d):
     return an.cycle_time_histogram(an.cycle_times(L1(spark, d))).select("bin", "n")
 
 
+query(f"with {LI}, {CY} select round(avg(h), 6) as mean, count(*) as n from cy", "cycle_time_histogram_mean")(lambda s, d: an.cycle_time_histogram(an.cycle_times(L2(s, d))).groupBy(r6("mean").alias("mean")).agg(F.sum("n").alias("n")))
+
+
 @query(f"""with {EV}, {TR}, {ST}, b as (select src, tgt, true as slow from st where n >= 5 order by mean_hours desc, src, tgt limit 5)
     select st.src, st.tgt, n, round(mean_hours, 6) as mean_hours, coalesce(slow, false) as is_bottleneck from st left join b on b.src = st.src and b.tgt = st.tgt""")
 def process_flow_edges(spark, d):
@@ -390,12 +485,36 @@ def conformance_summary(spark, d):
     return out.select(r6("fitness").alias("fitness"), r6("fit_traces").alias("fit_traces"), "num_deviant", "total_traces", r6("precision").alias("precision"), r6("f_score").alias("f_score"))
 
 
-@query()
+@query(f"""with recursive {CO}, v as (select tasks, count(*) as n from (select list(task_name order by ts, event_seq) as tasks from ev group by case_id) group by 1),
+    r as (select tasks, n, 0 as i, 1 as s, 0 as a, 0 as t, 1 as produced, 0 as consumed, 0 as missing from v union all
+        select tasks, n, i + 1,
+            case when x = 'system' then greatest(s - 1, 0) else s end, case when x = 'user' then greatest(a - 1, 0) when x in ('system', 'assistant') then a + 1 else a end, case when x = 'assistant' then greatest(t - 1, 0) when x = 'user' then t + 1 else t end,
+            produced + 1, consumed + 1, missing + case when (x = 'system' and s = 0) or (x = 'user' and a = 0) or (x = 'assistant' and t = 0) then 1 else 0 end
+        from (select *, tasks[i + 1] as x from r where i < len(tasks))),
+    e as (select array_to_string(tasks, '>') as tasks, n, produced, consumed + 1 as consumed, missing + (a = 0)::int as missing, s + greatest(a - 1, 0) + t as remaining from r where i = len(tasks))
+    select *, round(0.5 * (1 - missing / consumed) + 0.5 * (1 - remaining / produced), 6) as fitness from e""")
 def token_replay(spark, d):
     """Conversations on the net that its own directly-follows model gives: a place per edge."""
     log = L3(spark, d)
     net = [("system", "start", "in"), ("system", "asked", "out"), ("user", "asked", "in"), ("user", "told", "out"), ("assistant", "told", "in"), ("assistant", "asked", "out")]
-    return cf.token_replay(log, spark.createDataFrame(net, "transition string, place string, kind string"), ["start"], ["asked"])
+    out = cf.token_replay(log, spark.createDataFrame(net, "transition string, place string, kind string"), ["start"], ["asked"])
+    return out.select(F.array_join("tasks", ">").alias("tasks"), "n", "produced", "consumed", "missing", "remaining", r6("fitness").alias("fitness"))
+
+
+_CONFORMANCE = ORACLES["conformance_summary"].removeprefix(f"with {EV}, ")
+_DRIVERS = ORACLES["bottleneck_drivers"].removeprefix(f"with {EV}, ")
+
+
+@query(f"""select total_traces, num_long_cases, round(q, 6) as p95_hours, num_rare_transitions, num_deviant, fitness, precision, f_score, drivers
+    from (with {EV}, {CY} select count(*) as total_traces, count(*) filter (where h > q) as num_long_cases, max(q) as q from cy cross join (select quantile_cont(h, 0.95) as q from cy))
+    cross join (with {EV}, {TR}, {ST} select count(*) filter (where n <= 2) as num_rare_transitions from st) cross join (select num_deviant, fitness, precision, f_score from (with {EV}, {_CONFORMANCE}))
+    cross join (select string_agg(concat(src, '>', tgt, ' ', rank, ' ', feature, ' ', worst, ' ', best), '|' order by src, tgt, rank) as drivers from (with {EV}, {_DRIVERS}))""")
+def analysis_summary_full(spark, d):
+    """All of it, against a model that leaves rare edges out."""
+    log = L1(spark, d)
+    out = an.analysis_summary(log, tr.transitions(log), cf.discover_dfg(log, 0.8))
+    told = F.array_join(F.transform("drivers", lambda x: F.concat(x["src"], F.lit(">"), x["tgt"], F.lit(" "), x["rank"].cast("string"), F.lit(" "), x["feature"], F.lit(" "), x["worst"]["value"], F.lit(" "), x["best"]["value"])), "|")
+    return out.select("total_traces", "num_long_cases", "num_rare_transitions", "num_deviant", *(r6(c).alias(c) for c in ("p95_hours", "fitness", "precision", "f_score")), told.alias("drivers"))
 
 
 # ------------------------------------------------------------------ prediction
@@ -447,6 +566,16 @@ def top3_predictions(spark, d):
     return pr.predict_topk(predictions(L1(spark, d)), 3).withColumn("prob", r6("prob"))
 
 
+@query(f"""with {EV}, {NX}, {SP}, {DI}, tm as (select task_name, exp(avg(dt_log)) - 1 as s from tn group by 1) select case_id, event_seq, r as rank, label, round(coalesce(s, (select exp(avg(dt_log)) - 1 from tn)) / 3600, 6) as next_dt_hours
+    from pv join md on md.context = pv.context and r <= 2 left join tm using (task_name)""")
+def top2_predictions_with_waits(spark, d):
+    """The two likeliest next tasks and the hours until then, over prefixes whose activities are all known."""
+    log = L1(spark, d)
+    train, _ = halves(log)
+    pr.require_known(log.select(F.array("task_name").alias("tasks")), ft.label_dictionary(log, "task_name"))
+    return pr.predict_topk(predictions(log), 2, pr.time_to_next(train)).select("case_id", "event_seq", "rank", "label", r6("next_dt_hours").alias("next_dt_hours"))
+
+
 @query(f"with {EV}, {NX}, {SP} select task_name, round(avg(dt_log), 6) as mean_dt_log, round(exp(avg(dt_log)) - 1, 3) as seconds from tn group by 1")
 def mean_time_to_next(spark, d):
     return pr.time_to_next(halves(L1(spark, d))[0]).select("task_name", r6("mean_dt_log").alias("mean_dt_log"), F.round("seconds", 3).alias("seconds"))
@@ -547,6 +676,35 @@ def temperature_grid(spark, d):
     return mt.negative_log_likelihoods(predictions(L1(spark, d)), [0.5, 1.0, 2.0]).withColumn("nll", r6("nll"))
 
 
+def _temperature_sql(rounds=3):
+    """Refined grids of 17 temperatures, around the best of the one before."""
+    out = ["g0 as (select ln(0.05) as lo, ln(20.0) as hi)"]
+    for k in range(rounds):
+        out.append(f"t{k} as (select exp(lo + (hi - lo) * unnest(range(17)) / 16) as t from g{k})")
+        out.append(f"z{k} as (select context, t, sum(exp(ln(p) / t)) as z from md cross join t{k} group by all)")
+        out.append(f"n{k} as (select t, avg(-ln(exp(ln(m.p) / t) / z)) as nll from pv join md m on m.context = pv.context and m.label = pv.next_task join z{k} z on z.context = pv.context group by 1)")
+        out.append(f"b{k} as (select arg_min(t, nll) as t from n{k})")
+        out.append(f"g{k + 1} as (select ln(t) - (hi - lo) / 16 as lo, ln(t) + (hi - lo) / 16 as hi from b{k} cross join g{k})")
+    return ", ".join(out) + f" select round(t, 5) as temperature from b{rounds - 1}"
+
+
+@query(f"with {EV}, {NX}, {SP}, {DI}, {_temperature_sql()}")
+def fitted_temperature(spark, d):
+    return spark.createDataFrame([(mt.fit_temperature(predictions(L1(spark, d))),)], "t double").select(F.round("t", 5).alias("temperature"))
+
+
+@query(f"""with {EV}, {NX}, {SP}, {DI}, cw as (select next_task as name, (select count(*) from tn)::double / ((select count(distinct next_task) from tn) * count(*)) as w from tn group by 1),
+    tm as (select task_name, avg(dt_log) as m from tn group by 1), x as (select -ln(p_true) as l, coalesce(w, 1.0) as w, (m - dt_log) ** 2 as e from rk join vl using (case_id, event_seq) join tm using (task_name) left join cw on cw.name = y_true)
+    select round(sum(l * w) / sum(w) filter (where l is not null), 6) as cross_entropy, round(avg(e), 6) as dt_mse, round(sum(l * w) / sum(w) filter (where l is not null) + 0.25 * avg(e), 6) as loss from x""")
+def combined_loss(spark, d):
+    log = L1(spark, d)
+    train, _ = halves(log)
+    names = train.select(F.col("next_task").alias("id"), F.col("next_task").alias("name")).distinct()
+    said = predictions(log).join(pr.time_to_next(train).select("task_name", F.col("mean_dt_log").alias("dt_pred")), "task_name")
+    out = mt.combined_loss(said, ft.class_weights(train, "next_task", names), 0.25)
+    return out.select(*(r6(c).alias(c) for c in ("cross_entropy", "dt_mse", "loss")))
+
+
 @query()
 def bootstrap_intervals(spark, d):
     return mt.bootstrap_ci(predictions(L1(spark, d)))
@@ -571,7 +729,7 @@ def time_quantile_metrics(spark, d):
 
 # ----------------------------------------------------------------------- cases
 
-RW = "rw as (select src, tgt, resource, avg(wait_h) as m, count(*) as n from tr group by all), tw as (select src, tgt, avg(wait_h) as m, count(*) as n from tr group by all)"
+RW = f"rw as (select src, tgt, resource, {MEAN} / 3600 as m, count(*) as n from tr group by all), tw as (select src, tgt, {MEAN} / 3600 as m, count(*) as n from tr group by all)"
 query(f"with {EV}, {TR}, {RW} select src, tgt, resource, round(m, 6) as mean_h, n from rw", "resource_wait_table")(lambda s, d: cs.resource_wait_table(tr.transitions(L1(s, d))).withColumn("mean_h", r6("mean_h")))
 query(f"with {LI}, {TR}, {RW} select src, tgt, round(m, 6) as mean_h, n from tw", "transition_wait_table")(lambda s, d: cs.transition_wait_table(tr.transitions(L2(s, d))).withColumn("mean_h", r6("mean_h")))
 WI = """
@@ -608,6 +766,21 @@ def explained_predictions(spark, d):
     return cs.explain_case(log, said, look_back=3).select("case_id", "event_seq", "y_pred", "d", "task", r6("weight").alias("weight"))
 
 
+@query(f"""with {EV}, {NX}, {SP}, {DI}, bk as (select case_id, event_seq, next_task, 0 as d, task_name as task from nx union all
+    select case_id, event_seq, next_task, 1, lag(task_name, 1) over w from nx window w as (partition by case_id order by ts, event_seq) union all
+    select case_id, event_seq, next_task, 2, lag(task_name, 2) over w from nx window w as (partition by case_id order by ts, event_seq)),
+    sn as (select * from bk where task is not null), jt as (select d, task, next_task, count(*) as c from sn where next_task is not null group by all),
+    wg as (select d, task, next_task as y_pred, greatest(ln(c * sum(c) over (partition by d) / (sum(c) over (partition by d, task) * sum(c) over (partition by d, next_task))), 0) as pmi from jt),
+    ot as (select sn.case_id, sn.event_seq, y_true, rk.y_pred, conf, sn.d, sn.task, pmi / sum(pmi) over (partition by sn.case_id, sn.event_seq) as weight
+        from sn join rk on rk.case_id = sn.case_id and rk.event_seq = sn.event_seq join wg on wg.d = sn.d and wg.task = sn.task and wg.y_pred = rk.y_pred where pmi > 0)
+    select case_id, event_seq, y_true, y_pred, round(conf, 6) as prob, d, task, round(weight, 6) as weight from ot""")
+def explained_cases(spark, d):
+    """With what did follow, and the probability that the model gave its prediction."""
+    log = L1(spark, d)
+    said = predictions(log).select("case_id", "event_seq", F.col("labels")[0].alias("y_pred"), F.col("probs")[0].alias("prob"))
+    return cs.explain_case(log, said, look_back=3).select("case_id", "event_seq", "y_true", "y_pred", r6("prob").alias("prob"), "d", "task", r6("weight").alias("weight"))
+
+
 @query(f"""with {EV}, {TR}, {RW}, us as (select resource, count(*) as u from tr group by 1), ef as (select resource, case when u <= (select avg(u) from us) then 1.0 else greatest(0, 1 - 0.1 * (u / (select avg(u) from us) - 1)) end as e from us),
     sc as (select src, tgt, resource, e - m as score from rw join ef using (resource)) select src, tgt, resource, round(score, 6) as score from sc qualify row_number() over (partition by src order by round(score, 9) desc, tgt, resource) = 1""")
 def resource_policy(spark, d):
@@ -663,6 +836,37 @@ def cluster_differences(spark, d):
 query(f"with {MR} select metric_path, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, round(min(value), 6) as min, round(max(value), 6) as max, count(*) as n from mr group by 1", "seed_variance")(lambda s, d: rn.seed_variance(_metric_rows(s, d)).select("metric_path", *(r6(c).alias(c) for c in ("mean", "std", "min", "max")), "n"))
 
 
+query(f"with {MR} select metric_path, string_agg(cast(cast(round(value * 10000) as bigint) as varchar), ',' order by run_id) as values from mr group by 1", "seed_values")(
+    lambda s, d: rn.seed_variance(_metric_rows(s, d)).select("metric_path", F.array_join(F.transform("values", lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("values"))
+)
+
+
+def _facts(log, key):
+    """One nested row about a log: text, a list, booleans."""
+    told = log.agg(F.mode("task_name", True).alias("top"), F.collect_set("task_name").alias("tasks"), (F.count_distinct("resource") > 1).alias("several"), (F.min("amount") >= 0).alias("paid"))
+    return told.select(F.lit(key).alias("run_id"), F.lit("facts").alias("stage"), F.struct("top", "tasks").alias("task"), "several", *(["paid"] if key == "a" else []))
+
+
+_FACT = "select mode_task as top, (select count(distinct task_name) from ev) as tasks, (select count(distinct resource) > 1 from ev) as several from (select task_name as mode_task from ev group by 1 order by count(*) desc, 1 limit 1)"
+
+
+@query(f"""with a as (select * from (with {EV} {_FACT})), b as (select * from (with {CO} {_FACT})), p as (select (select min(amount) >= 0 from (with {EV} select amount from ev)) as paid),
+    l as (select unnest(['task.top', 'task.tasks', 'several']) as metric_path, unnest([a.top, a.tasks::varchar, a.several::varchar]) as a, unnest([b.top, b.tasks::varchar, b.several::varchar]) as b from a cross join b)
+    select metric_path, 'changed' as status, a, b from l where a <> b union all select 'paid', 'removed', paid::varchar, null from p""")
+def run_value_differences(spark, d):
+    """Text, list lengths and booleans of two runs; one leaf is in the first alone."""
+    return rn.diff_values(rn.flatten_values(_facts(L1(spark, d), "a")), rn.flatten_values(_facts(L3(spark, d), "b"))).drop("stage")
+
+
+@query(f"with {MR} select run_id, 'baselines' as stage, metric_path, round(value, 6) as value from mr")
+def written_metrics(spark, d):
+    """Metrics appended as JSON, a folder per run and stage, and read back."""
+    path = scratch.place(spark, "metrics")
+    for run in "abc":
+        ev.write_metrics(_metric_rows(spark, d).filter(F.col("run_id") == run), path)
+    return spark.read.schema("run_id string, stage string, metric_path string, value double").json(path).withColumn("value", r6("value"))
+
+
 @query(f"with {MR} select run_id, round(max(value) filter (where metric_path = 'accuracy.markov_accuracy'), 6) as markov_accuracy, round(max(value) filter (where metric_path = 'absent'), 6) as absent from mr group by 1")
 def leaderboard(spark, d):
     out = rn.leaderboard(_metric_rows(spark, d), ["accuracy.markov_accuracy", "absent"])
@@ -678,7 +882,7 @@ def drift_check(spark, d):
 # ------------------------------------------------------------------- streaming
 
 
-@query(f"with {EV}, {TR} select epoch_us(time_bucket(interval 1 day, ts)) as start_us, src, tgt, round(avg(wait_s), 6) as mean_s, count(*) as n from tr group by all")
+@query(f"with {EV}, {TR} select epoch_us(time_bucket(interval 1 day, ts)) as start_us, src, tgt, round({MEAN}, 6) as mean_s, count(*) as n from tr group by all")
 def windowed_bottlenecks(spark, d):
     """The streaming aggregate, run on the whole table."""
     from tracemill.streaming.streams import windowed_bottlenecks as windowed
@@ -686,8 +890,25 @@ def windowed_bottlenecks(spark, d):
     return windowed(tr.transitions(L1(spark, d))).select(F.unix_micros("start").alias("start_us"), "src", "tgt", r6("mean_s").alias("mean_s"), "n")
 
 
+@query(f"with {EV}, {TR} select case_id, src, tgt, round(wait_s, 6) as wait_s, false as late from tr")
+def streamed_transitions(spark, d):
+    """The log written to a folder, read as a stream to its end, and its transitions as the stream's state gives them."""
+    from tracemill.streaming.streams import streaming_transitions
+
+    log, source, sink = L1(spark, d), scratch.place(spark, "stream"), scratch.place(spark, "moves")
+    log.write.parquet(source)
+    stream = streaming_transitions(spark.readStream.schema(log.schema).parquet(source))
+    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch.place(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink).select("case_id", "src", "tgt", r6("wait_s").alias("wait_s"), "late")
+
+
 # --------------------------------------------------------------------- reports
 
-query(None, "driver_report")(lambda s, d: an.driver_report(an.drivers(tr.transitions(L1(s, d)))))
-query(None, "whatif_report")(lambda s, d: cs.whatif_report(cs.whatif_events(tr.transitions(L1(s, d)), "r2", "r3")))
+_SIDE = "arg_{0}({{'value': value, 'mean_h': mean_h, 'n': n}}, (round(mean_h, 9), value))"
+_REPORT = f"""with {EV}, {TR}, {ST}, {DG}, o as (select src, tgt, feature, max(mean_h) - min(mean_h) as spread, {_SIDE.format("max")} as worst, {_SIDE.format("min")} as best from dg group by all having count(*) >= 2)
+    select src, tgt, row_number() over (partition by src, tgt order by round(spread, 9) desc, feature) as rank,
+    printf('| %s → %s | %s | %.2f | %s (%.2f h, n=%d) | %s (%.2f h, n=%d) |', src, tgt, feature, spread, worst.value, worst.mean_h, worst.n, best.value, best.mean_h, best.n) as line from o"""
+_SWAPS = f"with {EV}, {TR}, {RW}, {_WF} select case_id, event_seq, printf('| %s → %s | %s → %s | %.2f | %.2f | %+.2f |', src, tgt, resource, cf, wait_h, cw, cw - wait_h) as line from wf"
+query(_REPORT, "driver_report")(lambda s, d: an.driver_report(an.drivers(tr.transitions(L1(s, d)))))
+query(_SWAPS, "whatif_report")(lambda s, d: cs.whatif_report(cs.whatif_events(tr.transitions(L1(s, d)), "r2", "r3")))
 query(None, "suffix_report")(lambda s, d: cs.suffix_report(_suffixes(L1(s, d))))

@@ -1,18 +1,99 @@
-"""Cutting the lineage of long iterations in the folder that all executors share."""
+"""Cutting the lineage of long iterations in the folder that all executors share, and numbering rows in order without one task for all."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+_local: list[str] = []
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (`spark.checkpoint.dir`).
+
+    Only in local mode, where the setting may be missing, a temporary folder stands in.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="tracemill-"))
+    return _local[0]
+
+
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/tracemill/{uuid.uuid4().hex}-{label}"
+    _written.append((spark, path))
+    return path
+
+
+@atexit.register
+def _drop_written() -> None:
+    for spark, path in _written:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session is gone, and its JVM with it
+            return
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` read back from a checkpoint in `spark.checkpoint.dir`; only local sessions may do without that setting."""
+    """`df` read back from a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracemill-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """`df` cut into ranges of `order`, with the number of each row's range as _part; rows of equal `order` are in one range."""
+    return cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "n") -> DataFrame:
+    """`df` with each row's place in `order` from 0, as `name`.
+
+    Rows are dealt into ranges, counted per range, and ranked inside of their range, so no task sees them all.
+    """
+    parts = in_ranges(df, *order)
+    before = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).orderBy("_part").collect()  # a row per partition
+    total, starts = 0, []
+    for r in before:
+        starts.append((r["_part"], total))
+        total += r["_n"]
+    starts = df.sparkSession.createDataFrame(starts, "_part int, _before long")
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.join(starts, "_part").withColumn(name, F.col("_before") + rank - 1).drop("_part", "_before")
+
+
+def exact_quantiles(df: DataFrame, column: str, qs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, quantiles): of each key the interpolated quantiles of a numeric column, nulls left out; without keys one row (null for no values).
+
+    Equal values are counted before the shuffle, values are dealt into ranges, and only sums of counts per range are
+    added up across ranges; no task holds all distinct values.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    parts = in_ranges(counts, *by, "_v")
+    key = list(by)
+    sums = parts.groupBy(*key, "_part").agg(F.sum("_c").alias("_s"))  # a row per key and range
+    until = F.coalesce(F.aggregate(F.filter("_all", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda a, x: a + x["_s"]), F.lit(0))
+    whole = sums.groupBy(*key).agg(F.collect_list(F.struct("_part", "_s")).alias("_all"), F.sum("_s").alias("_n"))
+    placed = sums.join(whole, key) if key else sums.crossJoin(F.broadcast(whole))  # one row
+    placed = placed.select(*key, "_part", until.alias("_before"), "_n")
+    inside = F.sum("_c").over(Window.partitionBy(*key, "_part").orderBy("_v"))
+    found = parts.join(placed, [*key, "_part"]).withColumn("_upto", F.col("_before") + inside)
+    place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    ends = [x for k, q in enumerate(qs) for x in (at(F.floor(place(q))).alias(f"_lo{k}"), at(F.ceil(place(q))).alias(f"_hi{k}"))]
+    row = found.groupBy(*key).agg(*ends, F.max("_n").alias("_n"))
+    value = [F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (place(q) - F.floor(place(q))) for k, q in enumerate(qs)]
+    return row.select(*key, F.array(*value).alias("quantiles"))

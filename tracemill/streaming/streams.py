@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracemill.operators.transitions import mean_wait
+
 TRANSITION = "case_id string, src string, tgt string, wait_s double, timestamp timestamp, late boolean"
 _STATE = "task string, time_us long, seq long"
 
@@ -46,5 +48,5 @@ def windowed_bottlenecks(trans: DataFrame, window: str = "1 day", slide: str | N
     if trans.isStreaming:
         trans = trans.withWatermark("timestamp", watermark)
     cut = F.window("timestamp", window, slide) if slide else F.window("timestamp", window)
-    out = trans.groupBy(cut.alias("window"), "src", "tgt").agg(F.avg("wait_s").alias("mean_s"), F.count(F.lit(1)).alias("n"))
+    out = trans.groupBy(cut.alias("window"), "src", "tgt").agg(mean_wait().alias("mean_s"), F.count(F.lit(1)).alias("n"))
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "src", "tgt", "mean_s", "n")
