@@ -56,9 +56,23 @@ def test_stages_against_brute_force(spark, tiny, tmp_path):
 
 
 def test_run(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    for _, stage in pipe.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, tiny).collect(), docs.schema)
     hf = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    rows = pipe.run(spark, tiny).collect()
-    assert rows and hf.get_vocab_size() == 50_257
+    want = {r.doc_id: len(hf.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect()}
+    got = defaultdict(int)
+    for r in pipe.run(spark, tiny).collect():
+        got[r.doc_id] += r.length
+        assert r.doc_tokens == want[r.doc_id]
+    assert got == want
+
+
+def test_clashing_columns(spark, tiny):
+    some = spark.read.parquet(f"{tiny}/documents.parquet").limit(40)
+    odd = some.selectExpr("*", "1 as row", "'x' as _row", "'y' as _mark", "2 as n_words", "true as kept", "3 as node", "'z' as starts")
+    for _, stage in pipe.STAGES[:-1]:
+        assert sorted(map(tuple, stage(spark, odd, tiny).collect()), key=str) == sorted(map(tuple, stage(spark, some, tiny).collect()), key=str)
 
 
 def test_null_texts_and_empty_tables(spark, tiny):

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import atexit
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -20,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.sources.scratch import shared_dir
+
 _U = np.uint64
-_local_dir: str | None = None
 #: Bytes of text that one numpy chunk holds; longer texts get a chunk of their own.
 CHUNK_BYTES = 1 << 20
 
@@ -63,22 +63,6 @@ def _drop_rest() -> None:
         _rest.paths.clear()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (`spark.checkpoint.dir`).
-
-    Only in local mode, where the setting may be missing, a temporary folder stands in.
-    """
-    global _local_dir
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if _local_dir is None:
-        _local_dir = "file://" + tempfile.mkdtemp(prefix="tracemill-")
-    return _local_dir
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/tracemill/{uuid.uuid4().hex}-{label}"
     _open[-1].paths.append((spark, path))
