@@ -19,9 +19,11 @@ A node is a set's 64-bit hash, unless another set has the same one: a second has
 then both are named by it, so identity rests on 128 bits. A shingle is a 64-bit hash of its words; a
 collision can only matter between two sets of one cluster.
 
-Where a part has two empty sub-parts their signature says nothing, and unrelated sets would share it.
-Such a set signs, instead of that, for a second and independent division of the domain (similar sets do so
-together), and so on for LEVELS divisions; a group of unrelated sets thins out by hundreds with each.
+Where a part has two empty sub-parts their signature says nothing, and unrelated sets would share it. As
+such a part differs in one shingle at most, the set signs instead with what the third sub-part holds, whole
+and without each one of its shingles. If nothing is left even so, it signs for a second and independent
+division of the domain (similar sets do so together), and so on for LEVELS divisions; a group of unrelated
+sets thins out by thousands with each.
 """
 
 from __future__ import annotations
@@ -117,17 +119,15 @@ def signatures_of(sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, n
         for level in range(LEVELS):
             if not len(some):
                 break
-            sig, own, bare = _signed(flat, sizes, some, tag, n1, level)
-            if level == LEVELS - 1:
-                bare[:] = False
-            out.append(sig[~bare])
-            owner.append(own[~bare])
-            some = np.unique(own[bare])
+            sig, own, empty = _signed(flat, sizes, some, tag, n1, level)
+            out.append(sig if level == LEVELS - 1 else sig[~empty])
+            owner.append(own if level == LEVELS - 1 else own[~empty])
+            some = np.unique(own[empty])
     return np.concatenate([*out, np.zeros(0, dtype=_U)]), np.concatenate([*owner, np.zeros(0, dtype=np.int64)])
 
 
 def _signed(flat: np.ndarray, sizes: np.ndarray, some: np.ndarray, tag: np.ndarray, n1: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the sets `some`, under one division of the domain: (signatures, their sets, whether both sub-parts are empty)."""
+    """Of the sets `some`, under one division of the domain: (signatures, their sets, whether they stand for no shingle at all)."""
     n1 = np.where(np.isin(np.arange(len(sizes)), some), n1, 0)
     first = np.cumsum(n1) - n1
     keep = np.repeat(n1 > 0, sizes)
@@ -135,17 +135,33 @@ def _signed(flat: np.ndarray, sizes: np.ndarray, some: np.ndarray, tag: np.ndarr
     spread = mix(flat[keep] + tag.astype(_U)[of] * _U(2654435761) + _U(1 + 0x51ED270B * level))
     # the high half of the hash chooses the part, the low half one of its three sub-parts
     part = ((spread >> _U(32)) * n1.astype(_U)[of] >> _U(32)).astype(np.int64) + first[of]
-    sub = ((spread & _U(0xFFFFFFFF)) * _U(3) >> _U(32)).astype(np.int64)
+    cell = part * 3 + ((spread & _U(0xFFFFFFFF)) * _U(3) >> _U(32)).astype(np.int64)
+    own = mix(spread ^ _U(0xA5A5))
     sums = np.zeros(3 * int(n1.sum()), dtype=_U)
-    np.add.at(sums, part * 3 + sub, mix(spread ^ _U(0xA5A5)))
-    filled = np.bincount(part * 3 + sub, minlength=len(sums)).reshape(-1, 3) > 0
-    sums = sums.reshape(-1, 3)
+    np.add.at(sums, cell, own)
+    count = np.bincount(cell, minlength=len(sums))
     whose = np.repeat(np.arange(len(sizes)), n1)
     place = ((np.arange(len(whose)) - first[whose]) * 3).astype(_U)
     salt = tag.astype(_U)[whose] * _U(40503) + _U(0xC2B2AE3D27D4EB4F * level % (1 << 64))
-    pairs = ((0, 1), (0, 2), (1, 2))
-    sig = [mix(sums[:, a] * _U(0xD6E8FEB86659FD93) + mix(sums[:, b]) + (place + _U(j)) * _U(0x9E3779B97F4A7C15) + salt) for j, (a, b) in enumerate(pairs)]
-    return np.concatenate(sig), np.tile(whose, 3), np.concatenate([~filled[:, a] & ~filled[:, b] for a, b in pairs])
+    order = np.argsort(cell, kind="stable")
+    begin = np.cumsum(count) - count
+    out, owner, empty = [], [], []
+    for j, (a, b, c) in enumerate(((0, 1, 2), (0, 2, 1), (1, 2, 0))):
+        base = (place + _U(j)) * _U(0x9E3779B97F4A7C15) + salt
+        bare = (count[a::3] == 0) & (count[b::3] == 0)
+        out.append(mix(sums[a::3] * _U(0xD6E8FEB86659FD93) + mix(sums[b::3]) + base)[~bare])
+        owner.append(whose[~bare])
+        # the third sub-part whole, and less each of its shingles
+        rest = 3 * np.flatnonzero(bare) + c
+        n = count[rest]
+        each = np.repeat(rest, n)
+        less = own[order[begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)]]
+        left = np.concatenate([sums[rest], sums[each] - less])
+        at = np.concatenate([rest, each]) // 3
+        out.append(mix(mix(left ^ _U(0x3D)) + base[at]))
+        owner.append(whose[at])
+        empty += [np.zeros(int((~bare).sum()), dtype=bool), np.concatenate([n == 0, np.repeat(n, n) == 1])]
+    return np.concatenate(out), np.concatenate(owner), np.concatenate(empty)
 
 
 def signatures(shingles: np.ndarray, threshold: int) -> np.ndarray:
