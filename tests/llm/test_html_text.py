@@ -76,6 +76,10 @@ WANT = "\n".join(["Head", *PROSE])
         f"<div id='content'><h1>Head</h1>{P}</div><div class='comments'>" + f"<div class='comment'><p>{LONG} I disagree.</p></div>" * 8 + "</div>",
         f"<article><h1>Head</h1>{P}<section id='comments'><h2>2 comments</h2><p>{LONG} I disagree.</p></section></article>",
         f"<div class='main'><h1>Head</h1><p>{PROSE[0]}</p><div class='ad-box'>{LONG} Buy</div><p>{PROSE[1]}</p><p>{PROSE[2]}</p></div>",
+        f"<main><h1>Head</h1><div class='body'>{P}</div></main><div class='related'><h2>Related</h2><p>{LONG} other</p></div>",
+        f"<article><h1>Head</h1><div class='body'>{P}</div></article><footer>x</footer>",
+        f"<div id='wrap'><h1>Head</h1><div><div class='body'>{P}</div></div></div><div class='footer'>x</div>",
+        f"<header><h1>Site name</h1></header><div><h2>Head</h2>{P}</div>",
         f"<div class='main'><h1>Head</h1>{P}</div><div id='newsletter-signup'><p>{LONG} Subscribe.</p></div>",
     ],
 )

@@ -5,8 +5,8 @@ text isn't shown are no text. For each tag path from the root the text length an
 of its blocks are added up; both ratios are smoothed over neighbouring blocks and fused by
 multiplying, each block by the weight of the elements that it lies in. Paths above a multiple of
 the standard deviation are content. The article is the smallest element that holds nearly all
-content text; every remaining block inside it is returned, so short headings and list items stay,
-and blocks that are mostly links go.
+content text (or the `<article>` around it); every remaining block inside it is returned, so short
+headings and list items stay, and blocks that are mostly links go.
 
 Weights. Elements that are menus, footers, forms, adverts, comments … by tag, role or class weigh
 nothing, those with a vaguer class (`social`, `legal`, `search`) half. A name only counts if it says
@@ -308,16 +308,22 @@ def content_of(page: Page) -> list[str]:
         held[page.parent[k]] += held[k]
     whole = np.flatnonzero(held >= SHARE * held[0])
     article = next((int(k) for k in whole[::-1] if page.tag[k] not in PARTS), 0)  # the innermost has the largest number
+    around = article
+    while around and page.tag[around] != "article":
+        around = page.parent[around]
+    article = around or article
     inside = np.zeros(len(held), dtype=bool)
     inside[article] = True
     for k in range(article + 1, len(held)):
         inside[k] = inside[page.parent[k]]
     kept = inside[node] & (weight > 0) & (is_content | ((weight == 1) & (links <= LINKS * size)))
-    # a header outside of the article may hold its title: it does where the article has none
-    heads = np.array([page.tag[k] in ("h1", "h2") for k in page.node])
-    if not (kept & heads).any():
-        title = np.flatnonzero([page.tag[k] == "h1" and _in_header(page, k) for k in page.node])[:1]
-        kept[title] = True
+    # the title may stand before the article, or in a header outside of it: it does where the article has none
+    first, level = np.array([page.tag[k] == "h1" for k in page.node]), np.array([page.tag[k] in ("h1", "h2") for k in page.node])
+    before = np.arange(len(kept)) < np.argmax(kept)
+    if not (kept & first).any() and (first & before & (weight == 1)).any():
+        kept[np.flatnonzero(first & before & (weight == 1))[-1]] = True
+    elif not (kept & level).any():
+        kept[np.flatnonzero([page.tag[k] == "h1" and _in_header(page, k) for k in page.node])[:1]] = True
     return [page.text[i] for i in np.flatnonzero(kept)]
 
 
