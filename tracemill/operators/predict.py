@@ -58,13 +58,13 @@ def next_event_distribution(train: DataFrame, order: int = 1, alpha: float = 1.0
 
     `train` holds labelled events with their contexts. The table has one row per context.
     """
-    labels = train.select(F.col("next_task").alias("label")).distinct()
+    labels = train.agg(F.collect_set("next_task").alias("all"))
     seen = None
     for k in range(order + 1):
         part = train.select(F.lit(k).alias("depth"), (F.col(f"context_{k}") if k else F.lit("")).alias("context"), F.col("next_task").alias("label")).filter("context is not null")
         seen = part if seen is None else seen.unionByName(part)
     counts = seen.groupBy("depth", "context", "label").agg(F.count(F.lit(1)).alias("c"))
-    grid = counts.select("depth", "context").distinct().crossJoin(F.broadcast(labels))  # as many labels as tasks
+    grid = counts.select("depth", "context").distinct().crossJoin(F.broadcast(labels)).select("depth", "context", F.explode("all").alias("label"))  # one row, a label per task
     full = grid.join(counts, ["depth", "context", "label"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
     whole = Window.partitionBy("depth", "context")
     p = (F.col("c") + alpha) / (F.sum("c").over(whole) + alpha * F.count(F.lit(1)).over(whole))
