@@ -186,7 +186,7 @@ def xes_log(spark, d):
     event = F.concat(F.lit("<event>"), attribute("string", "concept:name", F.col("task_name")), attribute("string", "org:resource", F.col("resource")), attribute("date", "time:timestamp", time), F.lit("</event>"))
     cases = L1(spark, d).withColumn("e", event).groupBy("case_id").agg(F.min("amount").cast("string").alias("a"), F.sort_array(F.collect_list(F.struct("timestamp", "event_seq", "e"))).alias("es"))
     events = F.array_join(F.transform("es", lambda x: x["e"]), "")
-    path = scratch.place(spark, "traces") + ".xes"
+    path = scratch.place(spark, "traces.xes")
     traces = cases.select(F.concat(F.lit("<trace>"), attribute("string", "concept:name", F.col("case_id")), attribute("float", "Amount", F.col("a")), events, F.lit("</trace>")).alias("value"))
 
     def documents(batches):  # a file is a whole log
