@@ -97,7 +97,7 @@ def test_one_paragraph_keeps_its_heading():
 
 
 def test_names():
-    kinds = {NOISY: "ad-box main-nav articleFooter top-bar cookie-notice", OTHERS: "comment-list post_comments", SOME: "social", NOTHING: "with-sidebar legal-news cookie-recipes content social-studies"}
+    kinds = {NOISY: "ad-box main-nav articleFooter entry-footer-inner top-bar cookie-notice", OTHERS: "comment-list post_comments post-comment-form", SOME: "social", NOTHING: "with-sidebar legal-news cookie-recipes content social-studies"}
     for kind, names in kinds.items():
         assert {named(x) for x in names.split()} == {kind}, names
 

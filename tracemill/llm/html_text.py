@@ -91,8 +91,8 @@ def named(names: str) -> int:
         elif "".join(words) in HEADERS:
             found = max(found, HEADER)
         else:  # a name ends in what the thing is, but for words that any thing may have
-            clear = all(k or w in PLAIN for w, k in zip(words, known, strict=True))
-            found = max(found, max(known) if clear else known[-1])
+            telling = [k for w, k in zip(words, known, strict=True) if k or w not in PLAIN]
+            found = max(found, max(telling, default=NOTHING) if all(telling) else telling[-1])
     return found
 
 
