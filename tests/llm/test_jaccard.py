@@ -87,6 +87,7 @@ def rows_of(seed=9):
 def test_planted_families(spark, monkeypatch, unit):
     monkeypatch.setattr(jaccard, "UNIT", unit)
     monkeypatch.setattr(jaccard, "GROUP_UNIT", unit)
+    monkeypatch.setattr(jaccard, "UNIT_SHINGLES", 100 * unit)
     monkeypatch.setattr(jaccard, "BLOCK_ENTRIES", 500)
     monkeypatch.setattr(jaccard, "BUCKET_ENTRIES", 2000)
     rows = rows_of()

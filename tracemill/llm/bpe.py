@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, docs_of, range_hashes
+from .common import docs_of, parts, range_hashes
 
-CACHE_PIECES = 1_000_000
-TEXT_BYTES = 1 << 21
+CACHE_PIECES = 400_000
+TEXT_BYTES = 1 << 20
 LONG_PIECE = 1 << 11
 _NONE = np.int64(1) << np.int64(62)
 _NO_RANK = np.iinfo(np.int32).max
@@ -399,9 +399,8 @@ def encoded_batches(batches, path: str, added: bool = False):
     """Of Arrow batches whose last column is the text: (the other columns, flat ids, where each text's ids begin)."""
     tool = codec(path)
     for b in batches:
-        texts = [x or b"" for x in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
-        for lo, hi in chunks(texts, TEXT_BYTES):
-            ids, at = tool.encode(texts[lo:hi], added)
+        for lo, hi, texts in parts(b.column(b.num_columns - 1), TEXT_BYTES):
+            ids, at = tool.encode(texts, added)
             yield [c.slice(lo, hi - lo) for c in b.columns[:-1]], ids, at
 
 

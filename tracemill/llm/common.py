@@ -16,6 +16,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +33,11 @@ class Scratch:
     def __init__(self) -> None:
         self.paths: list[tuple[SparkSession, str]] = []
 
-    def drop(self) -> None:
-        while self.paths:
-            spark, path = self.paths.pop()
+    def drop(self, only: str | None = None) -> None:
+        """Delete all of them, or the one at this path."""
+        some = [x for x in self.paths if only in (None, x[1])]
+        self.paths = [x for x in self.paths if x not in some]
+        for spark, path in some:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -63,6 +66,12 @@ def _drop_rest() -> None:
         _rest.paths.clear()
 
 
+def drop_path(path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    for held in _open:
+        held.drop(path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/tracemill/{uuid.uuid4().hex}-{label}"
     _open[-1].paths.append((spark, path))
@@ -153,28 +162,22 @@ def run_hashes(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
             out = run if out is None else both(run[: len(out) - width], out[width:])
         width *= 2
         if width > k:
-            return mix(out[: len(hashes) - k + 1] + _U(0x632BE59BD9B4E019) * _U(2 * seed + 1))
+            return mix(out[: len(hashes) - k + 1] + _U(0x632BE59BD9B4E019 * (2 * seed + 1) % (1 << 64)))
         run = both(run[: len(run) - width // 2], run[width // 2 :])
 
 
 # ----------------------------------------------------------------- text chunks
 
 
-def cells(column: pa.Array) -> list[bytes]:
-    """UTF-8 of each cell, null as empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def chunks(texts: list[bytes], most: int = CHUNK_BYTES):
-    """(first, last) index ranges whose texts hold about `most` bytes together."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield first, i
-            first, size = i, 0
-        size += len(t) + 1
-    if first < len(texts):
-        yield first, len(texts)
+def parts(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, last, UTF-8 of these cells, null as empty): runs of cells that hold about `most` bytes together. One run at a time is in Python's hands."""
+    column = column.cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi, [x or b"" for x in column.slice(lo, hi - lo).to_pylist()]
+        lo = hi
 
 
 class Words:

@@ -21,9 +21,10 @@ collision can only matter between two sets of one cluster.
 
 Where a part has two empty sub-parts their signature says nothing, and unrelated sets would share it. As
 such a part differs in one shingle at most, the set signs instead with what the third sub-part holds, whole
-and without each one of its shingles. If nothing is left even so, it signs for a second and independent
-division of the domain (similar sets do so together), and so on for LEVELS divisions; a group of unrelated
-sets thins out by thousands with each.
+and without each one of its shingles. Nothing is left so of a part with one shingle at most. There are some
+parts more than similar sets need, so a set with no more such parts than that can do without them; one that has
+more signs for a second and independent division of the domain as well (if either of two similar sets has few,
+they share a signature of the first; else both sign for the second), and so on for LEVELS divisions.
 """
 
 from __future__ import annotations
@@ -35,20 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cells, chunks, docs_of, mix, run_hashes, stored
+from .common import Words, docs_of, mix, parts, run_hashes, stored
 from .components import components
 from .exact_dedup import bloom_filter, holds, key_of, may_hold
 from .substring_dedup import pack, unpack
 
 WORDS = 4
 THRESHOLD = 85  # per cent
-#: Members of a cluster that one verification unit holds at most, about.
-UNIT = 512
+#: Members of a cluster that one verification unit holds at most, about, and their shingles together.
+UNIT, UNIT_SHINGLES = 512, 1 << 20
 #: Members of a group whose sketches one unit holds at most, about.
 GROUP_UNIT = 8192
 #: Signatures of a bucket, and those a task gathers before it sends its blocks.
-BUCKET_ENTRIES = 1 << 19
-BLOCK_ENTRIES = 1 << 19
+BUCKET_ENTRIES = 1 << 18
+BLOCK_ENTRIES = 1 << 18
 #: Divisions of the domain for sets with empty sub-parts.
 LEVELS = 4
 #: Bits of a parity sketch, by the size of the set.
@@ -99,13 +100,22 @@ def _bounds(threshold: int, size: int) -> tuple[list[int], int]:
     return starts, int(np.searchsorted(starts, size, side="right")) - 1
 
 
-def _parts(sizes: np.ndarray, threshold: int, up: int) -> np.ndarray:
-    """(tag, n1) of sets of these sizes for their own band (up = 0) or the next; n1 = 0 where only equal sets can be similar."""
+def _parts(sizes: np.ndarray, threshold: int, up: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tag, n1, spare) of sets of these sizes for their own band (up = 0) or the next; n1 = 0 where only equal sets can be similar.
+
+    Of n1 parts, so many more than `spare` differ in one shingle at most.
+    """
     starts, _ = _bounds(threshold, int(sizes.max(initial=1)) * 300 // threshold + 10)
     tag = np.searchsorted(starts, sizes, side="right") - 1 + up
-    most = np.array(starts)[tag + 1] - 1
+    starts = np.array(starts)
+    most = starts[tag + 1] - 1
     k = (100 - threshold) * 2 * most // (100 + threshold)
-    return tag, np.where(k > 0, (k + 2) // 2, 0)
+    n1 = np.where(k > 0, (k + 2) // 2, 0)
+    # the smallest sets of the tag expect so many parts of one shingle at most, and hardly ever more than `spare`
+    held = starts[np.maximum(tag - 1, 0)] / np.maximum(n1, 1)
+    bare = n1 * np.exp(-held) * (1 + held)
+    spare = np.where(bare < 0.05, 0, np.ceil(bare + 3 * np.sqrt(bare))).astype(np.int64)
+    return tag, n1 + spare, spare
 
 
 def signatures_of(sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,20 +124,21 @@ def signatures_of(sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, n
     flat = np.concatenate(sets) if sets else np.zeros(0, dtype=_U)
     out, owner = [], []
     for up in (0, 1):
-        tag, n1 = _parts(sizes, threshold, up)
+        tag, n1, spare = _parts(sizes, threshold, up)
         some = np.flatnonzero((sizes > 0) & (n1 > 0))
         for level in range(LEVELS):
             if not len(some):
                 break
-            sig, own, empty = _signed(flat, sizes, some, tag, n1, level)
-            out.append(sig if level == LEVELS - 1 else sig[~empty])
-            owner.append(own if level == LEVELS - 1 else own[~empty])
-            some = np.unique(own[empty])
+            sig, own, empty, poor = _signed(flat, sizes, some, tag, n1, level)
+            some = np.flatnonzero(poor > spare)
+            keep = ~empty if level < LEVELS - 1 else ~empty | (poor > spare)[own]
+            out.append(sig[keep])
+            owner.append(own[keep])
     return np.concatenate([*out, np.zeros(0, dtype=_U)]), np.concatenate([*owner, np.zeros(0, dtype=np.int64)])
 
 
-def _signed(flat: np.ndarray, sizes: np.ndarray, some: np.ndarray, tag: np.ndarray, n1: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the sets `some`, under one division of the domain: (signatures, their sets, whether they stand for no shingle at all)."""
+def _signed(flat: np.ndarray, sizes: np.ndarray, some: np.ndarray, tag: np.ndarray, n1: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sets `some`, under one division of the domain: (signatures, their sets, whether they stand for no shingle at all), and of every set its parts of one shingle at most."""
     n1 = np.where(np.isin(np.arange(len(sizes)), some), n1, 0)
     first = np.cumsum(n1) - n1
     keep = np.repeat(n1 > 0, sizes)
@@ -161,7 +172,8 @@ def _signed(flat: np.ndarray, sizes: np.ndarray, some: np.ndarray, tag: np.ndarr
         out.append(mix(mix(left ^ _U(0x3D)) + base[at]))
         owner.append(whose[at])
         empty += [np.zeros(int((~bare).sum()), dtype=bool), np.concatenate([n == 0, np.repeat(n, n) == 1])]
-    return np.concatenate(out), np.concatenate(owner), np.concatenate(empty)
+    poor = np.bincount(whose[count.reshape(-1, 3).sum(axis=1) <= 1], minlength=len(sizes))
+    return np.concatenate(out), np.concatenate(owner), np.concatenate(empty), poor
 
 
 def signatures(shingles: np.ndarray, threshold: int) -> np.ndarray:
@@ -241,9 +253,8 @@ def _signature_blocks(buckets: int, words: int, threshold: int, name):
 
         held = 0
         for b in batches:
-            texts = cells(b.column(0))
-            for lo, hi in chunks(texts):
-                own = list(shingle_sets(texts[lo:hi], words))
+            for _, _, texts in parts(b.column(0)):
+                own = list(shingle_sets(texts, words))
                 sig, of = signatures_of(own, threshold)
                 sigs.append(sig)
                 nodes.append(name(own)[of])
@@ -261,8 +272,8 @@ def _bucket_groups(most: int):
     """Of a bucket of signatures: the distinct groups (gid, block, blocks, node) of nodes that share one, each node once; blocks hold about `most`."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        parts = [unpack(x) for x in rows["body"].to_pylist()]
-        sig, node = _pairs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1][p[2]] for p in parts]))
+        bodies = [unpack(x) for x in rows["body"].to_pylist()]
+        sig, node = _pairs(np.concatenate([p[0] for p in bodies]), np.concatenate([p[1][p[2]] for p in bodies]))
         begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.append(begin, len(sig)))
         gid = mix(np.add.reduceat(mix(node.view(_U)), begin) + size.astype(_U)).view(np.int64)
@@ -413,9 +424,9 @@ def _candidate_sets(spread, words: int, name):
     def run(batches):
         sent: set[int] = set()
         for b in batches:
-            ids, texts = b.column(0).fill_null(0).to_numpy(), cells(b.column(1))
-            for lo, hi in chunks(texts):
-                own = list(shingle_sets(texts[lo:hi], words))
+            ids = b.column(0).fill_null(0).to_numpy()
+            for lo, hi, texts in parts(b.column(1)):
+                own = list(shingle_sets(texts, words))
                 names = name(own)
                 some = [i for i in np.flatnonzero(holds(spread.value, stand_in(names, ids[lo:hi]))).tolist() if names[i] not in sent]
                 some = list({names[i]: i for i in some}.values())
@@ -462,8 +473,10 @@ def _verified(rows: DataFrame, threshold: int, n_rows: int) -> DataFrame:
 
 
 def _similar(clusters: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(node, root) of the similarity components within clusters. clusters: a stored table (node, cluster); sets: (node, shingles)."""
-    sizes = stored(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / UNIT)), "sizes")
+    """(node, root) of the similarity components within clusters. clusters: a stored table (node, cluster, size); sets: (node, shingles)."""
+    per = F.greatest(F.count(F.lit(1)) / UNIT, F.sum("size") / UNIT_SHINGLES)
+    sizes = stored(clusters.groupBy("cluster").agg(F.ceil(per).alias("blocks")), "sizes")
+    clusters = clusters.drop("size")
     placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     placed = stored(placed.withColumn("unit", F.xxhash64("cluster", "block")).withColumn("label", F.col("node")), "placed")
     within = stored(_verified(sets.join(placed, "node").select("unit", "node", "label", "shingles"), threshold, placed.count()), "within")
@@ -476,16 +489,17 @@ def _similar(clusters: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     n_large = rows.count()
     within = stored(within.join(rows.select(F.col("node").alias("a")), "a", "left_semi"), "within")
     heads = rows.join(stored(within.select(F.col("b").alias("node")).distinct(), "head"), "node", "left_semi")
-    count = heads.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / UNIT).alias("k"))
+    # as many heads in a unit as the cluster's blocks have members
+    count = heads.join(large.groupBy("cluster").agg((F.count(F.lit(1)) / F.max("blocks")).alias("fit")), "cluster").groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.max("fit")).alias("k"))
     heads = heads.join(stored(count, "heads"), "cluster").withColumn("unit", F.xxhash64("cluster", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k"))))
     among = stored(_verified(heads.select("unit", "node", "label", "shingles"), threshold, n_large), "among")
     known = stored(components(within.unionByName(among)), "known")
     labelled = rows.drop("label").join(known, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     labelled = stored(labelled, "labelled")
     # a link between two components has an end outside of the cluster's largest: what is outside meets every block
-    counts = labelled.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
-    per = counts.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), (F.sum("c") - F.max("c")).alias("outside")).filter("outside > 0")
-    rest = labelled.join(stored(per.withColumn("shares", F.ceil(F.col("outside") / UNIT)), "apart"), "cluster")
+    counts = labelled.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"), F.max("blocks").alias("k"))
+    per = counts.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), (F.sum("c") - F.max("c")).alias("outside"), (F.sum("c") / F.max("k")).alias("fit")).filter("outside > 0")
+    rest = labelled.join(stored(per.select("cluster", "largest", F.ceil(F.col("outside") / F.col("fit")).alias("shares")), "apart"), "cluster")
     share = F.pmod(F.xxhash64("node", F.lit(2)), F.col("shares"))
     inside = rest.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
     outside = rest.filter(F.col("label") != F.col("largest")).withColumn("share", share).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -502,9 +516,8 @@ def _named(words: int, name):
 
     def run(batches):
         for b in batches:
-            texts = cells(b.column(2))
-            for lo, hi in chunks(texts):
-                own = list(shingle_sets(texts[lo:hi], words))
+            for lo, hi, texts in parts(b.column(2)):
+                own = list(shingle_sets(texts, words))
                 n, node = pa.array([len(s) for s in own], pa.int64()), pa.array(name(own))
                 sketch = pa.array([sketch_of(s) for s in own], pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -534,11 +547,11 @@ def _linked(docs: DataFrame, words: int, threshold: int, name_bits: int) -> tupl
     groups = blocks.groupBy("bucket").applyInArrow(_bucket_groups(GROUP_UNIT), "gid long, block int, blocks int, node long")
     links = _candidate_links(stored(groups.distinct(), "groups"), classes, threshold, GROUP_UNIT)
     clusters = stored(components(links).withColumnRenamed("root", "cluster"), "clusters")
-    chosen = stored(clusters.join(classes.select("node", "first"), "node"), "chosen")
+    chosen = stored(clusters.join(classes.select("node", "first", "size"), "node"), "chosen")
     keys = stored(chosen.select("node", "first").mapInArrow(_stand_ins, "key long"), "keys")
     spread = docs.sparkSession.sparkContext.broadcast(bloom_filter(keys, 1))  # MAX_FILTER_BITS bounds it
     sets = docs.select("doc_id", "text").mapInArrow(_candidate_sets(spread, words, name), "node long, shingles binary")
-    roots = stored(_similar(clusters, sets, threshold).distinct(), "roots")
+    roots = stored(_similar(chosen.select("node", "cluster", "size"), sets, threshold).distinct(), "roots")
     return base.select("doc_id", "mark", "n_shingles", "node"), classes.select("node", "first"), roots
 
 

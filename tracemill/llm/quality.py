@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_sample, cells, chunks, docs_of, mix, range_hashes
+from .common import Words, bounded_sample, docs_of, mix, parts, range_hashes
 
 #: Documents that the linear model is fitted on, about, drawn by a hash of doc_id and text.
 FIT_ROWS = 4000
@@ -189,9 +189,8 @@ def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, rounds: int = 120
 
 def _chunked(batches):
     for b in batches:
-        texts = cells(b.column(1))
-        for lo, hi in chunks(texts):
-            words = Words(texts[lo:hi])
+        for lo, hi, texts in parts(b.column(1)):
+            words = Words(texts)
             yield b.column(0).slice(lo, hi - lo), words, words.hashes()
 
 
@@ -274,9 +273,9 @@ def drop_bad(df: DataFrame, model: Model | None, text_col: str = "text") -> Data
 
     @F.pandas_udf("boolean")
     def keep(texts: pd.Series) -> pd.Series:
-        own, out = [(t or "").encode() for t in texts], []
-        for lo, hi in chunks(own):
-            words = Words(own[lo:hi])
+        out = []
+        for _, _, own in parts(pa.array(texts, pa.string())):
+            words = Words(own)
             out.append(spread.value.score(hashed_features(words, words.hashes())) >= 0.5)
         return pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=bool))
 

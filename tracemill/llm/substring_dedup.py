@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cells, chunks, mix, run_hashes, stored
+from .common import Words, mix, parts, run_hashes, stored
 from .exact_dedup import bloom_filter, holds
 
 WINDOW = 20
@@ -131,9 +131,8 @@ def _print_blocks(buckets: int, window: int):
                 yield _batch(bucket=pa.array([k], pa.int32()), body=pa.array([pack(prints[a:b], counts[a:b].clip(max=2).astype(np.uint8))], pa.binary()))
 
         for b in batches:
-            texts = cells(b.column(0))
-            for lo, hi in chunks(texts):
-                words = Words(texts[lo:hi])
+            for _, _, texts in parts(b.column(0)):
+                words = Words(texts)
                 held.append(_selected(words, words.hashes(), window))
                 if sum(map(len, held)) > BLOCK_WINDOWS:
                     yield from send()
@@ -145,9 +144,9 @@ def _print_blocks(buckets: int, window: int):
 
 def _merge_blocks(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """One sorted run of a bucket: prints and whether each was seen once (1) or more often (2)."""
-    parts = [unpack(x) for x in rows["body"].to_pylist()]
-    prints, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-    counts = np.bincount(at, weights=np.concatenate([c for _, c in parts])).clip(max=2).astype(np.uint8)
+    bodies = [unpack(x) for x in rows["body"].to_pylist()]
+    prints, at = np.unique(np.concatenate([p for p, _ in bodies]), return_inverse=True)
+    counts = np.bincount(at, weights=np.concatenate([c for _, c in bodies])).clip(max=2).astype(np.uint8)
     return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([pack(prints, counts)], pa.binary())})
 
 
@@ -214,8 +213,8 @@ def _ranked(doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _by_document(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """Rows (row, starts) from the blocks of a bucket of documents."""
-    parts = [unpack(x) for x in rows["body"].to_pylist()]
-    doc, start = np.concatenate([d[of] for d, of, _ in parts]), np.concatenate([s for *_, s in parts])
+    bodies = [unpack(x) for x in rows["body"].to_pylist()]
+    doc, start = np.concatenate([d[of] for d, of, _ in bodies]), np.concatenate([s for *_, s in bodies])
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
@@ -253,9 +252,8 @@ def _window_blocks(spread, buckets: int, window: int):
 
         for b in batches:
             rows, ids = b.column(0).to_numpy(), b.column(1).fill_null(_LAST).to_numpy()
-            texts = cells(b.column(2))
-            for lo, hi in chunks(texts):
-                words = Words(texts[lo:hi])
+            for lo, hi, texts in parts(b.column(2)):
+                words = Words(texts)
                 hashes = words.hashes()
                 at, prints = _fingerprints(words, hashes, window)
                 at = at[holds(spread.value, prints)]
@@ -290,12 +288,12 @@ def _repeats_of(rows: pa.Table, buckets: int) -> pa.Table:
             d, s = unpack(known)
             docs.append(d)
             starts.append(s)
-    parts = [unpack(x) for x in rows["body"].to_pylist() if x]
-    if parts:
-        first = np.cumsum([0, *(len(p[2]) for p in parts)])
-        _, row, rank = _ranked(np.concatenate([p[2] for p in parts]), np.concatenate([p[3] if len(p[3]) else p[2] for p in parts]))
-        of = rank[np.concatenate([p[4] + np.int64(n) for p, n in zip(parts, first[:-1], strict=True)])]
-        start, keys, check = (np.concatenate([p[i] for p in parts]) for i in (5, 0, 1))
+    bodies = [unpack(x) for x in rows["body"].to_pylist() if x]
+    if bodies:
+        first = np.cumsum([0, *(len(p[2]) for p in bodies)])
+        _, row, rank = _ranked(np.concatenate([p[2] for p in bodies]), np.concatenate([p[3] if len(p[3]) else p[2] for p in bodies]))
+        of = rank[np.concatenate([p[4] + np.int64(n) for p, n in zip(bodies, first[:-1], strict=True)])]
+        start, keys, check = (np.concatenate([p[i] for p in bodies]) for i in (5, 0, 1))
         order, later = _later(of, start, keys, check)
         docs.append(row[of[order][later]])
         starts.append(start[order][later])
@@ -332,10 +330,10 @@ def _cut(window: int):
 
     def run(batches):
         for b in batches:
-            texts, starts = cells(b.column(1)), b.column(2)
+            starts = b.column(2)
             out, n_words, n_removed = [], [], []
-            for lo, hi in chunks(texts):
-                words = Words(texts[lo:hi])
+            for lo, hi, texts in parts(b.column(1)):
+                words = Words(texts)
                 for i in range(lo, hi):
                     first, last = words.bounds[i - lo], words.bounds[i - lo + 1]
                     gone = 0
@@ -351,7 +349,7 @@ def _cut(window: int):
                         end = np.append(words.starts[first + 1 : last], words.text_starts[i - lo + 1] - 1)[edges[1::2] - 1]
                         out.append(b"".join(words.data[x:y].tobytes() for x, y in zip(begin, end, strict=True)).decode("utf-8"))
                     else:
-                        out.append(texts[i].decode("utf-8"))
+                        out.append(texts[i - lo].decode("utf-8"))
                     n_words.append(int(last - first))
                     n_removed.append(gone)
             yield _batch(rest=b.column(0), kept=pa.array(out, pa.string()), n_words=pa.array(n_words, pa.int64()), n_removed=pa.array(n_removed, pa.int64()))

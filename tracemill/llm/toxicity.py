@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cells, chunks, docs_of
+from .common import bounded_sample, docs_of, parts
 
 #: Labelled documents that lexicon and model are learned from, about, drawn by a hash.
 FIT_ROWS = 12_000
@@ -289,9 +289,9 @@ def _codes(spread):
     def run(batches):
         automaton = spread.value.automaton
         for b in batches:
-            texts, toxic = cells(b.column(0)), b.column(1).to_pylist()
-            for lo, hi in chunks(texts):
-                for t, y in zip(texts[lo:hi], toxic[lo:hi], strict=True):
+            toxic = b.column(1).to_pylist()
+            for lo, hi, texts in parts(b.column(0)):
+                for t, y in zip(texts, toxic[lo:hi], strict=True):
                     low = _LOWER[np.frombuffer(b"\n" + t + b"\n", dtype=np.uint8)]
                     edge = np.diff(_mask_marks(low)[0].view(np.int8))
                     code = automaton.walk(low, np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1)
@@ -305,9 +305,8 @@ def _codes(spread):
 def _featured(spread):
     def run(batches):
         for b in batches:
-            texts = cells(b.column(0))
-            for lo, hi in chunks(texts):
-                rows = spread.value.raw(texts[lo:hi])
+            for lo, hi, texts in parts(b.column(0)):
+                rows = spread.value.raw(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(rows.tolist(), pa.list_(pa.float64())), *(c.slice(lo, hi - lo) for c in b.columns[1:])], ["x", "toxic", "judge"])
 
     return run
@@ -362,9 +361,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for b in batches:
-            texts = cells(b.column(1))
-            for lo, hi in chunks(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(spread.value.score(texts[lo:hi]))], ["doc_id", "score"])
+            for lo, hi, texts in parts(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(spread.value.score(texts))], ["doc_id", "score"])
 
     return docs_of(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
