@@ -79,11 +79,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each result written to the shared folder; what a stage read goes once it is written."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        with common.scratch() as written:
-            path = common.scratch_path(spark, "stage")
+        path = common.scratch_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
-            before.drop()
-        before = written
+            common.drop_path(before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
