@@ -114,3 +114,15 @@ def test_words_that_a_polynomial_hash_confuses(spark):
         rows = [(1, " ".join([thue_morse(n), *tail])), (2, " ".join([thue_morse(n, "ba"), *tail]))]
         got = {r.row.doc_id: (r.n_words, r.n_removed) for r in sub.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got == {1: (31, 0), 2: (31, 30)}
+
+
+def test_fingerprints_are_spread_evenly_over_buckets():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    text = " ".join(f"u{rng.randrange(10**6)}" for _ in range(120_000))
+    found = {}
+    for b in sub._print_blocks(16, 20)(iter([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])])):
+        for k, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found[k] = found.get(k, 0) + len(sub.unpack(body)[0])
+    assert len(found) == 16 and max(found.values()) < 1.3 * min(found.values())

@@ -133,7 +133,7 @@ def _print_blocks(buckets: int, window: int):
         for b in batches:
             for _, _, texts in parts(b.column(0)):
                 words = Words(texts)
-                held.append(_selected(words, words.hashes(), window))
+                held.append(mix(_selected(words, words.hashes(), window)))  # minima are small numbers: spread them over the buckets
                 if sum(map(len, held)) > BLOCK_WINDOWS:
                     yield from send()
         if held:
@@ -256,7 +256,7 @@ def _window_blocks(spread, buckets: int, window: int):
                 words = Words(texts)
                 hashes = words.hashes()
                 at, prints = _fingerprints(words, hashes, window)
-                at = at[holds(spread.value, prints)]
+                at = at[holds(spread.value, mix(prints))]
                 if not len(at):
                     continue
                 of = words.text_of_word()[at]
