@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, html_text, jaccard, packing, quality, substring_dedup, toxicity, warc
+from . import ann, bpe, collocations, exact_dedup, html_text, jaccard, packing, quality, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_nearest": ann.op8_nearest,
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_collocations": collocations.op11_collocations,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": warc.OP5_SQL,
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op9_jaccard_join": jaccard.OP9_SQL,
+        "op11_collocations": collocations.OP11_SQL,
     }
