@@ -558,7 +558,7 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
 OP11_SQL = r"""
 with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as x from d),
-w as (select lang, list_filter(regexp_split_to_array(x, '[\x20\x09]+'), y -> y <> '') as w from p),
+w as (select lang, list_filter(regexp_split_to_array(x, '[\x20\x09]+'), lambda y: y <> '') as w from p),
 g as (select lang, k, w[i:i + k - 1] as g from (select lang, k, w, unnest(range(1, len(w) - k + 2)) as i from (select lang, w, unnest([1, 2, 3, 4, 5]) as k from w))),
 f as (select lang, k, array_to_string(g, ' ') as phrase, g, count(*) as a from g group by all),
 n as (select lang, sum(a)::bigint as n from f where k = 1 group by 1),
