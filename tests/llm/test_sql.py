@@ -9,7 +9,7 @@ from tracemill.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracle(spark, small, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         db.execute(f"create view {t} as select * from read_parquet('{small}/{t}.parquet')")
     found = db.execute(registry.oracle_sql()[name])
     names = [x[0] for x in found.description]
