@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, collocations, exact_dedup, hard_negatives, html_text, jaccard, packing, quality, substring_dedup, toxicity, warc
+from . import ann, bpe, collocations, exact_dedup, hard_negatives, html_text, jaccard, language_id, packing, quality, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_collocations": collocations.op11_collocations,
+        "op12_language_id": language_id.op12_language_id,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
