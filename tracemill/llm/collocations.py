@@ -23,6 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +37,15 @@ MOST = 2000
 #: Share (in hundredths) of a phrase's count that a longer phrase must have to drop it.
 INSIDE = 100
 #: Occurrences of a prefix range, about, and ranges (so hot phrases of a length, too) at most.
-SPAN = 1 << 19
+SPAN = 1 << 20
 MOST_HOT = 1 << 16
 #: Windows of a language that a task gathers before it sorts them, and distinct words that it holds.
-RUN = 1 << 19
-HELD_WORDS = 200_000
+RUN = 1 << 20
+HELD_WORDS = 400_000
 _U = np.uint64
 _BREAK = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
-_GAP = _BREAK | np.isin(np.arange(256), [0x20, 0x09])
+#: 0: part of a word, 1: between words, 2: between pieces.
+_KIND = np.where(_BREAK, 2, np.isin(np.arange(256), [0x20, 0x09])).astype(np.uint8)
 _LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
 
 
@@ -206,9 +208,9 @@ _TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary"
 def _batch(schema: str, *columns) -> pa.RecordBatch:
     """Columns as a batch of this Spark schema; a single value stands in every row."""
     fields = [x.split() for x in schema.split(", ")]
-    n = max((len(c) for c in columns if isinstance(c, list | tuple | np.ndarray)), default=1)
-    full = [c if isinstance(c, list | tuple | np.ndarray) else [c] * n for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[kind]) for c, (_, kind) in zip(full, fields, strict=True)], [name for name, _ in fields])
+    n = max((len(c) for c in columns if isinstance(c, list | tuple | np.ndarray | pa.Array)), default=1)
+    full = [c if isinstance(c, list | tuple | np.ndarray | pa.Array) else [c] * n for c in columns]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, _TYPES[kind]) for c, (_, kind) in zip(full, fields, strict=True)], [name for name, _ in fields])
 
 
 def names_of(lang: str, columns) -> list[np.ndarray]:
@@ -224,9 +226,10 @@ def names_of(lang: str, columns) -> list[np.ndarray]:
 class Ranges:
     """The prefix range of a phrase: the leading bits of its first word, and of the word after each hot prefix."""
 
-    def __init__(self, words: int):
-        self.span = max(SPAN, words // MOST_HOT)
-        self.bits = max(0, math.ceil(math.log2(max(1, words / self.span))))
+    def __init__(self, words: dict[str, int]):
+        """`words`: how many each language has."""
+        self.span = max(SPAN, sum(words.values()) // MOST_HOT)
+        self.bits = {lang: math.ceil(math.log2(max(1, n / self.span))) for lang, n in words.items()}
         self.hot: list[tuple[np.ndarray, np.ndarray]] = []  # of the prefixes of 1, 2 … words: names and bits
 
     def add_hot(self, names: list[int], counts: list[int]) -> None:
@@ -235,7 +238,8 @@ class Ranges:
         self.hot.append((names[order], np.ceil(np.log2(np.maximum(counts[order] / self.span, 2))).astype(np.int64)))
 
     def of(self, lang: str, rows: np.ndarray) -> np.ndarray:
-        out = (rows[:, 0] >> _U(64 - self.bits) if self.bits else np.zeros(len(rows), dtype=_U)).astype(_U)
+        bits = self.bits[lang]
+        out = rows[:, 0] >> _U(64 - bits) if bits else np.zeros(len(rows), dtype=_U)
         prefixes = names_of(lang, rows.T)
         for d in range(1, rows.shape[1]):
             names, bits = self.hot[d - 1]
@@ -254,48 +258,67 @@ def _cells(batch: pa.RecordBatch):
         yield lang, batch.column(1).take(pa.array(np.flatnonzero(np.array([x == lang for x in langs.to_pylist()]))))
 
 
-def _hashed(texts: list[bytes], seed: int):
-    """Lower-cased bytes, the words' ranges in them, their hashes, and the piece that each lies in."""
+def _words(texts: list[bytes]):
+    """Lower-cased bytes, the ranges of the words in them, and where pieces end."""
     data = _LOWER[np.frombuffer(b"\n".join([b"", *texts, b""]), dtype=np.uint8)]
-    edge = np.diff(_GAP[data].view(np.int8))
-    starts, ends = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
-    return data, starts, ends, range_hashes(data, starts, ends, seed), np.cumsum(_BREAK[data])[starts]
+    kind = _KIND[data]
+    edge = np.flatnonzero(np.diff((kind > 0).view(np.int8)))
+    return data, edge[::2] + 1, edge[1::2] + 1, np.flatnonzero(kind > 1)
 
 
 WORD_ROWS = "lang string, h long, word binary, n long"
 
 
+class _Counts:
+    """Counts of different words (hash, word, count), chunk by chunk."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        names, at, n = np.unique(h, return_index=True, return_counts=True)
+        size = ends[at] - starts[at]
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        self.held.append((names, pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[_ramps(starts[at], size)])]), n))
+        self.size += len(at)
+        if self.size > 2 * HELD_WORDS:
+            self.held = [self.merged()]
+            self.size = len(self.held[0][0])
+
+    def merged(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Each word once; where words share a hash, all rows as they are, which shows later."""
+        h, words, n = np.concatenate([x[0] for x in self.held]), pa.concat_arrays([x[1] for x in self.held]), np.concatenate([x[2] for x in self.held])
+        names, at, back = np.unique(h, return_index=True, return_inverse=True)
+        some = words.take(pa.array(at))
+        if not pc.all(pc.equal(some.take(pa.array(back)), words), min_count=0).as_py():
+            return h, words, n
+        return names, some, np.bincount(back, weights=n, minlength=len(names)).astype(np.int64)
+
+
 def _word_counts(seed: int):
-    """(lang, hash, word, count) of a partition, run by run; a row without hash counts all words of the language."""
+    """(lang, hash, word, count) of a partition; a row without hash counts all words of the language."""
 
     def run(batches):
-        held: dict[str, dict[int, list]] = {}
+        held: dict[str, _Counts] = {}
         total: dict[str, int] = {}
 
-        def send():
-            for lang, table in held.items():
-                words = list(table.values())
-                h = np.array(list(table), dtype=_U).view(np.int64)
-                yield _batch(WORD_ROWS, lang, h, [w for w, _ in words], [n for _, n in words])
-            held.clear()
+        def send(lang):
+            h, words, n = held.pop(lang).merged()
+            for at in range(0, len(h), HELD_WORDS // 4):
+                some = slice(at, at + HELD_WORDS // 4)
+                yield _batch(WORD_ROWS, [lang] * len(h[some]), h[some].view(np.int64), words[some], n[some])
 
         for b in batches:
             for lang, column in _cells(b):
                 for _, _, texts in parts(column):
-                    data, starts, ends, h, _ = _hashed(texts, seed)
-                    names, at, n = np.unique(h, return_index=True, return_counts=True)
-                    total[lang] = total.get(lang, 0) + len(h)
-                    table, raw = held.setdefault(lang, {}), data.tobytes()
-                    for name, lo, hi, c in zip(names.tolist(), starts[at].tolist(), ends[at].tolist(), n.tolist(), strict=True):
-                        if (x := table.get(name)) is None:
-                            table[name] = [raw[lo:hi], c]
-                        elif x[0] == raw[lo:hi]:
-                            x[1] += c
-                        else:  # two words of one hash: both are sent, and another seed is taken
-                            yield _batch(WORD_ROWS, lang, np.array([name], dtype=_U).view(np.int64), [raw[lo:hi]], [c])
-                    if sum(map(len, held.values())) > HELD_WORDS:
-                        yield from send()
-        yield from send()
+                    data, starts, ends, _ = _words(texts)
+                    total[lang] = total.get(lang, 0) + len(starts)
+                    held.setdefault(lang, _Counts()).add(range_hashes(data, starts, ends, seed), data, starts, ends)
+                    if sum(x.size for x in held.values()) > 4 * HELD_WORDS or held[lang].size > HELD_WORDS and len(held[lang].held) == 1:
+                        yield from send(max(held, key=lambda x: held[x].size))
+        for lang in list(held):
+            yield from send(lang)
         for lang, n in total.items():
             yield _batch(WORD_ROWS, lang, None, None, n)
 
@@ -329,7 +352,8 @@ def _sorted_run(lang: str, rows: np.ndarray, names: np.ndarray, spread: Ranges):
     """Windows (and their names) as ranges, phrases in order, and counts."""
     order = np.argsort(names, kind="stable")
     same = names[order][1:] == names[order][:-1]
-    if (rows[order[1:]][same] != rows[order[:-1]][same]).any():  # two phrases of one name
+    twice = np.flatnonzero(same)
+    if (rows[order[twice + 1]] != rows[order[twice]]).any():  # two phrases of one name
         rows, counts = _merged(rows, np.ones(len(rows), dtype=np.int64))
     else:
         begin = np.flatnonzero(np.concatenate([[True], ~same]))
@@ -355,13 +379,17 @@ def _shards(k: int, seed: int, shared):
         for b in batches:
             for lang, column in _cells(b):
                 for _, _, texts in parts(column):
-                    *_, h, piece = _hashed(texts, seed)
-                    n = len(h) - k + 1
+                    data, starts, ends, breaks = _words(texts)
+                    n = len(starts) - k + 1
                     if n < 1:
                         continue
-                    shorter = names_of(lang, [h[i : i + n + 1] for i in range(k - 1)])[-1]
-                    known = holds(bitmap, shorter)
-                    at = np.flatnonzero(known[:-1] & known[1:] & (piece[:n] == piece[k - 1 :]))
+                    h = range_hashes(data, starts, ends, seed)
+                    last = np.searchsorted(starts, breaks)  # the first word after each break
+                    inside = np.ones(len(starts) + 1, dtype=bool)
+                    for i in range(1, k):  # no window begins 1 to k - 1 words before one
+                        inside[last[last >= i] - i] = False
+                    some = np.flatnonzero(holds(bitmap, names_of(lang, [h[i : i + n + 1] for i in range(k - 1)])[-1]))
+                    at = some[:-1][(np.diff(some) == 1) & inside[some[:-1]]]
                     if len(at):
                         rows = np.stack([h[at + i] for i in range(k)], axis=1)
                         held.setdefault(lang, []).append((rows, names_of(lang, rows.T)[-1]))
@@ -386,16 +414,25 @@ def _united(k: int, least: int):
     return run
 
 
-def _word_ranges(spread: Ranges):
-    """The transducer of a range of frequent words (lang, range, h, f)."""
-
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        words, counts = _merged(rows["h"].to_numpy().view(_U)[:, None], rows["f"].to_numpy())
-        return pa.Table.from_batches([_batch(LEVEL, key[0].as_py(), 1, key[1].as_py(), [built(words, counts).dump()])])
+def _ranged_words(shared):
+    def run(batches):
+        for b in batches:
+            langs, h = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).view(_U)
+            out = np.zeros(len(h), dtype=np.int64)
+            for lang in set(langs):
+                at = np.flatnonzero([x == lang for x in langs])
+                out[at] = shared.value.of(lang, h[at, None])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], ["lang", "h", "f", "range"])
 
     return run
 
 
+def _word_ranges(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """The transducer of a range of frequent words (lang, range, h, f)."""
+    words, counts = _merged(rows["h"].to_numpy().view(_U)[:, None], rows["f"].to_numpy())
+    return pa.Table.from_batches([_batch(LEVEL, key[0].as_py(), 1, key[1].as_py(), [built(words, counts).dump()])])
+
+
 def _phrase_names(batches):
     """(name, count) of all phrases of transducers."""
     for b in batches:
@@ -526,10 +563,12 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     docs = only(df, lang=F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")), text=F.col(f"`{text_col}`").cast("string")).filter("text is not null")
     words, seed = _counted_words(docs, least)
     totals = {r["lang"]: r["f"] for r in words.filter("h is null").collect()}  # a row per language
-    spread = Ranges(sum(totals.values()))
+    spread = Ranges(totals)
     frequent = words.filter("h is not null")
-    by_range = F.shiftrightunsigned("h", 64 - spread.bits) if spread.bits else F.lit(0).cast("long")
-    level = stored(frequent.select("lang", by_range.alias("range"), "h", "f").groupBy("lang", "range").applyInArrow(_word_ranges(spread), LEVEL), "level")
+    if not totals:
+        return spark.createDataFrame([], OUT)
+    ranged = frequent.select("lang", "h", "f").mapInArrow(_ranged_words(spark.sparkContext.broadcast(spread)), "lang string, h long, f long, range long")
+    level = stored(ranged.groupBy("lang", "range").applyInArrow(_word_ranges, LEVEL), "level")
     levels = level
     for k in range(2, longest + 1):
         bitmap = _prepared(level, spread)
