@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 _local: list[str] = []
-_written: list[tuple[SparkSession, str]] = []
+_folders: dict[tuple[str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,29 +28,39 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
+def _store(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one. The file system deletes it when the driver's JVM ends, whether or not the session was stopped before."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark))
+    if key not in _folders:
+        path = f"{key[1]}/tracemill/{uuid.uuid4().hex}"
+        where, store = _store(spark, path)
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+        _folders[key] = path
+    return _folders[key]
+
+
 def place(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; what is written there is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/tracemill/{uuid.uuid4().hex}-{label}"
-    _written.append((spark, path))
-    return path
+    """A new path in the application's folder."""
+    return f"{folder(spark)}/{uuid.uuid4().hex}-{label}"
 
 
-@atexit.register
-def _drop_written() -> None:
-    for spark, path in _written:
-        try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is gone, and its JVM with it
-            return
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete what nothing reads any more."""
+    where, store = _store(spark, path)
+    store.delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` read back from a checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """`df` written to the shared folder and read back: its lineage ends there."""
+    path = place(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
