@@ -113,3 +113,20 @@ def test_time_grows_with_the_page(unit):
 
     spent(100)
     assert spent(16_000) < max(0.2, 12 * min(spent(4_000), spent(4_000)))
+
+
+def test_comments_of_readers_marked_as_articles():
+    note = "".join(f"<article class='comment' id='c{k}'><p>{LONG} I disagree, {k}.</p></article>" for k in range(3))
+    story = f"<h1>Head</h1><p>{LONG}</p><p>{LONG} 2</p>"
+    want = f"Head\n{LONG}\n{LONG} 2"
+    assert main_text(page(f"<main>{story}{note}</main>")) == want
+    assert main_text(page(f"<main><article>{story}</article>{note}</main>")) == want
+    assert main_text(page(f"<article class='post'>{story}<section>{note}</section></article>")) == want
+    assert main_text(page(f"<article>{story}</article><ol class='thread'><li class='post'><p>{LONG} Yes.</p><li class='post'><p>{LONG} No.</p></ol>")) == want
+    assert main_text(page(f"<main><article>{story}</article><article class='promo'><p>{LONG} Buy.</p></article></main>")) == want
+    assert main_text(page(f"<article class='sponsored promo'>{story}</article>")) == want
+
+
+def test_long_element_names_are_closed():
+    name = "x-" + "very-long" * 20
+    assert main_text(page(f"<article><{name} class='ad'><p>Buy</p></{name}><p>{LONG}</p><p>{LONG} 2</p></article>")) == f"{LONG}\n{LONG} 2"

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
 import re
 from collections import defaultdict
 
@@ -100,3 +104,30 @@ def test_stages_leave_the_tables_of_other_work_alone(spark, tiny):
     pipe.exact_stage(spark, docs, tiny).count()
     pipe.near_stage(spark, docs.limit(5), tiny).count()
     assert mine.count() == docs.count()
+
+
+def test_two_runs_keep_both_results(spark, tiny):
+    a = pipe.run(spark, tiny)
+    b = pipe.run(spark, tiny)
+    n = b.count()
+    assert a.count() == n > 0
+
+
+SCRIPT = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+import corpus_pipeline
+from tracemill.functions import features
+from tracemill.operators.transitions import transitions
+from tracemill.sources.eventlog import events_log
+spark = SparkSession.builder.master("local[4]").config("spark.checkpoint.dir", sys.argv[2]).config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+assert corpus_pipeline.run(spark, sys.argv[3]).count() and features.amount_quartile(transitions(events_log(spark, sys.argv[3]))).count()
+spark.stop()
+"""
+
+
+def test_nothing_stays_in_the_shared_folder(tmp_path, tiny):
+    root = Path(__file__).resolve().parents[2]
+    subprocess.run([sys.executable, "-c", SCRIPT, str(root), f"file://{tmp_path}", tiny], check=True, timeout=600, env=os.environ | {"PYTHONPATH": str(root)})
+    assert [p for p in tmp_path.rglob("*") if p.is_file()] == []

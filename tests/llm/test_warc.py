@@ -37,7 +37,7 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.resolve_revisits(warc.read_archives(warc.write_archives(df, scratch_path(spark, "t")))).collect() == []
+    assert warc.warc.resolve_revisits(warc.read_archives(warc.write_archives(df, scratch_path(spark, "t")))).collect() == []
 
 
 def test_query(spark, tiny):
@@ -86,3 +86,16 @@ def test_ranges_are_bounded():
     lines = [{"length": n} for n in [10] * 600 + [warc.RANGE_BYTES * 2, 5, warc.RANGE_BYTES - 5, 1]]
     parts = list(warc._runs(lines))
     assert [x for p in parts for x in p] == lines and [len(p) for p in parts] == [256, 256, 88, 1, 2, 1]
+
+
+def test_rows_without_id_revisit_each_other(spark, tmp_path):
+    body = "x" * 200
+    df = spark.createDataFrame([(None, "b", body), (None, "a", body), (None, "a", body), (None, "c", "short"), (None, "c", "short")], "page_id long, url string, html string")
+    records = warc.read_archives(warc.write_archives(df, str(tmp_path.as_uri()))).collect()
+    long_ones = [r for r in records if r.url in ("a", "b")]
+    assert sorted((r.record_type, r.url) for r in long_ones) == [("response", "a"), ("revisit", "a"), ("revisit", "b")]
+    first = next(r.record_id for r in long_ones if r.record_type == "response")
+    assert {r.refers_to_id for r in long_ones if r.record_type == "revisit"} == {first} and len({r.record_id for r in records}) == 5
+    assert [r.record_type for r in records if r.url == "c"] == ["response"] * 2
+    out = warc.resolve_revisits(warc.read_archives(warc.write_archives(df, str((tmp_path / "again").as_uri())))).collect()
+    assert sorted((r.record_type, r.payload_bytes) for r in out if r.payload_bytes > 100) == [("response", 200), ("revisit", 200), ("revisit", 200)]

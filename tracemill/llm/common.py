@@ -8,9 +8,8 @@ independent, so two of them together are a hash of 128 bits.
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import uuid
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -20,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.sources.scratch import shared_dir
+from tracemill.sources.scratch import drop as drop_path
+from tracemill.sources.scratch import place
 
 _U = np.uint64
 #: Bytes of text that one numpy chunk holds; longer texts get a chunk of their own.
@@ -33,48 +33,40 @@ class Scratch:
     def __init__(self) -> None:
         self.paths: list[tuple[SparkSession, str]] = []
 
-    def drop(self, only: str | None = None) -> None:
-        """Delete all of them, or the one at this path."""
-        some = [x for x in self.paths if only in (None, x[1])]
-        self.paths = [x for x in self.paths if x not in some]
+    def drop(self) -> None:
+        some, self.paths = self.paths, []
         for spark, path in some:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            drop_path(spark, path)
 
 
-#: Scratch tables made outside of any `scratch()` block: their results may be read at any time, so they stay until the driver ends.
-_rest = Scratch()
-_open: list[Scratch] = [_rest]
+#: The blocks that are open in a thread, the innermost last.
+_open = threading.local()
+
+
+def owner() -> Scratch | None:
+    """The innermost open block of this thread."""
+    held = getattr(_open, "blocks", None)
+    return held[-1] if held else None
 
 
 @contextmanager
 def scratch(own: Scratch | None = None) -> Iterator[Scratch]:
-    """Scratch tables that are made inside the block belong to it (and to no other work); whoever opened it drops them."""
+    """Scratch tables that this thread makes inside the block belong to it (and to no other work); whoever opened it drops them.
+
+    What is made outside of any block may be read at any time and goes with the application's folder.
+    """
     own = own or Scratch()
-    _open.append(own)
+    _open.blocks = [*getattr(_open, "blocks", []), own]
     try:
         yield own
     finally:
-        _open.remove(own)
-
-
-@atexit.register
-def _drop_rest() -> None:
-    try:
-        _rest.drop()
-    except Exception:  # the session is gone, and its JVM with it
-        _rest.paths.clear()
-
-
-def drop_path(path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    for held in _open:
-        held.drop(path)
+        _open.blocks = _open.blocks[:-1]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/tracemill/{uuid.uuid4().hex}-{label}"
-    _open[-1].paths.append((spark, path))
+    path = place(spark, label)
+    if owner():
+        owner().paths.append((spark, path))
     return path
 
 

@@ -39,7 +39,7 @@ UNSEEN = frozenset("head template svg canvas object audio video select option op
 #: Elements that never are an article unless they hold most of the page.
 ASIDE = frozenset("nav footer aside form dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist".split())
-HOLDERS = frozenset("html body article main".split())
+HOLDERS = frozenset("html body main".split())
 #: Elements that are a block of an article, never a whole one.
 PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption summary address".split())
 #: Start tags that end an open element of these kinds.
@@ -56,7 +56,7 @@ NOISE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead topbar footer sidebar ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr popup modal notice notices alert "
     "newsletter subscribe signup login pagination pager skip skiplink skipnav toolbar widget share sharing related recommended recommendations copyright disclaimer paywall".split()
 )
-COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies responses thread threads discussion discussions guestbook".split())
 VAGUE = frozenset("social legal search aside foot overlay subscription promotion".split())
 PLAIN = frozenset("box bar block list wrap wrapper container section area inner outer content item items link links text title form unit slot top bottom left right main page site global header body group panel row col column".split())
 #: First words of names that say what else is on the page.
@@ -205,7 +205,7 @@ def scan(page: str) -> Page:
         if follow == "/":
             end = page.find(">", open_)
             end = n if end < 0 else end
-            words = page[open_ + 2 : min(end, open_ + 66)].split(None, 1)
+            words = page[open_ + 2 : end].split(None, 1)
             tag = words[0].lower() if words else ""
             at = end + 1
             places = s.at.get(tag)
@@ -272,10 +272,15 @@ def _weights(page: Page, size: np.ndarray, node: np.ndarray) -> np.ndarray:
     for k in range(n - 1, 0, -1):
         held[page.parent[k]] += held[k]
         prose[page.parent[k]] += prose[k]
+    articles = np.bincount([page.parent[k] for k in range(1, n) if page.tag[k] == "article"], minlength=n)
+    within = np.zeros(n, dtype=bool)
     weight = np.ones(n)
     headings = np.zeros(n, dtype=bool)  # inside of these, a header is that of an article
     for k in range(1, n):
         kind, up = page.kind[k], page.parent[k]
+        within[k] = within[up] or page.tag[k] == "article"
+        if page.tag[k] == "article" and kind != OTHERS and not within[up] and articles[up] == 1:
+            kind = NOTHING  # a page's only article is one, whatever it is called
         if kind == HEADER and (headings[up] or page.tag[up] not in ("", "html", "body")):
             kind = NOTHING
         # readers may write more than the author: their comments are the page only if there is nothing else

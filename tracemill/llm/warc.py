@@ -158,14 +158,14 @@ class Package:
 
 
 def _write(folder: str):
-    """Of Arrow batches (page_id, url, html, digest, copy, first_id): packages, one row each."""
+    """Of Arrow batches (page_id, url, html, digest, copy, first_id, revisits): packages, one row each."""
 
     def records(batches) -> Iterator[tuple[str, str, bytes]]:
         for b in batches:
-            for page_id, url, html, digest, copy, first_id in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, html, digest, copy, first_id, revisits in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 payload = (html or "").encode("utf-8")
                 target = quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url else f"urn:page:{page_id}"
-                kind = "response" if first_id is None else "revisit"
+                kind = "revisit" if revisits else "response"
                 fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, digest, copy)), ("WARC-Date", DATE), ("WARC-Target-URI", target)]
                 fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
                 if page_id is not None:
@@ -207,14 +207,14 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     long_enough = F.octet_length("html") >= LEAST_REVISIT
     maybe = possibly_repeated(pages.filter(long_enough).select("digest"), "digest", pages.sparkSession)
     tested = pages.withColumn("maybe", long_enough & maybe(F.col("digest")))
-    alone = tested.filter(~F.col("maybe")).select("page_id", "url", "html", "digest", F.lit(1).alias("copy"), F.lit(None).cast("long").alias("first_id"))
+    alone = tested.filter(~F.col("maybe")).select("page_id", "url", "html", "digest", F.lit(1).alias("copy"), F.lit(None).cast("long").alias("first_id"), F.lit(False).alias("revisits"))
     # equal rows are counted before the shuffle; a group's first row is joined by its digest alone
     same = stored(tested.filter("maybe").groupBy("digest", "page_id", "url").agg(F.first("html").alias("html"), F.count(F.lit(1)).alias("n")), "same")
     order = F.struct(F.col("page_id").isNull(), "page_id", "url")
     firsts = stored(same.groupBy("digest").agg(F.min(order).alias("first")).withColumn("first_id", F.col("first.page_id")), "firsts")
     decided = same.join(firsts, "digest").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    is_first = (F.struct(F.col("page_id").isNull(), "page_id", "url") == F.col("first")) & (F.col("copy") == 1)
-    decided = decided.withColumn("first_id", F.when(~is_first, F.col("first_id"))).withColumn("copy", F.when(is_first, 1).otherwise(F.col("copy") + 1))
+    is_first = F.struct(F.col("page_id").isNull(), "page_id", "url").eqNullSafe(F.col("first")) & (F.col("copy") == 1)
+    decided = decided.withColumn("revisits", ~F.coalesce(is_first, F.lit(False))).withColumn("copy", F.when(is_first, 1).otherwise(F.col("copy") + 1))
     rows = alone.unionByName(decided.select(alone.columns))
     return stored(rows.mapInArrow(_write(folder), "path string, records long, bytes long"), "packages")
 
