@@ -7,24 +7,32 @@ works on every row that the one before kept, and what it decides takes effect.
 
 from __future__ import annotations
 
+import threading
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import common, exact_dedup, jaccard, packing, quality, substring_dedup
+from tracemill.sources.scratch import place
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies: word n-grams of five words, similarity of 0.8 or more.
 WORDS, THRESHOLD = 5, 80
 
 
-#: Scratch tables of the stage that ran last in this driver.
-_last = common.Scratch()
+#: Of each thread: scratch tables of the stage that was called last outside of `run`.
+_last = threading.local()
 
 
 def _stage():
-    """Scratch tables made inside belong to a stage. A stage begins when the one before is written, so that one's go; no other work's are touched."""
-    _last.drop()
-    return common.scratch(_last)
+    """Scratch tables made inside belong to the run, or, for a stage called by itself, to the stage: they go when the thread begins another one, as the one before is written then."""
+    if common.owner():
+        return nullcontext()
+    if not hasattr(_last, "held"):
+        _last.held = common.Scratch()
+    _last.held.drop()
+    return common.scratch(_last.held)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,13 +84,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each result written to the shared folder; what a stage read goes once it is written."""
+    """All stages over `documents`, each result written to the shared folder; what a stage read or made goes once it is written.
+
+    What the last stage made stays for as long as the application, as its result may be read at any time.
+    """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        path = common.scratch_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with common.scratch() as own:
+            result = stage(spark, docs, sf_dir)
+        path = place(spark, "stage")
+        result.write.parquet(path)
+        own.drop()
         if before:
-            common.drop_path(before)
-        before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+            common.drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
+    with common.scratch():
+        return STAGES[-1][1](spark, docs, sf_dir)
