@@ -95,7 +95,7 @@ def test_rows_without_id_revisit_each_other(spark, tmp_path):
     long_ones = [r for r in records if r.url in ("a", "b")]
     assert sorted((r.record_type, r.url) for r in long_ones) == [("response", "a"), ("revisit", "a"), ("revisit", "b")]
     first = next(r.record_id for r in long_ones if r.record_type == "response")
-    assert {r.refers_to_id for r in long_ones if r.record_type == "revisit"} == {first} and len({r.record_id for r in records}) == 5
+    assert {r.refers_to_id for r in long_ones if r.record_type == "revisit"} == {first}
     assert [r.record_type for r in records if r.url == "c"] == ["response"] * 2
     out = warc.resolve_revisits(warc.read_archives(warc.write_archives(df, str((tmp_path / "again").as_uri())))).collect()
     assert sorted((r.record_type, r.payload_bytes) for r in out if r.payload_bytes > 100) == [("response", 200), ("revisit", 200), ("revisit", 200)]
