@@ -126,6 +126,10 @@ def test_whatif(spark):
     out = {r.case_id: r for r in cs.whatif_events(trans, "al", "bo").collect()}
     assert out["c1"].cf_resource == "bo" and out["c1"].delta_h == -3.0 and not out["c1"].fallback and out["c2"].delta_h == 0.0
     assert cs.whatif_events(trans, "al", "nobody").filter("fallback").count() == 1
+    some = spark.createDataFrame([("c1",), ("c9",)], "case_id string")
+    assert cs.whatif_events(trans, "al", "bo", some.limit(1)).count() == 1
+    with pytest.raises(ValueError, match="Unknown cases: c9"):
+        cs.whatif_events(trans, "al", "bo", some)
     with pytest.raises(ValueError):
         ev.filter_case(trans, "none")
 
@@ -337,3 +341,54 @@ def test_many_tasks_cluster_in_spark(spark, monkeypatch):
     edges = clique("abc") + clique("xyz") + [("c", "x", 1)]
     got = {r.task: r.cluster for r in an.spectral_clusters(spark.createDataFrame(edges, "src string, tgt string, weight int")).collect()}
     assert set(got) == set("abcxyz") and set(got.values()) <= {0, 1}  # power iteration starts at random
+
+
+def test_the_scaled_vector_is_that_of_the_features(spark):
+    log = log_of(spark, {"a": "BAC", "b": "AB"})
+    out = ft.create_features(log)
+    assert [c for c in out.columns if c.startswith("feat_")] == [f"feat_{c}" for c in ("task_id", "resource_id", "amount", "day_of_week", "hour_of_day")]
+    assert {"dow_sin", "dow_cos", "hod_sin", "hod_cos"} <= set(out.columns)
+    r = out.filter("case_id = 'a' and event_seq = 0").first()  # B on a Thursday at midnight, amount 0
+    assert (r.feat_task_id, r.feat_resource_id, r.feat_amount, r.feat_hour_of_day) == (pytest.approx(1 / 10**0.5), 0.0, 0.0, 0.0) and r.feat_day_of_week == pytest.approx(3 / 10**0.5)
+    both = ft.apply_minmax(out.drop(*[c for c in out.columns if c.startswith("feat_")]), ft.fit_minmax(out))
+    assert {r.feat_resource_id for r in both.collect()} == {0.0} and {r.feat_task_id for r in both.collect()} == {0.0, 1.0}
+
+
+def test_encoded_prefixes_equal_padded_ones(spark, tiny):
+    log = ev.events_log(spark, tiny)
+    tasks, who = ft.label_dictionary(log, "task_name"), ft.label_dictionary(log, "resource")
+    columns = ["case_id", "k", "padded", "padded_resources", "padded_vectors", "length", "label", "dt"]
+    a = tr.encoded_prefixes(log, tasks, 4, who, ["amount"]).select(columns)
+    b = tr.pad_prefixes(tr.prefixes(log, continuous=["amount"]), tasks, 4, who).select(columns)
+    assert a.count() == b.count() > 0 and a.exceptAll(b).isEmpty()
+
+
+@pytest.mark.parametrize("mean", [10.0, 37.0, 1e3, 1e6])
+def test_poisson_numbers_of_any_mean(spark, mean):
+    unit = lambda i: (F.pmod(F.xxhash64("id", i), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 2))
+    k = spark.range(40_000).select(mt._poisson_by_rejection(F.lit(mean), unit).alias("k"))
+    m, v, skew = k.agg(F.avg("k"), F.var_samp("k"), F.skewness("k")).first()
+    assert m == pytest.approx(mean, abs=4 * (mean / 40_000) ** 0.5) and v == pytest.approx(mean, rel=0.04) and skew == pytest.approx(mean**-0.5, abs=0.05)
+    if mean == 10.0:
+        import math
+
+        got = {r.k: r["count"] / 40_000 for r in k.groupBy("k").count().collect()}
+        for i in range(4, 18):
+            assert got.get(float(i), 0.0) == pytest.approx(math.exp(-10) * 10**i / math.factorial(i), abs=0.008)
+
+
+def test_runs_by_stage_and_kind(spark):
+    nested = spark.createDataFrame([("r", "s", (10, 0.5)), ("r", "t", (20, 0.9))], "run_id string, stage string, m struct<n: long, x: double>")
+    flat = rn.flatten_metrics(nested)
+    assert [tuple(r) for r in rn.leaderboard(flat, [("s", "m.n"), ("t", "m.n"), ("t", "m.y")]).collect()] == [("r", 10.0, 20.0, None)]
+    pinned = rn.flatten_metrics(spark.createDataFrame([("p", "s", (14, 0.55)), ], nested.schema))
+    assert {r.metric_path: r.ok for r in rn.drift_check(flat.filter("stage = 's'"), pinned).collect()} == {"m.n": True, "m.x": True}
+    assert {r.metric_path: r.ok for r in rn.drift_check(flat.filter("stage = 't'"), pinned).collect()} == {"m.n": False, "m.x": False}
+    own = pinned.withColumn("tolerance", F.when(F.col("metric_path") == "m.n", 2.0))
+    assert {r.metric_path: r.ok for r in rn.drift_check(flat.filter("stage = 's'"), own).collect()} == {"m.n": False, "m.x": True}
+
+
+def test_slow_transitions_without_drivers_stay(spark):
+    rows_ = [(f"c{k}", t, f"2026-01-01 0{j}:00:00", "al", 1.0, j) for k in range(12) for j, t in enumerate("AB")]
+    out = an.drivers(tr.transitions(ev.canonical(spark.createDataFrame(rows_, SCHEMA)))).collect()
+    assert [(r.src, r.tgt, r.n_transitions, r.mean_wait_h, r.feature) for r in out] == [("A", "B", 12, 1.0, None)]

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tracemill.sources.eventlog import in_case
 from tracemill.sources.scratch import exact_quantiles, numbered
 
+#: The vector that is scaled; the cyclic values stand beside it and are never scaled.
+FEATURES = ["task_id", "resource_id", "amount", "day_of_week", "hour_of_day"]
 CYCLIC = ["dow_sin", "dow_cos", "hod_sin", "hod_cos"]
-FEATURES = ["amount", *CYCLIC]
 
 
 def calendar(log: DataFrame) -> DataFrame:
@@ -64,8 +65,9 @@ def encode_log(log: DataFrame) -> DataFrame:
 
 def l2_normalize(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     """feat_*: each row divided by its length; an all-zero row stays zero."""
-    length = F.sqrt(sum((F.col(c) * F.col(c) for c in columns[1:]), F.col(columns[0]) * F.col(columns[0])))
-    return df.select("*", *(F.when(length == 0, F.col(c)).otherwise(F.col(c) / length).alias(f"feat_{c}") for c in columns))
+    value = [F.col(c).cast("double") for c in columns]
+    length = F.sqrt(sum((v * v for v in value[1:]), value[0] * value[0]))
+    return df.select("*", *(F.when(length == 0, v).otherwise(v / length).alias(f"feat_{c}") for c, v in zip(columns, value, strict=True)))
 
 
 def fit_minmax(train: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
@@ -82,6 +84,7 @@ def apply_minmax(df: DataFrame, params: DataFrame, columns: list[str] = FEATURES
 
 
 def create_features(log: DataFrame) -> DataFrame:
+    """The encoded log with feat_* of FEATURES, scaled row by row, and the cyclic values as they are."""
     return l2_normalize(encode_log(log))
 
 

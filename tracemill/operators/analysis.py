@@ -63,17 +63,19 @@ def driver_groups(trans: DataFrame, top: int = 5, least: int = 10, group_least:
 
 
 def drivers(trans: DataFrame, top: int = 5, least: int = 10, group_least: int = 3) -> DataFrame:
-    """Per slow transition and feature with two groups or more: spread of the groups' means, worst and best group, rank of the feature."""
+    """Per slow transition and feature with two groups or more: spread of the groups' means, worst and best group, rank of the feature;
+    with the transition's count and mean wait. A slow transition without such a feature has one row, its feature null."""
     g = driver_groups(trans, top, least, group_least)
     pick = lambda f, side: f(F.struct("value", "mean_h", "n"), F.struct(F.round("mean_h", 9), "value")).alias(side)
     out = g.groupBy("src", "tgt", "feature").agg(F.count(F.lit(1)).alias("groups"), (F.max("mean_h") - F.min("mean_h")).alias("spread_h"), pick(F.max_by, "worst"), pick(F.min_by, "best")).filter("groups >= 2")
     rank = F.row_number().over(Window.partitionBy("src", "tgt").orderBy(F.desc(F.round("spread_h", 9)), "feature"))
-    return out.withColumn("rank", rank)
+    slow = top_transitions(trans, top, least).select("src", "tgt", F.col("n").alias("n_transitions"), F.col("mean_hours").alias("mean_wait_h"))
+    return slow.join(out.withColumn("rank", rank), ["src", "tgt"], "left")
 
 
 def driver_report(found: DataFrame) -> DataFrame:
-    """Markdown rows."""
-    return found.select("src", "tgt", "rank", F.format_string("| %s → %s | %s | %.2f | %s (%.2f h, n=%d) | %s (%.2f h, n=%d) |", "src", "tgt", "feature", "spread_h", "worst.value", "worst.mean_h", "worst.n", "best.value", "best.mean_h", "best.n").alias("line"))
+    """Markdown rows; a transition without drivers has none."""
+    return found.filter("feature is not null").select("src", "tgt", "rank", F.format_string("| %s → %s | %s | %.2f | %s (%.2f h, n=%d) | %s (%.2f h, n=%d) |", "src", "tgt", "feature", "spread_h", "worst.value", "worst.mean_h", "worst.n", "best.value", "best.mean_h", "best.n").alias("line"))
 
 
 def transition_counts(trans: DataFrame) -> DataFrame:
@@ -155,7 +157,7 @@ def analysis_summary(log: DataFrame, trans: DataFrame, model: DataFrame | None =
     rare = rare_transitions(bottlenecks(trans)).agg(F.count(F.lit(1)).alias("num_rare_transitions"))
     fits = conformance_summary(log, discover_dfg(log) if model is None else model).select("num_deviant", "fitness", "precision", "f_score")
     why = F.struct("src", "tgt", "rank", "feature", "spread_h", "worst", "best")
-    told = drivers(trans).agg(F.sort_array(F.collect_list(why)).alias("drivers"))  # four features of five transitions
+    told = drivers(trans).filter("feature is not null").agg(F.sort_array(F.collect_list(why)).alias("drivers"))  # four features of five transitions
     return long.crossJoin(F.broadcast(rare)).crossJoin(F.broadcast(fits)).crossJoin(F.broadcast(told))  # one row each
 
 

@@ -21,8 +21,10 @@ def whatif_events(trans: DataFrame, swap_from: str, swap_to: str, cases: DataFra
     """Per transition: actual and counterfactual resource and wait, delta, and whether the wait had to fall back.
 
     The counterfactual wait is the mean of the transition with the counterfactual resource, else of the transition, else actual.
-    History comes from all of `trans`; `cases` (case_id) restricts the answer.
+    History comes from all of `trans`; `cases` (case_id) restricts the answer, and one that has no transition is an error.
     """
+    if cases is not None and (strange := cases.select("case_id").distinct().join(trans.select("case_id"), "case_id", "left_anti").orderBy("case_id").limit(10).collect()):
+        raise ValueError(f"Unknown cases: {', '.join(str(r.case_id) for r in strange)}")
     by_resource = resource_wait_table(trans).select("src", "tgt", F.col("resource").alias("cf_resource"), F.col("mean_h").alias("m1"))
     by_step = transition_wait_table(trans).select("src", "tgt", F.col("mean_h").alias("m2"))
     some = trans if cases is None else trans.join(cases.select("case_id").distinct(), "case_id", "left_semi")

@@ -91,12 +91,8 @@ def fit_temperature(pred: DataFrame, rounds: int = 3) -> float:
     return best
 
 
-#: Cells of more rows than this get a rounded normal weight instead of a Poisson one, which is then the same but for its far tails.
-EXACT_POISSON = 200
-
-
 def _poisson(mean, unit):
-    """The least k whose Poisson distribution function reaches `unit`, for means of EXACT_POISSON at most (by its recurrence)."""
+    """The least k whose Poisson distribution function reaches `unit`, for small means (by its recurrence)."""
     start = F.struct(F.lit(0).cast("long").alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("upto"))
     steps = F.sequence(F.lit(1), F.ceil(mean + 12 * F.sqrt(mean) + 12).cast("int"))
 
@@ -107,19 +103,49 @@ def _poisson(mean, unit):
     return F.aggregate(steps, start, step, lambda a: a["k"].cast("double"))
 
 
+def _log_factorial(k):
+    """log k!, by Stirling's series eight places further on."""
+    x = k + 9.0
+    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return series - sum((F.log(k + float(i)) for i in range(2, 9)), F.log(k + 1.0))
+
+
+#: Attempts of the rejection; each is refused with odds below a quarter.
+ATTEMPTS = 64
+
+
+def _poisson_by_rejection(mean, unit):
+    """A Poisson number of a mean of 10 or more: transformed rejection with squeeze. `unit(i)` gives uniform numbers, two for each attempt."""
+    b = 0.931 + 2.53 * F.sqrt(mean)
+    a = -0.059 + 0.02483 * b
+    squeeze = 0.9277 - 3.6224 / (b - 2)
+    scale = F.log(1.1239 + 1.1328 / (b - 3.4))
+
+    def attempt(found, i):
+        u, v = unit(2 * i) - 0.5, unit(2 * i + 1)
+        us = 0.5 - F.abs(u)
+        k = F.floor((2 * a / us + b) * u + mean + 0.43).cast("double")
+        sure = (us >= 0.07) & (v <= squeeze)
+        out = (k < 0) | ((us < 0.013) & (v > us))
+        fits = F.log(v) + scale - F.log(a / (us * us) + b) <= -mean + k * F.log(mean) - _log_factorial(F.greatest(k, F.lit(0.0)))
+        return F.when(found >= 0, found).when(sure | (~out & fits), k).otherwise(F.lit(-1.0))
+
+    drawn = F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), F.lit(-1.0), attempt)
+    return F.when(drawn >= 0, drawn).otherwise(F.round(mean))
+
+
 def bootstrap_ci(pred: DataFrame, replicates: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """(metric, low, high) of accuracy, macro F1, top-3, top-5 and MRR by a Poisson bootstrap; (0, 0) for an empty table.
 
     Rows are first summed into cells of equal outcome (true label, predicted label, rank of the true one), so the replicates weigh
-    as many cells as the confusion matrix has, not the table: a cell of c rows gets a seeded Poisson(c) weight. Macro F1 is
+    as many cells as the confusion matrix has, not the table: a cell of c rows gets a seeded Poisson(c) weight, exact for any c. Macro F1 is
     over the labels that the table holds, true or predicted, in every replicate.
     """
     cells = ranked(pred).groupBy("y_true", "y_pred", "rank").agg(F.count(F.lit(1)).alias("c"))
     reps = cells.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    unit = lambda s: (F.pmod(F.xxhash64("y_true", "y_pred", "rank", "b", F.lit(seed + s)), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 2))
-    normal = F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * 3.141592653589793 * unit(1))
+    unit = lambda s: (F.pmod(F.xxhash64("y_true", "y_pred", "rank", "b", F.lit(seed) + s), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 2))
     c = F.col("c").cast("double")
-    w = F.when(c <= EXACT_POISSON, _poisson(F.least(c, F.lit(float(EXACT_POISSON))), unit(0))).otherwise(F.greatest(F.lit(0.0), F.round(c + F.sqrt(c) * normal)))
+    w = F.when(c < 10, _poisson(F.least(c, F.lit(10.0)), unit(F.lit(0)))).otherwise(_poisson_by_rejection(F.greatest(c, F.lit(10.0)), unit))
     weighed = reps.withColumn("w", w)
     part = lambda when: F.try_divide(F.sum(F.when(when, F.col("w")).otherwise(0.0)), F.sum("w"))
     per = weighed.groupBy("b").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 def flatten_metrics(df: DataFrame, keys: tuple[str, ...] = ("run_id", "stage")) -> DataFrame:
-    """Nested numeric fields as rows (keys, metric_path, value), paths joined by dots; lists, booleans and text are skipped."""
+    """Nested numeric fields as rows (keys, metric_path, value, whole), paths joined by dots; lists, booleans and text are skipped. `whole`: of a whole-number type."""
 
     def leaves(schema: T.StructType, path: tuple[str, ...] = ()):
         for f in schema.fields:
@@ -17,12 +17,12 @@ def flatten_metrics(df: DataFrame, keys: tuple[str, ...] = ("run_id", "stage"))
             if isinstance(f.dataType, T.StructType):
                 yield from leaves(f.dataType, (*path, f.name))
             elif isinstance(f.dataType, T.NumericType):
-                yield (*path, f.name)
+                yield (*path, f.name), isinstance(f.dataType, T.IntegralType)
 
-    found = [F.struct(F.lit(".".join(p)).alias("metric_path"), F.col(".".join(f"`{x}`" for x in p)).cast("double").alias("value")) for p in leaves(df.schema)]
+    found = [F.struct(F.lit(".".join(p)).alias("metric_path"), F.col(".".join(f"`{x}`" for x in p)).cast("double").alias("value"), F.lit(whole).alias("whole")) for p, whole in leaves(df.schema)]
     if not found:
-        return df.select(*keys, F.lit("").alias("metric_path"), F.lit(0.0).alias("value")).limit(0)
-    return df.select(*keys, F.explode(F.array(*found)).alias("m")).select(*keys, "m.metric_path", "m.value").filter("value is not null")
+        return df.select(*keys, F.lit("").alias("metric_path"), F.lit(0.0).alias("value"), F.lit(False).alias("whole")).limit(0)
+    return df.select(*keys, F.explode(F.array(*found)).alias("m")).select(*keys, "m.metric_path", "m.value", "m.whole").filter("value is not null")
 
 
 def flatten_values(df: DataFrame, keys: tuple[str, ...] = ("run_id", "stage")) -> DataFrame:
@@ -87,14 +87,20 @@ def seed_variance(runs: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(count)).filter(F.col("n") == F.col("runs")).drop("runs")  # one row
 
 
-def leaderboard(runs: DataFrame, metrics: list[str]) -> DataFrame:
-    """One row per run, a column per metric path, null where a run lacks it."""
-    return runs.groupBy("run_id").agg(*(F.max(F.when(F.col("metric_path") == m, F.col("value"))).alias(m) for m in metrics))
+def leaderboard(runs: DataFrame, metrics: list[tuple[str, str]]) -> DataFrame:
+    """One row per run, a column "stage.path" per (stage, metric path), null where a run lacks it."""
+    of = lambda stage, m: F.max(F.when((F.col("stage") == stage) & (F.col("metric_path") == m), F.col("value")))
+    return runs.groupBy("run_id").agg(*(of(stage, m).alias(f"{stage}.{m}") for stage, m in metrics))
 
 
-def drift_check(actual: DataFrame, pinned: DataFrame, tolerance: float = 0.10) -> DataFrame:
-    """(metric_path, actual, pinned, drift, ok); a pinned metric that is missing isn't ok. `pinned` may hold its own tolerances."""
-    own = F.col("tolerance") if "tolerance" in pinned.columns else F.lit(tolerance)
+def drift_check(actual: DataFrame, pinned: DataFrame, tolerance: float = 0.10, whole_tolerance: float = 5) -> DataFrame:
+    """(metric_path, actual, pinned, drift, ok); a pinned metric that is missing isn't ok.
+
+    Metrics of a whole-number type (`whole`, as `flatten_metrics` says) may drift by `whole_tolerance`, others by `tolerance`. `pinned`
+    may hold a tolerance of its own for a metric; null leaves it to these.
+    """
+    own = F.when(F.col("whole"), F.lit(float(whole_tolerance))).otherwise(F.lit(tolerance)) if "whole" in pinned.columns else F.lit(tolerance)
+    own = F.coalesce(F.col("tolerance"), own) if "tolerance" in pinned.columns else own
     out = pinned.select("metric_path", F.col("value").alias("pinned"), own.alias("allowed")).join(actual.select("metric_path", F.col("value").alias("actual")), "metric_path", "left")
     out = out.withColumn("drift", F.abs(F.col("actual") - F.col("pinned")))
     return out.select("metric_path", "actual", "pinned", "drift", F.coalesce(F.col("drift") <= F.col("allowed"), F.lit(False)).alias("ok"))
