@@ -392,3 +392,48 @@ def test_slow_transitions_without_drivers_stay(spark):
     rows_ = [(f"c{k}", t, f"2026-01-01 0{j}:00:00", "al", 1.0, j) for k in range(12) for j, t in enumerate("AB")]
     out = an.drivers(tr.transitions(ev.canonical(spark.createDataFrame(rows_, SCHEMA)))).collect()
     assert [(r.src, r.tgt, r.n_transitions, r.mean_wait_h, r.feature) for r in out] == [("A", "B", 12, 1.0, None)]
+
+
+def test_suffixes_of_whole_prefixes(spark):
+    """After A>X comes B, after C>X comes D: only a model that sees further than the last task knows."""
+    train = pr.labelled(pr.paths(log_of(spark, {**{f"a{k}": "AXBB" for k in range(6)}, **{f"c{k}": "CXDD" for k in range(6)}}), 3))
+    trie, times = pr.context_trie(train), pr.time_to_next(train)
+    asked = spark.createDataFrame([("p", ["A", "X"]), ("q", ["C", "X"]), ("r", ["Z", "Z", "C", "X"]), ("s", ["new"])], "case_id string, tasks array<string>")
+    out = pr.predict_suffix_of_prefix(asked, trie, times, beam=2)
+    best = {r.case_id: r for r in out.orderBy("log_prob").collect()}
+    assert best["p"].tasks == ["B", "B"] and best["q"].tasks == ["D", "D"] == best["r"].tasks and best["p"].total_dt_s == pytest.approx(7200)
+    assert {r.case_id: r.p for r in out.groupBy("case_id").agg(F.sum("prob").alias("p")).collect()} == pytest.approx(dict.fromkeys("pqrs", 1.0))
+    whole = trie.groupBy("context").agg(F.sum("p").alias("p"), (0.5 * F.first("u") / F.first("n")).alias("rest"), F.size(F.first("context")).alias("k")).collect()
+    assert all(r.p <= 1 + 1e-9 and (r.k or abs(r.p - 1) < 1e-9) and 1 - r.p <= r.rest + 1e-9 for r in whole)
+    assert [r.tasks for r in pr.predict_suffix_of_prefix(asked.filter("case_id = 'p'"), trie, times, beam=1, max_steps=0).collect()] == [[]]
+    for empty in ([], None):
+        with pytest.raises(ValueError, match="empty prefix"):
+            pr.predict_suffix_of_prefix(spark.createDataFrame([("p", empty)], asked.schema), trie, times)
+    with pytest.raises(ValueError):
+        pr.predict_suffix_of_prefix(asked, trie, times, beam=0)
+
+
+def test_a_giant_case_is_the_work_of_many_tasks(spark):
+    """A million events in one case, beside small ones and a tie of two events."""
+    n = 1_000_000
+    one = spark.range(n).select(F.lit("all").alias("case_id"), F.concat(F.lit("t"), (F.col("id") * 7919 % 13).cast("string")).alias("task_name"), F.timestamp_seconds(F.col("id") * 3).alias("timestamp"), F.lit("r").alias("resource"), F.lit(1.0).alias("amount"), F.col("id").alias("event_seq"))
+    small = spark.range(300).select(F.concat(F.lit("c"), (F.col("id") % 100).cast("string")).alias("case_id"), F.lit("s").alias("task_name"), F.timestamp_seconds(F.lit(7)).alias("timestamp"), F.lit("r").alias("resource"), F.lit(1.0).alias("amount"), F.col("id").alias("event_seq"))
+    log = one.unionByName(small).repartition(8, F.col("event_seq") % 17)
+    sizes = [r["count"] for r in scratch.in_ranges(log, "case_id", "timestamp", "event_seq").groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * n / 8
+    got = tr.transitions(log, spread=True)
+    assert got.count() == n - 1 + 200
+    wrong = got.filter("case_id = 'all'").filter((F.col("wait_s") != 3) | (F.col("tgt") != F.concat(F.lit("t"), ((F.col("event_seq") + 1) * 7919 % 13).cast("string"))))
+    assert wrong.isEmpty()
+    edges = tr.event_graph_edges(log, spread=True)
+    assert edges.filter("case_id = 'all'").agg(F.count_distinct("src_idx"), F.min("src_idx"), F.max("dst_idx"), F.max(F.col("dst_idx") - F.col("src_idx"))).first()[:] == (n - 1, 0, n - 1, 1)
+    inner = scratch.in_ranges(log, "case_id", "timestamp", "event_seq")
+    assert inner.groupBy("case_id", "_part").count().agg(F.max("count")).first()[0] < 2 * n / 8
+
+
+def test_spread_gives_the_same_rows(spark, tiny):
+    log = ev.events_log(spark, tiny)
+    for f in (tr.transitions, pr.labelled, tr.indexed, tr.event_graph_edges, ft.encode_log):
+        a, b = f(log), f(log, spread=True)
+        b = b.select(a.columns)
+        assert a.count() == b.count() and a.exceptAll(b).isEmpty(), f

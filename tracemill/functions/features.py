@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.sources.eventlog import in_case
-from tracemill.sources.scratch import exact_quantiles, numbered
+from tracemill.sources.scratch import exact_quantiles, in_ranges, numbered
 
 #: The vector that is scaled; the cyclic values stand beside it and are never scaled.
 FEATURES = ["task_id", "resource_id", "amount", "day_of_week", "hour_of_day"]
@@ -44,22 +44,48 @@ def label_decode(df: DataFrame, column: str, to: str, names: DataFrame) -> DataF
     return df.join(names, df[column] == F.col("_id"), "left").withColumn(to, F.coalesce("_name", F.col(column).cast("string"))).drop("_id", "_name")
 
 
-def with_next(log: DataFrame) -> DataFrame:
-    """next_task, dt_seconds to it, and dt_log (of waits clipped at 0); null on a case's last event."""
-    w = in_case()
-    dt = (F.unix_micros(F.lead("timestamp").over(w)) - F.unix_micros("timestamp")) / 1e6
-    return log.withColumn("next_task", F.lead("task_name").over(w)).withColumn("dt_seconds", dt).withColumn("dt_log", F.log1p(F.greatest("dt_seconds", F.lit(0.0))))
+def with_next(log: DataFrame, spread: bool = False) -> DataFrame:
+    """next_task, dt_seconds to it, and dt_log (of waits clipped at 0); null on a case's last event.
+
+    `spread` is for logs in which one case may hold a large share of all events: see `stitched`. Otherwise a case is the work of one task.
+    """
+    if spread:
+        out = stitched(log).withColumn("next_task", F.col("_next.task_name")).withColumn("_then", F.col("_next.timestamp")).drop("_next", "_before")
+    else:
+        w = in_case()
+        out = log.withColumn("next_task", F.lead("task_name").over(w)).withColumn("_then", F.lead("timestamp").over(w))
+    dt = (F.unix_micros("_then") - F.unix_micros("timestamp")) / 1e6
+    return out.withColumn("dt_seconds", dt).withColumn("dt_log", F.log1p(F.greatest("dt_seconds", F.lit(0.0)))).drop("_then")
+
+
+def stitched(log: DataFrame) -> DataFrame:
+    """`log` with _next (task_name, timestamp of the next event of the case) and _before (events of the case before this one), a case being cut
+    into ranges of time as its size asks for.
+
+    Events are dealt into ranges of (case_id, timestamp, event_seq), so a giant case fills many ranges and small ones share one. Windows
+    look inside of a case's range alone; what links the ranges is a table of one row per case and range.
+    """
+    parts = in_ranges(log, "case_id", "timestamp", "event_seq")
+    key = ["case_id", "_part"]
+    inside = Window.partitionBy(*key).orderBy("timestamp", "event_seq")
+    ends = parts.groupBy(*key).agg(F.min_by(F.struct("task_name", "timestamp"), F.struct("timestamp", "event_seq")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ranges = Window.partitionBy("case_id").orderBy("_part")  # the ranges of a case
+    links = ends.select(*key, F.lead("_first").over(ranges).alias("_after"), (F.sum("_n").over(ranges) - F.col("_n")).alias("_earlier"))
+    links = links.filter(F.col("_after").isNotNull() | (F.col("_earlier") > 0))  # of cases that lie in several ranges
+    out = parts.withColumn("_next", F.lead(F.struct("task_name", "timestamp")).over(inside)).withColumn("_k", F.row_number().over(inside) - 1)
+    out = out.join(links, key, "left").withColumn("_next", F.coalesce("_next", "_after")).withColumn("_before", F.coalesce("_earlier", F.lit(0).cast("long")) + F.col("_k"))
+    return out.drop("_part", "_k", "_after", "_earlier")
 
 
 def drop_terminal(log: DataFrame) -> DataFrame:
     return log.filter(F.col("next_task").isNotNull())
 
 
-def encode_log(log: DataFrame) -> DataFrame:
-    """Ids, next task, waiting time and calendar features, without each case's last event. Ids come from the full log."""
+def encode_log(log: DataFrame, spread: bool = False) -> DataFrame:
+    """Ids, next task, waiting time and calendar features, without each case's last event. Ids come from the full log; `spread` as in `with_next`."""
     tasks = label_dictionary(log, "task_name")
     out = label_encode(log, "task_name", "task_id", tasks)
-    out = drop_terminal(with_next(label_encode(out, "resource", "resource_id")))
+    out = drop_terminal(with_next(label_encode(out, "resource", "resource_id"), spread))
     return cyclic(calendar(label_encode(out, "next_task", "next_id", tasks)))
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.features import class_weights, with_next
 from tracemill.sources.eventlog import in_case
-from tracemill.sources.scratch import exact_quantiles
+from tracemill.sources.scratch import cut, exact_quantiles
 
 
-def labelled(log: DataFrame) -> DataFrame:
-    """Events that have a next one."""
-    return with_next(log).filter("next_task is not null")
+def labelled(log: DataFrame, spread: bool = False) -> DataFrame:
+    """Events that have a next one; `spread` as in `with_next`."""
+    return with_next(log, spread).filter("next_task is not null")
 
 
 def fit_most_common(train: DataFrame) -> DataFrame:
@@ -164,6 +166,102 @@ def predict_suffix(cases: DataFrame, model: DataFrame, times: DataFrame, beam: i
     return out.select("case_id", F.slice("b.seq", 2, F.greatest(F.size("b.seq") - 1, F.lit(1))).alias("tasks"), F.col("b.lp").alias("log_prob"), (F.exp("b.lp") / F.col("sum")).alias("prob"), F.col("b.dt").alias("total_dt_s"))
 
 
+# ------------------------------------------------------------- contexts of any depth
+
+
+def paths(log: DataFrame, order: int) -> DataFrame:
+    """`log` with path: the last `order` tasks up to each event."""
+    return log.withColumn("path", F.collect_list("task_name").over(in_case().rowsBetween(1 - order, 0)))
+
+
+def context_trie(train: DataFrame, order: int = 3, discount: float = 0.5, alpha: float = 1.0) -> DataFrame:
+    """(context, label, c, n, u, p): the seen continuations of every context of 0 to `order` tasks (an array, oldest first).
+
+    A suffix trie of counts, stored sparse: a row per context and label that was seen after it. c counts the pair, n the context, u its
+    different labels. p takes `discount` off each count and gives the mass to the context without its oldest task; without any task it is
+    smoothed by `alpha`. A label that wasn't seen has discount * u / n times its probability in the shorter context. `train`: labelled events with `path`.
+    """
+    depths = F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.when(k == 0, F.array().cast("array<string>")).otherwise(F.slice("path", -k, k)))
+    seen = train.select(F.explode(depths).alias("context"), F.col("next_task").alias("label")).groupBy("context", "label").agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy("context")  # rows of a context: its labels
+    counts = cut(seen.withColumn("n", F.sum("c").over(whole)).withColumn("u", F.count(F.lit(1)).over(whole)))
+    level = counts.filter(F.size("context") == 0).withColumn("p", (F.col("c") + alpha) / (F.col("n") + alpha * F.col("u")))
+    out = [level]
+    for k in range(1, order + 1):
+        shorter = level.select(F.col("context").alias("_shorter"), "label", F.col("p").alias("_p"))
+        own = counts.filter(F.size("context") == k).withColumn("_shorter", F.slice("context", 2, k - 1) if k > 1 else F.array().cast("array<string>"))
+        level = own.join(shorter, ["_shorter", "label"]).withColumn("p", (F.col("c") - discount) / F.col("n") + discount * F.col("u") / F.col("n") * F.col("_p")).select(counts.columns + ["p"])
+        out.append(level)
+    return cut(reduce(DataFrame.unionByName, out))
+
+
+def likeliest(trie: DataFrame, top: int, order: int = 3, discount: float = 0.5) -> DataFrame:
+    """(context, best): of each context the `top` likeliest labels of all, as an array of (label, p, next); next is the longest context that the trie knows after it.
+
+    A context's best are among its own labels and the best of the shorter context, so nothing is ever spread over all labels.
+    """
+    listed = lambda c, f: F.array_sort(F.transform(c, lambda x: F.struct((F.lit(0.0) - F.round(f(x), 9)).alias("order"), x["label"].alias("label"), f(x).alias("p"))))
+    pairs = trie.groupBy("context").agg(F.collect_list(F.struct("label", "p")).alias("own"), (discount * F.first("u") / F.first("n")).alias("rest"))  # the labels of a context
+    level = pairs.filter(F.size("context") == 0).select("context", F.slice(listed("own", lambda x: x["p"]), 1, top).alias("best"))
+    out = [level]
+    for k in range(1, order + 1):
+        own = pairs.filter(F.size("context") == k).withColumn("_shorter", F.slice("context", 2, k - 1) if k > 1 else F.array().cast("array<string>"))
+        both = own.join(level.select(F.col("context").alias("_shorter"), F.col("best").alias("_best")), "_shorter")
+        others = F.filter("_best", lambda x: ~F.array_contains(F.transform("own", lambda y: y["label"]), x["label"]))
+        everything = F.concat(listed("own", lambda x: x["p"]), listed(others, lambda x: x["p"] * F.col("rest")))
+        level = both.select("context", F.slice(F.array_sort(everything), 1, top).alias("best"))
+        out.append(level)
+    best = reduce(DataFrame.unionByName, out).select("context", F.posexplode("best").alias("_at", "x")).select("context", "_at", "x.label", "x.p")
+    ended = known_suffix(best.withColumn("_all", F.concat("context", F.array("label"))), "_all", trie, order)
+    packed = ended.groupBy("context").agg(F.array_sort(F.collect_list(F.struct("_at", "label", "p", F.col("node").alias("next")))).alias("best"))  # `top` a context
+    return packed
+
+
+def known_suffix(df: DataFrame, column: str, trie: DataFrame, order: int) -> DataFrame:
+    """`df` with node: the longest end of an array of tasks, `order` of them at most, that the trie knows as a context."""
+    known = trie.select("context").distinct()
+    out, found = df, []
+    for k in range(order, 0, -1):
+        end = F.when(F.size(column) >= k, F.slice(column, -k, k))
+        out = out.withColumn("_end", end).join(known.filter(F.size("context") == k).select(F.col("context").alias("_end"), F.lit(True).alias(f"_is{k}")), "_end", "left").drop("_end")
+        found.append(F.when(F.col(f"_is{k}"), F.slice(column, -k, k)))
+    node = F.coalesce(*found, F.array().cast("array<string>"))
+    return out.withColumn("node", node).drop(*(f"_is{k}" for k in range(1, order + 1)))
+
+
+def predict_suffix_of_prefix(prefixes: DataFrame, trie: DataFrame, times: DataFrame, beam: int = 5, max_steps: int = 20, stop_on_self_loop: bool = True, order: int = 3, discount: float = 0.5) -> DataFrame:
+    """(case_id, tasks, log_prob, prob, total_dt_s): the likeliest continuations of each prefix (case_id, tasks), an array of any length.
+
+    The whole prefix says where in the trie (`context_trie` of the same order and discount) a beam starts, and each step is one join of all
+    beams with their contexts, so neither the trie nor the prefixes have to fit in one place. Of equal probabilities the path that is first by name
+    wins. A case is finished when its best beam repeats a task. `times` is `time_to_next`; a task that it lacks takes no time. An empty prefix is an error.
+    """
+    if beam < 1 or max_steps < 0:
+        raise ValueError("beam must be 1 at least and max_steps 0 at least")
+    if not prefixes.filter(F.coalesce(F.size("tasks"), F.lit(0)) <= 0).isEmpty():
+        raise ValueError("an empty prefix predicts nothing")
+    wait = cut(times.select(F.col("task_name").alias("_last"), F.coalesce("seconds", "overall_s").alias("_wait")))
+    model = cut(likeliest(trie, beam, order, discount).select(F.col("context").alias("node"), "best"))
+    begun = known_suffix(prefixes.select("case_id", "tasks"), "tasks", trie, order)
+    now = begun.select("case_id", "node", F.slice("tasks", -1, 1).alias("seq"), F.lit(0.0).alias("lp"), F.lit(0.0).alias("dt"), F.lit(False).alias("done"))
+    finished = []
+    for _ in range(max_steps):
+        timed = now.withColumn("_last", F.element_at("seq", -1)).join(wait, "_last", "left").withColumn("dt", F.col("dt") + F.coalesce("_wait", F.lit(0.0)))
+        longer = timed.join(model, "node").select("case_id", "seq", "lp", "dt", F.explode("best").alias("x"))
+        longer = longer.select("case_id", F.col("x.next").alias("node"), F.concat("seq", F.array("x.label")).alias("seq"), (F.col("lp") + F.log("x.p")).alias("lp"), "dt")
+        ranked = longer.withColumn("_r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc(F.round("lp", 9)), F.array_join("seq", ">")))).filter(F.col("_r") <= beam)
+        repeats = (F.col("_r") == 1) & (F.element_at("seq", -1) == F.element_at("seq", -2))
+        done = F.max(repeats).over(Window.partitionBy("case_id")) if stop_on_self_loop else F.lit(False)
+        held = cut(ranked.withColumn("done", done).drop("_r"))
+        finished.append(held.filter("done"))
+        now = held.filter("not done")
+        if now.isEmpty():
+            break
+    out = reduce(DataFrame.unionByName, [*finished, now])
+    share = F.exp("lp") / F.sum(F.exp("lp")).over(Window.partitionBy("case_id"))  # `beam` rows a case
+    return out.select("case_id", F.slice("seq", 2, F.greatest(F.size("seq") - 1, F.lit(1))).alias("tasks"), F.col("lp").alias("log_prob"), share.alias("prob"), F.col("dt").alias("total_dt_s"))
+
+
 def last_tasks(log: DataFrame) -> DataFrame:
     return log.groupBy("case_id").agg(F.max_by("task_name", F.struct("timestamp", "event_seq")).alias("last"))
 

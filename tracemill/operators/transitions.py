@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.features import label_encode, with_next
+from tracemill.functions.features import label_encode, stitched, with_next
 from tracemill.sources.eventlog import in_case
 
 
-def transitions(log: DataFrame) -> DataFrame:
+def transitions(log: DataFrame, spread: bool = False) -> DataFrame:
     """One row per pair of consecutive events: the one shuffle that the analysis operators share.
 
+    Whatever is made from transitions works on logs with giant cases if they are made with `spread` (see `with_next`).
+
     case_id, src, tgt, wait_s, wait_h, and resource, amount, timestamp, event_seq, dow, hod of the source event.
     """
-    out = with_next(log).filter(F.col("next_task").isNotNull())
+    out = with_next(log, spread).filter(F.col("next_task").isNotNull())
     return out.select(
         "case_id", F.col("task_name").alias("src"), F.col("next_task").alias("tgt"), F.col("dt_seconds").alias("wait_s"), (F.col("dt_seconds") / 3600).alias("wait_h"),
         "resource", "amount", "timestamp", "event_seq", F.weekday("timestamp").alias("dow"), F.hour("timestamp").alias("hod"),
@@ -26,13 +28,16 @@ def mean_wait(seconds: str = "wait_s"):
     return F.sum(F.round(F.col(seconds) * 1e6).cast("long")) / F.count(seconds) / 1e6
 
 
-def indexed(log: DataFrame) -> DataFrame:
+def indexed(log: DataFrame, spread: bool = False) -> DataFrame:
+    if spread:
+        return stitched(log).withColumn("idx", F.col("_before").cast("int")).drop("_before", "_next")
     return log.withColumn("idx", F.row_number().over(in_case()) - 1)
 
 
-def event_graph_edges(log: DataFrame, causal: bool = True) -> DataFrame:
-    """(case_id, src_idx, dst_idx): each event to the next; both ways unless causal."""
-    out = indexed(log).withColumn("nxt", F.lead("idx").over(in_case())).filter("nxt is not null").select("case_id", F.col("idx").alias("src_idx"), F.col("nxt").alias("dst_idx"))
+def event_graph_edges(log: DataFrame, causal: bool = True, spread: bool = False) -> DataFrame:
+    """(case_id, src_idx, dst_idx): each event to the next; both ways unless causal. `spread` as in `with_next`."""
+    at = stitched(log).withColumn("idx", F.col("_before").cast("int")) if spread else indexed(log).withColumn("_next", F.lead("idx").over(in_case()))
+    out = at.filter("_next is not null").select("case_id", F.col("idx").alias("src_idx"), (F.col("idx") + 1).alias("dst_idx"))
     return out if causal else out.unionByName(out.select("case_id", F.col("dst_idx").alias("src_idx"), F.col("src_idx").alias("dst_idx")))
 
 

@@ -292,6 +292,25 @@ def transitions_lineitem(spark, d):
     return _shown(tr.transitions(L2(spark, d)))
 
 
+_ONE = EV.replace("concat(user_id, '-', cast(floor(date_diff('day', date '2024-01-01', cast(ts as date)) / 7) as int))", "case when user_id % 3 = 0 then concat('u', user_id) else 'all' end")
+
+
+def _one_case(spark, d):
+    """The events of two thirds of all users as one case."""
+    user = F.split("case_id", "-")[0].cast("long")
+    return L1(spark, d).withColumn("case_id", F.when(user % 3 == 0, F.concat(F.lit("u"), user.cast("string"))).otherwise("all"))
+
+
+@query(f"with {_ONE}, {TR} {_TRANSITIONS}")
+def transitions_giant_case(spark, d):
+    return _shown(tr.transitions(_one_case(spark, d), spread=True))
+
+
+@query(f"with {_ONE}, {NX} select case_id, k - 1 as src_idx, k as dst_idx from nx where next_task is not null")
+def event_graph_edges_giant_case(spark, d):
+    return tr.event_graph_edges(_one_case(spark, d), spread=True)
+
+
 @query(f"with {EV}, {NX} select case_id, k - 1 as src_idx, k as dst_idx from nx where next_task is not null")
 def event_graph_edges(spark, d):
     return tr.event_graph_edges(L1(spark, d))
@@ -626,6 +645,43 @@ def predicted_suffixes_full(spark, d):
     return out.select("case_id", F.array_join("tasks", ">").alias("tasks"), r6("log_prob").alias("log_prob"), r6("prob").alias("prob"), F.round("total_dt_s", 3).alias("total_dt_s"))
 
 
+#: A trie of order 2 with back-off: distributions of its contexts over all labels, the five likeliest and the context after each.
+CT = """
+cn as (select ctx, label, count(*) as c from (select []::varchar[] as ctx, next_task as label from tn union all select [task_name], next_task from tn union all select [prev_task, task_name], next_task from tn where prev_task is not null) group by all),
+nu as (select *, sum(c) over (partition by ctx) as n, count(*) over (partition by ctx) as u from cn),
+kn as (select distinct ctx, n, u from nu),
+d0 as (select ctx, label, (c + 1.0) / (n + u) as p from nu where len(ctx) = 0),
+d1 as (select k.ctx, d0.label, coalesce((c - 0.5) / k.n, 0) + 0.5 * k.u / k.n * d0.p as p from kn k cross join d0 left join cn on cn.ctx = k.ctx and cn.label = d0.label where len(k.ctx) = 1),
+d2 as (select k.ctx, d1.label, coalesce((c - 0.5) / k.n, 0) + 0.5 * k.u / k.n * d1.p as p from kn k join d1 on d1.ctx = k.ctx[2:] left join cn on cn.ctx = k.ctx and cn.label = d1.label where len(k.ctx) = 2),
+mt as (select *, row_number() over (partition by ctx order by round(p, 9) desc, label) as r from (select * from d0 union all select * from d1 union all select * from d2))"""
+_NODE = "case when two.ctx is not null then two.ctx when one.ctx is not null then one.ctx else []::varchar[] end"
+
+
+@query(f"""with {EV}, {NX}, {SP}, {CT} select array_to_string(ctx, '>') as context, label, r as rank, round(p, 6) as prob from mt where r <= 5""")
+def context_predictions(spark, d):
+    """The five likeliest next tasks of every context of at most two tasks."""
+    train = pr.labelled(pr.paths(ft.split_cases(L1(spark, d)), 2)).filter("split = 'train'")
+    best = pr.likeliest(pr.context_trie(train, 2), 5, 2)
+    return best.select(F.array_join("context", ">").alias("context"), F.posexplode("best").alias("rank", "x")).select("context", "x.label", (F.col("rank") + 1).alias("rank"), r6("x.p").alias("prob"))
+
+
+@query(f"""with recursive {EV}, {NX}, {SP}, {CT}, wt as (select task_name, exp(avg(dt_log)) - 1 as w from tn group by 1),
+    lt as (select case_id, arg_max(task_name, (ts, event_seq)) as b, arg_max(prev_task, (ts, event_seq)) filter (where prev_task is not null) as a, count(*) as n from nx group by 1),
+    bm as (select case_id, {_NODE} as node, [b] as seq, 0.0::double as lp, 0.0::double as dt, 0 as step, false as done from lt left join kn two on lt.n > 1 and two.ctx = [a, b] left join kn one on one.ctx = [b]
+        union all select case_id, node, seq, lp, dt, step, max(r = 1 and seq[-1] = seq[-2]) over (partition by case_id) as done
+            from (select s.case_id, {_NODE} as node, list_append(seq, label) as seq, lp + ln(p) as lp, dt + coalesce(w, 0) as dt, step + 1 as step,
+                row_number() over (partition by s.case_id order by round(lp + ln(p), 9) desc, array_to_string(list_append(seq, label), '>')) as r
+                from bm s join mt on mt.ctx = s.node and mt.r <= 5 left join wt on wt.task_name = seq[-1] left join kn two on two.ctx = [seq[-1], label] left join kn one on one.ctx = [label] where not done and step < 20) where r <= 5)
+    select case_id, array_to_string(seq[2:], '>') as tasks, round(lp, 5) as log_prob, round(exp(lp) / sum(exp(lp)) over (partition by case_id), 6) as prob, round(dt, 2) as total_dt_s from bm where done or step = 20""")
+def suffixes_of_prefixes(spark, d):
+    """Five beams of up to twenty steps from the whole prefix of every case."""
+    log = L1(spark, d)
+    train = pr.labelled(pr.paths(ft.split_cases(log), 2)).filter("split = 'train'")
+    whole = log.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("timestamp", "event_seq", "task_name"))), lambda e: e["task_name"]).alias("tasks"))
+    out = pr.predict_suffix_of_prefix(whole, pr.context_trie(train, 2), pr.time_to_next(train), order=2)
+    return out.select("case_id", F.array_join("tasks", ">").alias("tasks"), F.round("log_prob", 5).alias("log_prob"), r6("prob").alias("prob"), F.round("total_dt_s", 2).alias("total_dt_s"))
+
+
 @query(f"with {EV}, {NX} select case_id, event_seq from nx where k <= 3")
 def truncated_prefixes(spark, d):
     return pr.truncate_prefix(L1(spark, d), 3).select("case_id", "event_seq")
