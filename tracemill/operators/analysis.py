@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.features import amount_quartile
 from tracemill.operators.conformance import conformance_summary, discover_dfg
 from tracemill.operators.transitions import end_activities, mean_wait, start_activities, task_adjacency
-from tracemill.sources.scratch import exact_quantiles
-
-#: Above so many tasks the eigenvectors aren't computed on the driver: the adjacency is clustered by power iteration in Spark.
-MAX_TASKS = 2000
-
+from tracemill.sources.scratch import cut, exact_quantiles
 
 def bottlenecks(trans: DataFrame) -> DataFrame:
     """Per (src, tgt): mean wait and count. In no order; `slowest_first` sorts what is shown."""
@@ -90,52 +86,86 @@ def transition_probabilities(trans: DataFrame) -> DataFrame:
     return task_adjacency(trans).select("src", "tgt", share.alias("p"))
 
 
-def spectral_clusters(adjacency: DataFrame, k: int = 2, normalized: bool = True, seed: int = 0) -> DataFrame:
-    """(task, cluster) by the Laplacian's eigenvectors of the symmetrised adjacency.
+def _leading(entries: DataFrame, nodes: DataFrame, k: int, seed: int, most: int) -> DataFrame:
+    """(task, values): the k eigenvectors of largest eigenvalue of a symmetric matrix (src, tgt, w), by block Lanczos steps from k seeded vectors.
 
-    The log is reduced to one row per pair of tasks in Spark; only that table comes to the driver, and only if it has
-    MAX_TASKS tasks at most. k = 2: sign of the Fiedler vector; more: k-means on the next eigenvectors. Larger ones are
-    clustered by power iteration on the same normalised affinities.
+    A step is one join of the entries with the last block; the basis is an array column, and only its inner products (`most` * k numbers a step
+    at most) come to the driver. New vectors are made orthogonal to all earlier ones twice.
+    """
+    noise = lambda i: F.pmod(F.xxhash64("task", F.lit(seed), F.lit(i)), F.lit(1 << 30)) / F.lit(float(1 << 29)) - 1
+    state = cut(nodes.select("task", F.array().cast("array<double>").alias("basis"), F.array(*(noise(i) for i in range(k))).alias("y")))
+    size, h = 0, np.zeros((0, 0))
+    dots = lambda y: [F.sum(F.col("basis")[i] * y[c]) for i in range(size) for c in range(k)]
+    gram = lambda y: [F.sum(a * b) for a in y for b in y]
+    turned = lambda y, m: [sum((c * F.lit(float(x)) for c, x in zip(y, m[:, r], strict=True)), F.lit(0.0)) for r in range(m.shape[1])]
+
+    def without(y, share: np.ndarray):
+        """y less what it shares with the basis."""
+        return [y[c] - sum((F.col("basis")[i] * F.lit(float(share[i, c])) for i in range(size)), F.lit(0.0)) for c in range(k)]
+
+    while True:
+        y, total = [F.col("y")[c] for c in range(k)], np.zeros((size, k))
+        for _ in range(2 if size else 1):
+            found = np.array(state.agg(F.array(*dots(y), *gram(y)).alias("x")).first().x)
+            share = found[: size * k].reshape(size, k)
+            total += share
+            y = without(y, share)
+        g = found[size * k :].reshape(k, k) - share.T @ share
+        value, turn = np.linalg.eigh(g)
+        if size:  # the last block's column of the projected matrix
+            h[:, size - width :] = total[:, k - width :]
+            h[size - width :, :] = total[:, k - width :].T
+            ritz, inside = np.linalg.eigh(h)
+            top = inside[:, ::-1][:, :k]
+            left = np.sqrt(np.maximum(np.diag(top[size - width :].T @ g[k - width :, k - width :] @ top[size - width :]), 0))
+            if size >= most or value[-1] < 1e-18 * max(1.0, np.abs(ritz).max() ** 2) or (top.shape[1] == k and (left < 1e-9 * max(1.0, np.abs(ritz).max())).all()):
+                break
+        keep = value > 1e-14 * value[-1]  # what is smaller is rounding
+        width = int(keep.sum())
+        new = turned(y, turn[:, keep] / np.sqrt(value[keep]))
+        again, turn = np.linalg.eigh(np.array(state.agg(F.array(*gram(new)).alias("x")).first().x).reshape(width, width))
+        new = turned(new, turn / np.sqrt(again))
+        state = cut(state.select("task", F.concat("basis", F.array(*new)).alias("basis")))
+        size += width
+        h = np.pad(h, (0, width))
+        last = state.select(F.col("task").alias("tgt"), F.slice("basis", -width, width).alias("x"))
+        moved = entries.join(last, "tgt").groupBy(F.col("src").alias("task")).agg(*(F.sum(F.col("w") * F.col("x")[r]).alias(f"y{r}") for r in range(width)))
+        filled = [F.lit(0.0)] * (k - width) + [F.coalesce(f"y{r}", F.lit(0.0)) for r in range(width)]
+        state = cut(state.join(moved, "task", "left").select("task", "basis", F.array(*filled).alias("y")))
+    combine = [sum((F.col("basis")[i] * F.lit(float(top[i, e])) for i in range(size)), F.lit(0.0)) for e in range(top.shape[1])]
+    return state.select("task", F.array(*combine).alias("values"))
+
+
+def spectral_clusters(adjacency: DataFrame, k: int = 2, normalized: bool = True, seed: int = 0, most: int = 200) -> DataFrame:
+    """(task, cluster) by the Laplacian's eigenvectors of the symmetrised adjacency, for any number of tasks.
+
+    The eigenvectors come from Lanczos steps in Spark (`most` vectors at most), seeded, so the labels are the same in every run. k = 2: sign of the
+    Fiedler vector, turned so that the first task by name is in cluster 0; more: k-means on the eigenvectors after the first. One task is cluster 0.
     """
-    spark = adjacency.sparkSession
-    tasks = adjacency.select(F.col("src").alias("t")).union(adjacency.select("tgt")).distinct().orderBy("t").limit(MAX_TASKS + 1)
-    names = [r.t for r in tasks.collect()]
-    if len(names) > MAX_TASKS:
-        return _by_power_iteration(adjacency, k)
-    at = {t: i for i, t in enumerate(names)}
-    a = np.zeros((len(names), len(names)))
-    for r in adjacency.collect():  # MAX_TASKS squared at most
-        a[at[r.src], at[r.tgt]] += r.weight
-    a = (a + a.T) / 2
-    degree = a.sum(axis=1)
+    half = adjacency.select("src", "tgt", (F.col("weight") / 2).alias("w"))
+    edges = cut(half.unionByName(half.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), "w")).groupBy("src", "tgt").agg(F.sum("w").alias("w")))
+    degree = edges.groupBy(F.col("src").alias("task")).agg(F.sum("w").alias("d"))
+    nodes = degree.select("task")
+    n = nodes.count()
+    if n < 2:
+        return nodes.select("task", F.lit(0).alias("cluster"))
     if normalized:
-        inverse = np.where(degree > 0, 1 / np.sqrt(np.where(degree > 0, degree, 1)), 0)
-        laplacian = np.eye(len(a)) - inverse[:, None] * a * inverse
+        by = lambda c: degree.select(F.col("task").alias(c), F.col("d").alias(f"d_{c}"))
+        scaled = edges.join(by("src"), "src").join(by("tgt"), "tgt")
+        entries = scaled.select("src", "tgt", F.when((F.col("d_src") > 0) & (F.col("d_tgt") > 0), F.col("w") / F.sqrt(F.col("d_src") * F.col("d_tgt"))).otherwise(0.0).alias("w"))
     else:
-        laplacian = np.diag(degree) - a
-    _, vectors = np.linalg.eigh(laplacian)
-    if k == 2 and len(names) > 1:
-        label = (vectors[:, 1] >= 0).astype(int)
-    else:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.linalg import Vectors
-
-        rows = spark.createDataFrame([(n, Vectors.dense(v[1:k].tolist() or [0.0])) for n, v in zip(names, vectors, strict=True)], ["task", "features"])
-        return KMeans(k=max(2, min(k, len(names))), seed=seed).fit(rows).transform(rows).select("task", F.col("prediction").alias("cluster"))
-    return spark.createDataFrame([(n, int(c)) for n, c in zip(names, label, strict=True)], "task string, cluster int")
-
-
-def _by_power_iteration(adjacency: DataFrame, k: int) -> DataFrame:
-    from pyspark.ml.clustering import PowerIterationClustering
-
-    from tracemill.sources.scratch import cut, numbered
-
-    both = adjacency.select("src", "tgt", "weight").unionByName(adjacency.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), "weight"))
-    edges = both.filter("src < tgt").groupBy("src", "tgt").agg((F.sum("weight") / 2).alias("weight"))
-    names = cut(numbered(both.select(F.col("src").alias("task")).distinct(), F.col("task"), name="id"))
-    ids = edges.join(names.withColumnsRenamed({"task": "src", "id": "a"}), "src").join(names.withColumnsRenamed({"task": "tgt", "id": "b"}), "tgt")
-    found = PowerIterationClustering(k=k, maxIter=30, srcCol="a", dstCol="b", weightCol="weight").assignClusters(ids.select("a", "b", "weight"))
-    return names.join(found, "id", "left").select("task", F.coalesce("cluster", F.lit(0)).cast("int").alias("cluster"))  # a task without neighbours: 0
+        entries = edges.unionByName(degree.select(F.col("task").alias("src"), F.col("task").alias("tgt"), (-F.col("d")).alias("w")))
+    vectors = _leading(cut(entries), nodes, min(k, n), seed, min(most, n))
+    if k == 2:
+        found = vectors.select("task", F.col("values")[1].alias("x"))
+        first = found.orderBy("task").first().x
+        side = F.col("x") < 0 if first >= 0 else F.col("x") >= 0
+        return found.select("task", side.cast("int").alias("cluster"))
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = cut(vectors.select("task", F.slice("values", 2, max(1, min(k, n) - 1)).alias("x")).orderBy("task")).select("task", array_to_vector("x").alias("features"))
+    return KMeans(k=min(k, n), seed=seed).fit(rows).transform(rows).select("task", F.col("prediction").alias("cluster"))
 
 
 def preprocessing_summary(log: DataFrame, scaler: str = "l2", seed: int = 42) -> DataFrame:
