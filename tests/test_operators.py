@@ -463,3 +463,56 @@ def test_spread_gives_the_same_rows(spark, tiny):
         a, b = f(log), f(log, spread=True)
         b = b.select(a.columns)
         assert a.count() == b.count() and a.exceptAll(b).isEmpty(), f
+
+
+def _replayed(variant, arcs, initial, final):
+    """Replay with a dictionary as marking."""
+    marking, produced, consumed, missing = {}, len(initial), 0, 0
+    for p in initial:
+        marking[p] = marking.get(p, 0) + 1
+    for t in [*variant, None]:
+        for p in final if t is None else [p for n, p, k in arcs if n == t and k == "in"]:
+            consumed += 1
+            missing += marking.get(p, 0) <= 0
+            marking[p] = max(marking.get(p, 0) - 1, 0)
+        for p in [] if t is None else [p for n, p, k in arcs if n == t and k == "out"]:
+            marking[p] = marking.get(p, 0) + 1
+            produced += 1
+    left = sum(marking.values())
+    return produced, consumed, missing, left, pytest.approx(0.5 * (1 - missing / max(consumed, 1)) + 0.5 * (1 - left / max(produced, 1)))
+
+
+def test_token_replay_is_the_loop_over_a_marking(spark):
+    log = log_of(spark, {f"c{k}": "".join("ABCX"[(k * 7 + j * j * (k + 3)) % 4] for j in range(1 + k % 9)) for k in range(60)})
+    arcs = [("A", "p0", "in"), ("A", "p1", "out"), ("A", "p1", "out"), ("B", "p1", "in"), ("B", "p1", "in"), ("B", "p2", "out"), ("B", "p0", "out"), ("C", "p2", "in")]
+    for net, first, last in ((arcs, ["p0", "p0"], ["p2", "p2"]), (arcs, [], []), ([], ["p0"], ["p1"]), ([], [], [])):
+        table = spark.createDataFrame(net, "transition string, place string, kind string")
+        got = cf.token_replay(log, table, first, last).collect()
+        assert got and all((r.produced, r.consumed, r.missing, r.remaining, r.fitness) == _replayed(r.tasks, net, first, last) for r in got)
+    assert "Python" not in cf.token_replay(log, table, first, last)._jdf.queryExecution().executedPlan().toString()
+    assert cf.token_replay(log.limit(0), table, ["p0"], []).collect() == []
+
+
+def test_boosted_trees_are_no_worse_than_means(spark):
+    at = [(f"c{k}", t, f"2026-01-01 {0 if j == 0 else (1 if k % 2 else 9):02d}:00:00", "r", 5.0 if k % 2 else 900.0, j) for k in range(200) for j, t in enumerate("AB")]
+    log = ev.canonical(spark.createDataFrame(at, SCHEMA))
+    both = ft.create_features(ft.split_cases(log))
+    train, val = both.filter("split = 'train'"), both.filter("split = 'val'")
+    trees = mt.dt_mae_hours(pr.boosted_time_to_next(train).transform(val)).first().mae_hours
+    means = mt.dt_mae_hours(val.join(pr.time_to_next(train).select("task_name", F.col("mean_dt_log").alias("dt_pred")), "task_name")).first().mae_hours
+    assert trees < 0.5 * means
+    with pytest.raises(ValueError):
+        pr.boosted_time_to_next(train.limit(0))
+    odd = val.withColumn("amount", F.lit(None).cast("double")).drop(*(c for c in val.columns if c.startswith("feat_")))
+    assert pr.boosted_time_to_next(train).transform(ft.l2_normalize(odd)).filter("dt_pred is null").isEmpty()
+
+
+def test_documents_with_keys_that_nobody_declared(spark):
+    docs = [("a", "s", '{"Pay v1.0 now": {"n": 3, "mean": 2.5, "deep": {"x.y": {"z": -1}}}, "flag": true, "text": "7", "list": [1, {"n": 2}], "none": null, "empty": {}}'),
+            ("b", "s", '{"other": {"n": 1e3}, "big": 9007199254740993, "large": 123456789012345678901234567890}'), ("c", "s", "not json"), ("d", "s", "5"), ("e", "s", None), ("f", "s", "[1]"), ("g", "s", "{}")]
+    got = rn.flatten_documents(spark.createDataFrame(docs, "run_id string, stage string, doc string"))
+    assert rows(got.select("run_id", "metric_path", "value", "whole")) == [
+        ("a", "Pay v1.0 now.deep.x.y.z", -1.0, True), ("a", "Pay v1.0 now.mean", 2.5, False), ("a", "Pay v1.0 now.n", 3.0, True),
+        ("b", "big", 9007199254740992.0, True), ("b", "large", 123456789012345678901234567890.0, False), ("b", "other.n", 1000.0, False)]
+    assert got.filter("value = -1").first().keys_path == ["Pay v1.0 now", "deep", "x.y", "z"]
+    assert rn.flatten_documents(spark.createDataFrame([], "run_id string, stage string, doc string")).collect() == []

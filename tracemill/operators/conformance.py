@@ -87,37 +87,35 @@ def conformance_summary(log: DataFrame, model: DataFrame) -> DataFrame:
 def token_replay(log: DataFrame, arcs: DataFrame, initial: list[str], final: list[str]) -> DataFrame:
     """Per variant: tokens produced, consumed, missing and remaining on a given net, and fitness.
 
-    `arcs` (transition, place, kind "in" or "out") is a model, a few rows per task, so it is brought to the driver and sent along.
-    Each distinct variant is replayed once, whatever number of cases follow it; there are no silent transitions.
+    `arcs` (transition, place, kind "in" or "out") is a model, a few rows per task, so it is brought to the driver and becomes part of the plan.
+    Each distinct variant is folded once over a marking (an array with the tokens of each place), whatever number of cases follow it; there are
+    no silent transitions, and tasks that the net lacks move nothing. A place may be named more than once for a transition.
     """
-    takes: dict[str, list[str]] = {}
-    gives: dict[str, list[str]] = {}
-    for r in arcs.collect():
-        (takes if r.kind == "in" else gives).setdefault(r.transition, []).append(r.place)
-
-    def replay(batches):
-        for rows in batches:
-            out = []
-            for tasks in rows.tasks:
-                marking: dict[str, int] = {}
-                for p in initial:
-                    marking[p] = marking.get(p, 0) + 1
-                produced, consumed, missing = len(initial), 0, 0
-                for t in [*tasks, None]:
-                    for p in takes.get(t, []) if t is not None else final:
-                        consumed += 1
-                        if marking.get(p, 0) > 0:
-                            marking[p] -= 1
-                        else:
-                            missing += 1
-                    for p in gives.get(t, []) if t is not None else []:
-                        marking[p] = marking.get(p, 0) + 1
-                        produced += 1
-                left = sum(marking.values())
-                fitness = 0.5 * (1 - missing / max(consumed, 1)) + 0.5 * (1 - left / max(produced, 1))
-                out.append((produced, consumed, missing, left, fitness))
-            for k, name in enumerate(("produced", "consumed", "missing", "remaining", "fitness")):
-                rows[name] = [x[k] for x in out]
-            yield rows
-
-    return variants(log).select("tasks", "n").mapInPandas(replay, "tasks array<string>, n long, produced long, consumed long, missing long, remaining long, fitness double")
+    found = sorted((r.transition, r.place, r.kind) for r in arcs.collect())
+    places = sorted({p for _, p, _ in found} | {*initial, *final})
+    vector = lambda held: F.array(*(F.lit(held.count(p)) for p in places)) if places else F.array().cast("array<int>")
+    names = sorted({t for t, _, _ in found})
+    none = vector([])
+
+    def table(kind: str):
+        """Of a task: how many tokens it takes from (gives to) each place."""
+        rows = [x for t in names for x in (F.lit(t), vector([p for n, p, k in found if n == t and (k == "in") == (kind == "in")]))]
+        return (lambda t: F.coalesce(F.try_element_at(F.create_map(*rows), t), none)) if rows else (lambda t: none)
+
+    takes, gives = table("in"), table("out")
+    total = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x)
+    lack = lambda m, need: total(F.zip_with(m, need, lambda a, b: F.greatest(b - a, F.lit(0))))
+    less = lambda m, need: F.zip_with(m, need, lambda a, b: F.greatest(a - b, F.lit(0)))
+    state = "struct<m: array<int>, produced: bigint, consumed: bigint, missing: bigint>"
+    made = lambda m, *n: F.struct(m.alias("m"), *(x.alias(c) for x, c in zip(n, ("produced", "consumed", "missing"), strict=True))).cast(state)
+    zero = F.lit(0).cast("long")
+
+    def step(s, t):
+        need, new = takes(t), gives(t)
+        return made(F.zip_with(less(s["m"], need), new, lambda a, b: a + b), s["produced"] + total(new), s["consumed"] + total(need), s["missing"] + lack(s["m"], need))
+
+    end = vector(final)
+    out = variants(log).select("tasks", "n", F.aggregate("tasks", made(vector(initial), F.lit(len(initial)).cast("long"), zero, zero), step).alias("s"))
+    out = out.select("tasks", "n", "s.produced", (F.col("s.consumed") + len(final)).alias("consumed"), (F.col("s.missing") + lack(F.col("s.m"), end)).alias("missing"), total(less(F.col("s.m"), end)).alias("remaining"))
+    share = lambda part, whole: 1 - F.col(part) / F.greatest(F.col(whole), F.lit(1).cast("long"))
+    return out.withColumn("fitness", 0.5 * share("missing", "consumed") + 0.5 * share("remaining", "produced"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.features import class_weights, with_next
+from tracemill.functions.features import FEATURES, class_weights, with_next
 from tracemill.sources.eventlog import in_case
 from tracemill.sources.scratch import cut, exact_quantiles
 
@@ -115,6 +115,24 @@ def time_to_next(train: DataFrame, by: tuple[str, ...] = ("task_name",)) -> Data
     return train.groupBy(*by).agg(F.avg("dt_log").alias("mean_dt_log")).withColumn("seconds", F.expm1("mean_dt_log")).crossJoin(F.broadcast(overall))  # one row
 
 
+def boosted_time_to_next(train: DataFrame, rounds: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42):
+    """A fitted pipeline that adds dt_pred, boosted regression trees' dt_log, to a table that `create_features` made.
+
+    An event without an amount has no scaled vector: it takes no part in fitting, and its prediction goes right at every split.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    if train.filter("dt_log is not null").isEmpty():
+        raise ValueError("no labelled events to fit on")
+    feats = [f"feat_{c}" for c in FEATURES]
+    filled = SQLTransformer(statement="select *, " + ", ".join(f"coalesce({c}, double('NaN')) as _in_{c}" for c in feats) + " from __THIS__")
+    all_ = VectorAssembler(inputCols=[f"_in_{c}" for c in feats], outputCol="_vector", handleInvalid="keep")
+    trees = GBTRegressor(featuresCol="_vector", labelCol="dt_log", predictionCol="dt_pred", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
+    return Pipeline(stages=[filled, all_, trees]).fit(train.filter("dt_log is not null").dropna(subset=feats))
+
+
 def time_quantiles(train: DataFrame, qs: tuple[float, ...] = (0.1, 0.5, 0.9), by: tuple[str, ...] = ("task_name",)) -> DataFrame:
     if list(qs) != sorted(set(qs)) or not all(0 < q < 1 for q in qs):
         raise ValueError("quantiles must be unique, sorted, and lie between 0 and 1")

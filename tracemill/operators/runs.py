@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.sources.scratch import cut
+
 
 def flatten_metrics(df: DataFrame, keys: tuple[str, ...] = ("run_id", "stage")) -> DataFrame:
     """Nested numeric fields as rows (keys, metric_path, value, whole), paths joined by dots; lists, booleans and text are skipped. `whole`: of a whole-number type."""
@@ -25,6 +29,33 @@ def flatten_metrics(df: DataFrame, keys: tuple[str, ...] = ("run_id", "stage"))
     return df.select(*keys, F.explode(F.array(*found)).alias("m")).select(*keys, "m.metric_path", "m.value", "m.whole").filter("value is not null")
 
 
+def flatten_documents(df: DataFrame, column: str = "doc", keys: tuple[str, ...] = ("run_id", "stage")) -> DataFrame:
+    """What `flatten_metrics` gives, from JSON text whose keys nobody declared: (keys, metric_path, keys_path, value, whole).
+
+    Each level of nesting is opened for all documents at once, so a document needs no schema and documents may differ; names of tasks
+    may be keys, whatever characters they hold. metric_path joins the keys by dots, keys_path is the list of them. Lists, booleans,
+    text, nulls and text that isn't JSON are skipped, as is a number by itself. `whole`: a whole number of 64 bits.
+    """
+    level = df.select(*keys, F.array().cast("array<string>").alias("keys_path"), F.expr(f"try_parse_json(`{column}`)").alias("_v"))
+    level = level.filter(_kind("_v").startswith("OBJECT"))
+    out = []
+    while not (level := cut(level)).isEmpty():  # as many rounds as the documents are deep
+        inner = level.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+        inner = inner.select(*keys, F.concat("keys_path", F.array("key")).alias("keys_path"), F.col("value").alias("_v"))
+        kind = _kind("_v")
+        whole = kind == "BIGINT"
+        found = inner.filter(whole | kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"))
+        out.append(found.select(*keys, F.array_join("keys_path", ".").alias("metric_path"), "keys_path", F.variant_get("_v", "$", "double").alias("value"), whole.alias("whole")))
+        level = inner.filter(kind.startswith("OBJECT"))
+    if not out:
+        return level.select(*keys, F.lit("").alias("metric_path"), "keys_path", F.lit(0.0).alias("value"), F.lit(False).alias("whole"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _kind(column: str):
+    return F.schema_of_variant(column)
+
+
 def flatten_values(df: DataFrame, keys: tuple[str, ...] = ("run_id", "stage")) -> DataFrame:
     """What `flatten_metrics` skips, as rows (keys, metric_path, kind, text): lists by their length, booleans and text by what they say."""
 

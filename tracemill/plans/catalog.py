@@ -786,6 +786,17 @@ def time_error(spark, d):
     return mt.dt_mae_hours(val.join(pr.time_to_next(train).select("task_name", F.col("mean_dt_log").alias("dt_pred")), "task_name")).select(r6("mae_hours").alias("mae_hours"))
 
 
+@query()
+def boosted_time_error(spark, d):
+    """Mean absolute error in hours of boosted trees on the validation half, beside that of the mean per task."""
+    log = L1(spark, d)
+    both = ft.create_features(ft.split_cases(log))
+    train, val = both.filter("split = 'train'"), both.filter("split = 'val'")
+    trees = mt.dt_mae_hours(pr.boosted_time_to_next(train).transform(val)).select(F.lit("boosted trees").alias("model"), "mae_hours")
+    means = mt.dt_mae_hours(val.join(pr.time_to_next(train).select("task_name", F.col("mean_dt_log").alias("dt_pred")), "task_name")).select(F.lit("mean per task").alias("model"), "mae_hours")
+    return trees.unionByName(means).select("model", r6("mae_hours").alias("mae_hours"))
+
+
 @query(f"""with {EV}, {NX}, {SP}, {TQ} select round(avg((greatest(0.1 * (dt_log - q[1]), -0.9 * (dt_log - q[1])) + greatest(0.5 * (dt_log - q[2]), -0.5 * (dt_log - q[2])) + greatest(0.9 * (dt_log - q[3]), -0.1 * (dt_log - q[3]))) / 3), 6) as pinball,
     round(avg((dt_log between q[1] and q[3])::int), 6) as coverage, round(avg(exp(q[3]) - exp(q[1])) / 3600, 6) as width_hours from vl join tq using (task_name)""")
 def time_quantile_metrics(spark, d):
@@ -884,6 +895,19 @@ MR = f"mr as ({_bl(EV, 'a')} union all {_bl(LI, 'b')} union all {_bl(CO, 'c')})"
 query(f"with {MR} select run_id, 'baselines' as stage, metric_path, round(value, 6) as value from mr", "flattened_metrics")(lambda s, d: _metric_rows(s, d).select("run_id", "stage", "metric_path", r6("value").alias("value")))
 
 
+@query(f"""with {EV}, {TR}, x as (select concat(src, ' → ', tgt, ' v1.0') as move, count(*) as n, {MEAN} as m, max(amount) as top from tr group by src, tgt)
+    select 'a' as run_id, 'waits' as stage, unnest([concat('moves.', move, '.n'), concat('moves.', move, '.wait.mean'), concat('moves.', move, '.wait.top amount')]) as metric_path, unnest([n::double, round(m, 6), round(top, 6)]) as value, unnest([true, false, false]) as whole from x
+    union all select 'a', 'waits', 'total', count(*)::double, true from tr""")
+def flattened_documents(spark, d):
+    """A JSON document whose keys are names from the log, with blanks and dots in them, as metric rows."""
+    trans = tr.transitions(L1(spark, d))
+    of = trans.groupBy("src", "tgt").agg(F.count(F.lit(1)).alias("n"), tr.mean_wait().alias("m"), F.max("amount").alias("top"))
+    wait = F.struct(r6("m").alias("mean"), r6("top").alias("top amount"), F.array("n").alias("list"), F.lit(True).alias("flag"))
+    entry = F.struct(F.concat_ws("", "src", F.lit(" → "), "tgt", F.lit(" v1.0")), F.struct("n", wait.alias("wait"), F.lit("text").alias("note")))
+    doc = of.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("moves"), F.sum("n").alias("total"))).alias("doc"))  # an entry a transition
+    return rn.flatten_documents(doc.select(F.lit("a").alias("run_id"), F.lit("waits").alias("stage"), "doc")).select("run_id", "stage", "metric_path", r6("value").alias("value"), "whole")
+
+
 @query(f"""with {MR}, a as (select * from mr where run_id = 'a'), b as (select * from mr where run_id = 'b' and metric_path <> 'num_val_events')
     select metric_path, case when a.value is null then 'added' when b.value is null then 'removed' else 'changed' end as status, round(b.value - a.value, 6) as delta, round(100 * (b.value - a.value) / abs(a.value), 4) as percent
     from a full join b using (metric_path) where a.value is null or b.value is null or abs(a.value - b.value) > 1e-9""")
@@ -962,14 +986,17 @@ def windowed_bottlenecks(spark, d):
 
 @query(f"with {EV}, {TR} select case_id, src, tgt, round(wait_s, 6) as wait_s, false as late from tr")
 def streamed_transitions(spark, d):
-    """The log written to a folder, read as a stream to its end, and its transitions as the stream's state gives them."""
-    from tracemill.streaming.streams import streaming_transitions
+    """The log written to a folder in two parts, of which the second fills gaps of the first, read as a stream file by file, and the transitions that stand."""
+    from tracemill.streaming.streams import settled_transitions, streaming_transitions
 
     log, source, sink = L1(spark, d), scratch.place(spark, "stream"), scratch.place(spark, "moves")
-    log.write.parquet(source)
-    stream = streaming_transitions(spark.readStream.schema(log.schema).parquet(source))
-    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch.place(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(sink).select("case_id", "src", "tgt", r6("wait_s").alias("wait_s"), "late")
+    early = F.pmod(F.xxhash64("event_seq"), F.lit(3)) > 0
+    log.withColumn("part", F.when(early, 0).otherwise(1)).repartition(2, "part").write.partitionBy("part").parquet(source)
+    for part in (0, 1):
+        stream = streaming_transitions(spark.readStream.schema(log.schema).parquet(f"{source}/part={part}"), "1000 days", initial=log.filter(early) if part else None)
+        stream.writeStream.format("parquet").option("path", f"{sink}/{part}").option("checkpointLocation", scratch.place(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    changes = reduce(DataFrame.unionByName, [spark.read.schema(stream.schema).parquet(f"{sink}/{part}") for part in (0, 1)])
+    return settled_transitions(changes).select("case_id", "src", "tgt", r6("wait_s").alias("wait_s"), "late")
 
 
 # --------------------------------------------------------------------- reports
