@@ -256,6 +256,17 @@ def test_numbers_and_quantiles_by_ranges(spark):
     for k in range(3):
         assert got[f"k{k}"] == pytest.approx(np.quantile(values[k::3], qs).tolist())
     assert scratch.exact_quantiles(df.limit(0), "v", [0.5]).first().quantiles == [None]
+    for n, accuracy in ((1, 50), (2, 50), (49, 50), (51, 50), (120, 50), (5000, 50), (40_000, 500), (40_000, 50_000)):  # sketches that keep all and few values
+        many = spark.range(n).select(F.expr("pow(pmod(xxhash64(id), 100003) / 1000, 3)").alias("v"), (F.col("id") % 2).alias("k")).repartition(5)
+        seen = {0: [], 1: []}
+        for r in many.collect():
+            seen[r.k].append(r.v)
+        assert scratch.exact_quantiles(many, "v", qs, accuracy=accuracy).first().quantiles == pytest.approx(np.quantile(seen[0] + seen[1], qs).tolist())
+        for r in scratch.exact_quantiles(many, "v", qs, ("k",), accuracy).collect():
+            assert r.quantiles == pytest.approx(np.quantile(seen[r.k], qs).tolist())
+    odd = spark.createDataFrame([(x,) for x in [float("nan")] * 3 + [float("inf"), float("-inf"), 1.0, 2.0]], "v double")
+    got = scratch.exact_quantiles(odd, "v", [0.0, 1 / 6, 0.5, 1.0]).first().quantiles
+    assert got[:3] == [float("-inf"), 1.0, float("inf")] and got[3] != got[3]
     ids = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(5)
     assert sorted((r.x, r.n) for r in scratch.numbered(ids, F.col("x")).collect()) == [(i, i) for i in range(1000)]
     assert sorted((r.x, r.n) for r in scratch.numbered(ids, F.col("x").desc()).collect()) == [(i, 999 - i) for i in range(1000)]

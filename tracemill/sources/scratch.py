@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,25 +85,39 @@ def numbered(df: DataFrame, *order: Column, name: str = "n") -> DataFrame:
     return parts.join(starts, "_part").withColumn(name, F.col("_before") + rank - 1).drop("_part", "_before")
 
 
-def exact_quantiles(df: DataFrame, column: str, qs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, column: str, qs: list[float], by: tuple[str, ...] = (), accuracy: int = 50_000) -> DataFrame:
     """(by, quantiles): of each key the interpolated quantiles of a numeric column, nulls left out; without keys one row (null for no values).
 
-    Equal values are counted before the shuffle, values are dealt into ranges, and only sums of counts per range are
-    added up across ranges; no task holds all distinct values.
+    Two passes, both aggregates. A sketch brackets each wanted place between two values, by twice the error that it allows on either side.
+    Then values inside of a bracket are counted one by one and all others per gap between brackets, before the shuffle, so a key leaves its distinct
+    values within about 4 / `accuracy` of its rows for each quantile, and running sums of counts find the places. Should a place lie deep in a gap, the job fails. NaN is above all numbers.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    parts = in_ranges(counts, *by, "_v")
     key = list(by)
-    sums = parts.groupBy(*key, "_part").agg(F.sum("_c").alias("_s"))  # a row per key and range
-    until = F.coalesce(F.aggregate(F.filter("_all", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda a, x: a + x["_s"]), F.lit(0))
-    whole = sums.groupBy(*key).agg(F.collect_list(F.struct("_part", "_s")).alias("_all"), F.sum("_s").alias("_n"))
-    placed = sums.join(whole, key) if key else sums.crossJoin(F.broadcast(whole))  # one row
-    placed = placed.select(*key, "_part", until.alias("_before"), "_n")
-    inside = F.sum("_c").over(Window.partitionBy(*key, "_part").orderBy("_v"))
-    found = parts.join(placed, [*key, "_part"]).withColumn("_upto", F.col("_before") + inside)
+    values = df.filter(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
+    margin = 2 / accuracy
+    sides = [x for q in qs for x in (max(q - margin, 0.0), min(q + margin, 1.0))]
+    number = F.when(F.isnan("_v"), F.lit(float("inf"))).otherwise(F.col("_v"))  # the sketch knows no NaN
+    found = values.groupBy(*key).agg(F.percentile_approx(number, sides, accuracy).alias("_at"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    low = lambda k: F.col("_min") if sides[2 * k] == 0 else F.col("_at")[2 * k]
+    high = lambda k: F.col("_max") if sides[2 * k + 1] == 1 else F.when(F.col("_at")[2 * k + 1] == float("inf"), F.lit(float("nan"))).otherwise(F.col("_at")[2 * k + 1])
+    brackets = found.select(*key, "_n", *(x for k in range(len(qs)) for x in (low(k).alias(f"_l{k}"), high(k).alias(f"_h{k}"))))
+    placed = values.join(brackets, key) if key else values.crossJoin(F.broadcast(brackets))  # one row
+    inside = reduce(Column.__or__, (F.col("_v").between(F.col(f"_l{k}"), F.col(f"_h{k}")) for k in range(len(qs))), F.lit(False))
+    below = F.array_max(F.array(F.lit(None).cast("double"), *(F.when(F.col(f"_h{k}") < F.col("_v"), F.col(f"_h{k}")) for k in range(len(qs)))))
+    counts = placed.select(*key, "_n", "_v", F.when(inside, F.col("_v")).otherwise(below).alias("_x"), (~inside).alias("_gap")).groupBy(*key, "_x", "_gap").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last"), F.first("_n").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*key).orderBy("_x", "_gap").rowsBetween(Window.unboundedPreceding, 0)))
     place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
-    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
-    ends = [x for k, q in enumerate(qs) for x in (at(F.floor(place(q))).alias(f"_lo{k}"), at(F.ceil(place(q))).alias(f"_hi{k}"))]
-    row = found.groupBy(*key).agg(*ends, F.max("_n").alias("_n"))
-    value = [F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (place(q) - F.floor(place(q))) for k, q in enumerate(qs)]
-    return row.select(*key, F.array(*value).alias("quantiles"))
+    at = lambda rank: F.min_by(F.struct("_first", "_last", "_gap", "_upto", "_c"), F.when(F.col("_upto") > rank, F.col("_upto")))
+    row = upto.groupBy(*key).agg(*(x for k, q in enumerate(qs) for x in (at(F.floor(place(q))).alias(f"_lo{k}"), at(F.ceil(place(q))).alias(f"_hi{k}"))), F.max("_n").alias("_n"))
+
+    def value(q, k):
+        """Between the values at both places; a gap tells its first and its last value alone."""
+
+        def held(c, rank):
+            r = F.col(c)
+            return F.when(~r["_gap"] | (r["_upto"] - r["_c"] == rank), r["_first"]).when(r["_upto"] - 1 == rank, r["_last"]).when(r.isNotNull(), F.raise_error("a quantile lies outside of its bracket").cast("double"))
+
+        lo, part = held(f"_lo{k}", F.floor(place(q))), place(q) - F.floor(place(q))
+        return F.when(part == 0, lo).otherwise(lo + (held(f"_hi{k}", F.ceil(place(q))) - lo) * part)
+
+    return row.select(*key, F.array(*(value(q, k) for k, q in enumerate(qs))).alias("quantiles"))
