@@ -256,7 +256,7 @@ def test_numbers_and_quantiles_by_ranges(spark):
     for k in range(3):
         assert got[f"k{k}"] == pytest.approx(np.quantile(values[k::3], qs).tolist())
     assert scratch.exact_quantiles(df.limit(0), "v", [0.5]).first().quantiles == [None]
-    for n, accuracy in ((1, 50), (2, 50), (49, 50), (51, 50), (120, 50), (5000, 50), (40_000, 500), (40_000, 50_000)):  # sketches that keep all and few values
+    for n, accuracy in ((2, 50), (51, 50), (5000, 50), (40_000, 500)):  # sketches that keep all and few values
         many = spark.range(n).select(F.expr("pow(pmod(xxhash64(id), 100003) / 1000, 3)").alias("v"), (F.col("id") % 2).alias("k")).repartition(5)
         seen = {0: [], 1: []}
         for r in many.collect():

@@ -90,7 +90,7 @@ def exact_quantiles(df: DataFrame, column: str, qs: list[float], by: tuple[str,
 
     Two passes, both aggregates. A sketch brackets each wanted place between two values, by twice the error that it allows on either side.
     Then values inside of a bracket are counted one by one and all others per gap between brackets, before the shuffle, so a key leaves its distinct
-    values within about 4 / `accuracy` of its rows for each quantile, and running sums of counts find the places. Should a place lie deep in a gap, the job fails. NaN is above all numbers.
+    values within about 4 / `accuracy` of its rows for each quantile, and running sums of counts, bracket by bracket, find the places. Should a place lie deep in a gap, the job fails. NaN is above all numbers.
     """
     key = list(by)
     values = df.filter(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
@@ -104,8 +104,14 @@ def exact_quantiles(df: DataFrame, column: str, qs: list[float], by: tuple[str,
     placed = values.join(brackets, key) if key else values.crossJoin(F.broadcast(brackets))  # one row
     inside = reduce(Column.__or__, (F.col("_v").between(F.col(f"_l{k}"), F.col(f"_h{k}")) for k in range(len(qs))), F.lit(False))
     below = F.array_max(F.array(F.lit(None).cast("double"), *(F.when(F.col(f"_h{k}") < F.col("_v"), F.col(f"_h{k}")) for k in range(len(qs)))))
-    counts = placed.select(*key, "_n", "_v", F.when(inside, F.col("_v")).otherwise(below).alias("_x"), (~inside).alias("_gap")).groupBy(*key, "_x", "_gap").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last"), F.first("_n").alias("_n"))
-    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*key).orderBy("_x", "_gap").rowsBetween(Window.unboundedPreceding, 0)))
+    passed = sum((F.when(F.col(f"_h{k}") < F.col("_v"), 1).otherwise(0) for k in range(len(qs))), F.lit(0))
+    counts = placed.select(*key, "_n", "_v", F.when(inside, F.col("_v")).otherwise(below).alias("_x"), (~inside).alias("_gap"), (passed - F.when(inside, 0).otherwise(1)).alias("_part"))
+    counts = counts.groupBy(*key, "_part", "_x", "_gap").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last"), F.first("_n").alias("_n"))
+    whole = counts.groupBy(*key, "_part").agg(F.sum("_c").alias("_s")).groupBy(*key).agg(F.collect_list(F.struct("_part", "_s")).alias("_all"))  # a bracket and the gap after it each
+    counts = counts.join(whole, key) if key else counts.crossJoin(F.broadcast(whole))  # one row
+    before = F.aggregate(F.filter("_all", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda a, x: a + x["_s"])
+    held = F.sum("_c").over(Window.partitionBy(*key, "_part").orderBy("_x", "_gap").rowsBetween(Window.unboundedPreceding, 0))
+    upto = counts.withColumn("_upto", before + held)
     place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
     at = lambda rank: F.min_by(F.struct("_first", "_last", "_gap", "_upto", "_c"), F.when(F.col("_upto") > rank, F.col("_upto")))
     row = upto.groupBy(*key).agg(*(x for k, q in enumerate(qs) for x in (at(F.floor(place(q))).alias(f"_lo{k}"), at(F.ceil(place(q))).alias(f"_hi{k}"))), F.max("_n").alias("_n"))
