@@ -527,3 +527,49 @@ def test_documents_with_keys_that_nobody_declared(spark):
         ("b", "big", 9007199254740992.0, True), ("b", "large", 123456789012345678901234567890.0, False), ("b", "other.n", 1000.0, False)]
     assert got.filter("value = -1").first().keys_path == ["Pay v1.0 now", "deep", "x.y", "z"]
     assert rn.flatten_documents(spark.createDataFrame([], "run_id string, stage string, doc string")).collect() == []
+
+
+def test_prefix_tree(spark):
+    log = log_of(spark, {"1": "abc", "2": "abd", "3": "ab", "4": "b", "5": "ba"})
+    got = sorted((r.k, r.task, r.visits, r.ends, "".join(sorted(r.children)), r.parent is None) for r in cf.prefix_tree(log).collect())
+    assert got == [(1, "a", 3, 0, "b", True), (1, "b", 2, 1, "a", True), (2, "a", 1, 1, "", False), (2, "b", 3, 1, "cd", False), (3, "c", 1, 1, "", False), (3, "d", 1, 1, "", False)]
+    assert cf.prefix_tree(log.limit(0)).count() == 0
+    model = cf.discover_dfg(log_of(spark, {"1": "abc", "2": "bc", "3": "be"}))
+    edges = sorted((r.k, r.task, r.step, r.kind, r.w) for r in cf.escaping_edges(cf.prefix_tree(log), model).collect())
+    assert edges == [(1, "b", "a", "unmodelled", 1), (1, "b", "c", "escaping", 1), (1, "b", "e", "escaping", 1), (2, "b", "d", "unmodelled", 2), (2, "b", "e", "escaping", 2)]
+    # enabled: a>b three times, b>c and b>e after "b" once and after "ab" twice; c is taken after "ab"
+    assert cf.etc_precision(log, model).first().precision == pytest.approx(1 - 4 / 9)
+
+
+def test_prefix_tree_tells_clashing_states(spark, monkeypatch):
+    monkeypatch.setattr(cf.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    with pytest.raises(Exception, match="two prefixes share a state"):
+        cf.prefix_tree(log_of(spark, {"1": "ab", "2": "ba"})).collect()
+
+
+@pytest.mark.parametrize(("top", "first"), [(1, 1), (3, 2), (50, 1)])
+def test_best_swaps_are_those_of_all_pairs(spark, top, first):
+    """Ties and resources that share no transition among them; lists so short that the search goes on."""
+    steps = [(f"s{i % 4}", f"t{i % 3}", f"r{i * 7 % 23}", float(i * i % 50)) for i in range(600)] + [("x", "y", "alone", 1.0)] * 2 + [("x", "z", r, 1.0) for r in ("p", "q", "o") for _ in range(2)]
+    trans = spark.createDataFrame(steps, "src string, tgt string, resource string, wait_s double").withColumn("wait_s", F.col("wait_s") * 3600)
+    want = {}
+    for r in cs.swap_candidates(trans).collect():
+        want.setdefault(r.swap_from, []).append((round(r.delta_h, 9), r.swap_to, r.support))
+    want = sorted((a, k + 1, b, n) for a, found in want.items() for k, (_, b, n) in enumerate(sorted(found)[:top]))
+    assert sorted((r.swap_from, r["rank"], r.swap_to, r.support) for r in cs.best_swaps(trans, top, first=first).collect()) == want
+
+
+def test_best_swaps_stop_early(spark, monkeypatch):
+    """Where one resource is fastest everywhere, nobody's whole list is met."""
+    trans = spark.range(400).selectExpr("'a' src", "'b' tgt", "concat('r', lpad(id div 2, 3, '0')) resource", "3600.0D * (id div 2) wait_s")
+    written = []
+    cut = cs.cut
+    monkeypatch.setattr(cs, "cut", lambda df: written.append(out := cut(df)) or out)
+    found = cs.best_swaps(trans, 2)
+    assert {(r.swap_from, r.swap_to) for r in found.filter("rank = 1 and delta_h < 0").collect()} == {(f"r{i:03}", "r000") for i in range(1, 200)}
+    assert written[1].filter("sure").count() > 150  # in the first round, of lists of eight
+    assert found.count() == 400
+
+
+def test_best_swaps_of_nothing(spark):
+    assert cs.best_swaps(spark.createDataFrame([], "src string, tgt string, resource string, wait_s double")).count() == 0

@@ -59,20 +59,53 @@ def log_fitness(replayed: DataFrame) -> DataFrame:
     return replayed.agg((F.sum("allowed") / F.sum("steps")).alias("fitness"), F.avg(F.col("fit").cast("double")).alias("fit_traces"), F.count_if(~F.col("fit")).alias("num_deviant"), F.count(F.lit(1)).alias("total_traces"))
 
 
-def etc_precision(log: DataFrame, model: DataFrame) -> DataFrame:
-    """One row: 1 - escaping / enabled edges over the states that prefixes lead to, weighted by their visits.
+def prefix_tree(log: DataFrame) -> DataFrame:
+    """One row per distinct prefix that cases start with: k (its length), state, parent (state of the prefix without its last task, null at
+    the top), task (its last), visits (cases that start with it), ends (cases that are no longer), children (tasks seen after it).
 
-    A state is the whole prefix; enabled are the model's successors of its last task, escaping those never seen after it.
-    Prefixes are told apart by their length and two hashes that grow with the window, so a case of n events costs n rows.
+    A state is two hashes that grow with the window, so a case of n events costs n rows and one shuffle of small rows. That equal states are equal
+    prefixes is checked where rows meet: all rows of a state must have one last task and one parent, and so on to the top; a clash fails the job.
     """
     w = in_case()
     at = with_next(log).withColumn("_k", F.row_number().over(w))
-    grown = [F.bit_xor(F.xxhash64(F.lit(seed), "_k", "task_name")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"state_{seed}") for seed in (1, 2)]
-    visits = at.select("_k", *grown, F.col("task_name").alias("src"), F.col("next_task").alias("tgt")).filter("tgt is not null")
-    seen = visits.groupBy("_k", "state_1", "state_2", "src").agg(F.count(F.lit(1)).alias("w"), F.collect_set("tgt").alias("seen"))  # a set of tasks
-    enabled = model.filter(F.col("src") != START).filter(F.col("tgt") != END).groupBy("src").agg(F.collect_set("tgt").alias("enabled"))
-    both = seen.join(enabled, "src")
-    return both.agg((1 - F.try_divide(F.sum(F.col("w") * F.size(F.array_except("enabled", "seen"))), F.sum(F.col("w") * F.size("enabled")))).alias("precision"))
+    own = [F.xxhash64(F.lit(seed), "_k", "task_name") for seed in (1, 2)]
+    grown = [F.bit_xor(x).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_s{i}") for i, x in enumerate(own)]
+    at = at.select("_k", "task_name", "next_task", *(x.alias(f"_o{i}") for i, x in enumerate(own)), *grown)
+    above = F.struct(F.col("_s0").bitwiseXOR(F.col("_o0")).alias("a"), F.col("_s1").bitwiseXOR(F.col("_o1")).alias("b"))
+    made = F.collect_set(F.struct(above.alias("parent"), F.col("task_name").alias("task")))  # one entry, unless hashes clash
+    nodes = at.groupBy("_k", "_s0", "_s1").agg(F.count(F.lit(1)).alias("visits"), F.count("next_task").alias("on"), F.collect_set("next_task").alias("children"), made.alias("made"))
+    sure = F.when(F.size("made") == 1, F.element_at("made", 1)).otherwise(F.raise_error("two prefixes share a state").cast("struct<parent: struct<a: bigint, b: bigint>, task: string>"))
+    nodes = nodes.withColumn("made", sure)
+    parent = F.when(F.col("_k") > 1, F.col("made.parent"))
+    return nodes.select(F.col("_k").alias("k"), F.struct(F.col("_s0").alias("a"), F.col("_s1").alias("b")).alias("state"), parent.alias("parent"), F.col("made.task").alias("task"), "visits", (F.col("visits") - F.col("on")).alias("ends"), "children")
+
+
+def _enabled(tree: DataFrame, model: DataFrame) -> DataFrame:
+    """Nodes that go on, with the weight of their going on and the model's successors of their task (none, if the model lacks it)."""
+    steps = model.filter(F.col("src") != START).filter(F.col("tgt") != END).groupBy(F.col("src").alias("task")).agg(F.collect_set("tgt").alias("enabled"))  # a row per task
+    return tree.filter("visits > ends").withColumn("w", F.col("visits") - F.col("ends")).join(steps, "task", "left")
+
+
+def escaping_edges(tree: DataFrame, model: DataFrame) -> DataFrame:
+    """(k, state, task, step, kind, w): where the model and the log part, a row per node of the prefix tree and step.
+
+    `escaping`: the model's next steps that no case takes after that prefix (w: cases that go on there); `unmodelled`: steps that cases take
+    and the model lacks. Steps out of a case's last task are not looked at.
+    """
+    both = _enabled(tree, model).withColumn("enabled", F.coalesce("enabled", F.array().cast("array<string>")))
+    kinds = [F.struct(F.lit(kind).alias("kind"), F.array_except(x, y).alias("steps")) for kind, x, y in (("escaping", "enabled", "children"), ("unmodelled", "children", "enabled"))]
+    out = both.withColumn("of", F.explode(F.array(*kinds)))
+    return out.select("k", "state", "task", F.explode("of.steps").alias("step"), "of.kind", "w")
+
+
+def etc_precision(log: DataFrame, model: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """One row: 1 - escaping / enabled edges over the states that prefixes lead to, weighted by their visits (null if nothing is enabled).
+
+    A state is the whole prefix, a node of `tree` (the log's prefix tree, made here if not given); enabled are the model's successors of its
+    last task, escaping those never seen after it.
+    """
+    both = _enabled(prefix_tree(log) if tree is None else tree, model)
+    return both.agg((1 - F.try_divide(F.sum(F.col("w") * F.size(F.array_except("enabled", "children"))), F.sum(F.col("w") * F.size("enabled")))).alias("precision"))
 
 
 def f_score(fitness, precision):

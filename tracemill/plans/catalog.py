@@ -531,6 +531,30 @@ def token_replay(spark, d):
     return out.select(F.array_join("tasks", ">").alias("tasks"), "n", "produced", "consumed", "missing", "remaining", r6("fitness").alias("fitness"))
 
 
+PT = """
+px as (select k, string_agg(task_name, '>') over (partition by case_id order by ts, event_seq) as state, task_name as task, next_task as tgt from nx),
+pt as (select k, state, task, count(*) as visits, count(*) filter (where tgt is null) as ends, coalesce(list(distinct tgt) filter (where tgt is not null), []) as children from px group by 1, 2, 3)"""
+
+
+@query(f"""with {EV}, {NX}, {PT} select c.k, c.task, p.task as parent_task, p.visits as parent_visits, c.visits, c.ends, len(c.children) as n_children
+    from pt c left join pt p on p.k = c.k - 1 and starts_with(c.state, p.state || '>') and p.state || '>' || c.task = c.state""")
+def prefix_tree(spark, d):
+    tree = cf.prefix_tree(L1(spark, d))
+    above = tree.select(F.col("state").alias("parent"), (F.col("k") + 1).alias("k"), F.col("task").alias("parent_task"), F.col("visits").alias("parent_visits"))
+    return tree.join(above, ["k", "parent"], "left").select("k", "task", "parent_task", "parent_visits", "visits", "ends", F.size("children").cast("long").alias("n_children"))
+
+
+@query(f"""with {LI}, {TR}, {DF}, {DFN}, {PT}, en as (select src as task, list(distinct tgt) as enabled from dn where src <> '__start__' and tgt <> '__end__' group by 1),
+    og as (select pt.k, pt.state, pt.task, visits - ends as w, children, coalesce(enabled, []) as enabled from pt left join en using (task) where visits > ends),
+    es as (select k, task, 'escaping' as kind, unnest(list_filter(enabled, lambda x: not list_contains(children, x))) as step, w from og
+        union all select k, task, 'unmodelled', unnest(list_filter(children, lambda x: not list_contains(enabled, x))), w from og)
+    select k, task, kind, step, count(*) as nodes, cast(sum(w) as bigint) as cases from es group by all""")
+def escaping_edges(spark, d):
+    log = L2(spark, d)
+    out = cf.escaping_edges(cf.prefix_tree(log), cf.discover_dfg(log, 0.5))
+    return out.groupBy("k", "task", "kind", "step").agg(F.count(F.lit(1)).alias("nodes"), F.sum("w").alias("cases"))
+
+
 _CONFORMANCE = ORACLES["conformance_summary"].removeprefix(f"with {EV}, ")
 _DRIVERS = ORACLES["bottleneck_drivers"].removeprefix(f"with {EV}, ")
 
@@ -829,6 +853,13 @@ def swap_candidates(spark, d):
     return cs.swap_candidates(tr.transitions(L1(spark, d))).withColumn("delta_h", F.round("delta_h", 5))
 
 
+@query(f"""with {LI}, {TR}, {RW}, pr as (select a.resource as swap_from, b.resource as swap_to, sum(a.n) as support, sum(a.n * (b.m - a.m)) as delta_h from rw a join rw b using (src, tgt)
+    where a.resource <> b.resource and a.n >= 2 and b.n >= 2 group by 1, 2)
+    select swap_from, row_number() over (partition by swap_from order by round(delta_h, 9), swap_to) as rank, swap_to, cast(support as bigint) as support, round(delta_h, 5) as delta_h from pr qualify rank <= 3""")
+def best_swaps(spark, d):
+    return cs.best_swaps(tr.transitions(L2(spark, d)), 3).withColumn("delta_h", F.round("delta_h", 5))
+
+
 @query(f"""with {EV}, {NX}, {SP}, {MK}, bk as (select case_id, event_seq, next_task, 0 as d, task_name as task from nx union all
     select case_id, event_seq, next_task, 1, lag(task_name, 1) over w from nx window w as (partition by case_id order by ts, event_seq) union all
     select case_id, event_seq, next_task, 2, lag(task_name, 2) over w from nx window w as (partition by case_id order by ts, event_seq)),
