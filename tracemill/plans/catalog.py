@@ -662,9 +662,21 @@ def _suffixes(log):
     return pr.predict_suffix(pr.last_tasks(log), pr.next_event_distribution(train), pr.time_to_next(train))
 
 
-@query()
+#: Beams of five, up to twenty steps from each case's last task, by the distributions of order 1 (bm); those that are finished, and the shares of a case (al).
+BM = """
+tm as (select task_name as context, exp(avg(dt_log)) - 1 as w from tn group by 1), kc as (select distinct context from pb),
+lt as (select case_id, arg_max(task_name, (ts, event_seq)) as b from ev group by 1),
+bm as (select case_id, [b] as seq, 0.0::double as lp, 0.0::double as dt, 0 as step, false as done from lt
+    union all select case_id, seq, lp, dt, step, max(r = 1 and seq[-1] = seq[-2]) over (partition by case_id) as done
+        from (select s.case_id, list_append(seq, label) as seq, lp + ln(p) as lp, dt + coalesce(w, 0) as dt, step + 1 as step,
+            row_number() over (partition by s.case_id order by round(lp + ln(p), 9) desc, array_to_string(list_append(seq, label), '>')) as r
+            from bm s left join kc on kc.context = seq[-1] join md on md.context = coalesce(kc.context, '') and md.r <= 5 left join tm on tm.context = seq[-1] where not done and step < 20) where r <= 5),
+al as (select *, exp(lp) / sum(exp(lp)) over (partition by case_id) as prob from bm where done or step = 20)"""
+
+
+@query(f"""with recursive {EV}, {NX}, {SP}, {DI}, {BM} select case_id, array_to_string(seq[2:], '>') as tasks, round(lp, 6) as log_prob, round(prob, 6) as prob, round(dt, 3) as total_dt_s from al""")
 def predicted_suffixes_full(spark, d):
-    """The whole continuations; `predicted_suffixes` holds the two steps that SQL unrolls."""
+    """The whole continuations; `predicted_suffixes` holds two steps."""
     out = _suffixes(L1(spark, d))
     return out.select("case_id", F.array_join("tasks", ">").alias("tasks"), r6("log_prob").alias("log_prob"), r6("prob").alias("prob"), F.round("total_dt_s", 3).alias("total_dt_s"))
 
@@ -896,16 +908,20 @@ def resource_policy(spark, d):
     return cs.resource_policy(tr.transitions(L1(spark, d))).withColumn("score", r6("score"))
 
 
-@query(f"""with {EV}, {TR}, {RW}, q0 as (select src, tgt, resource, -m as r, -m as q from rw),
+_Q2 = f"""with {EV}, {TR}, {RW}, q0 as (select src, tgt, resource, -m as r, -m as q from rw),
     q1 as (select a.src, a.tgt, a.resource, a.r, a.r + 0.9 * coalesce(b, 0) as q from q0 a left join (select src, max(q) as b from q0 group by 1) x on x.src = a.tgt),
-    q2 as (select a.src, a.tgt, a.resource, a.r, a.r + 0.9 * coalesce(b, 0) as q from q0 a left join (select src, max(q) as b from q1 group by 1) x on x.src = a.tgt) select src, tgt, resource, round(q, 6) as q from q2""")
+    q2 as (select a.src, a.tgt, a.resource, a.r, a.r + 0.9 * coalesce(b, 0) as q from q0 a left join (select src, max(q) as b from q1 group by 1) x on x.src = a.tgt)"""
+
+
+@query(f"{_Q2} select src, tgt, resource, round(q, 6) as q from q2")
 def offline_q(spark, d):
     return cs.offline_q(tr.transitions(L1(spark, d)), iterations=2).withColumn("q", r6("q"))
 
 
-@query()
+@query(f"""{_Q2},
+    q3 as (select a.src, a.tgt, a.resource, a.r, a.r + 0.9 * coalesce(b, 0) as q from q0 a left join (select src, max(q) as b from q2 group by 1) x on x.src = a.tgt) select src, tgt, resource, round(q, 6) as q from q3""")
 def offline_q_full(spark, d):
-    """With the operator's default of iterations; `offline_q` holds the two that SQL unrolls."""
+    """With the operator's default of iterations; `offline_q` holds two."""
     return cs.offline_q(tr.transitions(L1(spark, d))).withColumn("q", r6("q"))
 
 
@@ -1039,4 +1055,4 @@ _REPORT = f"""with {EV}, {TR}, {ST}, {DG}, o as (select src, tgt, feature, max(m
 _SWAPS = f"with {EV}, {TR}, {RW}, {_WF} select case_id, event_seq, printf('| %s → %s | %s → %s | %.2f | %.2f | %+.2f |', src, tgt, resource, cf, wait_h, cw, cw - wait_h) as line from wf"
 query(_REPORT, "driver_report")(lambda s, d: an.driver_report(an.drivers(tr.transitions(L1(s, d)))))
 query(_SWAPS, "whatif_report")(lambda s, d: cs.whatif_report(cs.whatif_events(tr.transitions(L1(s, d)), "r2", "r3")))
-query(None, "suffix_report")(lambda s, d: cs.suffix_report(_suffixes(L1(s, d))))
+query(f"""with recursive {EV}, {NX}, {SP}, {DI}, {BM} select case_id, printf('| %s | %.4f | %.2f h |', array_to_string(seq[2:], ' → '), prob, dt / 3600) as line from al""", "suffix_report")(lambda s, d: cs.suffix_report(_suffixes(L1(s, d))))
