@@ -21,13 +21,27 @@ def db():
     return c
 
 
-def shown(rows, names):
+def plain(x):
+    """Null and NaN as None, decimals as floats, -0.0 as 0.0."""
+    if type(x).__name__ == "Decimal":
+        x = float(x)
+    return None if x is None or (isinstance(x, float) and math.isnan(x)) else x + 0.0 if isinstance(x, float) else x
+
+
+def ordered(rows, names):
+    """Rows by their other cells, then by their floats at six significant digits; columns by name."""
     order = sorted(range(len(names)), key=lambda i: names[i])
+    cells = [tuple(plain(r[i]) for i in order) for r in rows]
+    return sorted(cells, key=lambda r: ([str(x) for x in r if not isinstance(x, float)], [float(f"{x:.6g}") for x in r if isinstance(x, float)]))
+
 
-    def cell(x):
-        return "null" if x is None or (isinstance(x, float) and math.isnan(x)) else f"{float(x) + 0.0:.4f}" if isinstance(x, float) or type(x).__name__ == "Decimal" else str(x)
+def differences(ours, theirs):
+    """Pairs of rows that differ: floats by more than a millionth of their size, anything else at all."""
 
-    return sorted(names), sorted(tuple(cell(r[i]) for i in order) for r in rows)
+    def same(x, y):
+        return math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-12) if isinstance(x, float) and isinstance(y, float) else str(x) == str(y) if isinstance(x, float) == isinstance(y, float) else x is not None and y is not None and float(x) == float(y)
+
+    return [(a, b) for a, b in zip(ours, theirs, strict=True) if not all(map(same, a, b))]
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
@@ -38,4 +52,13 @@ def test_query(spark, db, name):
     if name in catalog.ORACLES:
         found = db.execute(catalog.ORACLES[name])
         names = [x[0] for x in found.description]
-        assert shown(rows, df.columns) == shown(found.fetchall(), names)
+        want = found.fetchall()
+        assert sorted(df.columns) == sorted(names) and len(rows) == len(want)
+        assert not differences(ordered(rows, df.columns), ordered(want, names))
+
+
+def test_small_numbers_are_told_apart():
+    names = ["a", "b"]
+    assert not differences(ordered([("x", 0.00001), ("y", None)], names), ordered([("y", float("nan")), ("x", 0.00001 * (1 + 1e-9))], names))
+    assert differences(ordered([("x", 0.00001)], names), ordered([("x", 0.0000101)], names))
+    assert differences(ordered([("x", 0.0)], names), ordered([("x", None)], names))
