@@ -12,6 +12,7 @@ from tracemill.operators import analysis as an
 from tracemill.operators import cases as cs
 from tracemill.operators import conformance as cf
 from tracemill.operators import metrics as mt
+from tracemill.operators import pairs
 from tracemill.operators import predict as pr
 from tracemill.operators import runs as rn
 from tracemill.operators import transitions as tr
@@ -571,5 +572,22 @@ def test_best_swaps_stop_early(spark, monkeypatch):
     assert found.count() == 400
 
 
+def test_best_swaps_where_lists_contradict_each_other(spark, monkeypatch):
+    """Nobody is sure after the first lists: all pairs follow at once, as products of blocks, with sums as exact as those of pairs; copies tie by name."""
+    steps = "'a' src, 'b' tgt, 3600.0D * (id div 4) wait_s", "'c' src, 'd' tgt, 3600.0D * (300 - id div 4) wait_s"
+    halves = [spark.range(1200).selectExpr(*x.split(", ", 2)[:2], x.split(", ", 2)[2], "concat('r', lpad(id div 2, 3, '0')) resource") for x in steps]
+    trans = halves[0].unionByName(halves[1])
+    written = []
+    cut = cs.cut
+    monkeypatch.setattr(cs, "cut", lambda df: written.append(out := cut(df)) or out)
+    monkeypatch.setattr(pairs, "BLOCK", 2 * 64)  # several blocks either way
+    got = sorted((r.swap_from, r["rank"], r.swap_to, r.support, round(r.delta_h, 9)) for r in cs.best_swaps(trans, 3).collect())
+    assert len(written) == 2
+    want = {}
+    for r in cs.swap_candidates(trans).collect():
+        want.setdefault(r.swap_from, []).append((round(r.delta_h, 9), r.swap_to, r.support))
+    assert got == sorted((a, k + 1, b, n, d) for a, found in want.items() for k, (d, b, n) in enumerate(sorted(found)[:3]))
+
+
 def test_best_swaps_of_nothing(spark):
     assert cs.best_swaps(spark.createDataFrame([], "src string, tgt string, resource string, wait_s double")).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.operators.pairs import best_pairs, resources_by_step
 from tracemill.operators.transitions import mean_wait
 from tracemill.sources.eventlog import in_case
 from tracemill.sources.scratch import cut
@@ -56,39 +57,25 @@ def swap_candidates(trans: DataFrame, least: int = 2) -> DataFrame:
 
 def best_swaps(trans: DataFrame, top: int = 5, least: int = 2, first: int = 8) -> DataFrame:
     """(swap_from, rank, swap_to, support, delta_h): each resource's `top` replacements in `swap_candidates`, the largest saving first (ties, at
-    nine digits, by name), without making all pairs.
+    nine digits, by name).
 
-    A threshold search. Resources of a transition are listed by their mean wait, and a resource meets the first so many of each of its lists.
-    Whoever it hasn't met is no faster than the next of each list, which bounds what they could save; once the `top` found save more than that,
-    or its lists are at an end, the resource is done. The others go on with lists four times as long, so nothing is left out; where lists of
-    different transitions contradict each other throughout, that ends at all pairs.
+    Resources of a transition are listed by their mean wait, and all resources meet the first so many of each list. Whoever wasn't met is no
+    faster than the next of each list, which bounds what they could save; where the `top` found save more than that, or a resource's lists are at an
+    end, it is done. The others meet everybody: all pairs are summed, but as products of blocks (`best_pairs`), so no pair becomes a row.
     """
     in_list = Window.partitionBy("src", "tgt").orderBy("mean_h", "resource")
     table = cut(resource_wait_table(trans).filter(F.col("n") >= least).withColumn("at", F.row_number().over(in_list)))
-    left, done, met = table.select("resource").distinct(), None, first
-    while True:
-        mine = table.join(left, "resource")
-        listed = table.filter(F.col("at") <= met).select("src", "tgt", F.col("resource").alias("swap_to"))
-        pairs = mine.select("src", "tgt", F.col("resource").alias("swap_from")).join(listed, ["src", "tgt"]).filter("swap_from <> swap_to").select("swap_from", "swap_to").distinct()
-        steps = mine.select("src", "tgt", F.col("resource").alias("swap_from"), "n", "mean_h")
-        other = table.select("src", "tgt", F.col("resource").alias("swap_to"), F.col("mean_h").alias("to_h"))
-        both = pairs.join(steps, "swap_from").join(other, ["src", "tgt", "swap_to"])
-        deltas = both.groupBy("swap_from", "swap_to").agg(F.sum("n").alias("support"), F.sum(F.col("n") * (F.col("to_h") - F.col("mean_h"))).alias("delta_h"))
-        rank = F.row_number().over(Window.partitionBy("swap_from").orderBy(F.round("delta_h", 9), "swap_to"))
-        best = deltas.withColumn("rank", rank).filter(F.col("rank") <= top)
-        ahead = table.filter(F.col("at") == met + 1).select("src", "tgt", F.col("mean_h").alias("next_h"))
-        bound = mine.join(ahead, ["src", "tgt"], "left").groupBy(F.col("resource").alias("swap_from")).agg(
-            F.count("next_h").alias("open"), F.sum(F.when(F.col("next_h") < F.col("mean_h"), F.col("n") * (F.col("next_h") - F.col("mean_h"))).otherwise(0.0)).alias("bound"))
-        found = best.groupBy("swap_from").agg(F.count(F.lit(1)).alias("have"), F.max("delta_h").alias("last"))
-        state = bound.join(found, "swap_from", "left")
-        sure = (F.col("open") == 0) | ((F.coalesce("have", F.lit(0)) == top) & (F.col("last") < F.col("bound") - 1e-6))  # far more than sums of doubles differ by
-        state = cut(state.select("swap_from", F.coalesce(sure, F.lit(False)).alias("sure")))
-        some = cut(best.join(state.filter("sure").select("swap_from"), "swap_from").select("swap_from", "rank", "swap_to", "support", "delta_h"))
-        done = some if done is None else done.unionByName(some)
-        left = state.filter("not sure").select(F.col("swap_from").alias("resource"))
-        if left.isEmpty():
-            return done
-        met *= 4
+    n_steps, everybody, rows = table.select("src", "tgt").distinct().count(), table.select("resource").distinct(), resources_by_step(table)
+    best = best_pairs(rows, everybody, table.filter(F.col("at") <= first).select("resource").distinct(), top, n_steps)
+    ahead = table.filter(F.col("at") == first + 1).select("src", "tgt", F.col("mean_h").alias("next_h"))
+    bound = table.join(F.broadcast(ahead), ["src", "tgt"], "left").groupBy(F.col("resource").alias("swap_from")).agg(  # a row per transition
+        F.count("next_h").alias("open"), F.sum(F.when(F.col("next_h") < F.col("mean_h"), F.col("n") * (F.col("next_h") - F.col("mean_h"))).otherwise(0.0)).alias("bound"))
+    found = best.groupBy("swap_from").agg(F.count(F.lit(1)).alias("have"), F.max("delta_h").alias("last"))
+    sure = (F.col("open") == 0) | ((F.coalesce("have", F.lit(0)) == top) & (F.col("last") < F.col("bound") - 1e-6))  # far more than sums of doubles differ by
+    state = cut(bound.join(found, "swap_from", "left").select("swap_from", F.coalesce(sure, F.lit(False)).alias("sure")))
+    done = best.join(state.filter("sure").select("swap_from"), "swap_from", "left_semi")
+    left = state.filter("not sure").select(F.col("swap_from").alias("resource"))
+    return done if left.isEmpty() else done.unionByName(best_pairs(rows, left, everybody, top, n_steps))
 
 
 def explain_case(log: DataFrame, predicted: DataFrame, look_back: int = 5, top: int = 5) -> DataFrame:
