@@ -4,6 +4,8 @@ import gzip
 import itertools
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -591,3 +593,14 @@ def test_best_swaps_where_lists_contradict_each_other(spark, monkeypatch):
 
 def test_best_swaps_of_nothing(spark):
     assert cs.best_swaps(spark.createDataFrame([], "src string, tgt string, resource string, wait_s double")).count() == 0
+
+
+_LONG = [("c", "A", "B", 1e12, 2.8e8)] * 20  # 2e19 microseconds in all, more than 64 bits hold
+
+
+def _long_waits(spark):
+    return spark.createDataFrame(_LONG, "case_id string, src string, tgt string, wait_s double, wait_h double")
+
+
+def test_bottlenecks_of_long_waits(spark):
+    assert [(r.mean_s, r.n) for r in an.bottlenecks(_long_waits(spark)).collect()] == [(1e12, 20)]
