@@ -604,3 +604,7 @@ def _long_waits(spark):
 
 def test_bottlenecks_of_long_waits(spark):
     assert [(r.mean_s, r.n) for r in an.bottlenecks(_long_waits(spark)).collect()] == [(1e12, 20)]
+
+
+def test_rare_transitions_of_long_waits(spark):
+    assert [r.mean_s for r in an.rare_transitions(an.bottlenecks(_long_waits(spark)), 20).collect()] == [1e12]
