@@ -608,3 +608,7 @@ def test_bottlenecks_of_long_waits(spark):
 
 def test_rare_transitions_of_long_waits(spark):
     assert [r.mean_s for r in an.rare_transitions(an.bottlenecks(_long_waits(spark)), 20).collect()] == [1e12]
+
+
+def test_transition_wait_table_of_long_waits(spark):
+    assert [(r.mean_h, r.n) for r in cs.transition_wait_table(_long_waits(spark)).collect()] == [(pytest.approx(1e12 / 3600), 20)]
