@@ -612,3 +612,10 @@ def test_rare_transitions_of_long_waits(spark):
 
 def test_transition_wait_table_of_long_waits(spark):
     assert [(r.mean_h, r.n) for r in cs.transition_wait_table(_long_waits(spark)).collect()] == [(pytest.approx(1e12 / 3600), 20)]
+
+
+def test_analysis_summary_of_long_waits(spark):
+    """A hundred cases of 280,000 years each."""
+    log = spark.range(200).selectExpr("concat('c', id div 2) case_id", "if(id % 2 = 0, 'A', 'B') task_name", "timestamp_micros(if(id % 2 = 0, 0L, 200000000000000000L)) timestamp", "'r' resource", "1.0D amount", "id event_seq")
+    got = an.analysis_summary(log, tr.transitions(log)).first()
+    assert (got.total_traces, got.num_long_cases, got.num_rare_transitions) == (100, 0, 0)
