@@ -619,3 +619,15 @@ def test_analysis_summary_of_long_waits(spark):
     log = spark.range(200).selectExpr("concat('c', id div 2) case_id", "if(id % 2 = 0, 'A', 'B') task_name", "timestamp_micros(if(id % 2 = 0, 0L, 200000000000000000L)) timestamp", "'r' resource", "1.0D amount", "id event_seq")
     got = an.analysis_summary(log, tr.transitions(log)).first()
     assert (got.total_traces, got.num_long_cases, got.num_rare_transitions) == (100, 0, 0)
+
+
+def test_quantiles_of_rows_that_come_in_another_order_each_time(spark):
+    """As a shuffle may hand them over."""
+
+    def unsteady(batches):
+        rows = pa.Table.from_batches(list(batches))
+        yield from rows.take(np.random.default_rng().permutation(rows.num_rows)).to_batches()
+
+    df = spark.range(0, 400_000, 1, 2).selectExpr("cast(id as double) v").mapInArrow(unsteady, "v double")
+    for _ in range(3):
+        assert scratch.exact_quantiles(df, "v", [0.25, 0.5, 0.95], accuracy=500).first().quantiles == pytest.approx([399_999 * q for q in (0.25, 0.5, 0.95)], abs=1e-6)
