@@ -631,3 +631,21 @@ def test_quantiles_of_rows_that_come_in_another_order_each_time(spark):
     df = spark.range(0, 400_000, 1, 2).selectExpr("cast(id as double) v").mapInArrow(unsteady, "v double")
     for _ in range(3):
         assert scratch.exact_quantiles(df, "v", [0.25, 0.5, 0.95], accuracy=500).first().quantiles == pytest.approx([399_999 * q for q in (0.25, 0.5, 0.95)], abs=1e-6)
+
+
+def test_suffixes_are_made_once_per_last_task(spark):
+    """Of a task that no model knows, and of null, too."""
+    train = spark.createDataFrame([("A", "B"), ("B", "A"), ("B", "B")], "task_name string, next_task string").withColumn("context_1", F.col("task_name")).withColumn("dt_log", F.lit(1.0))
+    cases = spark.createDataFrame([(f"c{i}", "AB?"[i % 3]) for i in range(300)], "case_id string, last string")
+    cases = cases.withColumn("last", F.when(F.col("case_id") != "c299", F.translate("last", "?", "Z")))
+    model, times = pr.next_event_distribution(train), pr.time_to_next(train)
+    made = []
+    cut = pr.cut
+    pr.cut = lambda df: made.append(out := cut(df)) or out
+    try:
+        got = pr.predict_suffix(cases, model, times, beam=2, max_steps=3)
+    finally:
+        pr.cut = cut
+    assert [x.count() for x in made] == [4] and got.select("case_id").distinct().count() == 300
+    per = got.join(cases, "case_id").groupBy("last", "case_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("tasks", "prob")))).alias("x")).groupBy("last").agg(F.count_distinct("x").alias("n"))
+    assert {r["last"]: r.n for r in per.collect()} == {"A": 1, "B": 1, "Z": 1, None: 1}
