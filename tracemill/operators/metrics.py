@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.sources.scratch import cut
+
 
 def ranked(pred: DataFrame) -> DataFrame:
     """With the predicted label, its probability, and rank and probability of the true label (rank 0: unknown to the model)."""
@@ -20,8 +22,9 @@ def ranking_metrics(pred: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFra
     return r.agg(F.coalesce(F.avg((F.col("y_pred") == F.col("y_true")).cast("double")), F.lit(0.0)).alias("accuracy"), *tops, mrr.alias("mrr"), F.avg(-F.log("p_true")).alias("cross_entropy"), F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix(pred: DataFrame) -> DataFrame:
-    return ranked(pred).groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+def confusion_matrix(pred: DataFrame, weight: str | None = None) -> DataFrame:
+    """`weight` names a column that says how many rows each row stands for."""
+    return ranked(pred).groupBy("y_true", "y_pred").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
 
 
 def per_class_metrics(confusion: DataFrame, names: DataFrame) -> DataFrame:
@@ -65,24 +68,30 @@ def softmax(values, temperature: float = 1.0):
     return F.transform(up, lambda x: x / F.aggregate(up, F.lit(0.0), lambda a, b: a + b))
 
 
-def negative_log_likelihoods(pred: DataFrame, temperatures: list[float]) -> DataFrame:
-    """(temperature, nll) of each temperature over the log-probabilities, all in one pass."""
+def alike(pred: DataFrame, weight: str | None = None) -> DataFrame:
+    """(y_true, labels, probs, c): rows of equal prediction and true label as one, c times; as many as contexts have labels."""
+    return pred.groupBy("y_true", "labels", "probs").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c"))
+
+
+def negative_log_likelihoods(pred: DataFrame, temperatures: list[float], weight: str | None = None) -> DataFrame:
+    """(temperature, nll) of each temperature over the log-probabilities, all in one pass, in which equal rows are one (`alike`)."""
     true = F.array_position("labels", F.col("y_true")).cast("int")
-    some = pred.withColumn("_k", true).filter("_k > 0").withColumn("_s", F.transform("probs", lambda p: F.log(p)))
-    nll = [F.avg(-F.log(F.element_at(softmax(F.col("_s"), t), F.col("_k")))).alias(f"t{k}") for k, t in enumerate(temperatures)]
+    some = alike(pred, weight).withColumn("_k", true).filter("_k > 0").withColumn("_s", F.transform("probs", lambda p: F.log(p)))
+    nll = [F.try_divide(F.sum(F.col("c") * -F.log(F.element_at(softmax(F.col("_s"), t), F.col("_k")))), F.sum("c")).alias(f"t{k}") for k, t in enumerate(temperatures)]
     row = some.agg(*nll)
     stack = ", ".join(f"cast({t!r} as double), t{k}" for k, t in enumerate(temperatures))
     return row.selectExpr(f"stack({len(temperatures)}, {stack}) as (temperature, nll)")
 
 
-def fit_temperature(pred: DataFrame, rounds: int = 3) -> float:
-    """The temperature of least likelihood loss, by refined grids (one pass over the predictions per round)."""
+def fit_temperature(pred: DataFrame, rounds: int = 3, weight: str | None = None) -> float:
+    """The temperature of least likelihood loss, by refined grids. One pass over the predictions counts equal ones, which the rounds read."""
     import math
 
+    cells = cut(alike(pred, weight))
     low, high, best = math.log(0.05), math.log(20.0), 1.0
     for _ in range(rounds):
         grid = [math.exp(low + (high - low) * k / 16) for k in range(17)]
-        found = [r for r in negative_log_likelihoods(pred, grid).collect() if r.nll is not None]
+        found = [r for r in negative_log_likelihoods(cells, grid, "c").collect() if r.nll is not None]
         if not found:
             return 1.0
         best = min(found, key=lambda r: r.nll).temperature
