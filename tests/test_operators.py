@@ -621,6 +621,22 @@ def test_analysis_summary_of_long_waits(spark):
     assert (got.total_traces, got.num_long_cases, got.num_rare_transitions) == (100, 0, 0)
 
 
+def test_analysis_summary_takes_each_transition_once(spark):
+    """As counted by the rows that a function in the transitions sees."""
+    log = spark.range(600).selectExpr("concat('c', id div 3) case_id", "concat('T', id % 3) task_name", "timestamp_seconds(id * id) timestamp", "concat('r', id % 2) resource", "1.0D * id amount", "id event_seq")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(x):
+        seen.add(1)
+        return x
+
+    trans = tr.transitions(log).withColumn("wait_s", watched.asNondeterministic()("wait_s"))
+    got = an.analysis_summary(log, trans).first()
+    assert (got.total_traces, got.num_long_cases, got.num_rare_transitions, got.num_deviant, len(got.drivers)) == (200, 10, 0, 0, 8)
+    assert seen.value == 400
+
+
 def test_quantiles_of_rows_that_come_in_another_order_each_time(spark):
     """As a shuffle may hand them over."""
 
