@@ -78,12 +78,12 @@ def long_waits(tmp_path_factory):
     return str(d), c
 
 
-@pytest.mark.parametrize("name", ["rare_transitions"])
+@pytest.mark.parametrize("name", ["rare_transitions", "transition_wait_table"])
 def test_query_of_long_waits(spark, long_waits, name):
     d, c = long_waits
     df = catalog.QUERIES[name](spark, d)
     found = c.execute(catalog.ORACLES[name])
     names, want = [x[0] for x in found.description], found.fetchall()
     rows = [tuple(r) for r in df.collect()]
-    assert sorted(df.columns) == sorted(names) and len(rows) == len(want) == {"rare_transitions": 2}[name]
+    assert sorted(df.columns) == sorted(names) and len(rows) == len(want) == {"rare_transitions": 2, "transition_wait_table": 4}[name]
     assert not differences(ordered(rows, df.columns), ordered(want, names))
